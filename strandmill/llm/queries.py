@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from strandmill.llm import decontamination, sentencepiece_codec, simhash, substring, token_counts
 
-from strandmill.llm import decontamination, simhash, substring
+
+#: A model file of a public tokenizer, read as a unigram vocabulary.
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +23,11 @@ def op2_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_difference_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.withColumnRenamed("id", "doc_id")
@@ -29,6 +38,22 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_codec.decode(encoded, model)
+    return decoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_pivot_tables, op4_difference_cover_anchors, op7_winnowing)
+    f.__name__: f
+    for f in (
+        op2_simhash_pivot_tables,
+        op3_count_only_viterbi,
+        op4_difference_cover_anchors,
+        op7_winnowing,
+        op10_sentencepiece_viterbi,
+    )
 }
+
+ORACLE_SQL: dict[str, str] = {}
