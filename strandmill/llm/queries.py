@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from strandmill.llm import decontamination, sentencepiece_codec, simhash, substring, token_counts
 
+from strandmill.llm import decontamination, grammar_shards, sentencepiece_codec, simhash, substring, token_counts
+from strandmill.llm._shared import shared_folder
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
 PIECES = "piece_bpe_32k.model"
@@ -33,6 +35,12 @@ def op4_difference_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_re_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
+    shards = grammar_shards.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return grammar_shards.read_shards(shards).withColumnRenamed("id", "doc_id")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash_pivot_tables,
         op3_count_only_viterbi,
         op4_difference_cover_anchors,
+        op5_re_pair_shards,
         op7_winnowing,
         op10_sentencepiece_viterbi,
     )
