@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontamination, grammar_shards, sentencepiece_codec, simhash, substring, token_counts
+from strandmill.llm import decontamination, grammar_shards, quality, sentencepiece_codec, simhash, substring, token_counts
 from strandmill.llm._shared import shared_folder
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
@@ -46,6 +46,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return quality.classify(_table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
+
+
 def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_difference_cover_anchors,
         op5_re_pair_shards,
         op7_winnowing,
+        op9_kneser_ney_quality,
         op10_sentencepiece_viterbi,
     )
 }
