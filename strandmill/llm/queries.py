@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontamination, grammar_shards, quality, sentencepiece_codec, simhash, substring, token_counts
+from strandmill.llm import decontamination, embedding_links, grammar_shards, quality, sentencepiece_codec, simhash, substring, token_counts
 from strandmill.llm._shared import shared_folder
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
@@ -41,6 +41,11 @@ def op5_re_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_shards.read_shards(shards).withColumnRenamed("id", "doc_id")
 
 
+def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_links.links(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_count_only_viterbi,
         op4_difference_cover_anchors,
         op5_re_pair_shards,
+        op6_collision_counting,
         op7_winnowing,
         op9_kneser_ney_quality,
         op10_sentencepiece_viterbi,
