@@ -9,17 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontamination, embedding_links, grammar_shards, quality, sentencepiece_codec, simhash, substring, token_counts
+from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts
 from strandmill.llm._shared import shared_folder
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
 PIECES = "piece_bpe_32k.model"
+#: The key of the test tables' pseudonyms; a real one is a secret of the caller's.
+PII_KEY = "test tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -66,6 +72,7 @@ def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_feistel_pseudonyms,
         op2_simhash_pivot_tables,
         op3_count_only_viterbi,
         op4_difference_cover_anchors,
