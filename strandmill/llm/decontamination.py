@@ -130,12 +130,12 @@ def _slices(items: DataFrame, item_col: str, text_col: str, words: int) -> Itera
     yield part
 
 
-def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", gram: int = GRAM, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per document: id, n_words, hits (spans of words: first, length, in words from 0) and items (sorted ids)."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     passes = []
-    for part in _slices(items, item_col, "text", slice_words):
+    for part in _slices(items, item_col, item_text_col, slice_words):
         shared = docs.sparkSession.sparkContext.broadcast((Spans([t for _, t in part], gram, window), [i for i, _ in part]))
         passes.append(text.mapInArrow(_scanner(shared), f"id {kind}, text_hash long, n_words long, hits array<struct<first: long, length: int>>, items array<string>"))
     found = passes[0]
@@ -148,6 +148,28 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return found.select("id", "n_words", "hits", "items")
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, that share no span with any item; no shuffle."""
+    at = docs.columns.index(text_col)
+    for part in _slices(items, item_col, item_text_col, slice_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Spans([t for _, t in part], gram, window))
+        docs = docs.mapInArrow(_cleaner(shared, at), docs.schema)
+    return docs
+
+
+def _cleaner(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, bounds = text_bytes(text_array(batch.column(at)))
+            keep = np.ones(batch.num_rows, bool)
+            for i, j in chunks(bounds):
+                seen = Scanned(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                keep[i + np.searchsorted(seen.first, shared.value.hits(seen)[0], "right") - 1] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, names = shared.value

@@ -28,7 +28,7 @@ from strandmill.llm._bytes import chunks, text_array, text_bytes
 from strandmill.llm._shared import block_of, number_of_blocks, written
 
 ORDER = 5
-QUANTILE = 0.995
+QUANTILE = 0.999
 HELD_OUT = 5
 BLOCK_ROWS = 4096
 _CHUNK = 1 << 20
@@ -128,7 +128,7 @@ def _answered(cells: pa.Table, known: pa.Table) -> pa.Table:
     )
 
 
-def _scored(order: int):
+def _scored(order: int, carried: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         codes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), "<u8") for x in answers.column("codes"))])
         logs = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), "<f4") for x in answers.column("logs"))])
@@ -151,7 +151,8 @@ def _scored(order: int):
             total[i:j] = sums[own[1:]] - sums[own[:-1]]
         size = np.diff(bounds)
         worth = np.exp(-total / np.maximum(size, 1))
-        return pa.table({"id": rows.column("id"), "lang": rows.column("lang"), "n_bytes": pa.array(size), "perplexity": pa.array(worth, mask=size == 0)})
+        out = {"id": rows.column("id"), "lang": rows.column("lang"), "n_bytes": pa.array(size), "perplexity": pa.array(worth, mask=size == 0)}
+        return pa.table(out | {f"carried{k}": rows.column(f"carried{k}") for k in range(carried)})
 
     return run
 
@@ -203,13 +204,15 @@ def probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -> Da
     return out.select(*columns, F.log("p").cast("float").alias("log"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, held_out: int = HELD_OUT, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, lang, n_bytes, perplexity): one row per row of docs.  trusted has the ids, as `id`, of trusted documents.
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, held_out: int = HELD_OUT, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, n_bytes, perplexity, carried0, ...): one row per row of docs, with the columns named in carry.
 
-    Trusted ids whose crc32 as text is divisible by held_out do not train the model (0: all train it).
+    trusted has the ids, as `id`, of trusted documents.  Those whose crc32 as text is divisible by held_out do not
+    train the model (0: all train it).
     """
     blocks = number_of_blocks(docs, block_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    more = [F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *more)
     texts = rows.withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
     train = trusted.where(~_is_held_out(held_out)).distinct().withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
     counts = texts.cogroup(train).applyInArrow(_training(order), "gram long, n long")
@@ -219,25 +222,32 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     known = probabilities(different, counts, order)
     answers = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, "block int, codes binary, logs binary")
     ids, langs = (docs.schema[c].dataType.simpleString() for c in (id_col, lang_col))
-    return texts.cogroup(answers.groupBy("block")).applyInArrow(_scored(order), f"id {ids}, lang {langs}, n_bytes long, perplexity double")
+    kind = f"id {ids}, lang {langs}, n_bytes long, perplexity double" + "".join(f", carried{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(_scored(order, len(carry)), kind)
 
 
 def _is_held_out(held_out: int) -> Column:
     return F.crc32(F.col("id").cast("string")) % held_out == 0 if held_out else F.lit(False)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, held_out: int = HELD_OUT) -> DataFrame:
-    """(id, lang, n_bytes, perplexity, threshold, accepted): one row per row of docs."""
-    scored = written(perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out), "perplexities")
-    calibrating = trusted.where(_is_held_out(held_out)).distinct() if held_out else trusted.distinct()
-    sample = scored.join(calibrating, "id", "left_semi").where("perplexity is not null")
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, held_out: int = HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, n_bytes, perplexity, threshold, accepted, carried0, ...): one row per row of docs.
+
+    Thresholds are broadcast: one row for each language, of which there are some thousands at most.
+    """
+    scored = perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out, carry=carry)
+    calibrating = (trusted.where(_is_held_out(held_out)) if held_out else trusted).distinct()
+    sample = scored.select("id", "lang", "perplexity").join(calibrating, "id", "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = sample.groupBy("lang").agg(cut.alias("own"))
-    overall = sample.agg(cut.alias("any"))
-    return (
-        scored.alias("s")
-        .join(by_lang.alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
-        .join(F.broadcast(overall))  # one row
-        .select("s.*", F.coalesce("own", "any").alias("threshold"))
-        .withColumn("accepted", F.col("perplexity").isNotNull() & (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))))
-    )
+    by_lang = sample.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
+    overall = sample.agg(cut.alias("any")).withColumn("one", F.lit(1))
+    out = scored.withColumn("one", F.lit(1)).join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall), "one")
+    out = out.withColumn("threshold", F.coalesce("own", "any"))
+    accepted = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return out.select("id", "lang", "n_bytes", "perplexity", "threshold", accepted.alias("accepted"), *[f"carried{k}" for k in range(len(carry))])
+
+
+def keep_accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier accepts."""
+    found = classify(docs, trusted, id_col, text_col, lang_col, quantile, carry=tuple(docs.columns)).where("accepted")
+    return found.select(*[F.col(f"carried{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -161,3 +161,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
     label = labelled.join(least, "root").select("fp", "component")
     return fps.join(label, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of its component.
+
+    Rows that share an id are one document and stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -36,7 +36,7 @@ _LAST = np.iinfo(np.int64).max
 _CELLS = "bucket int, block int, known boolean, data binary"
 _FLAGS = "block int, data binary"
 _ANCHOR = np.dtype([("key", "<u8"), ("at", "<u4")])
-_WINDOW = np.dtype([("key", "<u8"), ("more", "<u4"), ("id", "<i8"), ("start", "<u4"), ("at", "<u4")])
+_WINDOW = np.dtype([("key", "<u8"), ("more", "<u4"), ("id", "<i8"), ("at", "<u4")])
 
 
 class _Block:
@@ -139,31 +139,33 @@ def _windows(window: int, period: int, buckets: int):
         key, more = (rolling_hash(s).grams(h, at, window) for s, h in zip((42, 43), block.hashes, strict=True))
         text = np.searchsorted(block.first, at, "right") - 1
         entries = np.empty(len(at), _WINDOW)
-        entries["key"], entries["more"], entries["id"] = key, more, block.ids[text]
-        entries["start"], entries["at"] = at - block.first[text], at
-        order, later = _is_later(entries)
-        entries = entries[order]
+        entries["key"], entries["more"], entries["id"], entries["at"] = key, more, block.ids[text], at
+        start = at - block.first[text]
+        order, first = _by_words(entries, start)
+        entries, start = entries[order], start[order]
+        later = (entries["id"] > entries["id"][first]) | (start > start[first])
         return _cells(rows.column("block")[0].as_py(), entries["key"][~later], entries[~later], entries["at"][later], buckets)
 
     return run
 
 
-def _is_later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by words, and for each entry in it whether one with the same words starts earlier."""
-    order = np.lexsort((entries["start"], entries["id"], entries["more"], entries["key"]))
-    entries = entries[order]
+def _by_words(entries: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by words, then id, then start; and for each place in it the first place with the same words."""
+    order = np.lexsort((start, entries["id"], entries["more"], entries["key"]))
+    key, more = entries["key"][order], entries["more"][order]
     new = np.ones(len(entries), bool)
-    new[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["more"][1:] != entries["more"][:-1])
-    first = entries[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return order, (entries["id"] > first["id"]) | (entries["start"] > first["start"])
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    return order, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def _later(cells: pa.Table) -> pa.Table:
     """Places of windows that also start earlier."""
     known = cells.filter(cells.column("known"))
     entries, blocks = _entries(cells.filter(pc.invert(cells.column("known"))), _WINDOW)
-    order, later = _is_later(entries)
+    order, first = _by_words(entries, entries["at"])
     entries, blocks = entries[order], blocks[order]
+    # an id is in one block, which has sent only what does not start later than the earliest there
+    later = entries["id"] > entries["id"][first]
     return _flags(blocks[later], entries["at"][later], known)
 
 
