@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts
+from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts, toxicity
 from strandmill.llm._shared import shared_folder
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
@@ -57,6 +57,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_gated_network_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
     return quality.classify(_table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_re_pair_shards,
         op6_collision_counting,
         op7_winnowing,
+        op8_gated_network_toxicity,
         op9_kneser_ney_quality,
         op10_sentencepiece_viterbi,
     )
