@@ -1,0 +1 @@
+"""Continuous-time Markov chain analytics over aligned sequences, trees and events, on Spark DataFrames."""
