@@ -41,7 +41,7 @@ def read_msa(spark: SparkSession, path: str) -> DataFrame:
     """(family, seq_name, seq) of two-line records."""
     line = _lines("text")
     ok = (F.size(line) % 2 == 0) & F.forall(line, lambda v: v.isNotNull()) & F.forall(F.filter(line, lambda v, k: k % 2 == 0), lambda v: v.startswith(">"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(line) / 2 - 1), lambda k: F.struct(F.substring(F.get(line, (2 * k).cast("int")), 2, 1 << 30).alias("seq_name"), F.get(line, (2 * k + 1).cast("int")).alias("seq")))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(line) / 2).cast("int") - 1), lambda k: F.struct(F.substring(F.get(line, 2 * k), 2, 1 << 30).alias("seq_name"), F.get(line, 2 * k + 1).alias("seq")))
     return files(spark, path).select("family", F.explode(_check(ok, "not two-line FASTA", pairs)).alias("r")).select("family", "r.*")
 
 
