@@ -1,0 +1,376 @@
+"""Operators on documents against plain versions of what they compute, on small awkward tables."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from datetime import date
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from strandmill.llm import _pieces, decontamination, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts
+
+BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, lang string, fp string, block string, id string, key string, n_words string"
+LONG = " ".join(f"w{k % 997}x{k % 13}" for k in range(30_000))
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def table(spark, texts, ids=None, lang="en"):
+    """Documents with columns that clash with the operators' own."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, lang, "f", "b", "i", "k", "n") for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3)
+
+
+def awkward():
+    rng = np.random.default_rng(5)
+    prose = [" ".join(f"{a}{b}" for a, b in rng.integers(0, 30, (n, 2))) for n in (60, 45, 200)]
+    passage = " ".join(f"p{k}" for k in range(40))
+    return [
+        None, "", " \t\n", "One", "one two", "a b c", prose[0], prose[0], prose[0].replace(" ", "  "), prose[1] + " " + passage, passage + "\n" + prose[2], prose[2] + " " + passage + " " + passage,
+        "same " * 100, LONG, LONG, LONG.upper(), "Ünïcode ÉÈ — “quotes” 日本語 テキスト 😀", "x" * 5000, "tab\tand\x0bvertical\x0cfeed\rreturn", passage.upper(),
+    ]
+
+
+def plain_fingerprint(text, shingle=3):
+    words = BLANKS.findall(lower(text))
+    if not words:
+        return 0
+    grams = [" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+    hashes = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(grams))
+
+
+def plain_components(ids, fps, radius=3):
+    least = dict(zip(ids, ids))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(range(len(ids)), 2):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                m = min(least[ids[a]], least[ids[b]])
+                changed |= least[ids[a]] != m or least[ids[b]] != m
+                least[ids[a]] = least[ids[b]] = m
+    return least
+
+
+def test_simhash_components(spark):
+    texts = awkward()
+    got = {r.id: (r.fp & (2**64 - 1), r.component) for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    fps = [plain_fingerprint(t) for t in texts]
+    want = plain_components(list(range(len(texts))), fps)
+    assert got == {k: (fps[k], want[k]) for k in want}
+
+
+def test_simhash_links_near_fingerprints_in_hot_buckets(spark):
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(0, 2**63, 5)]
+    fps = {b for x in base for b in [x, *(x ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 64, (60, 2)))]}
+    fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {x: c for x, c in plain_components(fps, [x & (2**64 - 1) for x in fps]).items()}
+    from strandmill.llm._shared import connected_components
+
+    for bucket in (4096, 16):  # whole buckets, and buckets dealt into blocks
+        found = {r.node: r.component for r in connected_components(simhash.links(frame, bucket=bucket)).collect()}
+        assert {x: found.get(x, x) for x in fps} == want
+
+
+def test_simhash_keeps_one_of_each_group(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h", "something else entirely here now", None]
+    kept = simhash.keep_one(table(spark, texts), shingle=5)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and kept.columns == table(spark, texts).columns
+
+
+def test_empty_tables(spark):
+    none = table(spark, ["x"]).limit(0)
+    items = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "id long")
+    assert simhash.near_duplicates(none).count() == 0
+    assert substring.remove_repeats(none).count() == 0
+    assert decontamination.contamination(none, items).count() == 0
+    assert quality.classify(none, labels).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
+    assert token_counts.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def plain_removal(docs, window):
+    seen, out = {}, {}
+    for i, text in sorted(docs.items()):
+        words = BLANKS.findall(text or "")
+        gone = [False] * len(words)
+        for s in range(len(words) - window + 1):
+            if seen.setdefault(tuple(words[s : s + window]), (i, s)) != (i, s):
+                gone[s : s + window] = [True] * window
+        kept = " ".join(w for w, g in zip(words, gone) if not g)
+        out[i] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [2, 1000])
+def test_repeated_passages(spark, block_rows):
+    texts = dict(enumerate(awkward()))
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeats(table(spark, list(texts.values())), block_rows=block_rows).collect()}
+    assert got == plain_removal(texts, 20)
+
+
+def test_repeated_passages_of_few_words(spark):
+    rng = np.random.default_rng(2)
+    texts = {k: " ".join("ab"[c] for c in rng.integers(0, 2, n)) for k, n in enumerate([0, 25, 30, 64, 21, 100])}
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeats(table(spark, list(texts.values())), window=7, period=7, cover=(1, 2, 4)).collect()}
+    assert got == plain_removal(texts, 7)
+    with pytest.raises(ValueError, match="difference cover"):
+        substring.remove_repeats(table(spark, ["a"]), cover=(0, 1, 3))
+
+
+def test_rows_of_one_id_do_not_remove_each_other(spark):
+    text = " ".join(f"r{k}" for k in range(30))
+    got = sorted((r.id, r.n_removed) for r in substring.remove_repeats(table(spark, [text, text, text], [1, 1, None])).collect() if r.id is not None)
+    assert got == [(1, 0), (1, 0)]
+
+
+def plain_contamination(texts, items):
+    spans = {}
+    for i, t in items:
+        words = WORDS.findall(lower(t))
+        n = min(10, len(words))
+        for s in range(len(words) - n + 1 if words else 0):
+            spans.setdefault(tuple(words[s : s + n]), set()).add(str(i))
+    out = []
+    for t in texts:
+        words = WORDS.findall(lower(t))
+        hit, found = [False] * len(words), set()
+        for n in {len(s) for s in spans}:
+            for s in range(len(words) - n + 1):
+                if own := spans.get(tuple(words[s : s + n])):
+                    hit[s : s + n] = [True] * n
+                    found |= own
+        out.append((len(words), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
+    return out
+
+
+def test_contamination(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 400, n))
+    items = [(1, prose(30)), (2, prose(12)), (3, "Just Three words"), (4, None), (5, "..."), (10, prose(10)), (11, "seven words are in this short item"), (1, prose(15)), (12, "x " * 30)]
+    texts = [prose(300) for _ in range(20)]
+    texts += [prose(20) + " " + items[0][1].upper() + " " + prose(5), items[1][1], items[5][1] + " tail", "no JUST three, WORDS!", items[6][1], "x " * 11, *awkward()]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_contamination(texts, items)
+    for words in (10**6, 25):  # one slice, and several
+        got = decontamination.scan(table(spark, texts), frame, slice_words=words)
+        assert got.count() == len(texts)
+    got = {r.id: tuple(r)[1:] for r in decontamination.contamination(table(spark, texts), frame).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    clean = {r.doc_id for r in decontamination.clean(table(spark, texts), frame, slice_words=25).collect()}
+    assert clean == {k for k, w in enumerate(want) if not w[-1]}
+
+
+def test_every_shared_span_leaves_a_common_fingerprint():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        shared = rng.integers(0, 3, 10)
+        texts = [np.concatenate([rng.integers(0, 3, rng.integers(0, 9)), shared, rng.integers(0, 3, rng.integers(0, 9))]) for _ in range(2)]
+        marks = []
+        for t in texts:
+            buf = np.frombuffer(" ".join(f"w{x}" for x in t).encode(), np.uint8)
+            marks.append(set(decontamination.Scanned(buf, np.array([0, len(buf)])).fingerprints(5, 6)[1].tolist()))
+        assert marks[0] & marks[1]
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+TRICKY = ["a  b", "  lead", "trail ", "x\n y", "x\n  y \n", "\x1c x\x1c y", "don't  we'll", "a<|endoftext|> b <|endoftext|>", "  no break", "é combining"]
+
+
+@pytest.mark.parametrize("shard_tokens", [50, 10**6])
+def test_shards_hold_all_ids_in_order(spark, tmp_path, shard_tokens):
+    texts = [*awkward(), *TRICKY]
+    ids = [2 * k + 1 for k in range(len(texts))]
+    shards = grammar_shards.write_shards(table(spark, texts, ids), P.path("byte_bpe_50k.json"), str(tmp_path / "shards"), shard_tokens=shard_tokens, partition_rows=7)
+    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in grammar_shards.read_shards(shards).collect()}
+    start, t = 0, tokenizer()
+    for i, text in zip(ids, texts):
+        own = t.encode(text or "", add_special_tokens=False).ids + [2]
+        assert got[i] == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())), text
+        start += len(own)
+
+
+def test_shards_decode_from_any_place():
+    rng = np.random.default_rng(6)
+    lengths = np.array([0, 5, 4000, 1, 0, 3000])
+    ids = rng.integers(0, 9, lengths.sum()).astype(np.int32)
+    data = grammar_shards.pack(ids, lengths, np.arange(6), np.zeros(6, bool))
+    shard = grammar_shards.Shard(data)
+    assert len(shard.rules) and len(shard.symbols) < 0.55 * len(ids)
+    assert (shard.expand(shard.symbols) == ids).all() and shard.lengths().tolist() == lengths.tolist()
+    start = 0
+    for doc, n in enumerate(lengths.tolist()):
+        own = ids[start : start + n]
+        assert (shard.ids(doc) == own).all()
+        for a, b in ((0, 3), (n // 3, n // 2), (n - 1, n)):
+            assert (shard.ids(doc, max(a, 0), b) == own[max(a, 0) : b]).all()
+        start += n
+    assert grammar_shards.Shard(grammar_shards.pack(np.zeros(0, np.int32), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))).lengths().size == 0
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The library with the same pieces and scores, read as a unigram model."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    least = min(p.score for p in model.pieces if p.score > _pieces.HUGE) - 1
+    for p in model.pieces:
+        if p.score < _pieces.HUGE:
+            p.score = least
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+PIECED = [None, "", " ", "   ", "a  b", "  lead", "trail ", "a    b     c", "日本語テキスト 梦梦", "emoji 😀😀 x", "\n\n", "a\tb", "ﬁ é", "a" * 300, "the quick brown fox, and the lazy dog.", "x▁y", "▁ ▁▁", "ÉÈ çà"]
+
+
+def test_pieces_are_the_librarys(spark, unigram):
+    texts = [*PIECED, *[t for t in awkward() if t is None or len(t) < 3000]]
+    model = P.path("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(table(spark, texts), model).persist()
+    got = {r.id: r.ids for r in encoded.collect()}
+    assert [got[k] for k in range(len(texts))] == [unigram.encode(t or "") for t in texts]
+    counted = {r.id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts), model).collect()}
+    assert [counted[k] for k in range(len(texts))] == [len(unigram.encode(t or "")) for t in texts]
+    back = {r.id: r.text for r in sentencepiece_codec.decode(encoded, model).collect()}
+    assert [back[k] for k in range(len(texts))] == [(t or "").replace("▁", " ") for t in texts]
+
+
+def test_equal_paths_prefer_the_longest_last_piece():
+    class Toy:
+        text = ["<unk>", "▁", "a", "b", "ab", "▁a"]
+        plain = [1, 2, 3, 4, 5]
+        scores = np.array([0, -1, -2, -2, -4, -3.0])
+        unknown, unknown_score, bytes_fallback = 0, -14.0, False
+
+    for key, want in (("ab", [1, 4]), ("a", [5]), ("c", [1, 0]), ("", [1])):
+        flat, _ = sentencepiece_codec.Encoder(Toy)([key])
+        assert flat.tolist() == want
+        assert token_counts.Counter(Toy)([key])[0].tolist() == [len(want)]
+
+
+def plain_luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "mail joe.19@mail5.example.com, JOE@x.org", "card 4111111111111111 12 and 4111-1111-1111-1111 or 4111111111111112", "ip 1.2.3.4 and 255.255.255.255 but 256.1.1.1 or 1.2.3.4.5",
+        'token = "2321bac4d15ec8f90433955bf9d3cf61d"', "+1 (743) 555-3824; (212) 555-0199", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 GB82WEST12345698765433",
+        "1999-12-31 31.12.1999 29/02/2001", "123-45-6789 666-12-3456", None, "", "nothing here 12 or 3.5", LONG, "4111111111111111",
+    ]
+    frame = table(spark, texts)
+    got = {r.doc_id: r for r in pii.pseudonymise(frame, "k").collect()}
+    out = {k: r.text for k, r in got.items()}
+    assert pii.pseudonymise(frame, "k", count_col=None).columns == frame.columns
+    for k, t in enumerate(texts):
+        assert (out[k] is None) == (t is None) and (t is None or len(out[k]) == len(t) or k == 2)
+        assert t is None or re.sub("[0-9A-Za-z]", "", out[k]) == re.sub("[0-9A-Za-z]", "", t)
+    assert [got[k].n_pseudonyms for k in range(len(texts))] == [2, 2, 2, 1, 2, 2, 2, 1, 0, 0, 0, 0, 1]
+    card = re.findall(r"\d{16}", out[1])[0]
+    assert plain_luhn(card) == 0 and card != "4111111111111111" and out[12] == card and card in out[1].replace("-", "") and "4111111111111112" in out[1]
+    assert "256.1.1.1 or 1.2.3.4.5" in out[2] and all(int(x) < 256 for x in re.findall(r"ip (\S+)", out[2])[0].split("."))
+    iban = out[5].replace(" ", "")[:22]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and out[5].endswith("GB82WEST12345698765433")
+    a, b, c = out[6].split(" ")
+    assert date.fromisoformat(a).strftime("%d.%m.%Y") == b and c == "29/02/2001"
+    assert "666-12-3456" in out[7] and "123-45-6789" not in out[7]
+    assert {r.doc_id: r.text for r in pii.pseudonymise(frame, "other").collect()}[12] != card
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    days = spark.range(0, 146_097, 37).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m"))
+    moved = days.select(pii.pseudonym(F.col("m"), "k").alias("p"))
+    assert moved.distinct().count() == days.count() and moved.where("p >= '1800-01-01' and p <= '2199-12-31'").count() == days.count()
+    pins = spark.range(100).select(F.format_string("a%02d@x.org", "id").alias("m")).select(pii.pseudonym(F.col("m"), "k").alias("p"))
+    assert pins.distinct().count() == 100
+
+
+def plain_perplexities(docs, trusted, order):
+    """Interpolated modified Kneser-Ney, straight from its formulas."""
+    import math
+    from collections import Counter, defaultdict
+
+    def grams(text):
+        data = b"\0" * (order - 1) + text.encode()
+        return [data[k : k + order] for k in range(len(data) - order + 1)]
+
+    levels = {order: Counter(g for i, t in docs if i in trusted for g in grams(t or ""))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cut, total, freed = {}, {}, {}
+    for k, c in levels.items():
+        n = [sum(v == m for v in c.values()) for m in (1, 2, 3, 4)]
+        if all(n[:3]):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])
+            d = tuple(min(max(v, 0), m) for m, v in enumerate(d, 1))
+        else:
+            d = (0.5, 1.0, 1.5)
+        cut[k] = d
+        total[k], freed[k] = defaultdict(float), defaultdict(float)
+        for g, v in c.items():
+            total[k][g[:-1]] += v
+            freed[k][g[:-1]] += d[min(v, 3) - 1]
+    out = {}
+    for i, t in docs:
+        logs = 0.0
+        for g in grams(t or ""):
+            p = 1 / 256
+            for k in range(1, order + 1):
+                own = g[order - k :]
+                if total[k].get(own[:-1]):
+                    v = levels[k][own]
+                    p = (max(v - cut[k][min(v, 3) - 1], 0) if v else 0) / total[k][own[:-1]] + freed[k][own[:-1]] / total[k][own[:-1]] * p
+            logs += math.log(p)
+        n = len((t or "").encode())
+        out[i] = math.exp(-logs / n) if n else None
+    return out
+
+
+def test_perplexity_is_kneser_ney(spark):
+    docs = [(k, t) for k, t in enumerate(["the cat sat on the mat", "a cat and a hat that sat", "", None, "zzzz qqq", "the the the", "ünï çode", "the cat sat on the hat " * 30])]
+    trusted = {0, 1, 2, 7, 99}
+    frame = spark.createDataFrame([(i, t, None if i == 5 else "en") for i, t in docs], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i in [*trusted, 0]], "id long")
+    for rows in (2, 100):
+        got = {r.id: r.perplexity for r in quality.perplexities(frame, ids, held_out=0, block_rows=rows).collect()}
+        want = plain_perplexities(docs, trusted, 5)
+        assert got.keys() == want.keys()
+        for i, v in want.items():
+            assert (got[i] is None) == (v is None) and (v is None or got[i] == pytest.approx(v, rel=1e-4))
+
+
+def test_classifier_keeps_prose_and_drops_noise(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "in", "ed", "es"], rng.integers(1, 4)))
+    prose = [" ".join(word() for _ in range(60)) for _ in range(120)]
+    noise = ["".join(chr(c) for c in rng.integers(33, 126, 200)) for _ in range(10)]
+    frame = table(spark, prose + noise + ["", None])
+    trusted = spark.createDataFrame([(k,) for k in range(100)], "id long")
+    kept = quality.keep_accepted(frame, trusted)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == frame.columns and len(ids & set(range(120))) >= 115 and not ids & set(range(120, 132))
