@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,15 @@ def _logistic(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
 
 
-class ReversibleMatrix:
-    """Q_ij = sqrt(pi_j / pi_i) * S_ij for symmetric S >= 0, from free numbers; pi may be fixed."""
+class WeightedMatrix:
+    """Q_ij = S_ij * w_ij for S >= 0 and weights of a stationary distribution pi, from free numbers; pi may be fixed.
 
-    def __init__(self, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None):
+    root: w_ij = sqrt(pi_j / pi_i), else pi_j.  symmetric: S is, so that the chain is reversible with pi.
+    """
+
+    def __init__(self, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None, root: bool = True, symmetric: bool = True):
         n = len(initial)
+        self.root, self.symmetric = root, symmetric
         self.mask = np.ones((n, n)) if mask is None else mask
         if np.abs(self.mask * initial - initial)[~np.eye(n, dtype=bool)].max(initial=0) > 1e-8:
             raise ValueError("the initial matrix has rates where the mask allows none")
@@ -39,33 +44,33 @@ class ReversibleMatrix:
         pi = stationary_distribution(initial) if pi is None else pi
         if (pi < 1e-8).any():
             raise ValueError("the stationary distribution is degenerate")
-        root = np.sqrt(pi)
-        s = root[:, None] * initial / root[None, :]
-        self.upper = np.triu_indices(n, 1)
-        self.theta = np.concatenate([_softplus_inverse(((s + s.T) / 2)[self.upper]), np.log(pi)])
+        s = initial / self._weights(pi)
+        self.where = np.triu_indices(n, 1) if symmetric else np.nonzero(~np.eye(n, dtype=bool))
+        self.theta = np.concatenate([_softplus_inverse((((s + s.T) / 2) if symmetric else s)[self.where]), np.log(pi)])
+
+    def _weights(self, pi: np.ndarray) -> np.ndarray:
+        return np.sqrt(pi[None, :] / pi[:, None]) if self.root else np.broadcast_to(pi, (len(pi), len(pi)))
 
     def value(self) -> np.ndarray:
-        n, k = len(self.mask), len(self.upper[0])
+        n, k = len(self.mask), len(self.where[0])
         s = np.zeros((n, n))
-        s[self.upper] = _softplus(self.theta[:k])
-        self._s = (s + s.T) * self.mask
+        s[self.where] = _softplus(self.theta[:k])
         e = np.exp(self.theta[k:] - self.theta[k:].max())
         self._pi = e / e.sum()
-        root = np.sqrt(self._pi)
-        self._off = self._s / root[:, None] * root[None, :]
+        self._w = self._weights(self._pi)
+        self._off = (s + s.T if self.symmetric else s) * self.mask * self._w
         return self._off - np.diag(self._off.sum(axis=1))
 
     def gradient(self, g: np.ndarray) -> np.ndarray:
         """From the gradient by Q to that by the free numbers, at the value last made."""
-        k = len(self.upper[0])
+        k = len(self.where[0])
         own = g - np.diag(g)[:, None]  # a rate also lowers its row's diagonal
         np.fill_diagonal(own, 0)
-        root = np.sqrt(self._pi)
-        ds = own / root[:, None] * root[None, :] * self.mask
-        d_theta = (ds + ds.T)[self.upper] * _logistic(self.theta[:k])
+        ds = own * self._w * self.mask
+        d_theta = (ds + ds.T if self.symmetric else ds)[self.where] * _logistic(self.theta[:k])
         flow = own * self._off
-        d_log = 0.5 * (flow.sum(axis=0) - flow.sum(axis=1))
-        return np.concatenate([d_theta, np.zeros(len(root)) if self.fixed else d_log - self._pi * d_log.sum()])
+        d_log = 0.5 * (flow.sum(axis=0) - flow.sum(axis=1)) if self.root else flow.sum(axis=0)
+        return np.concatenate([d_theta, np.zeros(len(self._pi)) if self.fixed else d_log - self._pi * d_log.sum()])
 
 
 class FreeMatrix:
@@ -89,7 +94,13 @@ class FreeMatrix:
 
 
 #: Parameterisations by name.
-MODES: dict[str, Callable] = {"pande_reversible": ReversibleMatrix, "default": FreeMatrix}
+MODES: dict[str, Callable] = {
+    "pande_reversible": WeightedMatrix,
+    "pande": partial(WeightedMatrix, symmetric=False),
+    "stationary_reversible": partial(WeightedMatrix, root=False),
+    "stationary": partial(WeightedMatrix, root=False, symmetric=False),
+    "default": FreeMatrix,
+}
 
 
 def loss_and_gradient(q: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
@@ -111,8 +122,10 @@ def loss_and_gradient(q: np.ndarray, times: np.ndarray, counts: np.ndarray) -> t
     return float(loss), np.real(inverse.T @ inner @ v.T)
 
 
-def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """The best matrix met on the way of Adam's steps, and its loss."""
+def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1, optimizer: str = "adam") -> tuple[np.ndarray, float]:
+    """The best matrix met on the way of Adam's steps (or of plain gradient steps: optimizer sgd), and its loss."""
+    if optimizer not in ("adam", "sgd"):
+        raise ValueError(f"no optimizer {optimizer}")
     used = counts.sum(axis=(1, 2)) > 0
     times, counts = np.asarray(times, float)[used], np.asarray(counts, float)[used]
     model = MODES[mode](initial, mask, pi) if pi is not None else MODES[mode](initial, mask)
@@ -126,6 +139,9 @@ def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.nda
         if loss < best_loss:
             best, best_loss = q, loss
         g = model.gradient(g)
+        if optimizer == "sgd":
+            model.theta = model.theta - rate * g
+            continue
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         model.theta = model.theta - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return best, best_loss

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,29 @@ from strandmill.functions.markov import expm_many, stationary_distribution
 from strandmill.operators.trees import _post_order, children_of
 
 
+def _allowed(states: list[str]) -> Callable[[str], np.ndarray]:
+    """Which states a symbol may stand for: itself, all of them if it is unknown, or those that agree with the known
+    half of a pair."""
+    seen: dict[str, np.ndarray] = {s: np.eye(len(states))[k] for k, s in enumerate(states)}
+    letters = [{s[k] for s in states} for k in range(len(states[0]))]
+
+    def of(symbol: str) -> np.ndarray:
+        if symbol not in seen:
+            known = [(k, c) for k, c in enumerate(symbol) if len(symbol) == len(letters) and c in letters[k]]
+            seen[symbol] = np.array([float(all(s[k] == c for k, c in known)) for s in states])
+        return seen[symbol]
+
+    return of
+
+
 def pruning(edges: pd.DataFrame, seqs: dict, states: list[str], q: np.ndarray, pi: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Log-likelihood of each site of one family by Felsenstein's recursion; unknown states are summed over.
 
-    Nodes other than leaves may have sequences too; those are observed.
+    Nodes other than leaves may have sequences too; those are observed.  A sequence is a string of states or a list of
+    them; of a pair of states, either may be unknown.
     """
     children, root = children_of(edges)
-    at = {s: k for k, s in enumerate(states)}
+    allowed = _allowed(states)
     n = len(rates)
     different, category = np.unique(rates, return_inverse=True)
     scale: np.ndarray = np.zeros(n)
@@ -27,9 +44,7 @@ def pruning(edges: pd.DataFrame, seqs: dict, states: list[str], q: np.ndarray, p
     def observed(node) -> np.ndarray:
         out = np.ones((n, len(states)))
         for site, c in enumerate(seqs.get(node, "")):
-            if c in at:
-                out[site] = 0
-                out[site, at[c]] = 1
+            out[site] = allowed(c)
         return out
 
     below: dict = {}
@@ -72,6 +87,28 @@ def tree_likelihood(edges: DataFrame, msa: DataFrame, states: list[str], q: np.n
     return edges.groupBy("family").cogroup(_own_key(msa).groupBy("msa_family")).applyInPandas(run, f"family {family}, site int, ll double")
 
 
+def pair_likelihood(edges: DataFrame, msa: DataFrame, contacts: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray | None = None) -> DataFrame:
+    """(family, i, j, ll) of pairs of sites in contact under a matrix over pairs of states; a site is in one pair at most."""
+    ends = contacts.select("family", F.col("i").alias("s")).union(contacts.select("family", F.col("j").alias("s")))
+    if not ends.groupBy("family", "s").count().where("count > 1").isEmpty():
+        raise ValueError("a site is in more than one contact")
+    pi = stationary_distribution(q) if pi is None else pi
+    family = edges.schema["family"].dataType.simpleString()
+    paired = _own_key(pair_states(msa, contacts.where("i < j")))
+
+    def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
+        if tree.empty or seqs.empty:
+            return pd.DataFrame({"family": [], "k": [], "ll": []})
+        inner = set(tree["parent"])
+        known = {name: seq.split(",") for name, seq in zip(seqs["seq_name"], seqs["seq"], strict=True) if name not in inner}
+        n = len(next(iter(known.values())))
+        return pd.DataFrame({"family": tree["family"].iloc[0], "k": np.arange(n), "ll": pruning(tree, known, states, q, pi, np.ones(n))})
+
+    ll = edges.groupBy("family").cogroup(paired.groupBy("msa_family")).applyInPandas(run, f"family {family}, k int, ll double")
+    numbered = contacts.where("i < j").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c")).select("family", F.posexplode("c").alias("k", "c"))
+    return ll.join(numbered.withColumnRenamed("family", "f"), (F.col("family") == F.col("f")) & (ll["k"] == numbered["k"])).select("family", "c.i", "c.j", "ll")
+
+
 def pair_states(msa: DataFrame, contacts: DataFrame) -> DataFrame:
     """(family, seq_name, seq): for each family the states at its contacts i < j, as comma-separated pairs in order."""
     by = contacts.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c"))

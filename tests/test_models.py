@@ -63,6 +63,20 @@ def test_tree_likelihood_by_family(spark):
     assert P.evaluate(edges, msa, NT, equal()).first().ll == pytest.approx(sum(one.values()))
 
 
+def test_pairs_of_independent_sites_add_up(spark):
+    edges = spark.createDataFrame(tree_frame())
+    seqs = {"seq1": "AC-", "seq2": "AGT", "seq3": "TCA"}
+    msa = spark.createDataFrame([("f", n, s) for n, s in seqs.items()], "family string, seq_name string, seq string")
+    near = spark.createDataFrame([("f", 0, 2)], "family string, i int, j int")
+    q = L.normalized(np.array([[-3.0, 1, 1, 1], [2, -4, 1, 1], [2, 1, -4, 1], [2, 1, 1, -4]]))
+    both, pi = P.independent_pairs(q)
+    got = H.pair_likelihood(edges, msa, near, [a + b for a in NT for b in NT], both, pi).collect()
+    one = {r.site: r.ll for r in H.tree_likelihood(edges, msa, NT, q).collect()}
+    assert [(r.i, r.j) for r in got] == [(0, 2)] and got[0].ll == pytest.approx(one[0] + one[2])
+    with pytest.raises(ValueError, match="more than one"):
+        H.pair_likelihood(edges, msa, near.union(spark.createDataFrame([("f", 2, 1)], near.schema)), [a + b for a in NT for b in NT], both, pi)
+
+
 def test_parsimony_is_least():
     rng = np.random.default_rng(2)
     for _ in range(10):

@@ -69,7 +69,7 @@ def test_chain_product_of_frames(spark):
     assert states[:2] == ["AA", "AB"]
 
 
-@pytest.mark.parametrize("model", ["pande_reversible", "default"])
+@pytest.mark.parametrize("model", sorted(E.MODES))
 def test_gradient_is_the_difference_quotient(model):
     q, _ = random_reversible(4, 3)
     times, rng = np.array([0.1, 0.7]), np.random.default_rng(0)
@@ -95,6 +95,10 @@ def test_likelihood_recovers_the_matrix():
     start, _ = random_reversible(4, 9)
     found, _ = E.fit(times, counts, start, epochs=600)
     np.testing.assert_allclose(found, q, atol=2e-2)
+    for mode in ("stationary_reversible", "pande", "default"):
+        np.testing.assert_allclose(E.fit(times, counts, start, mode=mode, epochs=600)[0], q, atol=5e-2)
+    slow = [E.fit(times, counts, start, epochs=n, rate=1.0, optimizer="sgd")[1] for n in (1, 50)]
+    assert slow[1] < slow[0]
     fixed, _ = E.fit(times, counts, start, pi=pi, epochs=300)
     np.testing.assert_allclose(L.stationary_distribution(fixed), pi, atol=1e-6)
 
