@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts, toxicity
 from strandmill.llm._shared import shared_folder
+from strandmill.llm.oracles import ORACLE_SQL  # noqa: F401
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
 PIECES = "piece_bpe_32k.model"
@@ -28,7 +29,7 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op3_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
