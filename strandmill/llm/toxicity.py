@@ -30,6 +30,8 @@ LENGTH, STRIDE = 32, 24
 THRESHOLD = 0.7
 _BITS, _DIM, _HIDDEN, _ATTENTION = 15, 12, 8, 8
 _GRAMS = (4, 5)
+#: Words and texts whose runs are worked on at once, to bound memory.
+_WORDS_AT_ONCE, _TEXTS_AT_ONCE = 1 << 15, 64
 _EPOCHS, _BATCH, _RATE = 8, 128, 4e-3
 _WORDS = ALPHANUMERIC.copy()
 _WORDS[0x30:0x3A] = False  # digits are no part of a word here
@@ -45,7 +47,10 @@ class _Texts:
         capital[1:] = (lower[:-1] == 0xC3) & (lower[1:] >= 0x80) & (lower[1:] <= 0x9E)
         lower[capital] += 0x20
         starts, ends, self.first = scan_words(lower, bounds, _WORDS)
-        hashes = rolling_hash(81).words(lower, starts, ends)
+        hashes = np.empty(len(starts), np.uint64)
+        for i, j in chunks(bounds):
+            a, b, at = self.first[i], self.first[j], bounds[i]
+            hashes[a:b] = rolling_hash(81).words(lower[at : bounds[j]], starts[a:b] - at, ends[a:b] - at)
         different, at, self.word = np.unique(hashes, return_index=True, return_inverse=True)
         self.bucket = (different >> np.uint64(64 - _BITS)).astype(np.int64)
         self._grams(lower, starts[at], ends[at])
@@ -77,10 +82,14 @@ class _Texts:
 
     def mean_of_grams(self, table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.gram_count), table.shape[1]), np.float32)
-        some = self.gram_count > 0
-        if some.any():
-            n = self.gram_count[some]
-            out[some] = np.add.reduceat(table[self.gram], np.cumsum(n) - n) / n[:, None]
+        end = np.cumsum(self.gram_count)
+        for at in range(0, len(out), _WORDS_AT_ONCE):
+            n = self.gram_count[at : at + _WORDS_AT_ONCE]
+            grams = self.gram[end[at] - n[0] : end[at + len(n) - 1]]
+            some = np.flatnonzero(n)
+            if len(some):
+                n = n[some]
+                out[at + some] = np.add.reduceat(table[grams], np.cumsum(n) - n) / n[:, None]
         return out
 
     def places(self, windows: np.ndarray) -> np.ndarray:
@@ -225,16 +234,17 @@ class _Subset:
 
 def _log_odds(texts: _Texts, labels: np.ndarray, buckets: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Per bucket the smoothed log-odds of label 1 of the texts that have it."""
-    text = np.repeat(np.arange(len(labels)), np.diff(texts.first))
-    pair = np.unique(text * len(texts.bucket) + texts.word) if len(text) else np.zeros(0, np.int64)
-    text, word = pair // max(len(texts.bucket), 1), pair % max(len(texts.bucket), 1)
+    yes, no = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
     first = np.cumsum(owner) - owner
-    seen = buckets[ragged_range(first[word], owner[word])]
-    where = np.repeat(text, owner[word])
-    both = np.unique(where * np.int64(1 << _BITS) + seen)
-    text, seen = both >> _BITS, both & ((1 << _BITS) - 1)
-    yes = np.bincount(seen, labels[text], 1 << _BITS)
-    no = np.bincount(seen, 1 - labels[text], 1 << _BITS)
+    for i in range(0, len(labels), _TEXTS_AT_ONCE):
+        bounds = texts.first[i : i + _TEXTS_AT_ONCE + 1]
+        word = texts.word[bounds[0] : bounds[-1]]
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        seen = buckets[ragged_range(first[word], owner[word])]
+        both = np.unique((np.repeat(text, owner[word]) << _BITS) + seen)
+        label, seen = labels[i + (both >> _BITS)], both & ((1 << _BITS) - 1)
+        yes += np.bincount(seen, label, 1 << _BITS)
+        no += np.bincount(seen, 1 - label, 1 << _BITS)
     return np.log((yes + 1) / (no + 1)) - np.log((labels.sum() + 2) / ((1 - labels).sum() + 2))
 
 
