@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts, toxicity
-from strandmill.llm._shared import shared_folder
+from strandmill.llm._shared import shared_folder, small_batches
 from strandmill.llm.oracles import ORACLE_SQL  # noqa: F401
 
 #: A model file of a public tokenizer, read as a unigram vocabulary.
@@ -20,6 +20,7 @@ PII_KEY = "test tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

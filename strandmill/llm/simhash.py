@@ -1,12 +1,14 @@
 """SimHash fingerprints of whole texts and near-duplicate components, found with pivot distance tables.
 
-A fingerprint has 64 bits; two texts link if their fingerprints differ in at most `radius` bits.  The search
-never compares all fingerprints.  By the triangle inequality, two fingerprints within `radius` of each other
-have distances to any reference fingerprint (pivot) that differ by `radius` at most, and, over a set of bits
-in which they agree, distances that are equal.  The bits are cut into radius + 3 blocks, so linked fingerprints
-agree in at least three whole blocks: each choice of three blocks is a view, in which the distances to many
-pivots, as one key, bring them together.  Inside such a bucket, pairs are discarded by their largest
-difference of whole-fingerprint pivot distances, and survivors are verified bit by bit.
+Two texts link if their fingerprints differ in at most `radius` bits.  The search never compares all fingerprints.  By
+the triangle inequality, two fingerprints within `radius` of each other have distances to any reference fingerprint
+(pivot) that differ by `radius` at most, and, over a set of bits in which they agree, distances that are equal.  A view
+is such a set of bits: its distances to many pivots, as one key, bring together what agrees there.  In a bucket, pairs
+are discarded by their largest difference of whole-fingerprint pivot distances, and survivors are verified bit by bit.
+
+For 64 bits and a small radius, the bits are cut into radius + 3 blocks; linked fingerprints agree in three blocks at
+least, so views of any three blocks lose no pair.  For texts that share a good part of their shingles, fingerprints are
+longer, views are random, and their size and number are worked out from the number of texts for a wanted recall.
 
 Nulls and empty texts have fingerprint 0, which links like any other.  Rows are never merged: repeated rows give
 repeated results.  A null id takes part, but is never a component's id unless all ids in it are null.
@@ -15,106 +17,163 @@ repeated results.  A null id takes part, but is never a component's id unless al
 from __future__ import annotations
 
 import itertools
-import random
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._bytes import LOWER, chunks, text_array, text_bytes
+from strandmill.llm._bytes import LOWER, chunks, mix, text_array, text_bytes
 from strandmill.llm._shared import connected_components, paired_blocks, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 3
 PIVOTS = 16
 #: Largest number of fingerprints that one task compares with each other at once.
 BUCKET = 4096
+#: Buckets up to this size are compared all at once, larger ones one by one.
+_SMALL = 16
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _pivots() -> list[int]:
-    rng = random.Random(64)
-    return [rng.getrandbits(64) for _ in range(PIVOTS)]
-
-
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one lower-cased UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included, of one lower-cased UTF-8 text; the whole text if it has fewer words."""
     words = text.split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
-        starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(bits), 1 << 16):
-        ones += bits[at : at + (1 << 16)].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, bits: int = BITS) -> bytes:
+    """The fingerprint of one lower-cased UTF-8 text, little-endian: a bit is 1 if it is in over half of the hashes.
+
+    Bits beyond the first 64 are those of the hashes mixed with other constants.
+    """
+    hashes = shingle_hashes(text, shingle)
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        wide = np.stack([part if k == 0 else mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(bits // 64)], axis=1)
+        ones += np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(id, fp): one row per row of docs; fp is binary."""
     kind = docs.schema[id_col].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(1))
             buf, bounds = text_bytes(texts)
-            found = np.zeros(len(texts), np.uint64)
+            found = []
             for i, j in chunks(bounds):
                 lower = LOWER[buf[bounds[i] : bounds[j]]].tobytes()
                 at = bounds[i : j + 1] - bounds[i]
-                found[i:j] = [fingerprint(lower[a:b], shingle) for a, b in itertools.pairwise(at.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+                found += [fingerprint(lower[a:b], shingle, bits) for a, b in itertools.pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "fp"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind.simpleString()}, fp binary")
+
+
+def exact_views(bits: int = BITS, radius: int = RADIUS) -> list[np.ndarray]:
+    """Sets of bits in one of which any two fingerprints within the radius agree."""
+    blocks = np.array_split(np.arange(bits), radius + 3)
+    return [np.concatenate(chosen) for chosen in itertools.combinations(blocks, 3)]
+
+
+def sampled_views(n: int, bits: int, radius: int, recall: float) -> list[np.ndarray]:
+    """Random sets of bits: as many bits as keep buckets of n unlike fingerprints small, and as many sets as bring a
+    pair at just the radius together with probability recall."""
+    size = max(12, math.ceil(math.log2(max(n, 2))) - 2)
+    one = (1 - radius / bits) ** size
+    rng = np.random.default_rng(bits)
+    return [rng.permutation(bits)[:size] for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one)))]
+
+
+def _as_words(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data else np.zeros((0, 1), np.uint64)
+
+
+def _pivots(bits: int) -> np.ndarray:
+    """Reference fingerprints, as rows of 64-bit words."""
+    return np.random.default_rng(64).integers(0, 2**64, (PIVOTS, bits // 64), dtype=np.uint64)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind.simpleString()}, fp long")
 
+def _distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
 
-def views(radius: int = RADIUS) -> list[int]:
-    """Masks of the bit sets in one of which any two linked fingerprints agree."""
-    blocks = radius + 3
-    cuts = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(cuts[k], cuts[k + 1])) for k in range(blocks)]
-    return [sum(chosen) for chosen in itertools.combinations(masks, 3)]
 
+def _place(views: list[np.ndarray], bits: int):
+    pivots = np.unpackbits(_pivots(bits).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 
-def _forest(fps: np.ndarray, coordinates: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                fps = _as_words(batch.column(1).to_pylist())
+                own = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                keys = []
+                for k, view in enumerate(views):
+                    p = pivots[:, view]
+                    near = own[:, view].sum(axis=1, keepdims=True) + p.sum(axis=1) - 2 * own[:, view] @ p.T
+                    key = np.full(len(fps), k, np.uint64)
+                    for d in near.astype(np.uint64).T:
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + d)
+                    keys.append(key)
+                again = pa.array(np.tile(np.arange(len(fps)), len(views)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(c.take(again) for c in batch.columns)], ["key", "rep", "fp"])
+
+    return run
+
+
+def _forest(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever is connected in one bucket: at most one per fingerprint, not all pairs."""
-    out, left = [], np.arange(len(fps))
+    out, left = [], np.arange(len(rep))
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             f = front.pop()
-            near = left[np.abs(coordinates[left] - coordinates[f]).max(axis=1) <= radius]
-            near = near[np.bitwise_count(fps[near] ^ fps[f]) <= radius]
-            if len(near):
-                out.append((np.full(len(near), fps[f]), fps[near]))
-                left = np.setdiff1d(left, near, assume_unique=True)
+            maybe = np.flatnonzero(np.abs(coordinates[left] - coordinates[f]).max(axis=1) <= radius)
+            hit = maybe[np.bitwise_count(fps[left[maybe]] ^ fps[f]).sum(axis=1) <= radius]
+            if len(hit):
+                near = left[hit]
+                out.append((np.full(len(near), rep[f]), rep[near]))
+                left = np.delete(left, hit)
                 front.extend(near.tolist())
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` that connect exactly what lies within `radius` bits."""
-    pivots = _pivots()
-    seen = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(_signed(m)).alias("mask")) for v, m in enumerate(views(radius))]))
-    table = fps.select("fp").where("fp is not null").distinct().select("fp", seen.alias("v")).select("fp", "v.view", "v.mask")
-    near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.col("mask"))) for p in pivots]
-    table = table.select(F.xxhash64("view", *near).alias("key"), "fp")
-    table = paired_blocks(table, "key", F.col("fp"), bucket)
+def _small_buckets(rep: np.ndarray, fps: np.ndarray, end: np.ndarray, longest: int, use: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets of up to _SMALL rows, a bucket's rows ending at `end`: all buckets at once."""
+    row = np.flatnonzero(use)
+    coordinates = _distances(fps, pivots)
+    a, b = [rep[:0]], [rep[:0]]
+    for step in range(1, longest):
+        row = row[row + step < end[row]]
+        near = row[np.abs(coordinates[row] - coordinates[row + step]).max(axis=1, initial=0) <= radius]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + step]).sum(axis=1) <= radius]
+        a.append(rep[near])
+        b.append(rep[near + step])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between rows (rep, fp) of distinct fingerprints that connect what lies within `radius` bits and
+    agrees in a view; rep is a whole number that names the fingerprint."""
+    views = exact_views(bits, radius) if views is None else views
+    table = nodes.select("rep", "fp").mapInArrow(_place(views, bits), "key long, rep long, fp binary")
+    table = paired_blocks(table, "key", F.col("rep"), bucket)
     order = ["key", "lo", "hi"]
-    table = table.select(*order, "fp").repartition(*order).sortWithinPartitions(*order)
-    at = np.array(pivots, np.uint64)
+    table = table.select(*order, "rep", "fp").repartition(*order).sortWithinPartitions(*order)
+    pivots = _pivots(bits)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -122,52 +181,81 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
             if batch is None and kept is None:
                 return
             if batch is None:
-                rows, kept = kept, None
+                (rows, fps), kept = kept, None
             else:
                 rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-                rows = rows if kept is None else np.concatenate([kept, rows], axis=1)
+                fps = _as_words(batch.column(4).to_pylist())
+                if kept is not None:
+                    rows, fps = np.concatenate([kept[0], rows], axis=1), np.concatenate([kept[1], fps])
                 kept = None
                 if not rows.shape[1]:
                     continue
-            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-            first = np.concatenate([[0], new])
+            first = np.concatenate([[0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1])
             if batch is not None:  # the last bucket may go on in the next batch
-                kept, rows, first = rows[:, first[-1] :], rows[:, : first[-1]], first[:-1]
+                end = first[-1]
+                kept, rows, fps, first = (rows[:, end:], fps[end:]), rows[:, :end], fps[:end], first[:-1]
                 if not rows.shape[1]:
                     continue
-            fp = rows[3].view(np.uint64)
-            size = np.diff(np.append(first, len(fp)))
-            out = []
-            two = first[size == 2]
-            distance = lambda x: np.bitwise_count(x[:, None] ^ at).astype(np.int16)
-            two = two[np.abs(distance(fp[two]) - distance(fp[two + 1])).max(axis=1, initial=0) <= radius]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            out.append((fp[two], fp[two + 1]))
-            for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                out.extend(_forest(fp[s : s + n], distance(fp[s : s + n]), radius))
-            a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
+            rep = rows[3]
+            size = np.diff(np.append(first, len(rep)))
+            out = [_small_buckets(rep, fps, np.repeat(first + size, size), int(size[size <= _SMALL].max(initial=0)), np.repeat(size, size) <= _SMALL, pivots, radius)]
+            for s, n in zip(first[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
+                out.extend(_forest(rep[s : s + n], fps[s : s + n], _distances(fps[s : s + n], pivots), radius))
+            a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return table.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component): component is the smallest id that links lead to, its own included."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    by_fp = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = connected_components(links(by_fp, radius)).withColumnRenamed("node", "fp").withColumnRenamed("component", "root")
-    labelled = by_fp.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _components(fps: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, fp, component) of rows (id, fp), given find(nodes), the links between distinct fingerprints."""
+    # a fingerprint is named by a number of its own: equal fingerprints meet in one partition
+    by_fp = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
+    nodes = connected_components(find(by_fp)).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
+    labelled = by_fp.join(nodes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    label = labelled.join(least, "root").select("fp", "component")
-    return fps.join(label, "fp").select("id", "fp", "component")
+    return fps.join(labelled.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(id, fp, component) by 64-bit fingerprints within radius, none missed.
+
+    fp is the fingerprint as 16 hexadecimal digits; component is the smallest id that links lead to, its own included.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    found = _components(fps, lambda nodes: links(nodes, radius=radius, bucket=bucket))
+    return found.withColumn("fp", _hex(F.col("fp")))
+
+
+def _hex(fp: Column) -> Column:
+    """Little-endian bytes as one number in hexadecimal digits."""
+    pairs = F.transform(F.sequence(F.lit(BITS // 8), F.lit(1), F.lit(-1)), lambda k: F.hex(fp.substr(k, F.lit(1))))
+    return F.lower(F.array_join(pairs, ""))
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity of shingles differ on average, and a little more
+    (one standard deviation), so that more than half of the pairs at just the similarity are within."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * angle + math.sqrt(bits * angle * (1 - angle)))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 256, recall: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(id, fp, component) by longer fingerprints, for texts that share shingles to a similarity or more.
+
+    recall holds for pairs at just the radius; pairs at the similarity are found with 0.9 or more, at 0.9 nearly always.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, shingle, bits), "fingerprints")
+    radius = radius_for(similarity, bits)
+    return _components(fps, lambda nodes: links(nodes, sampled_views(nodes.count(), bits, radius, recall), bits, radius, bucket))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its component.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of its component of similar_texts().
 
     Rows that share an id are one document and stay or go together; rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    found = similar_texts(docs, id_col, text_col, shingle, similarity)
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
