@@ -25,7 +25,7 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -84,28 +84,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: The base of all polynomials and its inverse modulo 2**64: fixed values, any odd number does.
+_BASE = 0x5851F42D4C957F2D
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each; all hashes of a process share them."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
 class RollingHash:
     """A seeded polynomial hash modulo 2**64 of runs of bytes and of runs of word hashes."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self._byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self._base = int(rng.integers(1, 2**61)) * 8 + 5
-        self._inverse = pow(self._base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, CHUNK_BYTES + 4096)
-            with np.errstate(over="ignore"):
-                for name, base in (("_up", self._base), ("_down", self._inverse)):
-                    steps = np.full(size, base, np.uint64)
-                    steps[0] = 1
-                    setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self._up, self._down
 
     def _runs(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self._powers(len(terms) + 1)
+        up, down = _powers(len(terms) + 1)
         total = np.zeros(len(terms) + 1, np.uint64)
         np.cumsum(terms * up[: len(terms)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts])
