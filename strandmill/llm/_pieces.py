@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import sentencepiece
@@ -86,13 +87,17 @@ class Remembered:
         if len(self._number) > self._limit:
             self._clear()
         number = self._number
-        new = [k for k in dict.fromkeys(keys) if k not in number]
-        if new:
+        found = np.fromiter(map(number.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            unknown = [keys[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            found[missing] = np.fromiter(map(number.__getitem__, unknown), np.int64, len(unknown))
             self._found.append(self._encode(new))
             self._joined = None
         if self._joined is None:
             if len(self._found) > 1:
                 self._found = [tuple(np.concatenate(x) for x in zip(*self._found, strict=True))]
             self._joined = self._found[0] if self._found else ()
-        return np.fromiter(map(number.__getitem__, keys), np.int64, len(keys)), self._joined
+        return found, self._joined

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import chunks, ragged_range, text_array, text_bytes
-from strandmill.llm._pieces import Remembered
+from strandmill.llm._pieces import REMEMBERED, Remembered
 
 END_ID = 2
 SHARD_TOKENS = 1_000_000
@@ -62,21 +62,23 @@ class ByteLevelEncoder:
         self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self._size[i] = len(piece)  # one character stands for one byte
-        self._later = Remembered(lambda keys: self._encode([" " + k for k in keys]))
-        self._first = Remembered(lambda keys: self._each(keys))
+        self._later, self._first = Remembered(self._later_ids, 2 * REMEMBERED), Remembered(self._each)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
         return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of space-led segments; those that end in no white space are encoded as one text and cut by bytes."""
-        joined = "".join(texts)
-        safe = not any(t[-1].isspace() for t in texts) and "<|" not in joined
-        if not safe:
-            return self._each(texts)
+    def _later_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, given without their space: encoded as one text and cut by the pieces' bytes, but for texts
+        with segments that end in white space or may hold a special token."""
+        joined = " " + " ".join(keys)
+        if "<|" in joined or any(k[-1:].isspace() or not k for k in keys):
+            return self._each([" " + k for k in keys])
         ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum([len(t.encode()) for t in texts])
+        length = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
+        data = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        size = 1 + (data > 0x7F).astype(np.int8) + (data > 0x7FF) + (data > 0xFFFF)  # bytes of each character in UTF-8
+        ends = np.cumsum(size, dtype=np.int64)[np.cumsum(length) - 1]
         at = np.searchsorted(np.cumsum(self._size[ids]), ends) + 1
         return ids, np.diff(at, prepend=0)
 
@@ -107,6 +109,16 @@ class ByteLevelEncoder:
         return ids, np.bincount(np.repeat(np.arange(len(texts)), sizes), per, len(texts)).astype(np.int64)
 
 
+_ENCODERS: dict[str, ByteLevelEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> ByteLevelEncoder:
+    """The worker process's encoder, which later tasks find warm."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS[tokenizer_json] = ByteLevelEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, symbols of each document, rules (two symbols each) and the first nonterminal."""
     symbols = ids.astype(np.uint32)
@@ -233,7 +245,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = ByteLevelEncoder(shared.value), TaskContext.get().partitionId()
+        encode, part = _encoder(shared.value), TaskContext.get().partitionId()
         ids, lengths, docs_, null, size, shard = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
