@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, as texts are long: bounds what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get() if found.isDefined() else None
@@ -46,6 +55,49 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
+#: Bytes of rows that a task packs at once.
+PACKED_BYTES = 8 << 20
+
+
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """(block, data): the rows of each task that share a number `block`, together and compressed.
+
+    What then moves to where a block's rows meet is a fraction of the texts; unpacked() gives the rows back.
+    """
+    columns = [c for c in rows.columns if c != "block"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.nbytes
+            if held and (batch is None or size >= PACKED_BYTES):
+                table = pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+                number = table.column("block").to_numpy()
+                order = np.argsort(number, kind="stable")
+                table = table.select(columns).take(pa.array(order))
+                at = np.concatenate([[0], np.flatnonzero(np.diff(number[order])) + 1, [len(order)]]).tolist() if len(order) else [0]
+                data = [_packed(table.slice(a, b - a)) for a, b in itertools.pairwise(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(number[order][at[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["block", "data"])
+
+    return rows.mapInArrow(pack, "block int, data binary")
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(cells: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in cells.column("data")]).combine_chunks()
+
+
 def paired_blocks(df: DataFrame, bucket: str, member: Column, limit: int) -> DataFrame:
     """Splits buckets of more than `limit` rows for a comparison of all pairs in a bucket.
 

@@ -6,8 +6,8 @@ counts.  All tables stay distributed.  A block of documents sends each different
 shard; in each shard the different runs are joined with the counts and context totals of every order, and the
 log-probabilities go back to the blocks, which sum them per document.  Perplexity is per byte.
 
-A document is accepted if its perplexity is at most a quantile of the held-out trusted documents of its language
-(of all of them, where its language has none).  With no trusted document at all, every byte has the same probability
+A document is accepted if its perplexity is at most a margin times a quantile of the held-out trusted documents of its
+language (of all of them, where its language has none).  With no trusted document at all, every byte has the same probability
 and nothing but documents without text is rejected.
 
 Null and empty texts have null perplexity and are rejected.  A null language is a language of its own.  Repeated rows
@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import chunks, text_array, text_bytes
-from strandmill.llm._shared import block_of, number_of_blocks, written
+from strandmill.llm._shared import block_of, number_of_blocks, packed_blocks, unpacked, written
 
 ORDER = 5
-QUANTILE = 0.999
+#: A document passes up to MARGIN times this quantile: some trusted documents are not what their label says, and a
+#: high quantile would take its value from those.
+QUANTILE, MARGIN = 0.9, 1.5
 HELD_OUT = 5
-BLOCK_ROWS = 4096
+#: Least discount of a run seen once; twice and three times that for runs seen twice and more.
+LEAST_DISCOUNT = 0.1
+BLOCK_ROWS = 2048
 _CHUNK = 1 << 20
 _SLOT_BITS = 20
 _CELLS = "bucket int, block int, data binary"
@@ -78,7 +82,8 @@ def _block_runs(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training(order: int):
-    def run(rows: pa.Table, trusted: pa.Table) -> pa.Table:
+    def run(cells: pa.Table, trusted: pa.Table) -> pa.Table:
+        rows = unpacked(cells) if trusted.num_rows and cells.num_rows else pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         own = rows.filter(pc.is_in(rows.column("id"), trusted.column("id").combine_chunks())) if trusted.num_rows else rows.slice(0, 0)
         codes, counts = _block_runs(text_array(own.column("text")), order)
         return pa.table({"gram": codes.view(np.int64), "n": counts})
@@ -87,13 +92,13 @@ def _training(order: int):
 
 
 def _asked(order: int, buckets: int):
-    def run(rows: pa.Table) -> pa.Table:
-        codes, _ = _block_runs(text_array(rows.column("text")), order)
+    def run(cells: pa.Table) -> pa.Table:
+        codes, _ = _block_runs(text_array(unpacked(cells).column("text")), order)
         bucket = _bucket(codes, buckets)
         by = np.argsort(bucket, kind="stable")
         codes, bucket = codes[by], bucket[by]
         at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
-        block = rows.column("block")[0].as_py()
+        block = cells.column("block")[0].as_py()
         return pa.table(
             {
                 "bucket": pa.array([int(bucket[a]) for a in at[:-1]], pa.int32()),
@@ -129,7 +134,8 @@ def _answered(cells: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _scored(order: int, carried: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(cells: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = unpacked(cells)
         codes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), "<u8") for x in answers.column("codes"))])
         logs = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), "<f4") for x in answers.column("logs"))])
         by = np.argsort(codes)
@@ -171,7 +177,8 @@ def _discounts(levels: dict[int, DataFrame]) -> dict[int, tuple[float, float, fl
             continue
         y = n1 / (n1 + 2 * n2)
         raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-        out[row.k] = tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(raw, 1))
+        # where few runs decide, the estimates can leave their range; something must stay for runs not seen
+        out[row.k] = tuple(min(max(d, LEAST_DISCOUNT * k), float(k)) for k, d in enumerate(raw, 1))
     return out
 
 
@@ -213,7 +220,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     blocks = number_of_blocks(docs, block_rows)
     more = [F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *more)
-    texts = rows.withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
+    texts = packed_blocks(rows.withColumn("block", block_of(F.col("id"), blocks))).groupBy("block")
     train = trusted.where(~_is_held_out(held_out)).distinct().withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
     counts = texts.cogroup(train).applyInArrow(_training(order), "gram long, n long")
     counts = written(counts.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
@@ -230,7 +237,7 @@ def _is_held_out(held_out: int) -> Column:
     return F.crc32(F.col("id").cast("string")) % held_out == 0 if held_out else F.lit(False)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, held_out: int = HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, held_out: int = HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang, n_bytes, perplexity, threshold, accepted, carried0, ...): one row per row of docs.
 
     Thresholds are broadcast: one row for each language, of which there are some thousands at most.
@@ -242,7 +249,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     by_lang = sample.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
     overall = sample.agg(cut.alias("any")).withColumn("one", F.lit(1))
     out = scored.withColumn("one", F.lit(1)).join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall), "one")
-    out = out.withColumn("threshold", F.coalesce("own", "any"))
+    out = out.withColumn("threshold", F.coalesce("own", "any") * margin)
     accepted = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("id", "lang", "n_bytes", "perplexity", "threshold", accepted.alias("accepted"), *[f"carried{k}" for k in range(len(carry))])
 

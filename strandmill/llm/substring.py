@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import BLANK_SEPARATED, chunks, gram_starts, rolling_hash, scan_words, text_array, text_bytes
-from strandmill.llm._shared import block_of, number_of_blocks
+from strandmill.llm._shared import block_of, number_of_blocks, packed_blocks, unpacked
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -95,8 +95,8 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], buckets: int):
     length = window - period + 1
     covered = np.isin(np.arange(period), cover)
 
-    def run(rows: pa.Table) -> pa.Table:
-        block = _Block(rows, (41,))
+    def run(cells: pa.Table) -> pa.Table:
+        block = _Block(unpacked(cells), (41,))
         at = gram_starts(block.first, length)
         text = np.searchsorted(block.first, at, "right") - 1
         at = at[covered[(at - block.first[text]) % period]]
@@ -109,7 +109,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], buckets: int):
         single[:-1] &= new[1:]
         entries = np.empty(int(new.sum()), _ANCHOR)
         entries["key"], entries["at"] = key[new], at[new]
-        return _cells(rows.column("block")[0].as_py(), entries["key"], entries, at[~single], buckets)
+        return _cells(cells.column("block")[0].as_py(), entries["key"], entries, at[~single], buckets)
 
     return run
 
@@ -127,10 +127,8 @@ def _repeated(cells: pa.Table) -> pa.Table:
 
 
 def _windows(window: int, period: int, buckets: int):
-    def run(rows: pa.Table, flags: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _cells(0, np.zeros(0, np.uint64), np.zeros(0, _WINDOW), np.zeros(0), buckets)
-        block = _Block(rows, (42, 43))
+    def run(cells: pa.Table, flags: pa.Table) -> pa.Table:
+        block = _Block(unpacked(cells), (42, 43))
         anchored = np.zeros(block.first[-1] + 1, np.int32)
         anchored[_places(flags) + 1] = 1
         np.cumsum(anchored, out=anchored)
@@ -144,7 +142,7 @@ def _windows(window: int, period: int, buckets: int):
         order, first = _by_words(entries, start)
         entries, start = entries[order], start[order]
         later = (entries["id"] > entries["id"][first]) | (start > start[first])
-        return _cells(rows.column("block")[0].as_py(), entries["key"][~later], entries[~later], entries["at"][later], buckets)
+        return _cells(cells.column("block")[0].as_py(), entries["key"][~later], entries[~later], entries["at"][later], buckets)
 
     return run
 
@@ -170,8 +168,8 @@ def _later(cells: pa.Table) -> pa.Table:
 
 
 def _keep(window: int, with_text: bool):
-    def run(rows: pa.Table, flags: pa.Table) -> pa.Table:
-        block = _Block(rows)
+    def run(cells: pa.Table, flags: pa.Table) -> pa.Table:
+        block = _Block(unpacked(cells))
         edge = np.zeros(block.first[-1] + 1, np.int32)
         places = np.unique(_places(flags)).astype(np.int64)
         np.add.at(edge, places, 1)
@@ -200,8 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("cover must be a difference cover modulo a period of at most the window")
     blocks = number_of_blocks(docs, block_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("block", block_of(F.col("id"), blocks))
-    texts = rows.groupBy("block")
+    texts = packed_blocks(rows.withColumn("block", block_of(F.col("id"), blocks))).groupBy("block")
     anchors = texts.applyInArrow(_anchors(window, period, cover, blocks), _CELLS)
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, _FLAGS)
     windows = texts.cogroup(repeated.groupBy("block")).applyInArrow(_windows(window, period, blocks), _CELLS)
