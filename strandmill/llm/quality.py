@@ -6,9 +6,12 @@ counts.  All tables stay distributed.  A block of documents sends each different
 shard; in each shard the different runs are joined with the counts and context totals of every order, and the
 log-probabilities go back to the blocks, which sum them per document.  Perplexity is per byte.
 
-A document is accepted if its perplexity is at most a margin times a quantile of the held-out trusted documents of its
-language (of all of them, where its language has none).  With no trusted document at all, every byte has the same probability
-and nothing but documents without text is rejected.
+A document is accepted if its log-perplexity exceeds the median of its language's held-out trusted documents by at
+most an allowance.  Means over few bytes vary more, so excesses are taken times the square root of the bytes (which
+counts ever less beyond FULL_BYTES, as documents also differ as wholes), and the allowance is a margin times a quantile of
+those excesses.  A language with under LEAST_OWN held-out documents takes the quantile of all languages, one with none
+also the median of all.  With no trusted document at all, every byte has the same probability and nothing but documents
+without text is rejected.
 
 Null and empty texts have null perplexity and are rejected.  A null language is a language of its own.  Repeated rows
 each get a row; an id is trusted if any of its labels says so.
@@ -30,7 +33,10 @@ from strandmill.llm._shared import block_of, number_of_blocks, packed_blocks, un
 ORDER = 5
 #: A document passes up to MARGIN times this quantile: some trusted documents are not what their label says, and a
 #: high quantile would take its value from those.
-QUANTILE, MARGIN = 0.9, 1.5
+QUANTILE, MARGIN = 0.9, 4.0
+FULL_BYTES = 4096
+#: Fewer excesses than LEAST_OWN do not give a quantile of their own; LEAST_SPREAD is the least value of a quantile.
+LEAST_OWN, LEAST_SPREAD = 20, 0.5
 HELD_OUT = 5
 #: Least discount of a run seen once; twice and three times that for runs seen twice and more.
 LEAST_DISCOUNT = 0.1
@@ -244,16 +250,33 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     """
     scored = perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out, carry=carry)
     calibrating = (trusted.where(_is_held_out(held_out)) if held_out else trusted).distinct()
-    sample = scored.select("id", "lang", "perplexity").join(calibrating, "id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = sample.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
-    overall = sample.agg(cut.alias("any")).withColumn("one", F.lit(1))
-    out = scored.withColumn("one", F.lit(1)).join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall), "one")
-    out = out.withColumn("threshold", F.coalesce("own", "any") * margin)
+    sample = scored.select("id", "lang", "n_bytes", "perplexity").join(calibrating, "id", "left_semi").where("perplexity is not null")
+    cuts = _cuts(written(sample, "held-out"), quantile)
+    same = F.col("lang").eqNullSafe(F.col("of"))
+    out = scored.join(F.broadcast(cuts.where("not every").drop("every")), same, "left").withColumn("one", F.lit(1))
+    overall = cuts.where("every").select(F.col("centre").alias("any"), F.col("spread").alias("any_spread"), F.lit(1).alias("one"))
+    out = out.join(F.broadcast(overall), "one", "left")
+    spread = F.greatest(F.when(F.col("n") >= LEAST_OWN, F.col("spread")).otherwise(F.col("any_spread")), F.lit(LEAST_SPREAD))
+    out = out.withColumn("threshold", F.exp(F.coalesce("centre", "any") + margin * spread / _weight()))
     accepted = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("id", "lang", "n_bytes", "perplexity", "threshold", accepted.alias("accepted"), *[f"carried{k}" for k in range(len(carry))])
 
 
+def _weight() -> Column:
+    n = F.greatest(F.col("n_bytes"), F.lit(1)).cast("double")  # texts without bytes are rejected all the same
+    return F.sqrt(n * FULL_BYTES / (n + FULL_BYTES))
+
+
+def _cuts(sample: DataFrame, quantile: float) -> DataFrame:
+    """(every, of, n, centre, spread): medians and quantiles of excesses, a row for each language and one for all."""
+    log = F.log("perplexity")
+    by_lang = sample.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
+    excess = sample.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("of"))).withColumn("z", (log - F.col("middle")) * _weight())
+    measures = F.count("*").alias("n"), F.percentile_approx(log, 0.5, 10_000).alias("centre"), F.percentile_approx("z", quantile, 10_000).alias("spread")
+    own = excess.groupBy("of").agg(*measures).select(F.lit(False).alias("every"), "of", "n", "centre", "spread")
+    return own.union(excess.agg(*measures).select(F.lit(True), F.lit(None), "n", "centre", "spread"))
+
+
 def keep_accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier accepts."""
     found = classify(docs, trusted, id_col, text_col, lang_col, quantile, carry=tuple(docs.columns)).where("accepted")

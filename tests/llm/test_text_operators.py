@@ -400,3 +400,18 @@ def test_classifier_keeps_prose_and_drops_noise(spark):
     kept = quality.keep_accepted(frame, trusted)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == frame.columns and len(ids & set(range(120))) >= 115 and not ids & set(range(120, 132))
+
+
+def test_allowance_shrinks_with_length_and_languages_fall_back(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "in", "ed", "es"], rng.integers(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(int(n))), "en") for k, n in enumerate(rng.integers(3, 200, 150))]
+    frame = spark.createDataFrame([*rows, (900, rows[0][1], "xx"), (901, rows[0][1], None), (902, "", "en"), (903, None, None)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(150)], "id long")
+    got = {r.id: r for r in quality.classify(frame, trusted).collect()}
+    assert len(got) == 154 and not got[902].accepted and not got[903].accepted
+    own = sorted((got[k].n_bytes, -got[k].threshold) for k, _, _ in rows)
+    assert own == sorted(own, key=lambda x: x[1])
+    for k in (900, 901):  # one held-out language, so the values of all are those of en
+        assert got[k].threshold == pytest.approx(got[0].threshold)
+    assert sum(got[k].accepted for k, _, _ in rows) >= 147
