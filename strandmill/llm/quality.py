@@ -248,10 +248,11 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
     Thresholds are broadcast: one row for each language, of which there are some thousands at most.
     """
-    scored = perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out, carry=carry)
+    # written, as the thresholds and the result both read it
+    scored = written(perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out, carry=carry), "perplexities")
     calibrating = (trusted.where(_is_held_out(held_out)) if held_out else trusted).distinct()
     sample = scored.select("id", "lang", "n_bytes", "perplexity").join(calibrating, "id", "left_semi").where("perplexity is not null")
-    cuts = _cuts(written(sample, "held-out"), quantile)
+    cuts = _cuts(sample, quantile)
     same = F.col("lang").eqNullSafe(F.col("of"))
     out = scored.join(F.broadcast(cuts.where("not every").drop("every")), same, "left").withColumn("one", F.lit(1))
     overall = cuts.where("every").select(F.col("centre").alias("any"), F.col("spread").alias("any_spread"), F.lit(1).alias("one"))
