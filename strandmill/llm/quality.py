@@ -24,6 +24,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _asked(order: int, buckets: int):
             {
                 "bucket": pa.array([int(bucket[a]) for a in at[:-1]], pa.int32()),
                 "block": pa.array([block] * (len(at) - 1), pa.int32()),
-                "data": pa.array([codes[a:b].tobytes() for a, b in itertools.pairwise(at)], pa.binary()),
+                "data": pa.array([_shrunk(codes[a:b]) for a, b in itertools.pairwise(at)], pa.binary()),
             }
         )
 
@@ -120,8 +121,19 @@ def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _shrunk(codes: np.ndarray) -> bytes:
+    """Ascending numbers, as their differences byte by byte: the upper bytes of those are zero, and compress."""
+    steps = np.diff(codes, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _grown(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _different(cells: pa.Table) -> pa.Table:
-    codes = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in cells.column("data")]))
+    codes = np.unique(np.concatenate([_grown(x.as_py()) for x in cells.column("data")]))
     return pa.table({"gram": codes.view(np.int64), "bucket": pa.array(np.full(len(codes), cells.column("bucket")[0].as_py(), np.int32))})
 
 
@@ -129,7 +141,7 @@ def _answered(cells: pa.Table, known: pa.Table) -> pa.Table:
     """The log-probabilities of each cell's runs, in their order."""
     order = np.argsort(known.column("gram").to_numpy())
     codes, logs = known.column("gram").to_numpy()[order].view(np.uint64), known.column("log").to_numpy()[order].astype("<f4")
-    found = [np.frombuffer(x.as_py(), "<u8") for x in cells.column("data")]
+    found = [_grown(x.as_py()) for x in cells.column("data")]
     return pa.table(
         {
             "block": cells.column("block"),
@@ -142,7 +154,7 @@ def _answered(cells: pa.Table, known: pa.Table) -> pa.Table:
 def _scored(order: int, carried: int):
     def run(cells: pa.Table, answers: pa.Table) -> pa.Table:
         rows = unpacked(cells)
-        codes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), "<u8") for x in answers.column("codes"))])
+        codes = np.concatenate([np.zeros(0, np.uint64), *(_grown(x.as_py()) for x in answers.column("codes"))])
         logs = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), "<f4") for x in answers.column("logs"))])
         by = np.argsort(codes)
         codes, logs = codes[by], logs[by]
