@@ -7,8 +7,8 @@ is such a set of bits: its distances to many pivots, as one key, bring together
 are discarded by their largest difference of whole-fingerprint pivot distances, and survivors are verified bit by bit.
 
 For 64 bits and a small radius, the bits are cut into radius + 3 blocks; linked fingerprints agree in three blocks at
-least, so views of any three blocks lose no pair.  For texts that share a good part of their shingles, fingerprints are
-longer, views are random, and their size and number are worked out from the number of texts for a wanted recall.
+least, so views of any three blocks lose no pair.  Texts that share a good part of their shingles are found by the sets
+themselves instead (shingle_sets).
 
 Nulls and empty texts have fingerprint 0, which links like any other.  Rows are never merged: repeated rows give
 repeated results.  A null id takes part, but is never a component's id unless all ids in it are null.
@@ -17,7 +17,6 @@ repeated results.  A null id takes part, but is never a component's id unless al
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,15 +88,6 @@ def exact_views(bits: int = BITS, radius: int = RADIUS) -> list[np.ndarray]:
     return [np.concatenate(chosen) for chosen in itertools.combinations(blocks, 3)]
 
 
-def sampled_views(n: int, bits: int, radius: int, recall: float) -> list[np.ndarray]:
-    """Random sets of bits: as many bits as keep buckets of n unlike fingerprints small, and as many sets as bring a
-    pair at just the radius together with probability recall."""
-    size = max(12, math.ceil(math.log2(max(n, 2))) - 2)
-    one = (1 - radius / bits) ** size
-    rng = np.random.default_rng(bits)
-    return [rng.permutation(bits)[:size] for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one)))]
-
-
 def _as_words(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data else np.zeros((0, 1), np.uint64)
 
@@ -234,21 +224,11 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.array_join(pairs, ""))
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of texts with this Jaccard similarity of shingles differ on average, and a little more
-    (one standard deviation), so that more than half of the pairs at just the similarity are within."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * angle + math.sqrt(bits * angle * (1 - angle)))
-
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of texts whose sets of shingles have this Jaccard similarity or more: see shingle_sets."""
+    from strandmill.llm import shingle_sets
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 256, recall: float = 0.8, bucket: int = BUCKET) -> DataFrame:
-    """(id, fp, component) by longer fingerprints, for texts that share shingles to a similarity or more.
-
-    recall holds for pairs at just the radius; pairs at the similarity are found with 0.9 or more, at 0.9 nearly always.
-    """
-    fps = written(fingerprints(docs, id_col, text_col, shingle, bits), "fingerprints")
-    radius = radius_for(similarity, bits)
-    return _components(fps, lambda nodes: links(nodes, sampled_views(nodes.count(), bits, radius, recall), bits, radius, bucket))
+    return shingle_sets.similar_texts(docs, id_col, text_col, shingle, similarity)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
