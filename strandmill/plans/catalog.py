@@ -30,6 +30,8 @@ NT = A.NUCLEOTIDES
 DISTANCE = 3
 #: Columns of the alignments that the co-occurrence query looks at, a feature of that scan.
 SCANNED = 12
+#: Steps of maximum likelihood, the reference's defaults; counts are bounded, so steps do not grow with the data.
+EPOCHS, SITE_EPOCHS = 500, 100
 
 
 def query(f: Query) -> Query:
@@ -371,13 +373,13 @@ def site_rates_by_table(spark: SparkSession, d: str) -> DataFrame:
 @query
 def mle_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
     counts, states = _event_counts(spark, d)
-    return learn_from_counts(counts.withColumn("n", F.col("n").cast("double")), R.jtt_ipw(counts, states, grid()), states, grid(), epochs=60)
+    return learn_from_counts(counts.withColumn("n", F.col("n").cast("double")), R.jtt_ipw(counts, states, grid()), states, grid(), epochs=EPOCHS)
 
 
 @query
 def site_rate_matrices(spark: SparkSession, d: str) -> DataFrame:
     msa, edges = _trees(spark, d)
-    return P.learn_site_specific(msa, NT, _equal_matrix(), edges, epochs=15)
+    return P.learn_site_specific(msa, NT, _equal_matrix(), edges, epochs=SITE_EPOCHS)
 
 
 @query
@@ -411,14 +413,14 @@ def maximal_matching(spark: SparkSession, d: str) -> DataFrame:
 @query
 def learned_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Alignments to matrix: paired sequences, counts, start, maximum likelihood."""
-    return P.learn_rate_matrix(A.embedding_msa(spark, d), NT, P.Settings(epochs=30))
+    return P.learn_rate_matrix(A.embedding_msa(spark, d), NT, P.Settings(epochs=EPOCHS))
 
 
 @query
 def learned_coevolution_matrix(spark: SparkSession, d: str) -> DataFrame:
     msa = A.embedding_msa(spark, d)
     near = msa.select("family").distinct().crossJoin(F.broadcast(A.pattern_contacts(spark)))  # one map of 64 sites
-    return P.learn_coevolution(msa, near, NT, P.Settings(epochs=5))
+    return P.learn_coevolution(msa, near, NT, P.Settings(epochs=EPOCHS))
 
 
 @query
