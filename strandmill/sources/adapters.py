@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUCLEOTIDES = ["A", "C", "G", "T"]
+#: States that dense matrices are made for.
+MOST_STATES = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,11 @@ def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_states(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The event types, a handful, in order."""
-    return [r.x for r in table(spark, sf_dir, "events").select(F.col("event_type").alias("x")).where("x is not null").distinct().orderBy("x").limit(1000).collect()]
+    """The event types, a handful, in order; an error if they are more than a dense matrix allows."""
+    found = table(spark, sf_dir, "events").select(F.col("event_type").alias("x")).where("x is not null").distinct().orderBy("x").limit(MOST_STATES + 1).collect()
+    if len(found) > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} event types: too many states for a dense matrix")
+    return [r.x for r in found]
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
