@@ -245,6 +245,35 @@ def test_shards_decode_from_any_place():
     assert grammar_shards.Shard(grammar_shards.pack(np.zeros(0, np.int32), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))).lengths().size == 0
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    for most in (40, 60_000):  # keys of 32 and of 64 bits
+        lengths = np.array([3000, 0, 1, 5000])
+        ids = np.minimum(rng.zipf(1.3, lengths.sum()), most).astype(np.int32)
+        symbols, per, rules, first = grammar_shards.compress(ids, lengths, per_round=20, frequent=5)
+        ends = np.cumsum(per)
+        left = Counter((a, b) for k, e in enumerate(ends) for a, b in itertools.pairwise(symbols[e - per[k] : e].tolist()) if a != b)
+        assert len(rules) and max(left.values()) < 5 and (rules < first + np.arange(len(rules))[:, None]).all()
+
+
+def test_segments_seen_once_are_forgotten_and_others_kept():
+    asked = []
+
+    def encode(keys):
+        asked.extend(keys)
+        return np.array([ord(c) for k in keys for c in k], np.int32), np.array([len(k) for k in keys])
+
+    remember = _pieces.Remembered(encode, limit=5)
+    calls = [["ab", "c"], ["c", "dddd", "e"], ["c", "f", "g", "hh"], ["c", "ab", "c"], ["hh"]]
+    for keys in calls:
+        number, (flat, n) = remember(keys)
+        ends = np.cumsum(n)
+        assert ["".join(map(chr, flat[ends[k] - n[k] : ends[k]])) for k in number] == keys
+    assert asked.count("c") == 1 and asked.count("ab") == 2
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The library with the same pieces and scores, read as a unigram model."""
