@@ -37,12 +37,10 @@ from strandmill.llm._pieces import REMEMBERED, Remembered
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 PARTITION_ROWS = 4096
-PER_ROUND, FREQUENT = 2048, 16
+FREQUENT = 16
 MAGIC = b"REPAIR01"
 _CHUNK = 2 << 20
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
-#: What joined segments may not hold: an empty segment, white space before the next one, a special token.
-_SPECIAL = re.compile(r"\s(?= |\Z)|<\|")
 _TABLE = "part long, shard int, data binary, n_docs long, n_tokens long"
 #: Range partitions whose sizes are summed together before shards are numbered through.
 _GROUP = 1024
@@ -64,29 +62,18 @@ class ByteLevelEncoder:
         self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self._size[i] = len(piece)  # one character stands for one byte
-        self._later, self._first = Remembered(self._later_ids, 2 * REMEMBERED), Remembered(self._each)
+        self._later, self._first = Remembered(self._later_ids, 4 * REMEMBERED), Remembered(self._each)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
         return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
     def _later_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments, given without their space: encoded as one text and cut by the pieces' bytes, but for
-        segments that are empty, end in white space or may hold a special token, which are encoded one by one."""
+        """Ids of segments, given without their space: encoded as one text and cut by the pieces' bytes, but for texts
+        with segments that end in white space or may hold a special token."""
         joined = " " + " ".join(keys)
-        if not _SPECIAL.search(joined):
-            return self._joined_ids(joined, keys)
-        special = np.fromiter((bool(_SPECIAL.search(" " + k)) for k in keys), bool, len(keys))
-        plain = [k for k, s in zip(keys, special.tolist(), strict=True) if not s]
-        ids_a, n_a = self._joined_ids(" " + " ".join(plain), plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        ids_b, n_b = self._each([" " + k for k, s in zip(keys, special.tolist(), strict=True) if s])
-        n = np.empty(len(keys), np.int64)
-        n[~special], n[special] = n_a, n_b
-        begin = np.empty(len(keys), np.int64)
-        begin[~special], begin[special] = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b + len(ids_a)
-        return np.concatenate([ids_a, ids_b])[ragged_range(begin, n)], n
-
-    def _joined_ids(self, joined: str, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if "<|" in joined or any(k[-1:].isspace() or not k for k in keys):
+            return self._each([" " + k for k in keys])
         ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
         length = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
         data = np.frombuffer(joined.encode("utf-32-le"), "<u4")
@@ -95,27 +82,25 @@ class ByteLevelEncoder:
         at = np.searchsorted(np.cumsum(self._size[ids]), ends) + 1
         return ids, np.diff(at, prepend=0)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        texts = texts.cast(pa.large_string())
-        own = pc.split_pattern(texts, " ")
-        spaced = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
-        if pc.any(spaced).as_py():  # runs of spaces stay whole
-            spaced = spaced.to_numpy(zero_copy_only=False)
-            cut = []
-            for t in texts.filter(pa.array(spaced)).to_pylist():
+        heads, rest, sizes = [], [], []
+        for t in texts:
+            if "  " not in t and t[:1] != " " and t[-1:] != " ":
+                own = t.split(" ")
+            else:
                 head, *later = _BOUNDARY.split(t)
-                cut.append([head, *(x[1:] for x in later)])
-            back = np.empty(len(texts), np.int64)
-            back[~spaced], back[spaced] = np.arange((~spaced).sum()), np.arange((~spaced).sum(), len(texts))
-            own = pa.concat_arrays([own.filter(pa.array(~spaced)), pa.array(cut, own.type)]).take(pa.array(back))
-        sizes = own.value_lengths().to_numpy().astype(np.int64)
-        segments = own.flatten()
-        is_head = np.zeros(len(segments), bool)
-        is_head[np.cumsum(sizes) - sizes] = True
-        first, (ids_a, n_a) = _numbered(self._first, segments.filter(pa.array(is_head)))
-        later, (ids_b, n_b) = _numbered(self._later, segments.filter(pa.array(~is_head)))
-        number = np.empty(len(segments), np.int64)
+                own = [head, *(x[1:] for x in later)]
+            heads.append(own[0])
+            sizes.append(len(own))
+            rest += own[1:]
+        first, (ids_a, n_a) = self._first(heads)
+        later, (ids_b, n_b) = self._later(rest) if rest else (np.zeros(0, np.int64), (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+        sizes = np.array(sizes, np.int64)
+        start = np.cumsum(sizes) - sizes
+        number = np.empty(int(sizes.sum()), np.int64)
+        is_head = np.zeros(len(number), bool)
+        is_head[start] = True
         number[is_head], number[~is_head] = first, later + len(n_a)
         counts = np.concatenate([n_a, n_b])
         begin = np.cumsum(counts) - counts
@@ -124,15 +109,6 @@ class ByteLevelEncoder:
         return ids, np.bincount(np.repeat(np.arange(len(texts)), sizes), per, len(texts)).astype(np.int64)
 
 
-def _numbered(remembered: Remembered, keys: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The number of each key, of which each different one is looked up once, and what was found for the numbers."""
-    if not len(keys):
-        return np.zeros(0, np.int64), (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    different = keys.dictionary_encode()
-    number, found = remembered(different.dictionary.to_pylist())
-    return number[different.indices.to_numpy()], found
-
-
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
 
 
@@ -143,12 +119,30 @@ def _encoder(tokenizer_json: str) -> ByteLevelEncoder:
     return _ENCODERS[tokenizer_json]
 
 
-def _fold(keys: np.ndarray) -> np.ndarray:
-    """16 bits of each key, for a filter before the exact search."""
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """16 bits of each key."""
+    return (keys * keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - 8 * keys.itemsize) | 1) >> keys.dtype.type(8 * keys.itemsize - 16)).astype(np.int32)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, per_round: int = PER_ROUND, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _places(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Where each key is in ordered, which has no key twice; -1 where it is not.
+
+    A table by slots answers but for the slots that several of ordered share, whose keys are searched for.
+    """
+    slots = _slots(ordered)
+    table = np.full(1 << 16, -1, np.int32)
+    table[slots] = np.arange(len(ordered), dtype=np.int32)
+    shared = np.bincount(slots, minlength=1 << 16) > 1
+    own = _slots(keys)
+    out = table[own]
+    out[(ordered[out] != keys) | (out < 0)] = -1
+    again = np.flatnonzero(shared[own] & (out < 0))
+    found = np.minimum(np.searchsorted(ordered, keys[again]), len(ordered) - 1)
+    out[again] = np.where(ordered[found] == keys[again], found, -1)
+    return out
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, symbols of each document, rules (two symbols each) and the first nonterminal."""
     symbols = ids.astype(np.uint32)
     terminals = int(symbols.max(initial=0)) + 1
@@ -167,22 +161,17 @@ def compress(ids: np.ndarray, lengths: np.ndarray, per_round: int = PER_ROUND, f
         repeated, count = ordered[at[:-1][count >= frequent]], count[count >= frequent]
         if not len(repeated):
             break
-        maybe = np.zeros(1 << 16, bool)
-        maybe[_fold(repeated)] = True
-        near = np.flatnonzero(maybe[_fold(key)])
-        some, key = some[near], key[near]
-        found = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
-        exact = repeated[found] == key
-        some, found = some[exact], found[exact]
-        least = int(np.partition(count, -per_round)[-per_round]) if len(count) > per_round else frequent
-        chosen = (count >= least)[found]
-        where, found = some[chosen], found[chosen]
+        found = _places(key, repeated)
+        often = np.flatnonzero(found >= 0)
+        some, found = some[often], found[often]
+        where = some
         # of a run of overlapping pairs, every other one
         run = np.concatenate([[0], np.flatnonzero(np.diff(where) > 1) + 1])
         step = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
         where, found = where[step % 2 == 0], found[step % 2 == 0]
-        used, found = np.unique(found, return_inverse=True)
-        fresh = terminals + len(rules) + np.arange(len(used))
+        is_used = np.bincount(found, minlength=len(repeated)) > 0
+        used = np.flatnonzero(is_used)
+        fresh = terminals + len(rules) - 1 + np.cumsum(is_used)
         pair = repeated[used].astype(np.uint64)
         rules = np.concatenate([rules, np.stack([pair >> np.uint64(half), pair & np.uint64((1 << half) - 1)], axis=1).astype(np.uint32)])
         symbols[where] = fresh[found]
@@ -291,7 +280,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
         for batch in batches:
             texts = text_array(batch.column(1))
             for i, j in chunks(text_bytes(texts)[1], _CHUNK):
-                found, n = encode(texts.slice(i, j - i))
+                found, n = encode(texts.slice(i, j - i).to_pylist())
                 closed = np.full(len(found) + len(n), end_id, np.int32)
                 closed[ragged_range((np.cumsum(n + 1) - n - 1), n)] = found
                 column = batch.column(0).slice(i, j - i)
