@@ -1,4 +1,4 @@
-"""Vectorised word scanning and rolling hashes over Arrow text buffers.
+"""Vectorised word scanning and hashes of words over Arrow text buffers.
 
 All helpers work on the UTF-8 bytes of a whole batch of texts at once.  The
 word classes used here only name ASCII bytes, so scanning bytes and scanning
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 BLANK_SEPARATED = np.ones(256, dtype=bool)
@@ -84,49 +85,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: The base of all polynomials and its inverse modulo 2**64: fixed values, any odd number does.
-_BASE = 0x5851F42D4C957F2D
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each; all hashes of a process share them."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
-
-
-class RollingHash:
-    """A seeded polynomial hash modulo 2**64 of runs of bytes and of runs of word hashes."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self._byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def _runs(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = _powers(len(terms) + 1)
-        total = np.zeros(len(terms) + 1, np.uint64)
-        np.cumsum(terms * up[: len(terms)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts])
-
-    def words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._runs(self._byte[buf], starts, ends)
-
-    def grams(self, words: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of `length` word hashes from each of the positions `first` on."""
-        return self._runs(words, first, first + length)
-
-
-_HASHES: dict[int, RollingHash] = {}
-
-
-def rolling_hash(seed: int) -> RollingHash:
-    if seed not in _HASHES:
-        _HASHES[seed] = RollingHash(seed)
-    return _HASHES[seed]
+#: Multiplier of a run of words before the next is added: a fixed value, any odd number does.
+_STEP = np.uint64(0x5851F42D4C957F2D)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(seed: int, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, given by where their bytes start and end.
+
+    Eight bytes are taken in at a time and mixed in one to one, all words advancing together.  Nothing here is a
+    polynomial, so words do not collide by their form (as those of few letters do modulo a power of two), and
+    hashes of two seeds are independent.
+    """
+    size = ends - starts
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # from each byte on
+    out = mix(np.full(len(size), seed, np.uint64) * _STEP + size.astype(np.uint64))
+    live = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(live):
+        value = eight[starts[live] + at] & _LOW_BYTES[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ value)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), seed)
+    return out
+
+
+def gram_hashes(words: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of `length` word hashes from each of the positions `first` on, from runs of 1, 2, 4, ... words."""
+    few = len(first) * length < len(words)  # then only their own words are looked at, each run a row
+    part = words[first[:, None] + np.arange(length)] if few else words
+    out, done, size = None, 0, 1
+    while True:
+        if length & size:
+            own = part[:, done] if few else part[first + done]
+            out = own if out is None else mix(out * _STEP + own)
+            done += size
+        if 2 * size > length:
+            return out
+        part = mix(part[..., :-size] * _STEP + part[..., size:])
+        size *= 2
 
 
 def gram_starts(first_word: np.ndarray, length: int) -> np.ndarray:

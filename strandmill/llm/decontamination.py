@@ -6,13 +6,15 @@ any `gram + window - 1` consecutive words that a document shares with an item le
 have.  A document's fingerprints are looked up among the items'; around a hit, whole spans of that many words
 are compared by two independent 64-bit hashes.  An item of fewer words, but not none, is one span, looked up whole.
 
-The items' spans are broadcast in slices of a fixed number of words, so what is broadcast is bounded; a benchmark
-of more than one slice takes a pass over the documents for each and the spans found are united.
+The items' spans are broadcast in slices of a fixed number of bytes of text (a longer item is a slice), so what is
+broadcast is bounded; for a benchmark of more than one slice, the documents are numbered and written, each slice takes a
+pass over them and what the passes find is united by number.
 Null and empty texts have no words and hit nothing.  Repeated rows each get a row.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, gram_starts, ragged_range, rolling_hash, scan_words, text_array, text_bytes
+from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, gram_hashes, gram_starts, ragged_range, scan_words, text_array, text_bytes, word_hashes
+from strandmill.llm._shared import written
 
 GRAM, WINDOW = 5, 6
-#: Words of benchmark text in a slice; a span takes 24 bytes, so a slice takes some 50 MB at most.
-SLICE_WORDS = 2_000_000
+#: Bytes of benchmark text in a slice; a span takes 24 bytes and there is one a word at most.
+SLICE_BYTES = 8 << 20
 _FILTER_BITS = 20
 
 
@@ -46,16 +49,16 @@ class Scanned:
     def __init__(self, buf: np.ndarray, bounds: np.ndarray):
         lower = LOWER[buf]
         starts, ends, self.first = scan_words(lower, bounds, ALPHANUMERIC)
-        self.words = [rolling_hash(s).words(lower, starts, ends) for s in (71, 72)]
+        self.words = [word_hashes(s, lower, starts, ends) for s in (71, 72)]
 
     def spans(self, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(rolling_hash(s).grams(w, first, length) for s, w in zip((71, 72), self.words, strict=True))
+        return tuple(gram_hashes(w, first, length) for w in self.words)
 
     def fingerprints(self, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of fingerprints and their hashes."""
         inner = gram_starts(self.first, gram)
         hashes = np.zeros(len(self.words[0]) + window, np.uint64)
-        hashes[inner] = rolling_hash(73).grams(self.words[0], inner, gram)
+        hashes[inner] = gram_hashes(self.words[0], inner, gram)
         at = np.unique(winnow(hashes, gram_starts(self.first, gram + window - 1), window))
         return at, hashes[at]
 
@@ -116,42 +119,46 @@ class Spans:
         return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
-def _slices(items: DataFrame, item_col: str, text_col: str, words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in slices of about `words` words, the driver holding one at a time; a longer item is a slice."""
-    part, size = [], 0
+def _slices(items: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in slices of about `size` bytes of text, the driver holding one at a time; a longer item is a slice."""
+    part, held = [], 0
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
-        n = row.text.count(" ") + 1
-        if part and size + n > words:
+        n = len(row.text.encode())
+        if part and held + n > size:
             yield part
-            part, size = [], 0
+            part, held = [], 0
         part.append((row.item, row.text))
-        size += n
+        held += n
     yield part
 
 
-def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per document: id, n_words, hits (spans of words: first, length, in words from 0) and items (sorted ids)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    slices = _slices(items, item_col, item_text_col, slice_bytes)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    passes = []
-    for part in _slices(items, item_col, item_text_col, slice_words):
-        shared = docs.sparkSession.sparkContext.broadcast((Spans([t for _, t in part], gram, window), [i for i, _ in part]))
-        passes.append(text.mapInArrow(_scanner(shared), f"id {kind}, text_hash long, n_words long, hits array<struct<first: long, length: int>>, items array<string>"))
-    found = passes[0]
-    if len(passes) > 1:
-        for other in passes[1:]:
-            found = found.unionByName(other)
-        copies = F.sequence(F.lit(1), (F.count("*") / len(passes)).cast("int")).alias("copies")
-        found = found.groupBy("id", "text_hash", "n_words").agg(copies, F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.withColumn("copies", F.explode("copies"))
-    return found.select("id", "n_words", "hits", "items")
-
-
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+    part, other = next(slices), next(slices, None)
+    if other is None:
+        return _pass(text, part, gram, window)
+    numbered = written(text.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
+    found = _pass(numbered, part, gram, window)
+    for part in itertools.chain([other], slices):
+        found = found.unionByName(_pass(numbered, part, gram, window).where(F.size("hits") > 0))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), united("hits"), united("items")).drop("row")
+
+
+def _pass(rows: DataFrame, part: list[tuple[str, str]], gram: int, window: int) -> DataFrame:
+    """All columns of rows but the last, their text; n_words, hits and items."""
+    shared = rows.sparkSession.sparkContext.broadcast((Spans([t for _, t in part], gram, window), [i for i, _ in part]))
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(_scanner(shared), f"{own}, n_words long, hits array<struct<first: long, length: int>>, items array<string>")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that share no span with any item; no shuffle."""
     at = docs.columns.index(text_col)
-    for part in _slices(items, item_col, item_text_col, slice_words):
+    for part in _slices(items, item_col, item_text_col, slice_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Spans([t for _, t in part], gram, window))
         docs = docs.mapInArrow(_cleaner(shared, at), docs.schema)
     return docs
@@ -174,15 +181,12 @@ def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, names = shared.value
         for batch in batches:
-            texts = text_array(batch.column(1))
-            buf, bounds = text_bytes(texts)
-            counts, key, hits, items = [], [], [], []
+            *own_columns, texts = batch.columns
+            buf, bounds = text_bytes(text_array(texts))
+            counts, hits, items = [np.zeros(0, np.int64)], [], []
             for i, j in chunks(bounds):
                 seen = Scanned(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                n = np.diff(seen.first)
-                counts.append(n)
-                sums = np.concatenate([[0], np.cumsum(seen.words[0], dtype=np.uint64)])
-                key.append((sums[seen.first[1:]] - sums[seen.first[:-1]]).view(np.int64))
+                counts.append(np.diff(seen.first))
                 first, length, item = spans.hits(seen)
                 text = np.searchsorted(seen.first, first, "right") - 1
                 own: list[dict] = [{} for _ in range(j - i)]
@@ -191,16 +195,16 @@ def _scanner(shared):
                     own[t].setdefault("items", set()).add(names[m])
                 hits += [[{"first": f, "length": k} for f, k in sorted(x.get("hits", ()))] for x in own]
                 items += [sorted(x for x in x.get("items", ()) if x is not None) for x in own]
-            out = [batch.column(0), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (key, counts))]
-            out += [pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "text_hash", "n_words", "hits", "items"])
+            kinds = pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int32())])), pa.list_(pa.string())
+            found = [pa.array(x, k) for x, k in zip((np.concatenate(counts), hits, items), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own_columns, *found], [*batch.schema.names[:-1], "n_words", "hits", "items"])
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside any span found), n_items, items_sha256, contaminated."""
-    found = scan(docs, items, id_col, text_col, item_col)
+    found = scan(docs, items, id_col, text_col, item_col, slice_bytes=slice_bytes)
     # spans come sorted by first word: each adds what reaches beyond all before it
     spans = F.array_sort("hits")
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))

@@ -6,12 +6,13 @@ counts.  All tables stay distributed.  A block of documents sends each different
 shard; in each shard the different runs are joined with the counts and context totals of every order, and the
 log-probabilities go back to the blocks, which sum them per document.  Perplexity is per byte.
 
-A document is accepted if its log-perplexity exceeds the median of its language's held-out trusted documents by at
-most an allowance.  Means over few bytes vary more, so excesses are taken times the square root of the bytes (which
-counts ever less beyond FULL_BYTES, as documents also differ as wholes), and the allowance is a margin times a quantile of
-those excesses.  A language with under LEAST_OWN held-out documents takes the quantile of all languages, one with none
-also the median of all.  With no trusted document at all, every byte has the same probability and nothing but documents
-without text is rejected.
+A document is accepted if its log-perplexity exceeds the median of its language's held-out trusted documents by no more
+than a quantile of theirs.  Means over few bytes vary more, so excesses are weighted: their variance is taken as one part
+that falls with the bytes and one that does not (documents also differ as wholes), and where the two are equal is fitted
+to the held-out documents.  The quantile, LEVEL, lies far out, where some "trusted" documents are not what their label
+says; so it is worked out from the quantile at TAIL, excesses beyond being taken as exponential.  A language with under
+LEAST_OWN held-out documents takes the quantile of all languages, one with none also the median of all.  With no trusted
+document at all, every byte has the same probability and nothing but documents without text is rejected.
 
 Null and empty texts have null perplexity and are rejected.  A null language is a language of its own.  Repeated rows
 each get a row; an id is trusted if any of its labels says so.
@@ -20,6 +21,7 @@ each get a row; an id is trusted if any of its labels says so.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from strandmill.llm._bytes import chunks, text_array, text_bytes
 from strandmill.llm._shared import block_of, number_of_blocks, packed_blocks, unpacked, written
 
 ORDER = 5
-#: A document passes up to MARGIN times this quantile: some trusted documents are not what their label says, and a
-#: high quantile would take its value from those.
-QUANTILE, MARGIN = 0.9, 4.0
+#: The share of trusted documents that passes, and the quantile from which that one is worked out.
+LEVEL, TAIL = 0.999, 0.9
+#: Bytes at which both parts of the variance are equal, where held-out documents are too alike in length to tell.
 FULL_BYTES = 4096
 #: Fewer excesses than LEAST_OWN do not give a quantile of their own; LEAST_SPREAD is the least value of a quantile.
 LEAST_OWN, LEAST_SPREAD = 20, 0.5
@@ -151,7 +153,7 @@ def _answered(cells: pa.Table, known: pa.Table) -> pa.Table:
     )
 
 
-def _scored(order: int, carried: int):
+def _scored(order: int, carried: list[str]):
     def run(cells: pa.Table, answers: pa.Table) -> pa.Table:
         rows = unpacked(cells)
         codes = np.concatenate([np.zeros(0, np.uint64), *(_grown(x.as_py()) for x in answers.column("codes"))])
@@ -176,7 +178,7 @@ def _scored(order: int, carried: int):
         size = np.diff(bounds)
         worth = np.exp(-total / np.maximum(size, 1))
         out = {"id": rows.column("id"), "lang": rows.column("lang"), "n_bytes": pa.array(size), "perplexity": pa.array(worth, mask=size == 0)}
-        return pa.table(out | {f"carried{k}": rows.column(f"carried{k}") for k in range(carried)})
+        return pa.table(out | {f"carried{k}": rows.column(c) for k, c in enumerate(carried)})
 
     return run
 
@@ -221,7 +223,9 @@ def probabilities(asked: DataFrame, counts: DataFrame, order: int = ORDER) -> Da
         seen = levels[k].select(F.col("gram").alias("g"), (F.col("n") - discount(k, F.col("n"))).alias("own"))
         context = levels[k].groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("n").alias("total"), F.sum(discount(k, F.col("n"))).alias("freed"))
         if k <= 2:  # at most 256 ** k rows
-            seen, context = F.broadcast(seen), F.broadcast(context)
+            seen = F.broadcast(seen)
+        if k <= 3:  # at most 256 ** (k - 1) rows, some of which stand before a good part of all runs
+            context = F.broadcast(context)
         out = out.withColumn("g", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).withColumn("c", F.shiftright("g", 8))
         out = out.join(seen, "g", "left").join(context, "c", "left")
         better = (F.coalesce("own", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("total")
@@ -235,11 +239,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     trusted has the ids, as `id`, of trusted documents.  Those whose crc32 as text is divisible by held_out do not
     train the model (0: all train it).
     """
-    blocks = number_of_blocks(docs, block_rows)
-    more = [F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)]
+    blocks = number_of_blocks(docs, block_rows, text_col)
+    more = [F.col(c).alias(f"carried{k}") for k, c in enumerate(carry) if c != text_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *more)
     texts = packed_blocks(rows.withColumn("block", block_of(F.col("id"), blocks))).groupBy("block")
-    train = trusted.where(~_is_held_out(held_out)).distinct().withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
+    train = trusted.where(F.col("id").isNotNull() & ~_is_held_out(held_out)).distinct().withColumn("block", block_of(F.col("id"), blocks)).groupBy("block")
     counts = texts.cogroup(train).applyInArrow(_training(order), "gram long, n long")
     counts = written(counts.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     cells = texts.applyInArrow(_asked(order, blocks), _CELLS)
@@ -248,14 +252,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     answers = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, "block int, codes binary, logs binary")
     ids, langs = (docs.schema[c].dataType.simpleString() for c in (id_col, lang_col))
     kind = f"id {ids}, lang {langs}, n_bytes long, perplexity double" + "".join(f", carried{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    return texts.cogroup(answers.groupBy("block")).applyInArrow(_scored(order, len(carry)), kind)
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(_scored(order, ["text" if c == text_col else f"carried{k}" for k, c in enumerate(carry)]), kind)
 
 
 def _is_held_out(held_out: int) -> Column:
     return F.crc32(F.col("id").cast("string")) % held_out == 0 if held_out else F.lit(False)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, held_out: int = HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: float = LEVEL, held_out: int = HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang, n_bytes, perplexity, threshold, accepted, carried0, ...): one row per row of docs.
 
     Thresholds are broadcast: one row for each language, of which there are some thousands at most.
@@ -264,33 +268,57 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     scored = written(perplexities(docs, trusted, id_col, text_col, lang_col, held_out=held_out, carry=carry), "perplexities")
     calibrating = (trusted.where(_is_held_out(held_out)) if held_out else trusted).distinct()
     sample = scored.select("id", "lang", "n_bytes", "perplexity").join(calibrating, "id", "left_semi").where("perplexity is not null")
-    cuts = _cuts(sample, quantile)
+    excess = written(_excesses(sample), "excesses")
+    full = _full_bytes(excess)
+    cuts = _cuts(excess, full)
     same = F.col("lang").eqNullSafe(F.col("of"))
     out = scored.join(F.broadcast(cuts.where("not every").drop("every")), same, "left").withColumn("one", F.lit(1))
     overall = cuts.where("every").select(F.col("centre").alias("any"), F.col("spread").alias("any_spread"), F.lit(1).alias("one"))
     out = out.join(F.broadcast(overall), "one", "left")
     spread = F.greatest(F.when(F.col("n") >= LEAST_OWN, F.col("spread")).otherwise(F.col("any_spread")), F.lit(LEAST_SPREAD))
-    out = out.withColumn("threshold", F.exp(F.coalesce("centre", "any") + margin * spread / _weight()))
+    beyond = math.log(0.5 / (1 - level)) / math.log(0.5 / (1 - TAIL))  # of an exponential distribution's quantiles
+    out = out.withColumn("threshold", F.exp(F.coalesce("centre", "any") + beyond * spread / _weight(full)))
     accepted = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("id", "lang", "n_bytes", "perplexity", "threshold", accepted.alias("accepted"), *[f"carried{k}" for k in range(len(carry))])
 
 
-def _weight() -> Column:
+def _weight(full: float) -> Column:
     n = F.greatest(F.col("n_bytes"), F.lit(1)).cast("double")  # texts without bytes are rejected all the same
-    return F.sqrt(n * FULL_BYTES / (n + FULL_BYTES))
+    return F.sqrt(n * full / (n + full))
 
 
-def _cuts(sample: DataFrame, quantile: float) -> DataFrame:
-    """(every, of, n, centre, spread): medians and quantiles of excesses, a row for each language and one for all."""
-    log = F.log("perplexity")
-    by_lang = sample.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
-    excess = sample.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("of"))).withColumn("z", (log - F.col("middle")) * _weight())
-    measures = F.count("*").alias("n"), F.percentile_approx(log, 0.5, 10_000).alias("centre"), F.percentile_approx("z", quantile, 10_000).alias("spread")
-    own = excess.groupBy("of").agg(*measures).select(F.lit(False).alias("every"), "of", "n", "centre", "spread")
-    return own.union(excess.agg(*measures).select(F.lit(True), F.lit(None), "n", "centre", "spread"))
+def _excesses(sample: DataFrame) -> DataFrame:
+    """(of, n_bytes, log, e): log-perplexities and what they exceed their language's median by."""
+    rows = sample.select(F.col("lang").alias("of"), "n_bytes", F.log("perplexity").alias("log"))
+    middle = rows.groupBy("of").agg(F.percentile_approx("log", 0.5, 10_000).alias("middle")).withColumnRenamed("of", "its")
+    return rows.join(F.broadcast(middle), F.col("of").eqNullSafe(F.col("its"))).select("of", "n_bytes", "log", (F.col("log") - F.col("middle")).alias("e"))
 
 
-def keep_accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+def _full_bytes(excess: DataFrame) -> float:
+    """Bytes at which the part of the variance that falls with them equals the other one, from the typical excesses
+    of the shortest and the longest quarter."""
+    ends = excess.agg(F.percentile_approx("n_bytes", [0.25, 0.75], 10_000)).first()[0]
+    if not ends or ends[0] == ends[1]:
+        return FULL_BYTES
+    short, long = F.col("n_bytes") <= ends[0], F.col("n_bytes") >= ends[1]
+    typical = lambda which: F.percentile_approx(F.when(which, F.abs("e")), 0.5, 10_000)
+    row = excess.agg(*(f for which in (short, long) for f in (typical(which), F.avg(F.when(which, 1 / F.col("n_bytes")))))).first()
+    falling = (row[0] ** 2 - row[2] ** 2) / (row[1] - row[3])
+    other = row[2] ** 2 - falling * row[3]
+    if falling <= 0:
+        return 1.0  # length does not matter
+    return min(max(falling / other, 1.0), 2.0**40) if other > 0 else 2.0**40
+
+
+def _cuts(excess: DataFrame, full: float) -> DataFrame:
+    """(every, of, n, centre, spread): medians and weighted excesses at TAIL, a row for each language and one for all."""
+    weighted = excess.withColumn("z", F.col("e") * _weight(full))
+    measures = F.count("*").alias("n"), F.percentile_approx("log", 0.5, 10_000).alias("centre"), F.percentile_approx("z", TAIL, 10_000).alias("spread")
+    own = weighted.groupBy("of").agg(*measures).select(F.lit(False).alias("every"), "of", "n", "centre", "spread")
+    return own.union(weighted.agg(*measures).select(F.lit(True), F.lit(None), "n", "centre", "spread"))
+
+
+def keep_accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: float = LEVEL) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier accepts."""
-    found = classify(docs, trusted, id_col, text_col, lang_col, quantile, carry=tuple(docs.columns)).where("accepted")
+    found = classify(docs, trusted, id_col, text_col, lang_col, level, carry=tuple(docs.columns)).where("accepted")
     return found.select(*[F.col(f"carried{k}").alias(c) for k, c in enumerate(docs.columns)])

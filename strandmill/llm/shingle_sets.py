@@ -1,16 +1,19 @@
-"""Near-duplicates by the exact Jaccard similarity of texts' sets of shingles.
+"""Near-duplicates by the exact Jaccard similarity of texts' sets of shingles, among candidates from fingerprints.
 
-Texts with equal sets are one node, named by a hash of the set.  Candidates share a band of MinHash values: a pair at
-the similarity itself shares none with a probability of MISS at most, whatever the length of its texts, a pair above it
-still more seldom.  A candidate links only if its sets, fetched by joins, reach the similarity.
+Texts with equal sets are one node, named by a hash of the set.  Candidates come from the fingerprints of the sets:
+simhash.links() finds what lies within a radius and agrees in one of many sampled views, by tables of pivot distances.
+Radius and views are worked out so that a pair at just the similarity is a candidate with probability RECALL, whatever
+the lengths of its texts and the number of texts; a pair above it more often.  A candidate links only if its sets,
+fetched by joins, reach the similarity.
 
-Bands shared by few nodes give all their pairs.  Those of a band shared by many are first compared with a centre each,
-and what that connects is one component; where a band's nodes are then still in more than one, the sets themselves are
-brought together in blocks and all compared, so that no link between components is lost.
+What candidates connect is a group.  Of a small group all pairs are verified.  The nodes of a large one are first compared
+with a centre each, and what that connects is one component; where a group's nodes are then still in more than one, the
+sets themselves are brought together in blocks and all compared, so that no link between components is lost.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -21,89 +24,125 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._bytes import LOWER, chunks, mix, text_array, text_bytes
-from strandmill.llm._shared import connected_components, paired_blocks, written
-from strandmill.llm.simhash import shingle_hashes
+from strandmill.llm import simhash
+from strandmill.llm._bytes import LOWER, chunks, text_array, text_bytes
+from strandmill.llm._shared import connected_components, joined, paired_blocks, written
 
-MISS = 1e-5
-#: MinHash values in a band.
-ROWS = 5
-#: Largest number of nodes of a band of which all pairs become candidates, and nodes with one centre in a larger band.
+#: Bits of a set's fingerprint, and the probability that a pair at just the similarity is a candidate.
+BITS, RECALL = 128, 0.99
+#: Unrelated fingerprints that share a node's key in a view, on average: fewer bits in a view need fewer views.
+LOAD = 32
+#: Largest group of which all pairs are candidates, and nodes with one centre in a larger group.
 SMALL, AROUND = 16, 64
-#: Largest number of sets that are dealt to a block; two meet in a task.
-BLOCK = 1024
-#: Bits of the map of nodes whose sets are needed: what is broadcast has this size, however many there are.
+#: Largest number of sets that are dealt to a block (long ones count as several); two meet in a task.
+BLOCK, SET_WORDS = 1024, 1024
+#: Bits of the map of texts whose sets are needed: what is broadcast has this size, however many there are.
 MAP_BITS = 1 << 26
 
 
-def bands_for(similarity: float) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - similarity**ROWS))
+@functools.cache
+def differing(similarity: float) -> float:
+    """The largest probability that one bit differs in the fingerprints of two sets of this similarity or more.
 
+    A bit is a vote of the set's hashes.  Between large sets the probability tends to the angle of equally large ones;
+    among small sets, even votes make it larger.
+    """
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-def band_keys(found: np.ndarray, bands: int) -> np.ndarray:
-    """One key a band, of a set of hashes."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(ROWS)
-    factor, offset = (rng.integers(0, 2**64, (bands * ROWS, 1), dtype=np.uint64) for _ in range(2))
-    factor |= np.uint64(1)
-    least = np.full(bands * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 1024):
-        least = np.minimum(least, (factor * found[at : at + 1024] + offset).min(axis=1))
-    key = np.arange(bands, dtype=np.uint64)
-    for value in least.reshape(bands, ROWS).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
-    return key.view(np.int64)
+    def votes(n: int) -> list[float]:
+        """Probability of each number of ones among n."""
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
 
+    for both in range(1, 65):
+        apart = int(both * (1 / similarity - 1) + 1e-9)
+        for one in range(apart + 1):
+            for other in range(min(one, apart - one) + 1):
+                p = 0.0
+                for k, pk in enumerate(votes(both)):
+                    a = sum(q for j, q in enumerate(votes(one)) if 2 * (k + j) > both + one)
+                    b = sum(q for j, q in enumerate(votes(other)) if 2 * (k + j) > both + other)
+                    p += pk * (a * (1 - b) + b * (1 - a))
+                most = max(most, p)
+    return most
 
-def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Name and distinct shingle hashes of each text in the last column."""
-    buf, bounds = text_bytes(text_array(batch.column(batch.num_columns - 1)))
+
+def _distances(similarity: float, bits: int) -> np.ndarray:
+    """Probability of each distance between fingerprints at this similarity."""
+    p = differing(similarity)
+    return np.array([math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)])
+
+
+def radius_for(similarity: float, bits: int = BITS, recall: float = RECALL) -> int:
+    """The distance that all but a tenth of what recall gives up stay within."""
+    return int(np.searchsorted(np.cumsum(_distances(similarity, bits)), 1 - 0.1 * (1 - recall)))
+
+
+def views_for(nodes: int, similarity: float, bits: int = BITS, recall: float = RECALL) -> list[np.ndarray]:
+    """Random sets of bits in one of which a pair at this similarity agrees with probability recall.
+
+    They grow in number as the nodes do to the power of 0.24 at a similarity of 0.8.
+    """
+    size = min(bits, max(1, math.ceil(math.log2(max(nodes, 1) / LOAD)))) if nodes > LOAD else 1
+    share = _distances(similarity, bits)
+    share[radius_for(similarity, bits, recall) + 1 :] = 0
+    agree = np.array([math.comb(bits - d, size) / math.comb(bits, size) for d in range(bits + 1)])
+    n = 1
+    while float((share * (1 - (1 - agree) ** n)).sum()) < recall:
+        n = n + 1 + n // 32
+    rng = np.random.default_rng([bits, size])
+    return [np.sort(rng.choice(bits, size, replace=False)) for _ in range(n)]
+
+
+def _sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and distinct shingle hashes of each text."""
+    buf, bounds = text_bytes(text_array(texts))
     for i, j in chunks(bounds):
         lower = LOWER[buf[bounds[i] : bounds[j]]].tobytes()
         at = bounds[i : j + 1] - bounds[i]
         for a, b in itertools.pairwise(at.tolist()):
-            found = np.unique(shingle_hashes(lower[a:b], shingle))
+            found = np.unique(simhash.shingle_hashes(lower[a:b], shingle))
             yield xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63, found
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+def _keyed(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
+    """more, key (a hash of the text) and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*[F.col(c).alias("id") for c in more], F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int) -> DataFrame:
-    """(id, rep, keys): the node of each row and its band keys."""
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, key, rep, fp): the text's hash, the node of each row and its fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(rep, band_keys(s, bands)) for rep, s in _sets(batch, shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rep for rep, _ in found], pa.int64()), _lists([k for _, k in found])], ["id", "rep", "keys"])
+            found = [(rep, simhash.voted(s, BITS)) for rep, s in _sets(batch.column(2), shingle)]
+            out = [*batch.columns[:2], pa.array([rep for rep, _ in found], pa.int64()), pa.array([fp for _, fp in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["id", "key", "rep", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, rep long, keys array<long>")
+    return _keyed(docs, text_col, id_col).mapInArrow(scan, f"id {kind}, key long, rep long, fp binary")
 
 
-def _needed(docs: DataFrame, text_col: str, shingle: int, nodes: DataFrame) -> DataFrame:
-    """(rep, words): the sets of the nodes, and of some others."""
-    bit = nodes.select(F.pmod("rep", F.lit(MAP_BITS)).alias("bit"))
+def _needed(docs: DataFrame, text_col: str, shingle: int, keys: DataFrame) -> DataFrame:
+    """(rep, words): the sets of the texts with these keys, and of some others."""
+    bit = keys.select(F.pmod("key", F.lit(MAP_BITS)).alias("bit"))
     words = bit.groupBy(F.shiftright("bit", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toArrow()
     marked = np.zeros(MAP_BITS // 32, np.uint32)
     marked[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, seen = shared.value, set()
+        marked = shared.value
         for batch in batches:
-            kept = []
-            for rep, found in _sets(batch, shingle):
-                bit = rep % MAP_BITS
-                if int(marked[bit >> 5]) >> (bit & 31) & 1 and rep not in seen:
-                    seen.add(rep)
-                    kept.append((rep, found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([rep for rep, _ in kept], pa.int64()), _lists([s for _, s in kept])], ["rep", "words"])
+            key = batch.column(0).to_numpy() % MAP_BITS
+            use = (marked[key >> 5] >> (key & 31).astype(np.uint32)) & 1
+            kept = list(_sets(batch.column(1).filter(pa.array(use.astype(bool))), shingle))
+            ends = np.concatenate([[0], np.cumsum([len(s) for _, s in kept])]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for _, s in kept)])))
+            yield pa.RecordBatch.from_arrays([pa.array([rep for rep, _ in kept], pa.int64()), sets], ["rep", "words"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "rep long, words array<long>").dropDuplicates(["rep"])
+    once = _keyed(docs, text_col).mapInArrow(scan, "rep long, words array<long>")
+    return once.groupBy("rep").agg(F.first("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -142,9 +181,10 @@ def _forest(rep: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: fl
     return np.concatenate(a), np.concatenate(b)
 
 
-def _all_compared(large: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) within bands of many nodes (key, rep)."""
-    dealt = paired_blocks(large.select("key", "rep"), "key", F.col("rep"), block).join(sets, "rep")
+def _all_compared(apart: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) within groups of many nodes (key, rep)."""
+    own = apart.select("key", "rep").join(sets, "rep").withColumn("weight", 1 + F.size("words") / SET_WORDS)
+    dealt = paired_blocks(own, "key", F.col("rep"), block, "weight")
 
     def compare(group: pa.Table) -> pa.Table:
         words = group.column("words").combine_chunks()
@@ -155,35 +195,38 @@ def _all_compared(large: DataFrame, sets: DataFrame, similarity: float, block: i
     return dealt.select("key", "lo", "hi", "rep", "words").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, named: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes that connect all candidates at the similarity or more, and no others."""
-    table = named.groupBy("rep").agg(F.first("keys").alias("keys")).select("rep", F.explode("keys").alias("key"))
-    sizes = table.groupBy("key").count().where("count > 1")
-    shared = written(table.join(sizes, "key"), "shared-bands")
-
-    few, large = shared.where(F.col("count") <= SMALL).select("key", "rep"), shared.where(F.col("count") > SMALL)
-    pairs = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / AROUND)).cast("int")
-    large = large.withColumn("part", part)
-    centres = large.groupBy("key", "part").agg(F.min("rep").alias("a"))
-    stars = large.join(centres, ["key", "part"]).select("a", F.col("rep").alias("b"))
-    tops = centres.join(centres.groupBy("key").agg(F.min("a").alias("top")), "key").select(F.col("top").alias("a"), F.col("a").alias("b"))
+def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes (rep, fp, key) that connect all candidates at the similarity or more, and no others."""
+    views = views_for(nodes.count(), similarity)
+    near = simhash.links(nodes, views, BITS, radius_for(similarity))
+    groups = written(connected_components(near).select(F.col("component").alias("group"), F.col("node").alias("rep")), "groups")
+    sizes = written(groups.groupBy("group").count(), "group-sizes")
+    shared = written(joined(groups, sizes, "group"), "sized-groups")
+
+    few, large = shared.where(F.col("count") <= SMALL).select("group", "rep"), shared.where(F.col("count") > SMALL)
+    pairs = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "group").where("a < b").select("a", "b")
+    large = large.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / AROUND)).cast("int"))
+    centres = large.groupBy("group", "part").agg(F.min("rep").alias("a"))
+    stars = large.join(centres, ["group", "part"]).select("a", F.col("rep").alias("b"))
+    tops = joined(centres, written(centres.groupBy("group").agg(F.min("a").alias("top")), "tops"), "group").select(F.col("top").alias("a"), F.col("a").alias("b"))
     pairs = pairs.union(stars).union(tops).where("a <> b").distinct()
 
-    sets = written(_needed(docs, text_col, shingle, shared), "shingle-sets")
+    sets = written(_needed(docs, text_col, shingle, nodes.join(groups, "rep", "left_semi")), "shingle-sets")
     found = written(_verified(pairs, sets, similarity), "links")
     roots = connected_components(found).withColumnRenamed("node", "rep")
-    placed = large.select("key", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    apart = written(large.select("key", "rep").join(mixed, "key", "left_semi"), "bands-apart")
+    placed = written(large.select("group", "rep").join(roots, "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("root")), "placed")
+    mixed = written(placed.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group"), "groups-apart")
+    apart = written(joined(placed.select(F.col("group").alias("key"), "rep"), mixed.withColumnRenamed("group", "key"), "key"), "sets-apart")
     return found.union(written(_all_compared(apart, sets, similarity, block), "links-apart"))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(id, component): component is the smallest id that links lead to, its own included."""
-    named = written(_named(docs, id_col, text_col, shingle, bands_for(similarity)), "shingle-bands")
-    roots = connected_components(links(docs, named, text_col, shingle, similarity, block)).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
-    nodes = named.groupBy("rep").agg(F.min("id").alias("least")).join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    nodes = written(nodes, "labelled")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    return named.select("id", "rep").join(nodes.join(least, "root").select("rep", "component"), "rep").select("id", "component")
+    """(id, component): component is the smallest id that links lead to, its own included.
+
+    Null and empty texts have the empty set and are one node.  Rows are never merged: repeated rows give repeated
+    results.  A null id takes part, but is no component's id unless all ids in it are null.
+    """
+    named = written(_named(docs, id_col, text_col, shingle), "named-sets")
+    nodes = written(named.groupBy("rep").agg(F.first("fp").alias("fp"), F.min("key").alias("key"), F.min("id").alias("least")), "sets")
+    labelled = simhash.labelled(nodes, connected_components(links(docs, nodes, text_col, shingle, similarity, block)))
+    return joined(named.select("id", "rep"), labelled.select("rep", "component"), "rep").select("id", "component")

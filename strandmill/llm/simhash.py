@@ -7,8 +7,8 @@ is such a set of bits: its distances to many pivots, as one key, bring together
 are discarded by their largest difference of whole-fingerprint pivot distances, and survivors are verified bit by bit.
 
 For 64 bits and a small radius, the bits are cut into radius + 3 blocks; linked fingerprints agree in three blocks at
-least, so views of any three blocks lose no pair.  Texts that share a good part of their shingles are found by the sets
-themselves instead (shingle_sets).
+least, so views of any three blocks lose no pair.  Texts whose sets of shingles are similar are found by longer
+fingerprints and sampled views, and decided by the sets themselves (shingle_sets).
 
 Nulls and empty texts have fingerprint 0, which links like any other.  Rows are never merged: repeated rows give
 repeated results.  A null id takes part, but is never a component's id unless all ids in it are null.
@@ -17,7 +17,7 @@ repeated results.  A null id takes part, but is never a component's id unless al
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import LOWER, chunks, mix, text_array, text_bytes
-from strandmill.llm._shared import connected_components, paired_blocks, written
+from strandmill.llm._shared import BROADCAST_ROWS, connected_components, joined, paired_blocks, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 3
 PIVOTS = 16
 #: Largest number of fingerprints that one task compares with each other at once.
 BUCKET = 4096
 #: Buckets up to this size are compared all at once, larger ones one by one.
-_SMALL = 16
+_SMALL = 64
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,7 +55,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, bits: int = BITS) -> bytes:
 
     Bits beyond the first 64 are those of the hashes mixed with other constants.
     """
-    hashes = shingle_hashes(text, shingle)
+    return voted(shingle_hashes(text, shingle), bits)
+
+
+def voted(hashes: np.ndarray, bits: int) -> bytes:
+    """The fingerprint of hashes."""
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -88,8 +92,13 @@ def exact_views(bits: int = BITS, radius: int = RADIUS) -> list[np.ndarray]:
     return [np.concatenate(chosen) for chosen in itertools.combinations(blocks, 3)]
 
 
-def _as_words(data: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data else np.zeros((0, 1), np.uint64)
+def _as_words(fps: pa.Array) -> np.ndarray:
+    """Fingerprints, all of one length, as rows of 64-bit words."""
+    n = len(fps)
+    if not n:
+        return np.zeros((0, 1), np.uint64)
+    at = np.frombuffer(fps.buffers()[1], np.int32)[fps.offset : fps.offset + n + 1]
+    return np.frombuffer(fps.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u8").reshape(n, -1)
 
 
 def _pivots(bits: int) -> np.ndarray:
@@ -108,7 +117,7 @@ def _place(views: list[np.ndarray], bits: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                fps = _as_words(batch.column(1).to_pylist())
+                fps = _as_words(batch.column(1))
                 own = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
                 keys = []
                 for k, view in enumerate(views):
@@ -174,7 +183,7 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
                 (rows, fps), kept = kept, None
             else:
                 rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-                fps = _as_words(batch.column(4).to_pylist())
+                fps = _as_words(batch.column(4))
                 if kept is not None:
                     rows, fps = np.concatenate([kept[0], rows], axis=1), np.concatenate([kept[1], fps])
                 kept = None
@@ -197,15 +206,14 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
     return table.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _components(fps: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, fp, component) of rows (id, fp), given find(nodes), the links between distinct fingerprints."""
-    # a fingerprint is named by a number of its own: equal fingerprints meet in one partition
-    by_fp = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
-    nodes = connected_components(find(by_fp)).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
-    labelled = by_fp.join(nodes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    labelled = written(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(labelled.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+def labelled(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """The columns of nodes (rep, least, ...), one row for each rep, and component: the smallest `least` of all nodes of
+    its component (node, component) of reps, or its own."""
+    linked = components.select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    linked = written(linked.join(nodes.select("rep", "least"), "rep"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
+    found = joined(linked.select("rep", "root"), least, "root").select("rep", "component")
+    return written(nodes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "least")), "labelled")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -214,8 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp is the fingerprint as 16 hexadecimal digits; component is the smallest id that links lead to, its own included.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    found = _components(fps, lambda nodes: links(nodes, radius=radius, bucket=bucket))
-    return found.withColumn("fp", _hex(F.col("fp")))
+    # a fingerprint is named by a number of its own: equal fingerprints meet in one partition
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
+    found = labelled(nodes, connected_components(links(nodes, radius=radius, bucket=bucket)))
+    return joined(fps, found.select("fp", "component"), "fp").select("id", _hex(F.col("fp")).alias("fp"), "component")
 
 
 def _hex(fp: Column) -> Column:
@@ -237,5 +247,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows that share an id are one document and stay or go together; rows without an id stay.
     """
     found = similar_texts(docs, id_col, text_col, shingle, similarity)
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = written(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)

@@ -8,11 +8,12 @@ takes both to cover positions.  So of two equal windows of 20 words, some 8 word
 cover positions, and it is enough to hash 8 words at cover positions (anchors) to see where equal windows can be.
 From repeated anchors the match extends to the windows around them, which are compared whole by a 96-bit hash.
 
-Documents are dealt into blocks of about `BLOCK_ROWS` rows; a block sends its anchors and windows to hash buckets as
-packed arrays, each different one once, so a passage that every document holds is one entry per block.
+Documents are dealt into blocks of about `BLOCK_ROWS` rows, fewer where texts are long; a block sends its anchors and
+windows to hash buckets as packed arrays, each different one once, so a passage that every document holds is one entry
+per block.
 
-Null and empty texts have no words.  A null id comes after all others.  Rows with the same id are one document
-for the order, so repeated rows do not remove each other's words (the earlier start within one text still does).
+Null and empty texts have no words.  A null id comes after all others.  Rows that share an id, or have none, do not
+remove each other's words; an earlier start within one row does.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._bytes import BLANK_SEPARATED, chunks, gram_starts, rolling_hash, scan_words, text_array, text_bytes
+from strandmill.llm._bytes import BLANK_SEPARATED, chunks, gram_hashes, gram_starts, scan_words, text_array, text_bytes, word_hashes
 from strandmill.llm._shared import block_of, number_of_blocks, packed_blocks, unpacked
 
 WINDOW = 20
@@ -53,7 +54,7 @@ class _Block:
             starts, ends, own = scan_words(buf, bounds, BLANK_SEPARATED)
             first.append(own[1:] + first[-1][-1])
             for part, seed in zip(parts, hashes, strict=True):
-                part.append(rolling_hash(seed).words(buf, starts, ends))
+                part.append(word_hashes(seed, buf, starts, ends))
         self.first = np.concatenate(first)
         self.hashes = [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
 
@@ -100,7 +101,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], buckets: int):
         at = gram_starts(block.first, length)
         text = np.searchsorted(block.first, at, "right") - 1
         at = at[covered[(at - block.first[text]) % period]]
-        key = rolling_hash(41).grams(block.hashes[0], at, length)
+        key = gram_hashes(block.hashes[0], at, length)
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         new = np.ones(len(key), bool)
@@ -134,22 +135,22 @@ def _windows(window: int, period: int, buckets: int):
         np.cumsum(anchored, out=anchored)
         at = gram_starts(block.first, window)
         at = at[anchored[at + period] > anchored[at]]
-        key, more = (rolling_hash(s).grams(h, at, window) for s, h in zip((42, 43), block.hashes, strict=True))
+        key, more = (gram_hashes(h, at, window) for h in block.hashes)
         text = np.searchsorted(block.first, at, "right") - 1
         entries = np.empty(len(at), _WINDOW)
         entries["key"], entries["more"], entries["id"], entries["at"] = key, more, block.ids[text], at
-        start = at - block.first[text]
-        order, first = _by_words(entries, start)
-        entries, start = entries[order], start[order]
-        later = (entries["id"] > entries["id"][first]) | (start > start[first])
+        order, first = _by_words(entries)
+        entries, text = entries[order], text[order]
+        later = entries["id"] > entries["id"][first]
+        later[1:] |= (first[1:] == first[:-1]) & (text[1:] == text[:-1])  # within a row, each but the first
         return _cells(cells.column("block")[0].as_py(), entries["key"][~later], entries[~later], entries["at"][later], buckets)
 
     return run
 
 
-def _by_words(entries: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by words, then id, then start; and for each place in it the first place with the same words."""
-    order = np.lexsort((start, entries["id"], entries["more"], entries["key"]))
+def _by_words(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by words, then id, then place; and for each place in it the first place with the same words."""
+    order = np.lexsort((entries["at"], entries["id"], entries["more"], entries["key"]))
     key, more = entries["key"][order], entries["more"][order]
     new = np.ones(len(entries), bool)
     new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
@@ -160,9 +161,9 @@ def _later(cells: pa.Table) -> pa.Table:
     """Places of windows that also start earlier."""
     known = cells.filter(cells.column("known"))
     entries, blocks = _entries(cells.filter(pc.invert(cells.column("known"))), _WINDOW)
-    order, first = _by_words(entries, entries["at"])
+    order, first = _by_words(entries)
     entries, blocks = entries[order], blocks[order]
-    # an id is in one block, which has sent only what does not start later than the earliest there
+    # what starts later within its own row, its block knows
     later = entries["id"] > entries["id"][first]
     return _flags(blocks[later], entries["at"][later], known)
 
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id (long), n_words, n_removed, kept_sha256 (of the kept words, joined by spaces), and kept, their text."""
     if period > window or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("cover must be a difference cover modulo a period of at most the window")
-    blocks = number_of_blocks(docs, block_rows)
+    blocks = number_of_blocks(docs, block_rows, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = packed_blocks(rows.withColumn("block", block_of(F.col("id"), blocks))).groupBy("block")
     anchors = texts.applyInArrow(_anchors(window, period, cover, blocks), _CELLS)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, ragged_range, rolling_hash, scan_words, text_array, text_bytes
+from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, ragged_range, scan_words, text_array, text_bytes, word_hashes
 
 SAMPLE = 2000
 LENGTH, STRIDE = 32, 24
@@ -50,7 +50,7 @@ class _Texts:
         hashes = np.empty(len(starts), np.uint64)
         for i, j in chunks(bounds):
             a, b, at = self.first[i], self.first[j], bounds[i]
-            hashes[a:b] = rolling_hash(81).words(lower[at : bounds[j]], starts[a:b] - at, ends[a:b] - at)
+            hashes[a:b] = word_hashes(81, lower[at : bounds[j]], starts[a:b] - at, ends[a:b] - at)
         different, at, self.word = np.unique(hashes, return_index=True, return_inverse=True)
         self.bucket = (different >> np.uint64(64 - _BITS)).astype(np.int64)
         self._grams(lower, starts[at], ends[at])

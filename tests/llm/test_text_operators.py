@@ -150,10 +150,13 @@ def test_repeated_passages_of_few_words(spark):
         substring.remove_repeats(table(spark, ["a"]), cover=(0, 1, 3))
 
 
-def test_rows_of_one_id_do_not_remove_each_other(spark):
+@pytest.mark.parametrize("block_rows", [1, 1000])
+def test_rows_of_one_id_do_not_remove_each_other(spark, block_rows):
     text = " ".join(f"r{k}" for k in range(30))
-    got = sorted((r.id, r.n_removed) for r in substring.remove_repeats(table(spark, [text, text, text], [1, 1, None])).collect() if r.id is not None)
-    assert got == [(1, 0), (1, 0)]
+    own = " ".join(f"s{k}" for k in range(30))
+    texts, ids = [text, text, text, text + " " + text, own, own, own + " " + own], [1, 1, None, 1, None, None, None]
+    got = sorted(((r.id or 0), r.n_words, r.n_removed) for r in substring.remove_repeats(table(spark, texts, ids), block_rows=block_rows).collect())
+    assert got == [(0, 30, 0), (0, 30, 0), (0, 30, 30), (0, 60, 30), (1, 30, 0), (1, 30, 0), (1, 60, 30)]
 
 
 def plain_contamination(texts, items):
@@ -184,15 +187,61 @@ def test_contamination(spark):
     texts += [prose(20) + " " + items[0][1].upper() + " " + prose(5), items[1][1], items[5][1] + " tail", "no JUST three, WORDS!", items[6][1], "x " * 11, *awkward()]
     frame = spark.createDataFrame(items, "item_id long, text string")
     want = plain_contamination(texts, items)
-    for words in (10**6, 25):  # one slice, and several
-        got = decontamination.scan(table(spark, texts), frame, slice_words=words)
-        assert got.count() == len(texts)
-    got = {r.id: tuple(r)[1:] for r in decontamination.contamination(table(spark, texts), frame).collect()}
-    assert [got[k] for k in range(len(texts))] == want
-    clean = {r.doc_id for r in decontamination.clean(table(spark, texts), frame, slice_words=25).collect()}
+    for size in (1 << 20, 100):  # one slice, and several
+        got = {r.id: tuple(r)[1:] for r in decontamination.contamination(table(spark, texts), frame, slice_bytes=size).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    clean = {r.doc_id for r in decontamination.clean(table(spark, texts), frame, slice_bytes=100).collect()}
     assert clean == {k for k, w in enumerate(want) if not w[-1]}
 
 
+def test_rows_of_one_id_keep_their_own_hits(spark):
+    """Texts of the same words in another order, under one id and under none, over several slices."""
+    items = [(1, "one two three four"), (2, "four three two one"), (3, None)]
+    texts = ["one two three four", "four three two one", "two one four three", "one two three four", None, "four one two three"]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(plain_contamination(texts, items))
+    for ids in ([7] * 6, [None] * 6):
+        got = decontamination.contamination(table(spark, texts, ids), frame, slice_bytes=20).collect()
+        assert sorted(tuple(r)[1:] for r in got) == want and {r.id for r in got} == {ids[0]}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_regular_form_are_told_apart(spark):
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [" ".join(f"t{k}" for k in range(a, a + 25)) for a in (0, 100)]
+    texts = {k: f"{around[0]} {w} {around[1]}" for k, w in enumerate((one, other, one))}
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeats(table(spark, list(texts.values()))).collect()}
+    assert got == plain_removal(texts, 20)
+    items = [(1, f"a b c d {one} e f g h i")]
+    docs = [f"a b c d {w} e f g h i" for w in (one, other)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.id: tuple(r)[1:] for r in decontamination.contamination(table(spark, docs), frame).collect()}
+    assert [found[0], found[1]] == plain_contamination(docs, items)
+
+
+def test_hashes_of_words_and_runs():
+    from strandmill.llm._bytes import gram_hashes, word_hashes
+
+    words = [b"", b"a", b"a\0", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 256, b"x" * 257, b"x" * 300, b"a"]
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for seed in (1, 2):
+        h = word_hashes(seed, np.frombuffer(b"".join(words), np.uint8), starts, ends)
+        assert h[1] == h[9] and len(set(h.tolist())) == len(words) - 1
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for n in (1, 2, 5, 7, 10, 20):
+        first = np.arange(400 - n + 1)
+        every = gram_hashes(w, first, n)
+        assert len(set(every.tolist())) == len(every) and (gram_hashes(w, first[:3], n) == every[:3]).all()
+        moved = np.concatenate([w[5 : 5 + n], w])
+        assert gram_hashes(moved, np.array([0]), n)[0] == every[5]
+
+
 def test_every_shared_span_leaves_a_common_fingerprint():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -252,28 +301,12 @@ def test_pairs_are_replaced_until_none_is_frequent():
     for most in (40, 60_000):  # keys of 32 and of 64 bits
         lengths = np.array([3000, 0, 1, 5000])
         ids = np.minimum(rng.zipf(1.3, lengths.sum()), most).astype(np.int32)
-        symbols, per, rules, first = grammar_shards.compress(ids, lengths, per_round=20, frequent=5)
+        symbols, per, rules, first = grammar_shards.compress(ids, lengths, frequent=5)
         ends = np.cumsum(per)
         left = Counter((a, b) for k, e in enumerate(ends) for a, b in itertools.pairwise(symbols[e - per[k] : e].tolist()) if a != b)
         assert len(rules) and max(left.values()) < 5 and (rules < first + np.arange(len(rules))[:, None]).all()
 
 
-def test_segments_seen_once_are_forgotten_and_others_kept():
-    asked = []
-
-    def encode(keys):
-        asked.extend(keys)
-        return np.array([ord(c) for k in keys for c in k], np.int32), np.array([len(k) for k in keys])
-
-    remember = _pieces.Remembered(encode, limit=5)
-    calls = [["ab", "c"], ["c", "dddd", "e"], ["c", "f", "g", "hh"], ["c", "ab", "c"], ["hh"]]
-    for keys in calls:
-        number, (flat, n) = remember(keys)
-        ends = np.cumsum(n)
-        assert ["".join(map(chr, flat[ends[k] - n[k] : ends[k]])) for k in number] == keys
-    assert asked.count("c") == 1 and asked.count("ab") == 2
-
-
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The library with the same pieces and scores, read as a unigram model."""
