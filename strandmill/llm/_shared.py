@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode only, a new one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strandmill-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = _checkpoint_dir(spark) or folder

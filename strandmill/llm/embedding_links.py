@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import mix
-from strandmill.llm._shared import connected_components, paired_blocks, written
+from strandmill.llm._shared import connected_components, joined, paired_blocks, written
 
 COSINE, RECALL = 0.95, 0.998
 #: Width of a cell, lines of a table; half width of a window, lines counted, and the part of true pairs that pass.
@@ -73,6 +75,12 @@ class _Lines:
     def of(cls, dim: int, tables: int) -> _Lines:
         return cls._made.setdefault((dim, tables), cls(dim, tables)) if (dim, tables) not in cls._made else cls._made[dim, tables]
 
+    @classmethod
+    def of_bytes(cls, vecs: pa.Array, kind: str, tables: int) -> np.ndarray:
+        """cells() of vectors of one length."""
+        units = _units(vecs, kind)
+        return cls.of(units.shape[1], tables).cells(units)
+
     def cells(self, units: np.ndarray) -> np.ndarray:
         """One key per vector and table."""
         cell = np.floor((units @ self.directions + self.offsets) / CELL).astype(np.int64)
@@ -82,40 +90,52 @@ class _Lines:
         return mix(out + np.arange(self.tables, dtype=np.uint64) + np.uint64(units.shape[1]) * np.uint64(1 << 20))
 
 
-def _units(data: list[bytes], kind: str) -> np.ndarray:
-    v = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+def _units(vecs: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length, each of length 1."""
+    v = np.frombuffer(b"".join(vecs.to_pylist()), kind).reshape(len(vecs), -1).astype(np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)  # squares can neither overflow nor vanish
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _valid(embeddings: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
-    """(id, vec): vec has the components, or null for a vector that links with nothing."""
-    name = embeddings.schema[id_col].dataType.simpleString()
+    """(id, name, vec): vec has the components, or null for a vector that links with nothing; name is a hash of vec."""
+    of = embeddings.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                v = np.array([np.nan if c is None else c for c in x.as_py()], kind) if x.is_valid else np.zeros(0, kind)
-                out.append((v + 0.0).tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)  # -0.0 becomes 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
+            column = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(kind) + 0.0  # null is not a number; -0.0 becomes 0.0
+            first = np.cumsum(size) - size
+            vecs: list[bytes | None] = [None] * len(size)
+            for n in np.unique(size[size > 0]).tolist():
+                row = np.flatnonzero(size == n)
+                part = values[first[row][:, None] + np.arange(n)]
+                for k in np.flatnonzero(np.isfinite(part).all(axis=1) & (part != 0).any(axis=1)).tolist():
+                    vecs[row[k]] = part[k].tobytes()
+            names = [None if v is None else xxhash.xxh3_128_digest(v) for v in vecs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(vecs, pa.binary())], ["id", "name", "vec"])
+
+    return embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {of}, name binary, vec binary")
 
-    return embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {name}, vec binary")
+
+def _by_length(vecs: pa.Array) -> Iterator[np.ndarray]:
+    """Row numbers of the vectors of each length."""
+    size = pc.binary_length(vecs).to_numpy(zero_copy_only=False)
+    for n in np.unique(size).tolist():
+        yield np.flatnonzero(size == n)
 
 
 def _bring_together(tables: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(x.as_py()) for x in batch.column(2)])
-            for n in np.unique(size).tolist():
-                part = batch.filter(pa.array(size == n))
-                for at in range(0, part.num_rows, 512):
-                    own = part.slice(at, 512)
-                    units = _units([x.as_py() for x in own.column(2)], kind)
-                    keys = _Lines.of(units.shape[1], tables).cells(units)
-                    again = pa.array(np.repeat(np.arange(len(units)), tables))
-                    number = pa.array(np.tile(np.arange(tables, dtype=np.int32), len(units)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), number, *(c.take(again) for c in own.columns)], ["key", "number", "rep", "weight", "vec"])
+            for row in _by_length(batch.column(1)):
+                for at in range(0, len(row), 512):
+                    own = batch.take(pa.array(row[at : at + 512]))
+                    keys = _Lines.of_bytes(own.column(1), kind, tables)
+                    again = pa.array(np.repeat(np.arange(own.num_rows), tables))
+                    number = pa.array(np.tile(np.arange(tables, dtype=np.int32), own.num_rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), number, own.column(0).take(again)], ["key", "number", "rep"])
 
     return run
 
@@ -199,24 +219,33 @@ def _compare(tables: int, cosine: float, kind: str):
                 table, first = table.slice(0, first[-1]), first[:-1]
                 rows = {n: v[: table.num_rows] for n, v in rows.items()}
             size = np.diff(np.append(first, table.num_rows))
-            use = np.repeat(size > 1, size)
-            if not use.any():
-                continue
-            rows = {n: v[use] for n, v in rows.items()}
-            units = _units([x.as_py() for x in table.column("vec").filter(pa.array(use))], kind)
-            lines = _Lines.of(units.shape[1], tables)
-            rows |= {"units": units, "counted": (units @ lines.counted).astype(np.float32), "cells": lines.cells(units)}
-            size = size[size > 1]
-            i, j = whole(rows, np.cumsum(size) - size, size)
-            if not len(i):
-                continue
-            rep, weight = rows["rep"], rows["weight"]
-            linked, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([weight[j], weight[i]])).astype(np.int64)
-            edges = np.array(_forest(rep[i], rep[j]), np.int64).reshape(-1, 2)
-            u = pa.array(np.concatenate([linked, edges[:, 0]]))
-            v = pa.array(np.concatenate([np.zeros(len(linked), np.int64), edges[:, 1]]), mask=np.arange(len(linked) + len(edges)) < len(linked))
-            yield pa.RecordBatch.from_arrays([u, v, pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], ["u", "v", "n"])
+            use = np.flatnonzero(np.repeat(size > 1, size))
+            vecs = table.column("vec").combine_chunks().take(pa.array(use))
+            size = np.repeat(size, size)[use]  # of each row's bucket, all of whose vectors have one length
+            for part in _by_length(vecs):
+                own = {n: v[use[part]] for n, v in rows.items()}
+                units = _units(vecs.take(pa.array(part)), kind)
+                lines = _Lines.of(units.shape[1], tables)
+                own |= {"units": units, "counted": (units @ lines.counted).astype(np.float32), "cells": lines.cells(units)}
+                if (found := linked(own, size[part])) is not None:
+                    yield found
+
+    def linked(rows: dict[str, np.ndarray], size: np.ndarray) -> pa.RecordBatch | None:
+        """Numbers of links and a forest of them, of whole buckets one after the other."""
+        first = [0]
+        while first[-1] < len(size):
+            first.append(first[-1] + int(size[first[-1]]))
+        first = np.array(first[:-1])
+        i, j = whole(rows, first, size[first])
+        if not len(i):
+            return None
+        rep, weight = rows["rep"], rows["weight"]
+        found, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([weight[j], weight[i]])).astype(np.int64)
+        edges = np.array(_forest(rep[i], rep[j]), np.int64).reshape(-1, 2)
+        u = pa.array(np.concatenate([found, edges[:, 0]]))
+        v = pa.array(np.concatenate([np.zeros(len(found), np.int64), edges[:, 1]]), mask=np.arange(len(found) + len(edges)) < len(found))
+        return pa.RecordBatch.from_arrays([u, v, pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], ["u", "v", "n"])
 
     return run
 
@@ -226,17 +255,19 @@ def links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     tables = tables_for(cosine, recall)
     kind = "<f8" if embeddings.schema[vector_col].dataType.elementType.simpleString() == "double" else "<f4"
     rows = written(_valid(embeddings, id_col, vector_col, kind), "vectors")
-    distinct = rows.where("vec is not null").groupBy("vec").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"))
-    distinct = written(distinct.select("rep", "weight", "vec"), "distinct-vectors")
+    distinct = rows.where("name is not null").groupBy("name", "vec").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"))
+    distinct = written(distinct.select("rep", "weight", "name", "vec"), "distinct-vectors")
     known = distinct.where("rep is not null")
-    placed = known.mapInArrow(_bring_together(tables, kind), "key long, number int, rep long, weight long, vec binary")
-    placed = paired_blocks(placed, "key", F.col("rep"), bucket)
+    # cells hold ids; vectors move only to the cells that several share
+    cells = written(known.select("rep", "vec").mapInArrow(_bring_together(tables, kind), "key long, number int, rep long"), "cells")
+    shared = written(joined(cells, written(cells.groupBy("key").count().where("count > 1").select("key"), "shared-keys"), "key"), "shared-cells")
+    placed = paired_blocks(shared, "key", F.col("rep"), bucket).join(known.select("rep", "weight", "vec"), "rep")
     order = ["key", "lo", "hi"]
     placed = placed.repartition(*order).sortWithinPartitions(*order)
     found = written(placed.mapInArrow(_compare(tables, cosine, kind), "u long, v long, n long"), "links")
     near = found.where("v is null").groupBy("u").agg(F.sum("n").alias("near"))
     nodes = connected_components(found.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    own = known.join(near, known.rep == near.u, "left").join(nodes, known.rep == nodes.node, "left")
-    own = own.select("vec", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(own, "vec", "left")
+    own = known.select("name", "rep", "weight").join(near, F.col("rep") == F.col("u"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
+    own = own.select("name", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = joined(rows.select("id", "name"), written(own, "labelled-vectors"), "name", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", F.col("id").cast("long")).alias("component"))

@@ -1,15 +1,17 @@
 """Format-preserving pseudonyms for personal numbers and dates, by keyed Feistel permutations.
 
-Found and, where they have rules, validated: e-mail addresses, secrets after a word such as token, IPv4 addresses, bank
-account numbers (IBAN, modulo 97), card numbers (Luhn), social security numbers, telephone numbers, and dates from
+Found and, where they have rules, validated: e-mail addresses, secrets (after a word such as token: lower-case
+hexadecimal of 12 characters or more, or 16 letters, digits, _ and - or more with a small letter and a digit; anywhere:
+those with a known prefix), IPv4 addresses, bank account numbers (IBAN, modulo 97), card numbers (Luhn), social security numbers, telephone numbers, and dates from
 1800 to 2199 (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy).  Each value is permuted within the values of its format: letters
 stay letters, digits digits, separators where they are, check digits are made anew, dates stay real dates.  The
-permutation depends on the key and the kind alone, so equal values stay equal wherever they occur, and different
-ones different.  What fails its validation is left as it is.
+permutation depends on the key and the kind alone, and separators take no part, so equal values stay equal wherever and
+however they are written, and different ones different.  What fails its validation is left as it is.
 
 Only DataFrame functions are used: a text is cut at its matches, matches are replaced and the parts joined.  Rounds
 are folded with aggregate().  Nulls stay null, texts without a match stay as they are, and all other columns of a
-row stay; a column that has the name of the count is replaced.  Repeated rows each get a row.
+row stay; a column that has the name of the count is replaced.  Repeated rows each get a row.  An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:1[89]|2[01])[0-9]{2}"
 
+_PREFIX = "(?:AKIA|gh[opsu]_|sk-)"
+_SECRET = r"(?:[0-9a-f]{12,}|(?=[A-Z0-9_-]*[a-z])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,})"
+_KNOWN = rf"{_PREFIX}[0-9A-Za-z]{{16,}}"
+
 #: Kinds, tried in this order at each place of a text.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|apikey|api_key|api-key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[0-9a-f]{12,}(?![0-9A-Za-z])",
+    "secret": rf"(?<=(?i:token|secret|password|passwd|apikey|api_key|api-key)[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?){_SECRET}(?![0-9A-Za-z])|(?<![0-9A-Za-z]){_KNOWN}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": rf"(?<![0-9])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?![0-9])",
@@ -35,6 +41,8 @@ PATTERNS = {
     "phone": r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[2-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9+])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: What a text with any match has: a digit, an @, or a word or prefix that stands before a secret.
+MAYBE = "[0-9@]|(?i:token|secret|passw|api[_-]?key)|" + _PREFIX
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Days of 400 years, 189 * 773, from the first day of the range.
@@ -157,14 +165,24 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """Keeps a country code and the first digit after it; 8 to 15 digits in all."""
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?\(?[0-9]|\(?[0-9])", 1)
-    tail = m.substr(F.length(head) + 1, F.length(m))
-    n = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    return F.when(n.between(8, 15), F.concat(head, _chars(tail, key, (_DIGITS,)))).otherwise(m)
+    """Keeps the country code (3 digits of it and what follows, but for 1) and the first digit of a national number;
+    8 to 15 digits in all."""
+    keep = F.when(m.startswith("+1"), 2).when(m.startswith("+"), 3).otherwise(1)
+
+    def moved(digits: Column) -> Column:
+        return _refill(m, F.concat(digits.substr(F.lit(1), keep), _chars(digits.substr(keep + 1, F.length(digits)), key, (_DIGITS,))))
+
+    return _once(F.regexp_replace(m, "[^0-9]", ""), lambda digits: F.when(F.length(digits).between(8, 15), moved(digits)).otherwise(m))
+
 
+def _secret(m: Column, key: Column) -> Column:
+    """Hexadecimal stays that; of others a known prefix stays."""
+    prefix = F.regexp_extract(m, f"^{_PREFIX}", 0)
+    other = F.concat(prefix, _chars(m.substr(F.length(prefix) + 1, F.length(m)), key, (_DIGITS, _LOWER, _UPPER)))
+    return F.when(m.rlike("^[0-9a-f]+$"), _chars(m, key, (_HEX,))).otherwise(other)
 
-_MOVES = {"email": _email, "secret": lambda m, key: _chars(m, key, (_HEX,)), "iban": _iban, "ip": _ip, "date": _date, "card": _card, "ssn": _ssn, "phone": _phone}
+
+_MOVES = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "card": _card, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -172,7 +190,7 @@ def pseudonym(match: Column, key: str) -> Column:
     out = None
     for kind, move in _MOVES.items():
         # lookarounds see the match alone here; what they ask for was checked in the text
-        inner = PATTERNS[kind] if kind != "secret" else "[0-9a-f]{12,}"
+        inner = PATTERNS[kind] if kind != "secret" else f"{_SECRET}|{_KNOWN}"
         is_kind = match.rlike(f"^(?:{inner})$")
         if kind == "secret":
             is_kind &= ~match.rlike("^[0-9]{13,19}$")
@@ -184,14 +202,21 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pseudonyms") -> DataFrame:
     """docs with pseudonyms in text_col, and, unless count_col is None, the number of values replaced in each row."""
     text = F.col(text_col)
-    maybe = text.rlike("[0-9@]")  # every kind has a digit or an @
-    found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    out = docs.withColumn("__found", found)
-    moved = F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key)))
-    out = out.withColumn("__moved", moved)
-    parts = F.zip_with(F.split(text, ANY, -1), F.col("__moved"), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    joined = F.when(F.col("__moved").isNotNull(), F.array_join(parts, "")).otherwise(text)
-    changed = F.coalesce(F.size(F.filter(F.zip_with("__found", "__moved", lambda a, b: a != b), lambda x: x)), F.lit(0))
+    found = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    own, new = (_free(docs, name) for name in ("found", "moved"))
+    out = docs.withColumn(own, found)
+    out = out.withColumn(new, F.when(F.size(own) > 0, F.transform(own, lambda m: pseudonym(m, key))))
+    parts = F.zip_with(F.split(text, ANY, -1), F.col(new), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    joined = F.when(F.col(new).isNotNull(), F.array_join(parts, "")).otherwise(text)
+    changed = F.coalesce(F.size(F.filter(F.zip_with(own, new, lambda a, b: a != b), lambda x: x)), F.lit(0))
     if count_col:
-        out = out.withColumn(count_col, F.when(F.col("__moved").isNull(), 0).otherwise(changed))
-    return out.withColumn(text_col, joined).drop("__found", "__moved")
+        out = out.withColumn(count_col, F.when(F.col(new).isNull(), 0).otherwise(changed))
+    return out.withColumn(text_col, joined).drop(own, new)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

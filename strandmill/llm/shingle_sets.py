@@ -28,8 +28,9 @@ from strandmill.llm import simhash
 from strandmill.llm._bytes import LOWER, chunks, text_array, text_bytes
 from strandmill.llm._shared import connected_components, joined, paired_blocks, written
 
-#: Bits of a set's fingerprint, and the probability that a pair at just the similarity is a candidate.
-BITS, RECALL = 128, 0.99
+#: Bits of a set's fingerprint, those of them that pairs are checked by, and the probability that a pair at just the
+#: similarity is a candidate.
+BITS, CHECKED, RECALL = 512, 256, 0.99
 #: Unrelated fingerprints that share a node's key in a view, on average: fewer bits in a view need fewer views.
 LOAD = 32
 #: Largest group of which all pairs are candidates, and nodes with one centre in a larger group.
@@ -40,30 +41,44 @@ BLOCK, SET_WORDS = 1024, 1024
 MAP_BITS = 1 << 26
 
 
+#: Multipliers that make 8 bytes of weights each from a hash.
+_FACTORS = np.random.default_rng(512).integers(0, 2**64, BITS // 8, dtype=np.uint64) | np.uint64(1)
+_EVEN_BYTES = np.uint64(0x00FF00FF00FF00FF)
+
+
+def signs(found: np.ndarray) -> bytes:
+    """The fingerprint of a set of hashes: the signs of sums of weights, which are bytes made from the hashes, less
+    their mean.
+
+    Weights of many sizes make the sets' bits differ as often as the sets' angle says, however small they are.
+    """
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(found), 256):  # as many bytes as 16 bits can sum
+        weights = found[at : at + 256, None] * _FACTORS
+        weights ^= weights >> np.uint64(32)
+        even = (weights & _EVEN_BYTES).sum(axis=0)
+        weights >>= np.uint64(8)
+        weights &= _EVEN_BYTES
+        total += np.concatenate([even, weights.sum(axis=0)]).astype("<u8").view("<u2")
+    return np.packbits(2 * total > 255 * len(found), bitorder="little").tobytes()
+
+
 @functools.cache
 def differing(similarity: float) -> float:
     """The largest probability that one bit differs in the fingerprints of two sets of this similarity or more.
 
-    A bit is a vote of the set's hashes.  Between large sets the probability tends to the angle of equally large ones;
-    among small sets, even votes make it larger.
+    Between large sets it tends to the angle of equally large ones, over pi; among small sets it is drawn.
     """
     most = math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-    def votes(n: int) -> list[float]:
-        """Probability of each number of ones among n."""
-        return [math.comb(n, k) / 2**n for k in range(n + 1)]
-
-    for both in range(1, 65):
+    rng = np.random.default_rng(BITS)
+    for both in range(1, 25):
         apart = int(both * (1 / similarity - 1) + 1e-9)
-        for one in range(apart + 1):
-            for other in range(min(one, apart - one) + 1):
-                p = 0.0
-                for k, pk in enumerate(votes(both)):
-                    a = sum(q for j, q in enumerate(votes(one)) if 2 * (k + j) > both + one)
-                    b = sum(q for j, q in enumerate(votes(other)) if 2 * (k + j) > both + other)
-                    p += pk * (a * (1 - b) + b * (1 - a))
-                most = max(most, p)
-    return most
+        weights = 2 * rng.integers(0, 256, (100_000, both + apart)) - 255
+        shared = weights[:, :both].sum(axis=1)
+        for one in range((apart + 1) // 2, apart + 1):
+            a, b = shared + weights[:, both : both + one].sum(axis=1), shared + weights[:, both + one :].sum(axis=1)
+            most = max(most, float(((a > 0) != (b > 0)).mean()))
+    return most + 0.002  # three standard deviations of the draws
 
 
 def _distances(similarity: float, bits: int) -> np.ndarray:
@@ -72,7 +87,7 @@ def _distances(similarity: float, bits: int) -> np.ndarray:
     return np.array([math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)])
 
 
-def radius_for(similarity: float, bits: int = BITS, recall: float = RECALL) -> int:
+def radius_for(similarity: float, bits: int = CHECKED, recall: float = RECALL) -> int:
     """The distance that all but a tenth of what recall gives up stay within."""
     return int(np.searchsorted(np.cumsum(_distances(similarity, bits)), 1 - 0.1 * (1 - recall)))
 
@@ -80,11 +95,10 @@ def radius_for(similarity: float, bits: int = BITS, recall: float = RECALL) -> i
 def views_for(nodes: int, similarity: float, bits: int = BITS, recall: float = RECALL) -> list[np.ndarray]:
     """Random sets of bits in one of which a pair at this similarity agrees with probability recall.
 
-    They grow in number as the nodes do to the power of 0.24 at a similarity of 0.8.
+    They grow in number about as the nodes do to the power of 0.35 at a similarity of 0.8.
     """
     size = min(bits, max(1, math.ceil(math.log2(max(nodes, 1) / LOAD)))) if nodes > LOAD else 1
-    share = _distances(similarity, bits)
-    share[radius_for(similarity, bits, recall) + 1 :] = 0
+    share = _distances(similarity, bits) * (1 - 0.2 * (1 - recall))  # the rest both radii may give up
     agree = np.array([math.comb(bits - d, size) / math.comb(bits, size) for d in range(bits + 1)])
     n = 1
     while float((share * (1 - (1 - agree) ** n)).sum()) < recall:
@@ -116,7 +130,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(rep, simhash.voted(s, BITS)) for rep, s in _sets(batch.column(2), shingle)]
+            found = [(rep, signs(s)) for rep, s in _sets(batch.column(2), shingle)]
             out = [*batch.columns[:2], pa.array([rep for rep, _ in found], pa.int64()), pa.array([fp for _, fp in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, ["id", "key", "rep", "fp"])
 
@@ -152,53 +166,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(other, "b").where(both / (F.size("words_a") + F.size("words_b") - both) >= F.lit(similarity)).select("a", "b")
 
 
-def _forest(rep: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever the similarity connects among sets laid end to end, all compared."""
-    n = len(rep)
-    _, number, count = np.unique(words, return_inverse=True, return_counts=True)
-    use = count[number] > 1
-    owner, number = np.repeat(np.arange(n), size)[use], (np.cumsum(count > 1) - 1)[number[use]]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    both = np.zeros((n, n), np.float32)
-    for start in range(0, int((count > 1).sum()), 4096):
-        a, b = np.searchsorted(number, [start, start + 4096])
-        has = np.zeros((n, 4096), np.float32)
-        has[owner[a:b], number[a:b] - start] = 1
-        both += has @ has.T
-    near = np.stack([row / (size[k] + size - row) >= similarity for k, row in enumerate(both.astype(np.float64))])
-    left, a, b = np.ones(n, bool), [rep[:0]], [rep[:0]]
-    for k in range(n):
-        front = [k] if left[k] else []
-        left[k] = False
-        while front:
-            f = front.pop()
-            hit = np.flatnonzero(near[f] & left)
-            left[hit] = False
-            a.append(np.full(len(hit), rep[f]))
-            b.append(rep[hit])
-            front.extend(hit.tolist())
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _all_compared(apart: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+def _forest(rep: np.ndarray, fps: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever the similarity connects among sets laid end to end, each in order.
+
+    Pairs that are connected already, too unlike in size or further apart than the radius are not looked at.
+    """
+    ends = np.cumsum(size)
+    label = np.arange(len(rep))
+    a, b = [], []
+    for k in range(len(rep) - 1):
+        rest = np.arange(k + 1, len(rep))
+        rest = rest[(label[rest] != label[k]) & (np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k]))]
+        rest = rest[np.bitwise_count(fps[rest] ^ fps[k]).sum(axis=1) <= radius]
+        own = words[ends[k] - size[k] : ends[k]]
+        for j in rest.tolist():
+            if label[j] == label[k]:
+                continue
+            other = words[ends[j] - size[j] : ends[j]]
+            at = np.searchsorted(own, other)
+            both = int((own[np.minimum(at, len(own) - 1)] == other).sum()) if len(own) else 0
+            if both >= similarity * (size[k] + size[j] - both):
+                a.append(rep[k])
+                b.append(rep[j])
+                label[label == label[j]] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _all_compared(apart: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links (a, b) within groups of many nodes (key, rep)."""
-    own = apart.select("key", "rep").join(sets, "rep").withColumn("weight", 1 + F.size("words") / SET_WORDS)
+    own = apart.select("key", "rep").join(nodes.select("rep", "fp"), "rep").join(sets, "rep").withColumn("weight", 1 + F.size("words") / SET_WORDS)
     dealt = paired_blocks(own, "key", F.col("rep"), block, "weight")
+    radius = radius_for(similarity, BITS)
 
     def compare(group: pa.Table) -> pa.Table:
-        words = group.column("words").combine_chunks()
-        words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-        a, b = _forest(group.column("rep").to_numpy(), words.flatten().to_numpy(), words.value_lengths().to_numpy().astype(np.int64), similarity)
+        words, fps = (x.combine_chunks() for x in (group.column("words"), group.column("fp")))
+        words, fps = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (words, fps))
+        size = words.value_lengths().to_numpy().astype(np.int64)
+        a, b = _forest(group.column("rep").to_numpy(), simhash.as_words(fps), words.flatten().to_numpy().view(np.uint64), size, similarity, radius)
         return pa.table({"a": a, "b": b})
 
-    return dealt.select("key", "lo", "hi", "rep", "words").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.select("key", "lo", "hi", "rep", "fp", "words").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b): links between nodes (rep, fp, key) that connect all candidates at the similarity or more, and no others."""
     views = views_for(nodes.count(), similarity)
-    near = simhash.links(nodes, views, BITS, radius_for(similarity))
+    near = simhash.links(nodes, views, BITS, radius_for(similarity), checked=CHECKED)
     groups = written(connected_components(near).select(F.col("component").alias("group"), F.col("node").alias("rep")), "groups")
     sizes = written(groups.groupBy("group").count(), "group-sizes")
     shared = written(joined(groups, sizes, "group"), "sized-groups")
@@ -217,7 +230,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, simila
     placed = written(large.select("group", "rep").join(roots, "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("root")), "placed")
     mixed = written(placed.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group"), "groups-apart")
     apart = written(joined(placed.select(F.col("group").alias("key"), "rep"), mixed.withColumnRenamed("group", "key"), "key"), "sets-apart")
-    return found.union(written(_all_compared(apart, sets, similarity, block), "links-apart"))
+    return found.union(written(_all_compared(apart, nodes, sets, similarity, block), "links-apart"))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:

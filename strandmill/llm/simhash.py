@@ -61,10 +61,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, bits: int = BITS) -> bytes:
 def voted(hashes: np.ndarray, bits: int) -> bytes:
     """The fingerprint of hashes."""
     ones = np.zeros(bits, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        part = hashes[at : at + 255]
         wide = np.stack([part if k == 0 else mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(bits // 64)], axis=1)
-        ones += np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
@@ -92,7 +92,7 @@ def exact_views(bits: int = BITS, radius: int = RADIUS) -> list[np.ndarray]:
     return [np.concatenate(chosen) for chosen in itertools.combinations(blocks, 3)]
 
 
-def _as_words(fps: pa.Array) -> np.ndarray:
+def as_words(fps: pa.Array) -> np.ndarray:
     """Fingerprints, all of one length, as rows of 64-bit words."""
     n = len(fps)
     if not n:
@@ -110,15 +110,15 @@ def _distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
 
 
-def _place(views: list[np.ndarray], bits: int):
+def _place(views: list[np.ndarray], bits: int, checked: int):
     pivots = np.unpackbits(_pivots(bits).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                fps = _as_words(batch.column(1))
-                own = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                fps = as_words(batch.column(1))
+                own = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
                 keys = []
                 for k, view in enumerate(views):
                     p = pivots[:, view]
@@ -128,20 +128,35 @@ def _place(views: list[np.ndarray], bits: int):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + d)
                     keys.append(key)
                 again = pa.array(np.tile(np.arange(len(fps)), len(views)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(c.take(again) for c in batch.columns)], ["key", "rep", "fp"])
+                head = pa.array([x[: checked // 8] for x in batch.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(again), head.take(again)], ["key", "rep", "fp"])
 
     return run
 
 
-def _forest(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _near(fps: np.ndarray, coordinates: np.ndarray | None, a: np.ndarray, b: np.ndarray | int, radius: int) -> np.ndarray:
+    """The places in a at which fingerprints a and b lie within radius; by pivot distances first, then by bits."""
+    some = np.arange(len(a))
+    other = np.broadcast_to(b, len(a))
+    if coordinates is not None:
+        some = np.flatnonzero(np.abs(coordinates[a] - coordinates[other]).max(axis=1, initial=0) <= radius)
+    return some[np.bitwise_count(fps[a[some]] ^ fps[other[some]]).sum(axis=1) <= radius]
+
+
+def _prunes(bits: int, radius: int) -> bool:
+    """Whether pivot distances of unrelated fingerprints, of standard deviation sqrt(bits) / 2, differ by more than the
+    radius at all often."""
+    return radius < 4 * (bits / 2) ** 0.5
+
+
+def _forest(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever is connected in one bucket: at most one per fingerprint, not all pairs."""
     out, left = [], np.arange(len(rep))
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             f = front.pop()
-            maybe = np.flatnonzero(np.abs(coordinates[left] - coordinates[f]).max(axis=1) <= radius)
-            hit = maybe[np.bitwise_count(fps[left[maybe]] ^ fps[f]).sum(axis=1) <= radius]
+            hit = _near(fps, coordinates, left, f, radius)
             if len(hit):
                 near = left[hit]
                 out.append((np.full(len(near), rep[f]), rep[near]))
@@ -150,29 +165,31 @@ def _forest(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray, radius: i
     return out
 
 
-def _small_buckets(rep: np.ndarray, fps: np.ndarray, end: np.ndarray, longest: int, use: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_buckets(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, end: np.ndarray, longest: int, use: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within buckets of up to _SMALL rows, a bucket's rows ending at `end`: all buckets at once."""
     row = np.flatnonzero(use)
-    coordinates = _distances(fps, pivots)
     a, b = [rep[:0]], [rep[:0]]
     for step in range(1, longest):
         row = row[row + step < end[row]]
-        near = row[np.abs(coordinates[row] - coordinates[row + step]).max(axis=1, initial=0) <= radius]
-        near = near[np.bitwise_count(fps[near] ^ fps[near + step]).sum(axis=1) <= radius]
+        near = row[_near(fps, coordinates, row, row + step, radius)]
         a.append(rep[near])
         b.append(rep[near + step])
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET, checked: int | None = None) -> DataFrame:
     """(a, b): links between rows (rep, fp) of distinct fingerprints that connect what lies within `radius` bits and
-    agrees in a view; rep is a whole number that names the fingerprint."""
+    agrees in a view; rep is a whole number that names the fingerprint.
+
+    checked: the radius holds for so many of the bits, and only those move to the buckets.
+    """
     views = exact_views(bits, radius) if views is None else views
-    table = nodes.select("rep", "fp").mapInArrow(_place(views, bits), "key long, rep long, fp binary")
+    checked = checked or bits
+    table = nodes.select("rep", "fp").mapInArrow(_place(views, bits, checked), "key long, rep long, fp binary")
     table = paired_blocks(table, "key", F.col("rep"), bucket)
     order = ["key", "lo", "hi"]
     table = table.select(*order, "rep", "fp").repartition(*order).sortWithinPartitions(*order)
-    pivots = _pivots(bits)
+    pivots = _pivots(checked) if _prunes(checked, radius) else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -183,7 +200,7 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
                 (rows, fps), kept = kept, None
             else:
                 rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-                fps = _as_words(batch.column(4))
+                fps = as_words(batch.column(4))
                 if kept is not None:
                     rows, fps = np.concatenate([kept[0], rows], axis=1), np.concatenate([kept[1], fps])
                 kept = None
@@ -197,9 +214,10 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
                     continue
             rep = rows[3]
             size = np.diff(np.append(first, len(rep)))
-            out = [_small_buckets(rep, fps, np.repeat(first + size, size), int(size[size <= _SMALL].max(initial=0)), np.repeat(size, size) <= _SMALL, pivots, radius)]
+            coordinates = None if pivots is None else _distances(fps, pivots)
+            out = [_small_buckets(rep, fps, coordinates, np.repeat(first + size, size), int(size[size <= _SMALL].max(initial=0)), np.repeat(size, size) <= _SMALL, radius)]
             for s, n in zip(first[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-                out.extend(_forest(rep[s : s + n], fps[s : s + n], _distances(fps[s : s + n], pivots), radius))
+                out.extend(_forest(rep[s : s + n], fps[s : s + n], None if coordinates is None else coordinates[s : s + n], radius))
             a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

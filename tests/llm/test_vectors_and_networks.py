@@ -34,6 +34,20 @@ def test_links_equal_brute_force(spark):
     assert V.links(frame.limit(0)).count() == 0
 
 
+def test_short_and_long_vectors_side_by_side(spark):
+    """Near pairs of two lengths whose cells come in one batch, repeated rows and rows without an id."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in (16, 64, 16, 64):
+        base = rng.standard_normal(dim)
+        rows += [base.tolist(), (base + 0.01 * rng.standard_normal(dim)).tolist()]
+    ids = [*range(8), None, 9]
+    rows += [rows[0], rows[2]]
+    frame = spark.createDataFrame(list(zip(ids, rows)), "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.id: (r.n_links, r.component) for r in V.links(frame).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), None: (2, 0), 9: (2, 2)}
+
+
 def test_calibration():
     assert V.tables_for(0.95, 0.999) > V.tables_for(0.95, 0.9) and V.tables_for(0.99) < V.tables_for(0.95)
     rng = np.random.default_rng(2)
