@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.grid import initial_rate_weights
+from strandmill.functions.ranks import values_at, with_before
 
 GAPS = "._-"
 
@@ -48,14 +52,20 @@ def encoded(msa: DataFrame, states: list[str]) -> DataFrame:
 
 def with_missing(msa: DataFrame, states: list[str], missing: str = "-") -> DataFrame:
     """Sequences with a missing mark for all that is not in the alphabet."""
-    return msa.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), lambda c: F.when(c.isin(states), c).otherwise(missing)), ""))
+    return msa.withColumn("seq", F.regexp_replace("seq", f"[^{re.escape(''.join(states))}]", missing))
 
 
 def site_subset(msa: DataFrame, subset: DataFrame) -> DataFrame:
     """(family, seq_name, seq) of the sites in subset (family, k, site), in order of k."""
     sites = subset.groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "site"))), lambda s: s["site"]).alias("sites"))
     picked = F.transform("sites", lambda s: F.col("seq").substr(s + 1, F.lit(1)))
-    return msa.join(F.broadcast(sites), "family").select("family", "seq_name", F.array_join(picked, "").alias("seq"))
+    return msa.join(sites, "family").select("family", "seq_name", F.array_join(picked, "").alias("seq"))
+
+
+def site_subset_rates(rates: DataFrame, subset: DataFrame) -> DataFrame:
+    """(family, rates) of the sites in subset (family, k, site), in order of k; rates is an array of site rates."""
+    sites = subset.groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "site"))), lambda s: s["site"]).alias("sites"))
+    return rates.join(sites, "family").select("family", F.transform("sites", lambda s: F.get("rates", s)).alias("rates"))
 
 
 def column_histogram(msa: DataFrame, states: list[str]) -> DataFrame:
@@ -83,10 +93,12 @@ def initial_rate_categories(variability: DataFrame, rates: list[float]) -> DataF
     n = F.count("*").over(Window.partitionBy("family"))
     placed = variability.withColumns({"rank": order, "n": n})
     cuts = [F.floor(F.lit(w) * F.col("n") + 0.5) for w in initial_rate_weights(rates)]
-    # as the method has it: the category goes up by one where the rank reaches the present category's own share
-    start = F.struct(F.lit(0).alias("rc"), F.lit(-1).alias("at"))
-    walk = F.aggregate(F.sequence(F.lit(0), F.col("rank")), start, lambda acc, i: F.struct(F.least(F.when(i >= F.get(F.array(*cuts), acc["rc"]), acc["rc"] + 1).otherwise(acc["rc"]), F.lit(len(rates) - 1)).alias("rc"), F.lit(-1).alias("at")))
-    return placed.select("family", "site", walk["rc"].alias("category"))
+    # the category goes up by one at the first rank, past the one where it last did, that reaches the category's own share
+    category, reached = F.lit(0), None
+    for cut in cuts[: len(rates) - 1]:
+        reached = F.greatest(cut, F.lit(0)) if reached is None else F.greatest(cut, reached + 1)
+        category = category + (F.col("rank") >= reached).cast("int")
+    return placed.select("family", "site", category.alias("category"))
 
 
 def subsample(msa: DataFrame, most: int, seed: int = 0) -> DataFrame:
@@ -109,15 +121,46 @@ def _distance(a: str, b: str, states: list[str]):
     return F.aggregate(both, F.lit(0), lambda s, d: s + d), F.size(both)
 
 
+#: Sequences of a family that one task compares with all of it.
+PAIRED = 1024
+
+
+def _packed(seq: str, states: list[str], width: int) -> list[Column]:
+    """Per 64 sites: a number with a bit for each site with a state, and the bits of the states' places in the alphabet."""
+    planes = max(1, math.ceil(math.log2(len(states))))
+    other = next(c for c in "-._*" if c not in states)
+    known = F.regexp_replace(seq, f"[^{re.escape(''.join(states))}]", other)
+    kinds = ["1" * len(states)] + ["".join(str(k >> p & 1) for k in range(len(states))) for p in range(planes)]
+    out = []
+    for start in range(0, width, 64):
+        part = F.substring(known, start + 1, 64)
+        out += [F.conv(F.rpad(F.translate(part, "".join(states) + other, kind + "0"), 64, "0"), 2, -10).cast("long") for kind in kinds]
+    return out
+
+
 def hamming_pairs(msa: DataFrame, states: list[str]) -> DataFrame:
     """(family, x, y, distance) of all pairs x < y of each family: the share of differing sites, 0 without joint ones.
 
-    The full distance matrix is the result asked for; fast_cherries() needs only a few rows of it.
+    The full distance matrix is the result asked for; fast_cherries() needs only a few rows of it.  Sequences are packed
+    into bits once and pairs compared by those; a large family is dealt to tasks, each of which compares PAIRED
+    sequences with all.
     """
-    a = msa.select("family", F.col("seq_name").alias("x"), F.col("seq").alias("x_seq"))
-    b = msa.select("family", F.col("seq_name").alias("y"), F.col("seq").alias("y_seq"))
-    differ, joint = _distance("x_seq", "y_seq", states)
-    return a.join(b, "family").where("x < y").select("family", "x", "y", F.when(joint == 0, 0.0).otherwise(differ / joint).alias("distance"))
+    width = msa.agg(F.max(F.length("seq"))).first()[0] or 0
+    bits = _packed("seq", states, width)
+    per = max(1, math.ceil(math.log2(len(states)))) + 1
+    packed = msa.select("family", "seq_name", *[b.alias(f"b{k}") for k, b in enumerate(bits)])
+    parts = msa.groupBy("family").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    own = packed.join(parts, "family")
+    a = own.withColumn("part", F.pmod(F.xxhash64("seq_name"), "parts")).select("family", "part", F.col("seq_name").alias("x"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(len(bits))])
+    b = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("family", "part", F.col("seq_name").alias("y"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(len(bits))])
+    differ, joint = F.lit(0), F.lit(0)
+    for at in range(0, len(bits), per):
+        both = F.col(f"x{at}").bitwiseAND(F.col(f"y{at}"))
+        other = F.lit(0).cast("long")
+        for k in range(at + 1, at + per):
+            other = other.bitwiseOR(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")))
+        differ, joint = differ + F.bit_count(both.bitwiseAND(other)), joint + F.bit_count(both)
+    return a.join(b, ["family", "part"]).where("x < y").select("family", "x", "y", F.when(joint == 0, 0.0).otherwise(differ / joint).alias("distance"))
 
 
 def farthest_sequence(msa: DataFrame, states: list[str]) -> DataFrame:
@@ -129,28 +172,39 @@ def farthest_sequence(msa: DataFrame, states: list[str]) -> DataFrame:
     return far.groupBy("family", "x").agg(best.alias("b")).select("family", "x", "b.y", "b.distance")
 
 
-def site_pair_cooccurrence(msa: DataFrame, states: list[str], sites: int, least_share: float = 1 / 8, least_lift: float = 0.2) -> DataFrame:
-    """(family, i, j, a, b, n, ni, nj, total, lift): pairs of sites i < j < sites and of states a, b that are seen
-    together in at least a share of the sequences, and whose share differs from the product of the two sites' shares
-    by more than least_lift."""
-    r = residues(msa).where((F.col("site") < sites) & F.col("state").isin(states))
-    one = r.groupBy("family", "site", "state").agg(F.count("*").alias("n"))
-    total = msa.groupBy("family").agg(F.count("*").alias("total"))
-    letters = F.transform(F.split(F.substring("seq", 1, sites), ""), lambda c, i: F.struct(i.alias("i"), c.alias("a")))
-    both = msa.select("family", F.explode(letters).alias("p"), letters.alias("all")).select("family", "p", F.explode(F.filter("all", lambda q: q["i"] > F.col("p.i"))).alias("q"))
-    both = both.select("family", F.col("p.i").alias("i"), F.col("q.i").alias("j"), F.col("p.a").alias("a"), F.col("q.a").alias("b")).where(F.col("a").isin(states) & F.col("b").isin(states))
-    both = both.groupBy("family", "i", "j", "a", "b").agg(F.count("*").alias("n"))
-    own = lambda s, c, n: one.select("family", F.col("site").alias(s), F.col("state").alias(c), F.col("n").alias(n))
-    out = both.join(own("i", "a", "ni"), ["family", "i", "a"]).join(own("j", "b", "nj"), ["family", "j", "b"]).join(total, "family")
-    lift = F.col("n") / F.col("total") - (F.col("ni") / F.col("total")) * (F.col("nj") / F.col("total"))
-    out = out.withColumn("lift", lift).where((F.col("n") >= F.col("total") * least_share) & (F.abs("lift") > least_lift))
-    return out.select("family", "i", "j", "a", "b", "n", "ni", "nj", "total", "lift")
+def site_pair_cooccurrence(msa: DataFrame, first: str, second: str, least_share: float = 1 / 8, least_swapped: float = 0.2) -> DataFrame:
+    """(family, i, j, first_second, second_first, first_first, second_second, total): pairs of sites i < j that trade two
+    states.
+
+    total counts the sequences that have one of the two states at either site, the four shares are of those.  Reported
+    are pairs whose total is at least a share of the family's sequences and both of whose mixed shares exceed
+    least_swapped.  Pairs are made from a sequence's own row and counted before they move.
+    """
+    sites = F.filter(F.transform(F.split("seq", ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda s: s["c"].isin(first, second))
+    rows = msa.select("family", sites.alias("all")).select("family", "all", F.explode("all").alias("p"))
+    rows = rows.select("family", "p", F.explode(F.filter("all", lambda s: s["i"] > F.col("p.i"))).alias("q"))
+    share = lambda a, b: F.avg(((F.col("p.c") == a) & (F.col("q.c") == b)).cast("double"))
+    names = {"first_second": (first, second), "second_first": (second, first), "first_first": (first, first), "second_second": (second, second)}
+    pairs = rows.groupBy("family", F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(*[share(*ab).alias(n) for n, ab in names.items()], F.count("*").alias("total"))
+    sizes = msa.groupBy("family").agg(F.count("*").alias("sequences"))
+    found = pairs.where((F.col("first_second") > least_swapped) & (F.col("second_first") > least_swapped)).join(sizes, "family")
+    return found.where(F.col("total") >= F.col("sequences") * least_share).select("family", "i", "j", *names, "total")
 
 
 def quantile_bins(values: DataFrame, column: str, bins: int) -> DataFrame:
-    """(bin, n, mean, q25, q75): rows in equally frequent bins by value; boundaries come from exact percentiles."""
-    cuts = values.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("cuts"))
-    placed = values.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(column))))
-    q = lambda p: F.percentile(F.col(column).cast("double"), F.lit(p))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg(column).alias("mean"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    """(bin, n, mean, q25, q75): rows in equally frequent bins by value, by exact quantiles.
 
+    Different values are counted and ordered by ranges; boundaries and quartiles are looked up by their places.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    ordered = with_before(counted, column, "n").persist()
+    rows = ordered.agg(F.sum("n")).first()[0] or 0
+    cuts = values_at(ordered, column, "n", [(rows - 1) * k / bins for k in range(1, bins)] if rows else [])
+    number = F.col(column).cast("double")
+    placed = ordered.withColumn("bin", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < number)) if cuts else F.lit(0))
+    per = placed.groupBy("bin").agg(F.sum("n").alias("n"), F.min("before").alias("first"), F.sum(number * F.col("n")).alias("total")).orderBy("bin").collect()  # a row a bin
+    places = [r["first"] + (r["n"] - 1) * q for r in per for q in (0.25, 0.75)]
+    quartiles = values_at(ordered, column, "n", places)
+    ordered.unpersist()
+    out = [(r["bin"], r["n"], r["total"] / r["n"], quartiles[2 * k], quartiles[2 * k + 1]) for k, r in enumerate(per)]
+    return values.sparkSession.createDataFrame(out, "bin int, n long, mean double, q25 double, q75 double")

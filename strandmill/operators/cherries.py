@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,4 +144,5 @@ def fast_cherries(msa: DataFrame, states: list[str], q: np.ndarray, points: list
         return out
 
     both = msa.groupBy("family").applyInPandas(run, f"family {kind}, parent string, child string, child_ord int, length double, rates array<double>")
+    both = both.persist(StorageLevel.DISK_ONLY)  # edges and rates are read apart; a lost part is made again, with the same draws
     return both.drop("rates"), both.where("rates is not null").select("family", F.col("rates"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +63,38 @@ def distance_contacts(atoms: DataFrame, cutoff: float) -> DataFrame:
     return a.join(b, ["family", "cx", "cy", "cz"]).where((F.col("i") < F.col("j")) & (F.sqrt(square) < cutoff)).select("family", "i", "j")
 
 
+#: Length and angles by which a side chain's first atom stands off its backbone: fixed values of proteins.
+BOND, ANGLE, TURN = 1.522, 1.927, -2.143
+
+
+def side_atoms(backbone: DataFrame) -> DataFrame:
+    """(family, site, x, y, z): the first side-chain atom of residues (family, site, N, CA, C), made up from the backbone,
+    so that glycine has one too."""
+    point = lambda c: [F.col(f"{c}.{k}") for k in "xyz"]
+    n, a, c = point("N"), point("CA"), point("C")
+    minus = lambda p, q: [x - y for x, y in zip(p, q, strict=True)]
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+
+    def unit(p):
+        size = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
+        return [x / size for x in p]
+
+    # axes: along N to CA, and two across it, of which one lies in the plane with C
+    along = unit(minus(n, a))
+    up = unit(cross(minus(n, c), along))
+    side = cross(up, along)
+    parts = BOND * math.cos(ANGLE), BOND * math.sin(ANGLE) * math.cos(TURN), -BOND * math.sin(ANGLE) * math.sin(TURN)
+    made = [o + parts[0] * x + parts[1] * y + parts[2] * z for o, x, y, z in zip(a, along, side, up, strict=True)]
+    return backbone.select("family", "site", *[m.alias(k) for m, k in zip(made, "xyz", strict=True)])
+
+
+def backbone_contacts(backbone: DataFrame, cutoff: float = 8.0) -> DataFrame:
+    """(family, i, j): all residues, themselves included and in both orders, whose side_atoms() are closer than cutoff."""
+    near = distance_contacts(side_atoms(backbone), cutoff)
+    own = backbone.select("family", F.col("site").alias("i"), F.col("site").alias("j"))
+    return near.unionByName(near.select("family", F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(own)
+
+
 def trivial_contacts(sites: DataFrame) -> DataFrame:
     """(family, i, j): every site of (family, n_sites) touches itself and nothing else."""
     return sites.select("family", F.explode(F.sequence(F.lit(0), F.col("n_sites").cast("int") - 1)).alias("i")).withColumn("j", F.col("i"))

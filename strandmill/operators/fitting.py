@@ -123,14 +123,16 @@ def loss_and_gradient(q: np.ndarray, times: np.ndarray, counts: np.ndarray) -> t
 
 
 def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1, optimizer: str = "adam") -> tuple[np.ndarray, float]:
-    """The best matrix met on the way of Adam's steps (or of plain gradient steps: optimizer sgd), and its loss."""
-    if optimizer not in ("adam", "sgd"):
+    """The best matrix met on the way of Adam's steps (or of plain gradient steps, sgd, or of lbfgs), and its loss."""
+    if optimizer not in ("adam", "sgd", "lbfgs"):
         raise ValueError(f"no optimizer {optimizer}")
     used = counts.sum(axis=(1, 2)) > 0
     times, counts = np.asarray(times, float)[used], np.asarray(counts, float)[used]
     model = MODES[mode](initial, mask, pi) if pi is not None else MODES[mode](initial, mask)
     if not len(times):
         return model.value(), float("nan")
+    if optimizer == "lbfgs":
+        return _quasi_newton(model, times, counts, epochs)
     mean = square = np.zeros_like(model.theta)
     best, best_loss = model.value(), np.inf
     for step in range(1, epochs + 1):
@@ -147,6 +149,45 @@ def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.nda
     return best, best_loss
 
 
+def _quasi_newton(model, times: np.ndarray, counts: np.ndarray, steps: int, memory: int = 10) -> tuple[np.ndarray, float]:
+    """Steps along the gradient as turned by the last `memory` changes of place and gradient, halved until the loss falls."""
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        model.theta = theta
+        q = model.value()
+        loss, g = loss_and_gradient(q, times, counts)
+        return loss, model.gradient(g), q
+
+    theta = model.theta
+    loss, g, q = at(theta)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, used = -g, []
+        for s, y in reversed(moves):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            used.append(a)
+        if moves:
+            d = d * (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1])
+        for (s, y), a in zip(moves, reversed(used), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, size = float(g @ d), 1.0
+        if slope >= 0 or np.abs(g).max() < 1e-12:
+            break
+        while size > 1e-12:
+            new_loss, new_g, new_q = at(theta + size * d)
+            if np.isfinite(new_loss) and new_loss <= loss + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * d, new_g - g
+        if s @ y > 1e-14:
+            moves = [*moves[-(memory - 1) :], (s, y)]
+        theta, loss, g, q = theta + s, new_loss, new_g, new_q
+    return q, loss
+
+
 def dense_counts(counts: pd.DataFrame, states: list[str], n_buckets: int) -> np.ndarray:
     at = {s: k for k, s in enumerate(states)}
     out = np.zeros((n_buckets, len(states), len(states)))
@@ -155,30 +196,123 @@ def dense_counts(counts: pd.DataFrame, states: list[str], n_buckets: int) -> np.
     return out
 
 
-def learn_from_counts(counts: DataFrame, initial: DataFrame, states: list[str], points: list[float], mask: DataFrame | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1) -> DataFrame:
+def learn_from_counts(counts: DataFrame, initial: DataFrame, states: list[str], points: list[float], mask: DataFrame | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1, optimizer: str = "adam") -> DataFrame:
     """(x, y, q) of the most likely matrix.  Counts have buckets x states x states rows at most, whatever the data."""
     from strandmill.functions.markov import dense
 
     q0 = dense(initial, states)[1]
     m = None if mask is None else dense(mask.select("x", "y", F.col("m").cast("double").alias("q")), states)[1]
     own = counts.where(F.col("x").isin(states) & F.col("y").isin(states)).toPandas()
-    q, _ = fit(np.array(points), dense_counts(own, states, len(points)), q0, m, mode=mode, epochs=epochs, rate=rate)
+    q, _ = fit(np.array(points), dense_counts(own, states, len(points)), q0, m, mode=mode, epochs=epochs, rate=rate, optimizer=optimizer)
     rows = [(a, b, float(q[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)]
     return counts.sparkSession.createDataFrame(rows, "x string, y string, q double")
 
 
-def learn_each(counts: DataFrame, keys: list[str], initial: np.ndarray, states: list[str], points: list[float], epochs: int = 100, rate: float = 0.1, scale: str | None = None) -> DataFrame:
-    """(keys, x, y, q): a matrix for each key of counts (keys, bucket, x, y, n), started from initial times the column
-    scale, if there is one; a key without counts does not occur.  Each key is a group of bounded size."""
-    kinds = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
-    times = np.array(points)
+class ReversibleMatrices:
+    """Many matrices at once, each Q_ij = S_ij * sqrt(pi_j / pi_i) with S symmetric, from free numbers."""
+
+    def __init__(self, initial: np.ndarray):
+        n = initial.shape[1]
+        pi = np.stack([stationary_distribution(q) for q in initial])
+        if (pi < 1e-8).any():
+            raise ValueError("the stationary distribution is degenerate")
+        s = initial / np.sqrt(pi[:, None, :] / pi[:, :, None])
+        self.where = np.triu_indices(n, 1)
+        self.theta = np.concatenate([_softplus_inverse(((s + s.transpose(0, 2, 1)) / 2)[:, *self.where]), np.log(pi)], axis=1)
+
+    def value(self) -> np.ndarray:
+        k, n = len(self.where[0]), self.theta.shape[1] - len(self.where[0])
+        s = np.zeros((len(self.theta), n, n))
+        s[:, *self.where] = _softplus(self.theta[:, :k])
+        e = np.exp(self.theta[:, k:] - self.theta[:, k:].max(axis=1, keepdims=True))
+        self.pi = e / e.sum(axis=1, keepdims=True)
+        self._w = np.sqrt(self.pi[:, None, :] / self.pi[:, :, None])
+        self._off = (s + s.transpose(0, 2, 1)) * self._w
+        q = self._off.copy()
+        at = np.arange(n)
+        q[:, at, at] = -self._off.sum(axis=2)
+        return q
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        """From the gradients by Q to those by the free numbers, at the value last made."""
+        k, at = len(self.where[0]), np.arange(g.shape[1])
+        own = g - g[:, at, at][:, :, None]
+        own[:, at, at] = 0
+        ds = own * self._w
+        d_theta = (ds + ds.transpose(0, 2, 1))[:, *self.where] * _logistic(self.theta[:, :k])
+        flow = own * self._off
+        d_log = 0.5 * (flow.sum(axis=1) - flow.sum(axis=2))
+        return np.concatenate([d_theta, d_log - self.pi * d_log.sum(axis=1, keepdims=True)], axis=1)
+
+
+def losses_and_gradients(q: np.ndarray, pi: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """loss_and_gradient() of many reversible matrices (sites, states, states) with their counts (sites, buckets, ...)."""
+    root = np.sqrt(pi)
+    symmetric = root[:, :, None] * q / root[:, None, :]
+    values, u = np.linalg.eigh((symmetric + symmetric.transpose(0, 2, 1)) / 2)
+    v, inverse = u / root[:, :, None], u.transpose(0, 2, 1) * root[:, None, :]
+    e = np.exp(times[None, :, None] * values[:, None, :])
+    p = np.maximum((v[:, None] * e[:, :, None, :]) @ inverse[:, None], 1e-300)
+    total = np.maximum(counts.sum(axis=(1, 2, 3)), 1e-300)
+    loss = -(counts * np.log(p)).sum(axis=(1, 2, 3)) / total
+    g = -counts / p / total[:, None, None, None]
+    difference = values[:, :, None] - values[:, None, :]
+    near = np.abs(difference) < 1e-10
+    x = (e[:, :, :, None] - e[:, :, None, :]) / np.where(near, 1, difference)[:, None]
+    x = np.where(near[:, None], times[None, :, None, None] * e[:, :, :, None], x)
+    inner = (x * (v.transpose(0, 2, 1)[:, None] @ g @ inverse.transpose(0, 2, 1)[:, None])).sum(axis=1)
+    return loss, inverse.transpose(0, 2, 1) @ inner @ v.transpose(0, 2, 1)
+
+
+def fit_many(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, epochs: int = 100, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """fit() of many sites at once by Adam's steps: the best matrices met, each by its own loss, and the losses.
+
+    A site without counts keeps its start.
+    """
+    used = counts.sum(axis=(0, 2, 3)) > 0
+    times, counts = np.asarray(times, float)[used], np.asarray(counts, float)[:, used]
+    model = ReversibleMatrices(initial)
+    best, best_loss = model.value(), np.full(len(initial), np.inf)
+    if not len(times):
+        return best, np.full(len(initial), np.nan)
+    mean, square = np.zeros_like(model.theta), np.zeros_like(model.theta)
+    for step in range(1, epochs + 1):
+        q = model.value()
+        loss, g = losses_and_gradients(q, model.pi, times, counts)
+        better = loss < best_loss
+        best[better], best_loss[better] = q[better], loss[better]
+        g = model.gradient(g)
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        model.theta = model.theta - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return best, best_loss
+
+
+#: Numbers that one batch of sites holds in an array: sites x buckets x states x states.
+BATCH_NUMBERS = 2_000_000
+
+
+def learn_sites(counts: DataFrame, initial: np.ndarray, states: list[str], points: list[float], epochs: int = 100, rate: float = 0.1, scale: str | None = None) -> DataFrame:
+    """(family, site, x, y, q): a matrix for each site of counts (family, site, bucket, x, y, n), started from initial
+    times the column scale, if there is one; a site without counts does not occur.
+
+    Neighbouring sites of a family are fitted together, as many as BATCH_NUMBERS allows.
+    """
+    family, site = (counts.schema[c].dataType.simpleString() for c in ("family", "site"))
+    times, n, at = np.array(points), len(states), {s: k for k, s in enumerate(states)}
+    together = max(1, BATCH_NUMBERS // (len(points) * n * n))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        start = initial * (float(group[scale].iloc[0]) if scale else 1.0)
-        q, _ = fit(times, dense_counts(group, states, len(points)), start, epochs=epochs, rate=rate)
-        out = pd.DataFrame({"x": np.repeat(states, len(states)), "y": np.tile(states, len(states)), "q": q.ravel()})
-        for k in reversed(keys):
-            out.insert(0, k, group[k].iloc[0])
-        return out
-
-    return counts.groupBy(*keys).applyInPandas(run, f"{kinds}, x string, y string, q double")
+        sites, place = np.unique(group["site"].to_numpy(), return_inverse=True)
+        dense = np.zeros((len(sites), len(points), n, n))
+        x, y = (group[c].map(at).to_numpy() for c in "xy")
+        np.add.at(dense, (place, group["bucket"].to_numpy(), x, y), group["n"].to_numpy())
+        by_site = np.ones(len(sites))
+        if scale:
+            by_site[place] = group[scale].to_numpy()
+        q, _ = fit_many(times, dense, initial[None] * by_site[:, None, None], epochs, rate)
+        names = np.array(states)
+        out = {"family": group["family"].iloc[0], "site": np.repeat(sites, n * n), "x": np.tile(np.repeat(names, n), len(sites)), "y": np.tile(names, n * len(sites)), "q": q.ravel()}
+        return pd.DataFrame(out)
+
+    own = counts.where(F.col("x").isin(states) & F.col("y").isin(states)).withColumn("batch", F.floor(F.col("site") / together))
+    return own.groupBy("family", "batch").applyInPandas(run, f"family {family}, site {site}, x string, y string, q double")

@@ -74,7 +74,7 @@ def tree_likelihood(edges: DataFrame, msa: DataFrame, states: list[str], q: np.n
 
     def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or seqs.empty:
-            return pd.DataFrame({"family": [], "site": [], "ll": []})
+            return pd.DataFrame(columns=["family", "site", "ll"], dtype=object)
         known = dict(zip(seqs["seq_name"], seqs["seq"], strict=True))
         if leaves_only:
             inner = set(tree["parent"])
@@ -98,7 +98,7 @@ def pair_likelihood(edges: DataFrame, msa: DataFrame, contacts: DataFrame, state
 
     def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or seqs.empty:
-            return pd.DataFrame({"family": [], "k": [], "ll": []})
+            return pd.DataFrame(columns=["family", "k", "ll"], dtype=object)
         inner = set(tree["parent"])
         known = {name: seq.split(",") for name, seq in zip(seqs["seq_name"], seqs["seq"], strict=True) if name not in inner}
         n = len(next(iter(known.values())))
@@ -164,7 +164,7 @@ def ancestral_states(edges: DataFrame, msa: DataFrame, states: list[str]) -> Dat
 
     def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or seqs.empty:
-            return pd.DataFrame({"family": [], "node": [], "seq": [], "changes": []})
+            return pd.DataFrame(columns=["family", "node", "seq", "changes"], dtype=object)
         inner = set(tree["parent"])
         known = {k: v for k, v in zip(seqs["seq_name"], seqs["seq"], strict=True) if k not in inner}
         found, changes = parsimony(tree, known, states)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions.ranks import with_before
+
 
 def jtt_ipw(counts: DataFrame, states: list[str], points: list[float], ipw: bool = True, pseudocount: float = 1e-8, mask: DataFrame | None = None, symmetrize: bool = True, max_time: float | None = None, normalize: bool = False) -> DataFrame:
     """(x, y, q): rate matrix of counts (bucket, x, y, n) over states, by conditional transition probabilities and
@@ -82,6 +84,26 @@ def metrics(a: DataFrame, b: DataFrame, mask: DataFrame | None = None) -> DataFr
     return both.agg(F.max(F.abs(log)).alias("l_infty"), F.sqrt(F.avg(log * log)).alias("rmse"), (F.exp(F.max(F.abs(log))) - 1).alias("mre"), F.avg(error).alias("mean_relative_error"))
 
 
+def relative_errors(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, y, error): by how much the larger of two off-diagonal entries exceeds the smaller, as a share of that."""
+    both = a.select("x", "y", F.col("q").alias("qa")).join(b.select("x", "y", F.col("q").alias("qb")), ["x", "y"]).where("x <> y")
+    return both.select("x", "y", (F.greatest(F.col("qa") / F.col("qb"), F.col("qb") / F.col("qa")) - 1).alias("error"))
+
+
+def block(rates: DataFrame, states: list[str]) -> DataFrame:
+    """The entries between some of the states."""
+    return rates.where(F.col("x").isin(states) & F.col("y").isin(states))
+
+
+def transition_probabilities(rates: DataFrame, time: float) -> DataFrame:
+    """(x, y, p) after a time; the matrix has states x states entries and is exponentiated on the driver."""
+    from strandmill.functions.markov import dense, expm
+
+    states, q = dense(rates)
+    p = expm(q * time)
+    return rates.sparkSession.createDataFrame([(a, b, float(p[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)], "x string, y string, p double")
+
+
 def correlations(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: Pearson and Spearman correlation of the off-diagonal entries' logarithms."""
     both = a.select("x", "y", F.log10("q").alias("la")).where("x <> y").join(b.select("x", "y", F.log10("q").alias("lb")), ["x", "y"])
@@ -91,6 +113,19 @@ def correlations(a: DataFrame, b: DataFrame) -> DataFrame:
     return ranked.agg(F.corr("la", "lb").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
+def bootstrap_sums(rows: DataFrame, column: str, resamples: int) -> DataFrame:
+    """(resample, column): sums over resamples of the families in rows (family, column), as many draws as families.
+
+    Draw k of a resample is the family at the place that a hash of both gives.
+    """
+    placed = with_before(rows.withColumn("one", F.lit(1)), "family", "one").select(F.col("before").alias("place"), column)
+    n = placed.count()
+    draws = placed.select(F.col("place").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("resample").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = draws.select("resample", (hashed % n).alias("place")).groupBy("resample", "place").agg(F.count("*").alias("times"))
+    return drawn.join(placed, "place").groupBy("resample").agg(F.sum(F.col(column) * F.col("times")).cast("double").alias(column))
+
+
 def jump_probabilities(rates: DataFrame) -> DataFrame:
     """(x, y, p): where a chain goes when it leaves x."""
     out = F.sum(F.when(F.col("x") == F.col("y"), -F.col("q"))).over(Window.partitionBy("x"))

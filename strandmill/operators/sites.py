@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.grid import bucket, log_gamma_prior, site_rate_grid
 from strandmill.functions.markov import expm_many, stationary_distribution
 from strandmill.operators import counts as C
-from strandmill.operators.fitting import learn_each
+from strandmill.operators.fitting import learn_sites
+
+
+#: Sites whose matrices one group holds.
+SITES_TOGETHER = 64
 
 
 def rate_candidates(rows: DataFrame, log_p, rates: list[float]) -> DataFrame:
@@ -81,7 +86,48 @@ def learn_site_models(pairs: DataFrame, msa: DataFrame, rates: DataFrame, states
     spark = pairs.sparkSession
     raw = C.site_counts(pairs, msa, points, states, strategy)
     mixed = regularized(raw, rates, prior_probabilities(spark, states, q, points), points, strength)
-    found = learn_each(mixed.join(rates, ["family", "site"]), ["family", "site"], q, states, points, epochs=epochs, scale="rate")
+    found = learn_sites(mixed.join(rates, ["family", "site"]), q, states, points, epochs=epochs, scale="rate")
     base = spark.createDataFrame([(a, b, float(q[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)], "x string, y string, q0 double")
     every = rates.crossJoin(F.broadcast(base))  # each site's matrix is the result
     return every.join(found, ["family", "site", "x", "y"], "left").select("family", "site", "x", "y", F.coalesce("q", F.col("q0") * F.col("rate")).alias("q"))
+
+
+def site_model_likelihood(transitions: DataFrame, models: DataFrame, states: list[str], gap: str | None = None) -> DataFrame:
+    """(family, tid, site, ll): log-probability of what each site of a transition does under the site's own matrix.
+
+    transitions: (family, tid, x_seq, y_seq, t); models: (family, site, x, y, q).  Sites where either end has no state
+    are left out.  gap: a state that is conditioned on, so that ends that are no gap are compared among those and a gap
+    costs nothing.  Residues meet their matrix by blocks of sites; a block's matrices are factored once.
+    """
+    family = transitions.schema["family"].dataType.simpleString()
+    zipped = F.arrays_zip(F.split("x_seq", "").alias("a"), F.split("y_seq", "").alias("b"))
+    rows = transitions.select("family", "tid", "t", F.posexplode(zipped).alias("site", "s")).select("family", "site", "tid", "t", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    rows = rows.where(F.col("a").isin(states) & F.col("b").isin(states)).withColumn("block", F.floor(F.col("site") / SITES_TOGETHER))
+    own = models.select(F.col("family").alias("its"), F.floor(F.col("site") / SITES_TOGETHER).alias("block"), "site", "x", "y", "q")
+    at, n = {s: k for k, s in enumerate(states)}, len(states)
+
+    def run(seen: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if seen.empty or known.empty:
+            return pd.DataFrame(columns=["family", "tid", "site", "ll"], dtype=object)
+        sites, place = np.unique(known["site"].to_numpy(), return_inverse=True)
+        q = np.zeros((len(sites), n, n))
+        q[place, known["x"].map(at).to_numpy(), known["y"].map(at).to_numpy()] = known["q"].to_numpy()
+        values, v = np.linalg.eig(q)
+        inverse = np.linalg.inv(v)
+        seen = seen[seen["site"].isin(sites)]
+        k, t = np.searchsorted(sites, seen["site"].to_numpy()), seen["t"].to_numpy()[:, None]
+        a, b = seen["a"].map(at).to_numpy(), seen["b"].map(at).to_numpy()
+        to = lambda end: np.real((v[k, a] * np.exp(values[k] * t) * inverse[k, :, end]).sum(axis=1))
+        p = to(b)
+        if gap is not None:
+            p = np.where(b == at[gap], 1.0, p / np.maximum(1 - to(np.full(len(b), at[gap])), 1e-300))
+        return pd.DataFrame({c: seen[c].tolist() for c in ("family", "tid", "site")} | {"ll": np.log(np.maximum(p, 1e-300))})
+
+    kind = f"family {family}, tid {transitions.schema['tid'].dataType.simpleString()}, site int, ll double"
+    return rows.groupBy("family", "block").cogroup(own.groupBy("its", "block")).applyInPandas(run, kind)
+
+
+def by_transition(likelihoods: DataFrame) -> DataFrame:
+    """(family, tid, ll, lls): the sum of site_model_likelihood() over sites, and its values in order of sites."""
+    values = F.array_sort(F.collect_list(F.struct("site", "ll")))
+    return likelihoods.groupBy("family", "tid").agg(F.sum("ll").alias("ll"), F.transform(values, lambda v: v["ll"]).alias("lls"))

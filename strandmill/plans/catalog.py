@@ -21,6 +21,7 @@ from strandmill.operators.cherries import fast_cherries
 from strandmill.operators.fitting import learn_from_counts
 from strandmill.operators.likelihood import ancestral_states, simulate, tree_likelihood
 from strandmill.plans import pipelines as P
+from strandmill.plans.cache import shared_folder
 from strandmill.sources import adapters as A
 from strandmill.streaming import counts as stream
 
@@ -28,8 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 NT = A.NUCLEOTIDES
 DISTANCE = 3
-#: Columns of the alignments that the co-occurrence query looks at, a feature of that scan.
-SCANNED = 12
 #: Steps of maximum likelihood, the reference's defaults; counts are bounded, so steps do not grow with the data.
 EPOCHS, SITE_EPOCHS = 500, 100
 
@@ -203,7 +202,8 @@ def site_rate_by_num_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def site_pair_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(M.site_pair_cooccurrence(A.embedding_msa(spark, d), NT, SCANNED, 0.05, 0.02), "lift")
+    found = M.site_pair_cooccurrence(A.embedding_msa(spark, d), "A", "T")
+    return _rounded(found, "first_second", "second_first", "first_first", "second_second")
 
 
 @query
@@ -326,14 +326,8 @@ def equ_loglik_per_site(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bootstrap_loglik(spark: SparkSession, d: str) -> DataFrame:
     """Twenty resamples of the families: draw k of resample r is the family at the place that a hash of both gives."""
-    from pyspark.sql import Window
-
-    # decimal sums do not depend on the order of rows
-    ll = equ_loglik_per_site(spark, d).groupBy("family").agg(F.sum(F.col("ll").cast("decimal(18,6)")).alias("ll"))
-    placed = ll.withColumns({"place": F.row_number().over(Window.orderBy("family")) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(1)))})  # a row for each family
-    draws = placed.select("n", F.col("place").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("resample"))
-    drawn = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("resample").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")
-    return _rounded(draws.withColumn("place", drawn).join(placed.select("place", "ll"), "place").groupBy("resample").agg(F.sum("ll").cast("double").alias("ll")), "ll", digits=4)
+    ll = equ_loglik_per_site(spark, d).groupBy("family").agg(F.sum(F.col("ll").cast("decimal(18,6)")).alias("ll"))  # decimal sums do not depend on the order of rows
+    return _rounded(R.bootstrap_sums(ll, "ll", 20), "ll", digits=4)
 
 
 @query
@@ -367,7 +361,7 @@ def site_counts_regularized(spark: SparkSession, d: str) -> DataFrame:
 @query
 def site_rates_by_table(spark: SparkSession, d: str) -> DataFrame:
     """Site rates by quantized times and the table of log-probabilities, for any matrix."""
-    return S.estimate_site_rates(_cherry_sites(spark, d), NT, _equal_matrix(), grid())
+    return _rounded(S.estimate_site_rates(_cherry_sites(spark, d), NT, _equal_matrix(), grid()), "rate")
 
 
 @query
@@ -382,10 +376,56 @@ def site_rate_matrices(spark: SparkSession, d: str) -> DataFrame:
     return P.learn_site_specific(msa, NT, _equal_matrix(), edges, epochs=SITE_EPOCHS)
 
 
+@query
+def site_rate_matrices_by_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Site models counted along all branches, between most parsimonious sequences."""
+    msa, edges = _trees(spark, d)
+    return P.learn_site_specific(msa, NT, _equal_matrix(), edges, epochs=SITE_EPOCHS, strategy="edge")
+
+
+def _cherry_transitions(spark: SparkSession, d: str) -> DataFrame:
+    msa, pairs = _pairs(spark, d, "cherry")
+    return C.sequence_pairs(pairs, msa).select("family", F.col("x").alias("tid"), "x_seq", "y_seq", "t")
+
+
+@query
+def site_model_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions of cherries, named by their first leaf, under equal rates at each site: the closed form in SQL."""
+    rows = _cherry_transitions(spark, d)
+    sites = A.embedding_msa(spark, d).select("family").distinct().select("family", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("site"))
+    models = sites.crossJoin(F.broadcast(R.equal_rates(spark, NT)))  # states x states entries a site
+    return _rounded(S.by_transition(S.site_model_likelihood(rows, models, NT)).select("family", "tid", "ll"), "ll", digits=4)
+
+
+@query
+def held_out_site_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions of cherries under site models learned from pairs of leaves, and under equal rates."""
+    msa, edges = _trees(spark, d)
+    return P.held_out_site_likelihood(msa, edges, _cherry_transitions(spark, d), NT, _equal_matrix(), epochs=SITE_EPOCHS).drop("lls")
+
+
+@query
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Families' likelihood under equal rates and under those with changes A-G and C-T five times as frequent."""
+    msa, edges = _trees(spark, d)
+    q = np.array([[0.0, 1, 5, 1], [1, 0, 1, 5], [5, 1, 0, 1], [1, 5, 1, 0]])
+    q = q / 7 - np.eye(4)
+    found = P.compare_models({name: P.evaluate(edges, msa, NT, m) for name, m in (("equal", _equal_matrix()), ("unequal", q))}, "equal")
+    return _rounded(_rounded(found, "ll", "gain", digits=4), "gain_per_site")
+
+
+@query
+def pair_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Families' likelihood with contacts as pairs of independent sites: what single sites give, by another way."""
+    msa, edges = _trees(spark, d)
+    near = msa.select("family").distinct().crossJoin(F.broadcast(A.pattern_contacts(spark)))  # one map of 64 sites
+    return _family_sums(P.evaluate_pairs(edges, msa, near, NT, _equal_matrix(), P.independent_pairs(_equal_matrix())[0]))
+
+
 @query
 def pruning_loglik(spark: SparkSession, d: str) -> DataFrame:
     msa, edges = _trees(spark, d)
-    return tree_likelihood(edges, msa, NT, _equal_matrix())
+    return _rounded(tree_likelihood(edges, msa, NT, _equal_matrix()), "ll")
 
 
 @query
@@ -426,7 +466,11 @@ def learned_coevolution_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def family_evaluation(spark: SparkSession, d: str) -> DataFrame:
     msa, edges = _trees(spark, d)
-    return P.evaluate(edges, msa, NT, _equal_matrix(), _rate_arrays(spark, d))
+    return _family_sums(P.evaluate(edges, msa, NT, _equal_matrix(), _rate_arrays(spark, d)))
+
+
+def _family_sums(found: DataFrame) -> DataFrame:
+    return _rounded(found, "ll_per_site").withColumns({"ll": F.round("ll", 4), "n_sites": F.col("n_sites").cast("long")})
 
 
 @query
@@ -450,11 +494,15 @@ def quantized_shipment_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def streaming_edge_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of edge_transition_counts() from a stream of the transitions' files."""
+    """The counts of edge_transition_counts() from a stream of events: each user's last event is state, transitions are
+    appended to files and those are counted as a stream of their own."""
     import uuid
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strandmill") + f"/stream-{uuid.uuid4().hex}"
-    A.event_transitions(spark, d).write.parquet(f"{folder}/in")
-    pairs = spark.readStream.schema("family long, x string, y string, t double").parquet(f"{folder}/in")
-    return stream.run_available(stream.counts(pairs, grid()), "complete", f"{folder}/state")
-
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kind = "event_id long, ts timestamp, user_id long, event_type string"
+    # files in order of time, so that each user's events come in order
+    events = A.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    events.repartitionByRange(4, "user_id").sortWithinPartitions("user_id", "ts", "event_id").write.parquet(f"{folder}/in")
+    moved = stream.run_available(stream.transitions(spark.readStream.schema(kind).parquet(f"{folder}/in")), "append", f"{folder}/moved")
+    pairs = spark.readStream.schema(moved.schema).parquet(f"{folder}/moved/out")
+    return stream.run_available(stream.counts(pairs, grid()), "complete", f"{folder}/counts")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from strandmill.functions.grid import grid, initial_rate_weights, log_gamma_prior, site_rate_grid
-from strandmill.plans.catalog import DISTANCE, SCANNED
+from strandmill.plans.catalog import DISTANCE
+from strandmill.plans.tree_oracles import NODES, RATES_OF_ONE, likelihood, parsimony
 
 
 def _with(*parts: str, recursive: bool = False) -> str:
@@ -46,7 +47,7 @@ EV = (GRID, STEPS, EVENTS, _quantized("qz", "tr"), EDGE_COUNTS)
 
 EMB = """msa AS (SELECT CAST(label AS VARCHAR) family, vec_id seq_name, array_to_string([CASE WHEN v::DOUBLE < -0.085::DOUBLE THEN 'A' WHEN v::DOUBLE < 0 THEN 'C' WHEN v::DOUBLE < 0.085::DOUBLE THEN 'G' ELSE 'T' END
   FOR v IN embedding], '') seq FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"""
-DOC = """msa AS (SELECT lang || '_' || source family, doc_id seq_name, rpad(regexp_replace(substr(text, 1, 64), '[^a-z]', '-', 'g'), 64, '-') seq
+DOC = """msa AS (SELECT lang || '_' || source family, doc_id seq_name, regexp_replace(text, '[^a-z]', '-', 'g') seq
   FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)"""
 EDGES = """nd AS (SELECT family, seq_name node, row_number() OVER (PARTITION BY family ORDER BY seq_name) - 1 rn FROM msa),
 edges AS (SELECT c.family, p.node parent, c.node child, CAST((c.rn - 1) % 2 AS INTEGER) child_ord, 0.05::DOUBLE + (c.node % 17) / 20::DOUBLE length
@@ -106,7 +107,23 @@ _CANDIDATES = "gr(rate, prior) AS (VALUES " + ", ".join(f"({r!r}::DOUBLE, {log_g
 _W4 = initial_rate_weights(site_rate_grid(4))
 _FIRST, _LAST = grid()[0], grid()[-1]
 
+_TREES = (EMB, EDGES, SITES, NODES)
+_BY_FAMILY = "round(sum(ll), 4) ll, CAST(count(*) AS BIGINT) n_sites, round(sum(ll) / count(*), 6) ll_per_site"
+_MATCHING = """o AS (SELECT row_number() OVER (ORDER BY i, j) k, i, j FROM ct WHERE j - i >= 7),
+g(k, used, i, j, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), -1, -1, false UNION ALL
+  SELECT o.k, CASE WHEN list_contains(used, o.i) OR list_contains(used, o.j) THEN used ELSE used || [o.i, o.j] END, o.i, o.j, NOT (list_contains(used, o.i) OR list_contains(used, o.j)) FROM g JOIN o ON o.k = g.k + 1)"""
+
 ORACLES: dict[str, str] = {
+    "pruning_loglik": _with(*_TREES, RATES_OF_ONE, *likelihood("ll1", "one", 1 / 3, 1 / 3)) + "SELECT family, site, round(ll, 6) ll FROM ll1",
+    "family_evaluation": _with(*_TREES, RATES, *likelihood("ll1", "rt", 1 / 3, 1 / 3)) + f"SELECT family, {_BY_FAMILY} FROM ll1 GROUP BY family",
+    "pair_evaluation": _with(*_TREES, RATES_OF_ONE, *likelihood("ll1", "one", 1 / 3, 1 / 3)) + f"SELECT family, {_BY_FAMILY} FROM ll1 GROUP BY family",
+    "model_comparison": _with(*_TREES, RATES_OF_ONE, *likelihood("ll1", "one", 1 / 3, 1 / 3), *likelihood("ll2", "one", 5 / 7, 1 / 7), "f1 AS (SELECT family, sum(ll) ll, count(*) n FROM ll1 GROUP BY family), f2 AS (SELECT family, sum(ll) ll FROM ll2 GROUP BY family)")
+    + "SELECT family, model, round(ll, 4) ll, CAST(n AS BIGINT) n_sites, round(ll - base, 4) gain, round((ll - base) / n, 6) gain_per_site FROM (SELECT family, 'equal' model, ll, ll base, n FROM f1 UNION ALL SELECT f1.family, 'unequal', f2.ll, f1.ll, n FROM f1 JOIN f2 ON f2.family = f1.family)",
+    "parsimony_states": _with(*_TREES, RATES_OF_ONE, *parsimony()) + "SELECT anc.family, node, string_agg(substr('ACGT', k, 1), '' ORDER BY site) seq, CAST(first(changes) AS BIGINT) changes FROM anc JOIN chg ON chg.family = anc.family GROUP BY anc.family, node",
+    "maximal_matching": _with(EMB, CONTACTS, _MATCHING, recursive=True) + "SELECT family, i, j FROM (SELECT DISTINCT family FROM msa), g WHERE kept",
+    "site_model_loglik": _with(*_CHERRY_SITES) + f"SELECT family, px tid, round(sum({P_EQUAL.format(x='x', y='y', t='t')}), 4) ll FROM ps GROUP BY family, px",
+    "site_rates_by_table": _with(GRID, STEPS, *_CHERRY_SITES, _CANDIDATES, f"cr AS (SELECT family, site, x, y, rate, prior, least(greatest(t * rate, {_FIRST!r}::DOUBLE), {_LAST!r}::DOUBLE) t FROM ps, gr)", _quantized("cq", "cr"), f"ca AS (SELECT family, site, rate, first(prior) + sum({P_EQUAL.format(x='x', y='y', t='q.t')} + {P_EQUAL.format(x='y', y='x', t='q.t')}) ll FROM cq JOIN q ON q.i = cq.bucket GROUP BY family, site, rate)")
+    + "SELECT family, site, round(rate, 6) rate FROM (SELECT *, row_number() OVER (PARTITION BY family, site ORDER BY ll DESC, rate) rn FROM ca) WHERE rn = 1",
     "edge_transition_counts": _with(*EV) + "SELECT * FROM cnt",
     "streaming_edge_counts": _with(*EV) + "SELECT * FROM cnt",
     "edge_counts_symmetrized": _with(*EV) + "SELECT bucket, x, y, sum(n) / 2::DOUBLE n FROM (SELECT bucket, x, y, n FROM cnt UNION ALL SELECT bucket, y, x, n FROM cnt) GROUP BY bucket, x, y",
@@ -145,12 +162,11 @@ ORACLES: dict[str, str] = {
     "site_rate_by_num_contacts": _with(EMB, SITES, RATES, CONTACTS, "nc AS (SELECT site, count(*) c FROM (SELECT i site FROM ct WHERE j - i >= 7 UNION ALL SELECT j FROM ct WHERE j - i >= 7) GROUP BY site)")
     + "SELECT CAST(coalesce(c, 0) AS BIGINT) n_contacts, CAST(count(*) AS BIGINT) n, round(avg(rate), 6) mean, round(quantile_cont(rate, 0.5), 6) median, round(quantile_cont(rate, 0.25), 6) q25, round(quantile_cont(rate, 0.75), 6) q75 FROM rt LEFT JOIN nc USING (site) GROUP BY 1",
     "site_pair_cooccurrence": _with(
-        *(EMB, SITES, f"rs AS (SELECT family, seq_name, site, substr(seq, site + 1, 1) s FROM msa, si WHERE site < {SCANNED})"),
-        "o AS (SELECT family, site, s, count(*) n FROM rs GROUP BY ALL), tt AS (SELECT family, count(*) total FROM msa GROUP BY family)",
-        "bo AS (SELECT a.family, a.site i, c.site j, a.s a, c.s b, count(*) n FROM rs a JOIN rs c ON c.family = a.family AND c.seq_name = a.seq_name AND a.site < c.site GROUP BY ALL)",
-        "l AS (SELECT bo.family, i, j, a, b, bo.n, oi.n ni, oj.n nj, total, bo.n / total - (oi.n / total) * (oj.n / total) lift FROM bo JOIN o oi ON oi.family = bo.family AND oi.site = i AND oi.s = a JOIN o oj ON oj.family = bo.family AND oj.site = j AND oj.s = b JOIN tt ON tt.family = bo.family)",
+        *(EMB, SITES, "rs AS (SELECT family, seq_name, site, substr(seq, site + 1, 1) s FROM msa, si WHERE substr(seq, site + 1, 1) IN ('A', 'T'))"),
+        "tt AS (SELECT family, count(*) sequences FROM msa GROUP BY family)",
+        "bo AS (SELECT a.family, a.site i, c.site j, avg(CASE WHEN a.s || c.s = 'AT' THEN 1::DOUBLE ELSE 0 END) first_second, avg(CASE WHEN a.s || c.s = 'TA' THEN 1::DOUBLE ELSE 0 END) second_first, avg(CASE WHEN a.s || c.s = 'AA' THEN 1::DOUBLE ELSE 0 END) first_first, avg(CASE WHEN a.s || c.s = 'TT' THEN 1::DOUBLE ELSE 0 END) second_second, count(*) total FROM rs a JOIN rs c ON c.family = a.family AND c.seq_name = a.seq_name AND a.site < c.site GROUP BY ALL)",
     )
-    + "SELECT family, i, j, a, b, CAST(n AS BIGINT) n, CAST(ni AS BIGINT) ni, CAST(nj AS BIGINT) nj, CAST(total AS BIGINT) total, round(lift, 6) lift FROM l WHERE n >= total * 0.05::DOUBLE AND abs(lift) > 0.02::DOUBLE",
+    + "SELECT bo.family, i, j, round(first_second, 6) first_second, round(second_first, 6) second_first, round(first_first, 6) first_first, round(second_second, 6) second_second, CAST(total AS BIGINT) total FROM bo JOIN tt ON tt.family = bo.family WHERE first_second > 0.2::DOUBLE AND second_first > 0.2::DOUBLE AND total >= sequences / 8::DOUBLE",
     "msa_subsample": _with(EMB)
     + "SELECT family, seq_name, seq FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, md5('0|' || family || '|' || seq_name), seq_name) place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY seq_name) rn FROM msa)) WHERE place <= 20",
     "sampled_families": _with(DOC) + "SELECT family FROM (SELECT DISTINCT family FROM msa) ORDER BY md5('0|' || family), family LIMIT 10",

@@ -14,17 +14,28 @@ from strandmill.functions.markov import chain_product, dense, normalized, statio
 from strandmill.operators import contacts as K
 from strandmill.operators import counts as C
 from strandmill.operators import rates as R
+from strandmill.operators.alignments import site_subset, site_subset_rates
 from strandmill.operators.cherries import fast_cherries
 from strandmill.operators.fitting import learn_from_counts
-from strandmill.operators.likelihood import tree_likelihood
-from strandmill.operators.sites import estimate_site_rates, learn_site_models
-from strandmill.operators.trees import leaf_pairs, pairs
+from strandmill.operators.likelihood import ancestral_states, pair_likelihood, tree_likelihood
+from strandmill.operators.sites import by_transition, estimate_site_rates, learn_site_models, site_model_likelihood
+from strandmill.operators.trees import pairs
+from strandmill.sources.formats import read_matrix
 
 #: (alignments, states, matrix) -> (edges, site rates): estimators of trees by name.
 TreeEstimator = Callable[[DataFrame, list[str], np.ndarray], tuple[DataFrame, DataFrame]]
 TREE_ESTIMATORS: dict[str, TreeEstimator] = {"fast_cherries": lambda msa, states, q: fast_cherries(msa, states, q)}
 
 
+def estimator(s: Settings) -> TreeEstimator:
+    """The settings' estimator of trees."""
+    if callable(s.estimator):
+        return s.estimator
+    if s.estimator == "fast_cherries":
+        return lambda msa, states, q: fast_cherries(msa, states, q, s.points, s.categories)
+    return TREE_ESTIMATORS[s.estimator]
+
+
 def given_trees(edges: DataFrame, rates: DataFrame) -> TreeEstimator:
     """An estimator that passes known trees and rates on."""
     return lambda msa, states, q: (edges, rates)
@@ -42,6 +53,15 @@ class Settings:
     epochs: int = 200
     rate: float = 0.1
     distance: int = 7
+    mode: str = "pande_reversible"
+    optimizer: str = "adam"
+    categories: int = 20
+    #: The matrix that the first trees are estimated with; equal rates where it is not given.
+    first: np.ndarray | None = None
+    #: Families that are used; all where none are named.
+    families: list[str] | None = None
+    #: Whether contacts are cut to a matching, so that a site is in one pair at most.
+    matching: bool = True
 
 
 def _equal(n: int) -> np.ndarray:
@@ -59,6 +79,12 @@ def _initial(spark: SparkSession, counts: DataFrame, states: list[str], s: Setti
         return R.jtt_ipw(counts, states, s.points, mask=mask)
     if s.initial == "equ":
         return R.equal_rates(spark, states)
+    if s.initial == "equ_x_equ":
+        letters = sorted({x[0] for x in states}, key=[x[0] for x in states].index)
+        one = R.equal_rates(spark, letters)
+        return R.chain_product(one, one)
+    if "/" in s.initial or s.initial.endswith(".txt"):
+        return read_matrix(spark, s.initial).select("x", "y", "q")
     if s.initial == "random":
         rng = np.random.default_rng(0)
         e, pi = rng.gamma(1, 1, (len(states),) * 2) + 0.1, np.full(len(states), 1 / len(states))
@@ -69,17 +95,31 @@ def _initial(spark: SparkSession, counts: DataFrame, states: list[str], s: Setti
     raise ValueError(f"no initial matrix {s.initial}")
 
 
-def learn_rate_matrix(msa: DataFrame, states: list[str], settings: Settings | None = None) -> DataFrame:
+def chosen(rows: DataFrame, families: list[str] | None) -> DataFrame:
+    """The rows of some families."""
+    return rows if families is None else rows.where(F.col("family").cast("string").isin(families))
+
+
+def learn_rate_matrix(msa: DataFrame, states: list[str], settings: Settings | None = None, sites: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """(x, y, q): trees and site rates, quantized counts, closed-form start, maximum likelihood; again with the new
-    matrix as often as asked.  Only counts, of points x states x states rows at most, reach the driver."""
+    matrix as often as asked.  Only counts, of points x states x states rows at most, reach the driver.
+
+    sites: (family, k, site), the sites that are counted; trees come from all.  mask: (x, y, m), 0 for changes that are
+    not allowed.
+    """
     s, spark = settings or Settings(), msa.sparkSession
-    estimate = TREE_ESTIMATORS[s.estimator] if isinstance(s.estimator, str) else s.estimator
-    q = _equal(len(states))
+    msa = chosen(msa, s.families)
+    estimate = estimator(s)
+    q = _equal(len(states)) if s.first is None else s.first
     learned = R.equal_rates(spark, states)
     for _ in range(s.iterations):
         edges, rates = estimate(msa, states, normalized(q))
-        found = C.count_transitions(pairs(edges, s.strategy), _text_names(msa) if edges.schema["child"].dataType.simpleString() == "string" else msa, s.points, states, s.strategy, rates).persist()
-        learned = learn_from_counts(found, _initial(spark, found, states, s), states, s.points, epochs=s.epochs, rate=s.rate)
+        edges, rates = chosen(edges, s.families), chosen(rates, s.families)
+        own = _text_names(msa) if edges.schema["child"].dataType.simpleString() == "string" else msa
+        if sites is not None:
+            own, rates = site_subset(own, sites), site_subset_rates(rates, sites)
+        found = C.count_transitions(pairs(edges, s.strategy), own, s.points, states, s.strategy, rates).persist()
+        learned = learn_from_counts(found, _initial(spark, found, states, s, mask), states, s.points, mask=mask, epochs=s.epochs, rate=s.rate, mode=s.mode, optimizer=s.optimizer)
         found.unpersist()
         q = dense(learned, states)[1]
     return learned
@@ -91,38 +131,61 @@ def one_change_mask(spark: SparkSession, states: list[str]) -> DataFrame:
     return spark.createDataFrame([(x, y, int(sum(p != r for p, r in zip(x, y, strict=True)) < 2)) for x in both for y in both], "x string, y string, m int")
 
 
-def learn_coevolution(msa: DataFrame, contacts: DataFrame, states: list[str], settings: Settings | None = None) -> DataFrame:
-    """(x, y, q) over pairs of states at sites in contact; contacts are (family, i, j), of which a matching is used."""
+def learn_coevolution(msa: DataFrame, contacts: DataFrame, states: list[str], settings: Settings | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """(x, y, q) over pairs of states at sites in contact; contacts are (family, i, j), of which a matching is used.
+
+    mask: (x, y, m) over pairs of states; where it is not given, one of the two changes at a time.
+    """
     s, spark = settings or Settings(epochs=20), msa.sparkSession
-    estimate = TREE_ESTIMATORS[s.estimator] if isinstance(s.estimator, str) else s.estimator
+    msa, contacts = chosen(msa, s.families), chosen(contacts, s.families)
+    estimate = estimator(s)
     edges, _ = estimate(msa, states, normalized(_equal(len(states))))
     own = _text_names(msa) if edges.schema["child"].dataType.simpleString() == "string" else msa
-    match = K.maximal_matching(contacts, s.distance)
+    edges = chosen(edges, s.families)
+    match = K.maximal_matching(contacts, s.distance) if s.matching else K.nontrivial(contacts, s.distance)
     both = [a + b for a in states for b in states]
     found = C.count_co_transitions(pairs(edges, s.strategy), own, match, s.points, states, s.strategy, s.distance).persist()
-    mask = one_change_mask(spark, states)
-    learned = learn_from_counts(found, _initial(spark, found, both, s, mask), both, s.points, mask=mask, epochs=s.epochs, rate=s.rate)
+    mask = one_change_mask(spark, states) if mask is None else mask
+    learned = learn_from_counts(found, _initial(spark, found, both, s, mask), both, s.points, mask=mask, epochs=s.epochs, rate=s.rate, mode=s.mode, optimizer=s.optimizer)
     found.unpersist()
     return learned
 
 
-def learn_site_specific(msa: DataFrame, states: list[str], q: np.ndarray, edges: DataFrame | None = None, points: list[float] | None = None, strength: float = 0.5, epochs: int = 100) -> DataFrame:
+def learn_site_specific(msa: DataFrame, states: list[str], q: np.ndarray, edges: DataFrame | None = None, points: list[float] | None = None, strength: float = 0.5, epochs: int = 100, strategy: str = "cherry++", rates: DataFrame | None = None) -> DataFrame:
     """(family, site, x, y, q): a matrix for every site, drawn towards q times the site's rate.
 
-    Without edges, trees come from the alignment, and site rates with them.
+    Without edges, trees come from the alignment, and site rates with them.  Strategy edge counts along all branches,
+    inner nodes having their most parsimonious sequences.  rates: (family, site, rate), estimated where not given.
     """
     points = grid() if points is None else points
     if edges is None:
         edges, rates = fast_cherries(msa, states, q, points)
         msa = _text_names(msa)
         rates = rates.select("family", F.posexplode("rates").alias("site", "rate"))
-        found = leaf_pairs(edges)
-    else:
-        found = leaf_pairs(edges)
+    found = pairs(edges, strategy)
+    if strategy == "edge":
+        node = edges.schema["parent"].dataType.simpleString()
+        inner = ancestral_states(edges, msa, states).select("family", F.col("node").cast(node).alias("seq_name"), "seq")
+        msa = inner.persist()  # both ends of each branch are looked up in it
+    if rates is None:
         rates = estimate_site_rates(C.site_transitions(C.sequence_pairs(found, msa)), states, q, points)
         every = msa.groupBy("family").agg(F.max(F.length("seq")).alias("w")).select("family", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("site"))
         rates = every.join(rates, ["family", "site"], "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
-    return learn_site_models(found, msa, rates, states, q, points, strength, epochs)
+    return learn_site_models(found, msa, rates, states, q, points, strength, epochs, strategy)
+
+
+def held_out_site_likelihood(train: DataFrame, edges: DataFrame, test: DataFrame, states: list[str], q: np.ndarray, gap: str | None = None, **how) -> DataFrame:
+    """(family, tid, ll, lls, ll_base): transitions (family, tid, x_seq, y_seq, t) under site models learned from train,
+    and under q alone."""
+    models = learn_site_specific(train, states, q, edges, **how)
+    base = models.select("family", "site").distinct().crossJoin(F.broadcast(_long(train.sparkSession, states, q)))  # states x states entries a site
+    own = by_transition(site_model_likelihood(test, models, states, gap))
+    other = by_transition(site_model_likelihood(test, base, states, gap)).select("family", "tid", F.col("ll").alias("ll_base"))
+    return own.join(other, ["family", "tid"])
+
+
+def _long(spark: SparkSession, states: list[str], q: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(a, b, float(q[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)], "x string, y string, q double")
 
 
 def evaluate(edges: DataFrame, msa: DataFrame, states: list[str], q: np.ndarray, rates: DataFrame | None = None) -> DataFrame:
@@ -131,6 +194,38 @@ def evaluate(edges: DataFrame, msa: DataFrame, states: list[str], q: np.ndarray,
     return ll.groupBy("family").agg(F.sum("ll").alias("ll"), F.count("*").alias("n_sites")).withColumn("ll_per_site", F.col("ll") / F.col("n_sites"))
 
 
+def evaluate_pairs(edges: DataFrame, msa: DataFrame, contacts: DataFrame, states: list[str], q: np.ndarray, pair_q: np.ndarray, distance: int = 7) -> DataFrame:
+    """(family, ll, n_sites, ll_per_site): pairs of sites of a matching of the contacts under pair_q, over pairs of
+    states, and all other sites under q."""
+    both = [a + b for a in states for b in states]
+    match = K.maximal_matching(contacts, distance).persist()
+    paired = pair_likelihood(edges, msa, match, both, pair_q).select("family", "ll", F.lit(2).alias("sites"))
+    ends = match.select("family", F.col("i").alias("site")).union(match.select("family", F.col("j").alias("site")))
+    single = tree_likelihood(edges, msa, states, q).join(ends, ["family", "site"], "left_anti").select("family", "ll", F.lit(1).alias("sites"))
+    by = paired.union(single).groupBy("family").agg(F.sum("ll").alias("ll"), F.sum("sites").alias("n_sites"))
+    return by.withColumn("ll_per_site", F.col("ll") / F.col("n_sites"))
+
+
+def compare_models(results: dict[str, DataFrame], base: str) -> DataFrame:
+    """(family, model, ll, n_sites, gain, gain_per_site): evaluate()'s results by model, families that all models have,
+    and what each gains over the base model."""
+    first = results[base].select("family", F.col("ll").alias("ll_base"), "n_sites")
+    joined = first
+    for name, rows in results.items():
+        if name != base:
+            joined = joined.join(rows.select("family", F.col("ll").alias(f"ll_{name}")), "family")
+    models = F.array(*[F.struct(F.lit(n).alias("model"), F.col("ll_base" if n == base else f"ll_{n}").alias("ll")) for n in results])
+    out = joined.select("family", "n_sites", "ll_base", F.explode(models).alias("m")).select("family", "m.model", "m.ll", "n_sites", (F.col("m.ll") - F.col("ll_base")).alias("gain"))
+    return out.withColumn("gain_per_site", F.col("gain") / F.col("n_sites"))
+
+
+def information_gain(compared: DataFrame, model: str, parameters: int, base_parameters: int, resamples: int = 100) -> DataFrame:
+    """(resample, gain): how much smaller Akaike's criterion of a model is than that of the base model, over bootstrap
+    resamples of compare_models()'s families."""
+    own = compared.where(F.col("model") == model).select("family", "gain")
+    return R.bootstrap_sums(own, "gain", resamples).select("resample", (2 * F.col("gain") - 2 * (parameters - base_parameters)).alias("gain"))
+
+
 def independent_pairs(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sites without co-evolution: their joint matrix and stationary distribution."""
     pi = stationary_distribution(q)

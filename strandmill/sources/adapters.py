@@ -55,13 +55,13 @@ def embedding_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("seq_name"), F.array_join(F.transform("embedding", state), "").alias("seq"))
 
 
-def document_msa(spark: SparkSession, sf_dir: str, sites: int = 64) -> DataFrame:
-    """(family, seq_name, seq): the first characters of documents of a language and source; all but a-z is missing.
+def document_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, seq_name, seq): whole documents of a language and source, all but a-z missing.
 
-    The alignment's width is the feature here: an alignment has as many columns for every sequence.
+    Sequences are as long as their texts; a family is as wide as its longest, and what a shorter one lacks is missing.
     """
     docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null")
-    seq = F.rpad(F.regexp_replace(F.substring("text", 1, sites), "[^a-z]", "-"), sites, "-")
+    seq = F.regexp_replace("text", "[^a-z]", "-")
     return docs.select(F.concat_ws("_", "lang", "source").alias("family"), F.col("doc_id").alias("seq_name"), seq.alias("seq"))
 
 

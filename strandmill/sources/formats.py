@@ -8,17 +8,24 @@ a family become one text, written under a folder of its own so that partitions n
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(family, text): whole files, the family being a file's name without folder and ending."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("family"), F.regexp_replace("value", r"\r\n", "\n").alias("text"))
+    """(family, text): whole files, the family being a file's name without folder and ending, or that of write_files()."""
+    at = F.input_file_name()
+    name = F.regexp_extract(at, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    # the folder's name is escaped by its writer, and again in the file's address
+    folder = F.regexp_extract(at, r"/family=([^/]+)/[^/]+$", 1)
+    for _ in range(2):
+        folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    family = F.when(folder != "", folder).otherwise(name)
+    return spark.read.text(path, wholetext=True).select(family.alias("family"), F.regexp_replace("value", r"\r\n", "\n").alias("text"))
 
 
 def _lines(text: Column | str) -> Column:
@@ -52,8 +59,9 @@ def msa_text(msa: DataFrame) -> DataFrame:
 
 
 def write_files(texts: DataFrame, path: str) -> None:
-    """(family, text) as `<path>/family=<family>/part-*.txt`."""
-    texts.select(F.col("text").alias("value"), "family").write.partitionBy("family").option("lineSep", "\0").mode("overwrite").text(path)
+    """(family, text) as `<path>/family=<family>/part-*.txt`, for files(); a text ends in one line break in its file."""
+    value = F.regexp_replace("text", r"\n$", "").alias("value")
+    texts.select(value, F.col("family").cast("string").alias("family")).write.partitionBy("family").mode("overwrite").text(path)
 
 
 def read_a3m(spark: SparkSession, path: str, keep_insertions: bool = False) -> DataFrame:
@@ -72,8 +80,6 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     row = own.select("family", "names", F.posexplode("edges").alias("k", "e")).withColumn("e", F.split("e", r"\s+"))
     known = F.array_contains("names", F.col("e")[0]) & F.array_contains("names", F.col("e")[1])
     row = row.select("family", "k", _check(known, "an edge between unknown nodes", F.col("e")).alias("e"))
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy("family", "parent").orderBy("k")) - 1
     row = row.select("family", F.col("e")[0].alias("parent"), F.col("e")[1].alias("child"), F.col("e")[2].cast("double").alias("length"), "k")
     return row.select("family", "parent", "child", order.alias("child_ord"), "length")
@@ -164,6 +170,12 @@ def read_distribution(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("family", F.explode(_check(F.abs(total - 1) < 1e-6, "probabilities do not sum to 1", values)).alias("v")).select("family", "v.*")
 
 
+def distribution_text(probabilities: DataFrame) -> DataFrame:
+    """(text), one row, of (state, prob): a row for each state, under a heading."""
+    rows = probabilities.agg(F.array_sort(F.collect_list(F.struct("state", F.col("prob").cast("string").alias("p")))).alias("r"))
+    return rows.select(F.concat(F.lit("state\tprob\n"), F.array_join(F.transform("r", lambda r: F.concat(r["state"], F.lit("\t"), r["p"])), "\n"), F.lit("\n")).alias("text"))
+
+
 def read_count_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(family, bucket, t, x, y, n): `B matrices`, `S states`, then for each bucket its time and a labelled square."""
 
@@ -206,6 +218,48 @@ def read_transitions(spark: SparkSession, path: str) -> DataFrame:
     return out.select("family", "tid", part[0].alias("x"), part[1].alias("y"), part[2].cast("double").alias("t"))
 
 
+def _listed(rows: DataFrame, order: str, line: Column, head: str) -> DataFrame:
+    """(family, text): the number of a family's rows and a line for each."""
+    by = rows.groupBy("family").agg(F.array_sort(F.collect_list(F.struct(order, line.alias("t")))).alias("r"))
+    return by.select("family", F.concat(F.size("r").cast("string"), F.lit(f" {head}\n"), F.array_join(F.transform("r", lambda r: r["t"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def transitions_text(transitions: DataFrame) -> DataFrame:
+    """(family, text) in the format of read_transitions()."""
+    return _listed(transitions, "tid", F.concat_ws(" ", "x", "y", F.col("t").cast("string")), "transitions")
+
+
+def transition_likelihoods_text(values: DataFrame) -> DataFrame:
+    """(family, text) of (family, tid, ll), or of lls, an array with a value for each site, in place of ll."""
+    per_site = "lls" in values.columns
+    line = F.concat_ws(" ", F.transform("lls", lambda v: v.cast("string"))) if per_site else F.col("ll").cast("string")
+    return _listed(values, "tid", line, "transitions")
+
+
+def read_transition_likelihoods(spark: SparkSession, path: str, per_site: bool = False) -> DataFrame:
+    """(family, tid, ll): `N transitions`, then a value a line; per site (family, tid, lls), values parted by blanks."""
+    line = _lines("text")
+    n = F.regexp_extract(line[0], r"^(\d+) transitions$", 1).cast("int")
+    rows = F.filter(line, lambda v, k: k > 0)
+    out = files(spark, path).select("family", F.posexplode(_check(F.coalesce(F.size(rows) == n, F.lit(False)), "wrong number of transitions", rows)).alias("tid", "r"))
+    if per_site:
+        return out.select("family", "tid", F.transform(F.split(F.trim("r"), r"\s+"), lambda v: v.cast("double")).alias("lls"))
+    return out.select("family", "tid", F.col("r").cast("double").alias("ll"))
+
+
+def cherries_text(cherries: DataFrame) -> DataFrame:
+    """(family, text) of (family, k, x, y, t) in the format of read_cherries()."""
+    line = F.struct("k", F.concat_ws("\n", "x", "y", F.col("t").cast("string")).alias("t"))
+    by = cherries.groupBy("family").agg(F.array_sort(F.collect_list(line)).alias("r"))
+    return by.select("family", F.concat(F.array_join(F.transform("r", lambda r: r["t"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def log_likelihood_text(values: DataFrame) -> DataFrame:
+    """(family, text) of (family, total, sites), sites being an array or null, in the format of read_log_likelihood()."""
+    own = F.concat(F.lit("\n"), F.size("sites").cast("string"), F.lit(" sites\n"), F.array_join(F.transform("sites", lambda v: v.cast("string")), " "))
+    return values.select("family", F.concat(F.col("total").cast("string"), F.when(F.col("sites").isNotNull(), own).otherwise(""), F.lit("\n")).alias("text"))
+
+
 def read_cherries(spark: SparkSession, path: str) -> DataFrame:
     """(family, k, x, y, t): three lines a pair."""
     line = _lines("text")
@@ -260,11 +314,45 @@ def stockholm_text(msa: DataFrame, newick: DataFrame) -> DataFrame:
     return by.select("family", F.concat(F.lit("# STOCKHOLM 1.0\n#=GF NH "), "newick", F.lit("\n"), F.array_join(F.transform("r", lambda r: r["t"]), "\n"), F.lit("\n//\n")).alias("text"))
 
 
-def read_pdb_atoms(spark: SparkSession, path: str, atom: str = "CB") -> DataFrame:
-    """(family, chain, residue, name, x, y, z) of one atom of each residue (CA for glycine), from fixed columns."""
+def stockholm_by_rate(msa: DataFrame, edges: DataFrame, rates: DataFrame, states: list[str], missing: str = "*") -> DataFrame:
+    """(family, text): for each family and each different rate of its sites (family, site, rate), in ascending order from
+    0, a Stockholm text `<family>_<k>` of those sites and of the tree with branches that many times as long.
+
+    Nodes' names follow their text's, states that are none are marked missing.
+    """
+    from strandmill.operators.alignments import site_subset, with_missing
+    from strandmill.sources.newick import to_newick
+
+    category = F.dense_rank().over(Window.partitionBy("family").orderBy("rate")) - 1
+    own = rates.withColumn("fake", F.concat_ws("_", "family", category.cast("string")))
+    number = F.row_number().over(Window.partitionBy("fake").orderBy("site")) - 1
+    scales = own.groupBy("family", "fake").agg(F.first("rate").alias("rate"))
+    named = lambda c: F.concat(F.col("fake"), F.lit("-"), F.col(c).cast("string"))
+    each = with_missing(msa, states, missing).join(scales, "family").select(F.col("fake").alias("family"), named("seq_name").alias("seq_name"), "seq")
+    part = site_subset(each, own.select(F.col("fake").alias("family"), number.alias("k"), "site"))
+    trees = edges.join(scales, "family").select(F.col("fake").alias("family"), named("parent").alias("parent"), named("child").alias("child"), "child_ord", (F.col("length") * F.col("rate")).alias("length"))
+    return stockholm_text(part, to_newick(trees))
+
+
+def read_backbone(spark: SparkSession, path: str) -> DataFrame:
+    """(family, site, N, CA, C) of residues with all three atoms, numbered in order of chain and residue; atoms are
+    structs x, y, z."""
+    atoms = _atoms(spark, path).where(F.col("atom").isin("N", "CA", "C"))
+    of = lambda a: F.first(F.when(F.col("atom") == a, F.struct("x", "y", "z")), ignorenulls=True).alias(a)
+    rows = atoms.groupBy("family", "chain", "residue").agg(of("N"), of("CA"), of("C")).where("N is not null and CA is not null and C is not null")
+    site = F.row_number().over(Window.partitionBy("family").orderBy("chain", "residue")) - 1
+    return rows.select("family", site.alias("site"), "N", "CA", "C")
+
+
+def _atoms(spark: SparkSession, path: str) -> DataFrame:
     line = files(spark, path).select("family", F.explode(_lines("text")).alias("l")).where("l like 'ATOM  %'")
     at = lambda a, b: F.trim(F.substring("l", a, b - a + 1))
-    row = line.select("family", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("residue"), at(18, 20).alias("name"), at(13, 16).alias("atom"), *[at(a, a + 7).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))])
+    return line.select("family", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("residue"), at(18, 20).alias("name"), at(13, 16).alias("atom"), *[at(a, a + 7).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))])
+
+
+def read_pdb_atoms(spark: SparkSession, path: str, atom: str = "CB") -> DataFrame:
+    """(family, chain, residue, name, x, y, z) of one atom of each residue (CA for glycine), from fixed columns."""
+    row = _atoms(spark, path)
     return row.where((F.col("atom") == atom) | ((F.col("name") == "GLY") & (F.col("atom") == "CA"))).drop("atom")
 
 
@@ -293,3 +381,49 @@ def fasttree_text(states: list[str], q, pi) -> str:
     head = "\t".join(["", *states, "*"])
     rows = ["\t".join([b, *(f"{q[i][j]:.10g}" for i in range(len(states))), f"{pi[j]:.10g}"]) for j, b in enumerate(states)]
     return "\n".join([head, *rows]) + "\n"
+
+
+def from_paml_text(text: str, states: list[str], rate: float | None = None) -> tuple[list[list[float]], list[float]]:
+    """Rates and stationary distribution of paml_text(); scaled to a mutation rate if one is given."""
+    numbers = [float(v) for v in text.split()]
+    n = len(states)
+    if len(numbers) != n * (n - 1) // 2 + n:
+        raise ValueError(f"{len(numbers)} numbers do not make a matrix of {n} states")
+    pi, q = numbers[-n:], [[0.0] * n for _ in range(n)]
+    at = iter(numbers)
+    for i in range(n):
+        for j in range(i):
+            q[i][j] = q[j][i] = next(at)
+    for i in range(n):
+        q[i] = [v * p for v, p in zip(q[i], pi, strict=True)]
+        q[i][i] = -sum(v for j, v in enumerate(q[i]) if j != i)
+    factor = 1.0 if rate is None else rate / -sum(p * q[i][i] for i, p in enumerate(pi))
+    return [[v * factor for v in row] for row in q], pi
+
+
+def xrate_text(states: list[str], q, pi) -> str:
+    """A rate model as a grammar of one chain: nested lists, states in small letters."""
+    low = [s.lower() for s in states]
+    rules = [
+        "(transform (from (Start)) (to (S0)) (prob 0.5))",
+        "(transform (from (Start)) (to ()) (prob 0.5))",
+        "(transform (from (S0)) (to (A0 S0*)) (gaps-ok)\n  (minlen 1))",
+        "(transform (from (S0*)) (to ()) (prob 0.5))",
+        "(transform (from (S0*)) (to (S0)) (prob 0.5))",
+    ]
+    starts = [f"  (initial (state ({a})) (prob {float(p)}))" for a, p in zip(low, pi, strict=True)]
+    moves = [f"  (mutate (from ({a})) (to ({b})) (rate {float(q[i][j])}))" for i, a in enumerate(low) for j, b in enumerate(low) if i != j]
+    chain = [" (chain", "  (update-policy rev)", "  (terminal (A0))", *starts, *moves, " )"]
+    head = ["(grammar", " (name nullprot)", " (update-rates 1)", " (update-rules 1)", *(f" {r}" for r in rules)]
+    return "\n".join([*head, *chain, ")", "(alphabet", " (name Protein)", f" (token ({' '.join(low)}))", " (wildcard *)", ")", ""])
+
+
+def from_xrate_text(text: str, states: list[str]) -> list[list[float]]:
+    """Rates of a grammar's mutate rules."""
+    at = {s.lower(): k for k, s in enumerate(states)}
+    q = [[0.0] * len(states) for _ in states]
+    for a, b, rate in re.findall(r"\(mutate\s+\(from\s+\((\S)\)\)\s+\(to\s+\((\S)\)\)\s+\(rate\s+([^\s)]+)\)", text):
+        q[at[a.lower()]][at[b.lower()]] = float(rate)
+    for i, row in enumerate(q):
+        row[i] = -sum(row)
+    return q

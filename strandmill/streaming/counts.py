@@ -5,7 +5,6 @@ Counts are additive, so what micro-batches add up to equals the batch result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +43,14 @@ def counts(pairs: DataFrame, points: list[float]) -> DataFrame:
     return with_bucket(pairs, points).groupBy("bucket", "x", "y").agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that a stream has now, through to a table of the driver's session; for results of bounded size."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Everything that a stream has now: rows appended to Parquet files (append), or the last whole result (complete)."""
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no mode {mode}")
+    out = f"{folder}/out"
+    if mode == "append":
+        writer = stream.writeStream.outputMode("append").format("parquet").option("path", out)
+    else:
+        writer = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

@@ -171,7 +171,7 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     df = spark.createDataFrame(events, "event_id long, s string, user_id long, event_type string").select("event_id", F.to_timestamp("s").alias("ts"), "user_id", "event_type")
     df.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = stream.run_available(stream.transitions(live), "append", str(tmp_path / "state")).toPandas()
+    got = stream.run_available(stream.transitions(live), "append", str(tmp_path / "run")).toPandas()
     assert len(got) == 57
     pairs = spark.createDataFrame(got)
     from strandmill.operators.counts import count_states
