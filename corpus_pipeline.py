@@ -40,11 +40,14 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and the text that they decode to."""
+    """Ids of each document, and the text that they decode to.
+
+    Ids are written before they are decoded: in one stage, each task would keep two Python workers busy.
+    """
     small_batches(spark)
     model = public_tokenizers.path(PIECES)
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
-    return decoded.withColumnRenamed("id", "doc_id")
+    encoded = written(sentencepiece_codec.encode(docs, model), "encoded")
+    return sentencepiece_codec.decode(encoded, model).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

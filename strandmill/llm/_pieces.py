@@ -22,7 +22,7 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this stand for one below all others.
 HUGE = -1e8
 #: Segments of which one worker process remembers the encoding.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _SPACED = re.compile(" +[^ ]*")
 
 

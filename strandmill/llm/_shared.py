@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -30,6 +33,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; when they end, memory that the worker no longer uses goes back to the system, as workers live on."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get() if found.isDefined() else None
@@ -91,7 +103,7 @@ def packed_blocks(rows: DataFrame) -> DataFrame:
                 data = [_packed(table.slice(a, b - a)) for a, b in itertools.pairwise(at)]
                 yield pa.RecordBatch.from_arrays([pa.array(number[order][at[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["block", "data"])
 
-    return rows.mapInArrow(pack, "block int, data binary")
+    return rows.mapInArrow(lambda batches: released(pack(batches)), "block int, data binary")
 
 
 def _packed(table: pa.Table) -> bytes:

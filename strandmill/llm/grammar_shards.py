@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import chunks, ragged_range, text_array, text_bytes
-from strandmill.llm._pieces import REMEMBERED, Remembered
+from strandmill.llm._pieces import Remembered
 
 END_ID = 2
+#: Segments of which one worker process remembers the ids.
+REMEMBERED = 1_200_000
 SHARD_TOKENS = 1_000_000
 PARTITION_ROWS = 4096
 FREQUENT = 16
@@ -62,7 +64,7 @@ class ByteLevelEncoder:
         self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self._size[i] = len(piece)  # one character stands for one byte
-        self._later, self._first = Remembered(self._later_ids, 4 * REMEMBERED), Remembered(self._each)
+        self._later, self._first = Remembered(self._later_ids, REMEMBERED), Remembered(self._each)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []

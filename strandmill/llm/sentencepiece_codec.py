@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import chunks, list_array, mix, ragged_range, text_array, text_bytes
 from strandmill.llm._pieces import MARK, Pieces, Remembered, segments
+from strandmill.llm._shared import released
 
 _CHUNK = 2 << 20
 #: Characters of segments that advance together.
@@ -177,7 +178,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 ids, counts = ragged.batch(remember, [segments(t) for t in texts.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(pa.array(ids, pa.int32()), counts), pa.array(counts)], ["id", "ids", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: released(run(batches)), f"id {kind}, ids array<int>, n_tokens long")
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -205,4 +206,4 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(run, f"{kind}, text string")
+    return tokens.mapInArrow(lambda batches: released(run(batches)), f"{kind}, text string")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import simhash
 from strandmill.llm._bytes import LOWER, chunks, text_array, text_bytes
-from strandmill.llm._shared import connected_components, joined, paired_blocks, written
+from strandmill.llm._shared import connected_components, joined, paired_blocks, released, written
 
 #: Bits of a set's fingerprint, those of them that pairs are checked by, and the probability that a pair at just the
 #: similarity is a candidate.
@@ -134,7 +134,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
             out = [*batch.columns[:2], pa.array([rep for rep, _ in found], pa.int64()), pa.array([fp for _, fp in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, ["id", "key", "rep", "fp"])
 
-    return _keyed(docs, text_col, id_col).mapInArrow(scan, f"id {kind}, key long, rep long, fp binary")
+    return _keyed(docs, text_col, id_col).mapInArrow(lambda batches: released(scan(batches)), f"id {kind}, key long, rep long, fp binary")
 
 
 def _needed(docs: DataFrame, text_col: str, shingle: int, keys: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _needed(docs: DataFrame, text_col: str, shingle: int, keys: DataFrame) -> Da
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for _, s in kept)])))
             yield pa.RecordBatch.from_arrays([pa.array([rep for rep, _ in kept], pa.int64()), sets], ["rep", "words"])
 
-    once = _keyed(docs, text_col).mapInArrow(scan, "rep long, words array<long>")
+    once = _keyed(docs, text_col).mapInArrow(lambda batches: released(scan(batches)), "rep long, words array<long>")
     return once.groupBy("rep").agg(F.first("words").alias("words"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import LOWER, chunks, mix, text_array, text_bytes
-from strandmill.llm._shared import BROADCAST_ROWS, connected_components, joined, paired_blocks, written
+from strandmill.llm._shared import BROADCAST_ROWS, connected_components, joined, paired_blocks, released, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 3
 PIVOTS = 16
@@ -221,7 +221,7 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
             a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return table.mapInArrow(compare, "a long, b long").distinct()
+    return table.mapInArrow(lambda batches: released(compare(batches)), "a long, b long").distinct()
 
 
 def labelled(nodes: DataFrame, components: DataFrame) -> DataFrame:

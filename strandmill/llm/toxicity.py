@@ -6,8 +6,8 @@ their states and a logistic unit scores the pool.  All overlapping windows of a
 that of its worst window, calibrated on a part of the training rows that the network has not seen.  Training takes
 each document's worst window by the present network, starting from log-odds of words and runs.
 
-The network is fitted on the driver on at most `SAMPLE` labelled rows of each class, those with the smallest hash of
-their id; everything else runs in tasks over all rows and whole texts.
+The network is fitted on the driver on at most `SAMPLE` labelled documents of each class, those with the smallest hash
+of their id, as far as they fit `SAMPLE_BYTES` of text together; everything else runs in tasks over all rows and whole texts.
 
 Null and empty texts, and texts without a word, get the score of an empty pool.  Without rows of both classes every
 score is the share of label 1 (0 without labels).  Repeated rows each get a row; null labels are not used.
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, ragged_range, scan_words, text_array, text_bytes, word_hashes
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
 LENGTH, STRIDE = 32, 24
 THRESHOLD = 0.7
 _BITS, _DIM, _HIDDEN, _ATTENTION = 15, 12, 8, 8
@@ -303,12 +303,16 @@ def _calibrate(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> pd.DataFrame:
-    """At most `rows` labelled texts of each class: those with the smallest hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, size: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """At most `rows` labelled texts of each class, those with the smallest hash of their id; of several texts of one id
+    the first in order.  Texts, always whole, are taken in that order while they fit `size` bytes together."""
     chosen = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     some = [chosen.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return text.join(F.broadcast(some[0].union(some[1])), "id").select("id", "text", "label").toPandas().sort_values("id", kind="stable")
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = text.join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    # at most `rows` rows a class
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("size", before).where(F.col("size") <= size).select("id", "text", "label").toPandas().sort_values("id", kind="stable")
 
 
 def scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
