@@ -130,7 +130,7 @@ def paired_blocks(df: DataFrame, bucket: str, member: Column, limit: int, weight
     if sizes.isEmpty():
         return df.withColumns({"lo": F.lit(0), "hi": F.lit(0), "mine": F.lit(0)})
     parts = F.coalesce(F.ceil(F.col("count") / limit).cast("int"), F.lit(1))
-    dealt = df.join(sizes, bucket, "left").withColumn("mine", F.pmod(F.xxhash64(member), parts).cast("int"))
+    dealt = joined(df, sizes, bucket, "left").withColumn("mine", F.pmod(F.xxhash64(member), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "count")
 

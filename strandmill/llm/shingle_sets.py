@@ -205,7 +205,8 @@ def _all_compared(apart: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
         a, b = _forest(group.column("rep").to_numpy(), simhash.as_words(fps), words.flatten().to_numpy().view(np.uint64), size, similarity, radius)
         return pa.table({"a": a, "b": b})
 
-    return dealt.select("key", "lo", "hi", "rep", "fp", "words").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    dealt = dealt.select("key", "lo", "hi", "rep", "fp", "words").repartition("key", "lo", "hi")  # or a group's blocks stay together
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
