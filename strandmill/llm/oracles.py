@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandmill.llm.sharding import FIRST, SECOND, SHARDS, Permutation
+
 REPEATS = r"""
 WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END ws FROM documents),
 win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) s FROM w WHERE len(ws) >= 20)),
@@ -36,4 +38,76 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op4_difference_cover_anchors": REPEATS, "op6_collision_counting": LINKS, "op7_winnowing": CONTAMINATION}
+
+
+def _feistel(x: str) -> str:
+    """The network of the permutation over x, whose bits the table z has as `half`."""
+    low, rest = f"({x} >> half)", f"({x} & mask)"
+    left, right = low, rest
+    for k, key in enumerate(Permutation(1).keys):
+        h = f"xor(r{k}, {key}::UBIGINT)"
+        left, right = f"r{k}", f"xor(l{k}, (xor(m{k}, m{k} >> 16)) & mask)"
+        yield_ = f"SELECT *, {left} l{k + 1}, {right} r{k + 1} FROM (SELECT *, (xor(b{k}, b{k} >> 13) * {SECOND}::UBIGINT) & 4294967295 m{k} FROM (SELECT *, (xor(a{k}, a{k} >> 16) * {FIRST}::UBIGINT) & 4294967295 b{k} FROM (SELECT *, {h} a{k} FROM ("
+        low = yield_ + (low if k else f"SELECT *, {low} l0, {rest} r0 FROM {{}}") + "))))"
+    return f"SELECT id, half, mask, rows, (l{k + 1} << half) | r{k + 1} v FROM ({low})"
+
+
+_BYTES = "[CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER) FOR i IN range(1, len(h) // 2 + 1)]"
+#: The table of the 32-bit cyclic redundancy check, from its polynomial.
+_CRC = "SELECT list(list_reduce(list_concat([i::BIGINT], [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) t FROM range(256) r(i)"
+SHARDED = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') text, row_number() OVER (ORDER BY doc_id) - 1 id FROM documents),
+z AS (SELECT CAST(ceil(ceil(log2(count(*))) / 2) AS INTEGER) half, CAST((1 << CAST(ceil(ceil(log2(count(*))) / 2) AS BIGINT)) - 1 AS UBIGINT) mask, count(*) AS rows FROM d),
+crc AS ({_CRC}),
+w(id, half, mask, rows, v) AS (
+  {_feistel("id").format("(SELECT d.id::UBIGINT id, half, mask, rows FROM d, z)")}
+  UNION ALL {_feistel("v").format("(SELECT id, half, mask, rows, v FROM w WHERE v >= rows)")}),
+s AS (SELECT doc_id, id, h, xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS INTEGER) + 1])), 4294967295) c FROM (SELECT doc_id, id, hex(encode(text)) h FROM d), crc)
+SELECT doc_id, CAST(len(h) // 2 + 8 AS BIGINT) size, CAST(c AS BIGINT) text_crc32, 'rows' law, CAST(v % {SHARDS} AS INTEGER) shard, CAST(v // {SHARDS} AS BIGINT) slot, CAST(NULL AS INTEGER) grown_shard
+FROM s JOIN w ON w.id = s.id WHERE v < rows
+"""
+
+_FAILS = {
+    "A": "len(ws) < 100",
+    "B": "100 * len(list_distinct(ws)) < 80 * len(ws)",
+    "C": "100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text)",
+    "D": "regexp_matches(text, '[#$%&*|]')",
+    "E": "coalesce(least_id < e.doc_id, false)",
+}
+FILTERED = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') AS text FROM documents),
+e AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') ws, min(doc_id) OVER (PARTITION BY text) least_id FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY doc_id),
+m AS (SELECT e.part, [{", ".join(f"CASE WHEN {x} THEN '{c}' ELSE '' END" for c, x in _FAILS.items())}] fails, coalesce(good, false) good, coalesce(toxic, false) toxic FROM e LEFT JOIN g ON g.doc_id = e.doc_id),
+c AS (SELECT part, fails, count(*) n, count(*) FILTER (WHERE good) good, count(*) FILTER (WHERE toxic) toxic FROM m GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step:step] f, filter_order[1:step - 1] before FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, list_contains(fails, f) hit, len(list_filter(fails, lambda y: y <> '' AND contains(before, y))) > 0 gone, len(list_filter(fails, lambda y: y <> '')) times FROM c, s),
+r AS (SELECT part, filter_order, step, f, sum(n) FILTER (WHERE NOT gone AND NOT hit) kept, sum(n) FILTER (WHERE NOT gone AND hit) removed, sum(n) FILTER (WHERE gone AND hit) redundant, sum(n) FILTER (WHERE hit AND times = 1) unique_fails,
+  sum(good) FILTER (WHERE NOT gone AND hit) good_lost, sum(toxic) FILTER (WHERE NOT gone AND hit) toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) shapley FROM r
+"""
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} k, ws[i:i + {k - 1}] p FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) i FROM w WHERE len(ws) >= {k})" for k in range(1, 6))
+COLLOCATIONS = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') ws FROM t),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(p, ' ') phrase, any_value(p) p, count(*) a FROM ({_GRAMS}) GROUP BY lang, k, array_to_string(p, ' ') HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) n FROM w GROUP BY lang),
+u AS (SELECT lang, k, phrase, p, a, unnest(range(1, k)) cut FROM f WHERE k > 1),
+s AS (SELECT u.lang, u.k, u.phrase, u.p, u.a, cut, x.a l, y.a r, n, CAST(1000::HUGEINT * u.a * n // (x.a::HUGEINT * y.a) AS BIGINT) score FROM u JOIN n ON n.lang = u.lang
+  JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.p[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.p[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+c AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = b.lang AND g.k > b.k AND g.a >= b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM c QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {
+    "op4_difference_cover_anchors": REPEATS,
+    "op6_collision_counting": LINKS,
+    "op7_winnowing": CONTAMINATION,
+    "op11_feistel_shards": SHARDED,
+    "op12_filter_interaction": FILTERED,
+    "op13_positional_collocations": COLLOCATIONS,
+}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontamination, embedding_links, grammar_shards, pii, quality, sentencepiece_codec, simhash, substring, token_counts, toxicity
+from strandmill.llm import collocations, decontamination, embedding_links, filter_audit, grammar_shards, pii, quality, sentencepiece_codec, sharding, simhash, substring, token_counts, toxicity
 from strandmill.llm._shared import shared_folder, small_batches
 from strandmill.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -86,6 +86,22 @@ def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of all documents, shuffled into 24 shards; rows are the law."""
+    found = sharding.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_positional_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language: lang, rank, phrase, a, l, r, n and score."""
+    return collocations.collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("part", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,5 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_gated_network_toxicity,
         op9_kneser_ney_quality,
         op10_sentencepiece_viterbi,
+        op11_feistel_shards,
+        op12_filter_interaction,
+        op13_positional_collocations,
     )
 }
