@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions.storage import written
+
 #: Rows of a range, about; ranges are a thousand at most.
 RANGE_ROWS, RANGES = 100_000, 1000
 
@@ -35,3 +39,18 @@ def values_at(ordered: DataFrame, column: str, weight: str, places: list[float])
     holds = F.filter(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col(weight)))
     found = {k: float(r.v) for r in ordered.select(F.col(column).alias("v"), holds.alias("k")).where(F.size("k") > 0).collect() for k in r.k}  # a row a place at most
     return [found[int(p)] + (found[int(p) + (p > int(p))] - found[int(p)]) * (p - int(p)) for p in places]
+
+
+def with_position(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds position: places from 0 in an order that ties by no two rows.
+
+    Rows are sorted by ranges and written, so that what a task counted and what it returns agree; a row for each task
+    reaches the driver.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within a task
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = written(ranges.withColumns({"__task": F.spark_partition_id(), "__place": place}), "ordered")
+    counts = sorted(table.groupBy("__task").count().collect())
+    firsts = list(zip([task for task, _ in counts], accumulate((n for _, n in counts), initial=0)))
+    first = rows.sparkSession.createDataFrame(firsts, "__task int, __first long")
+    return table.join(F.broadcast(first), "__task").withColumn("position", F.col("__first") + F.col("__place")).drop("__task", "__first", "__place")

@@ -1,4 +1,8 @@
-"""Likelihoods of trees, transitions and sites; parsimony; simulation.  A family is a group."""
+"""Likelihoods of trees, transitions and sites; parsimony; simulation.
+
+A family whose nodes, sites and states make up to WHOLE_NUMBERS numbers is a group; larger ones are worked out in rounds
+over their trees and in blocks of sites (operators/contraction).
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.markov import expm_many, stationary_distribution
+from strandmill.functions.storage import written
+from strandmill.operators import contraction as T
 from strandmill.operators.trees import _post_order, children_of
 
 
@@ -60,15 +66,77 @@ def pruning(edges: pd.DataFrame, seqs: dict, states: list[str], q: np.ndarray, p
     return scale + np.log(np.maximum(below[root] @ pi, 1e-300))
 
 
+#: Numbers that one family's group may hold.
+WHOLE_NUMBERS = 1 << 24
+
+
+def _by_size(edges: DataFrame, msa: DataFrame, n_states: int, n_sites: Column, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of families that are a group, and (family, n_sites) of the others, None where there are none."""
+    sites = msa.groupBy("family").agg(F.max(n_sites).alias("n_sites"))
+    sizes = edges.groupBy("family").count().join(sites, "family")
+    large = sizes.where(F.col("count") * F.col("n_sites") * n_states > whole).select("family", "n_sites")
+    if large.isEmpty():
+        return edges, None
+    large = written(large, "large")
+    return edges.join(large, "family", "left_anti"), large
+
+
+def _rates_by_block(rates: DataFrame, recursion: T.Recursion) -> DataFrame:
+    """(family, block, rates) from (family, rates): binary numbers, 1 beyond the last site."""
+    n = recursion.sites
+
+    @F.pandas_udf("binary")
+    def packed(values: pd.Series) -> pd.Series:
+        return pd.Series([np.append(np.asarray(v, float), np.ones(n - len(v))).tobytes() for v in values])
+
+    blocks = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("rates") / n).cast("int") - 1, F.lit(0)))).alias("block")
+    return rates.select("family", "rates", blocks).select("family", "block", packed(F.slice("rates", F.col("block") * n + 1, F.lit(n))).alias("rates"))
+
+
+def _recursion(edges: DataFrame, msa: DataFrame, large: DataFrame, rates: DataFrame | None, recursion: T.Recursion, sep: str, leaves_only: bool, keep: bool, whole_edges: int) -> tuple:
+    """The schedule, the rounds' messages, the vectors of what they left, and the edges."""
+    edges = edges.join(large.select("family"), "family", "left_semi")
+    own = msa.join(large.select("family"), "family", "left_semi")
+    if leaves_only:
+        inner = edges.select("family", F.col("parent").alias("seq_name")).distinct()
+        own = own.join(inner, ["family", "seq_name"], "left_anti")
+    symbols, blocks = T.symbols_of(own, recursion.sites, sep), T.blocks_of(large, recursion)
+    by_block = None if rates is None else written(_rates_by_block(rates.join(large.select("family"), "family", "left_semi"), recursion), "rates")
+    plan = T.contract(edges, whole_edges)
+    tables = T.up(plan, edges, symbols, by_block, blocks, recursion, sep, keep)
+    return plan, tables, T.finish(plan, tables, edges, symbols, by_block, blocks, recursion, sep), edges
+
+
+def _sites_in_rounds(edges: DataFrame, msa: DataFrame, large: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray, rates: DataFrame | None, leaves_only: bool, whole_edges: int, sep: str = "") -> DataFrame:
+    """(family, site, ll) of families too large for a group."""
+    recursion = T.Likelihood(states, q, pi, _allowed(states))
+    root = _recursion(edges, msa, large, rates, recursion, sep, leaves_only, False, whole_edges)[2].where("top")
+    first = np.log(np.maximum(pi, T.LEAST))
+
+    @F.pandas_udf("array<double>")
+    def summed(data: pd.Series) -> pd.Series:
+        x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), recursion.sites, len(states)) + first
+        most = x.max(axis=-1)
+        return pd.Series(list(most + np.log(np.exp(x - most[..., None]).sum(axis=-1))))
+
+    rows = root.select("family", "block", F.posexplode(summed("data")).alias("k", "ll")).withColumn("site", F.col("block") * recursion.sites + F.col("k"))
+    return rows.join(large, "family").where("site < n_sites").select("family", F.col("site").cast("int").alias("site"), "ll")
+
+
 def _own_key(msa: DataFrame) -> DataFrame:
     """The alignment with a key of its own, as edges may stem from the same table."""
     return msa.withColumnRenamed("family", "msa_family")
 
 
-def tree_likelihood(edges: DataFrame, msa: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray | None = None, rates: DataFrame | None = None, leaves_only: bool = True) -> DataFrame:
-    """(family, site, ll).  rates: (family, rates), an array of site rates; without it all are 1."""
+def tree_likelihood(edges: DataFrame, msa: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray | None = None, rates: DataFrame | None = None, leaves_only: bool = True, whole: int = WHOLE_NUMBERS, whole_edges: int = T.WHOLE) -> DataFrame:
+    """(family, site, ll).  rates: (family, rates), an array of site rates; without it all are 1.
+
+    Families of over `whole` numbers are worked out in rounds, until `whole_edges` edges are left.
+    """
     pi = stationary_distribution(q) if pi is None else pi
     family = edges.schema["family"].dataType.simpleString()
+    every, all_rows = edges, msa
+    edges, large = _by_size(edges, msa, len(states), F.length("seq"), whole)
     if rates is not None:
         msa = msa.join(rates, "family")
 
@@ -84,17 +152,21 @@ def tree_likelihood(edges: DataFrame, msa: DataFrame, states: list[str], q: np.n
         ll = pruning(tree, known, states, q, pi, r)
         return pd.DataFrame({"family": tree["family"].iloc[0], "site": np.arange(n), "ll": ll})
 
-    return edges.groupBy("family").cogroup(_own_key(msa).groupBy("msa_family")).applyInPandas(run, f"family {family}, site int, ll double")
+    found = edges.groupBy("family").cogroup(_own_key(msa).groupBy("msa_family")).applyInPandas(run, f"family {family}, site int, ll double")
+    return found if large is None else found.unionByName(_sites_in_rounds(every, all_rows, large, states, q, pi, rates, leaves_only, whole_edges))
 
 
-def pair_likelihood(edges: DataFrame, msa: DataFrame, contacts: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray | None = None) -> DataFrame:
+def pair_likelihood(edges: DataFrame, msa: DataFrame, contacts: DataFrame, states: list[str], q: np.ndarray, pi: np.ndarray | None = None, whole: int = WHOLE_NUMBERS, whole_edges: int = T.WHOLE) -> DataFrame:
     """(family, i, j, ll) of pairs of sites in contact under a matrix over pairs of states; a site is in one pair at most."""
     ends = contacts.select("family", F.col("i").alias("s")).union(contacts.select("family", F.col("j").alias("s")))
     if not ends.groupBy("family", "s").count().where("count > 1").isEmpty():
         raise ValueError("a site is in more than one contact")
     pi = stationary_distribution(q) if pi is None else pi
     family = edges.schema["family"].dataType.simpleString()
-    paired = _own_key(pair_states(msa, contacts.where("i < j")))
+    of_pairs = pair_states(msa, contacts.where("i < j"))
+    every = edges
+    edges, large = _by_size(edges, of_pairs, len(states), F.size(F.split("seq", ",")), whole)
+    paired = _own_key(of_pairs)
 
     def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or seqs.empty:
@@ -105,6 +177,8 @@ def pair_likelihood(edges: DataFrame, msa: DataFrame, contacts: DataFrame, state
         return pd.DataFrame({"family": tree["family"].iloc[0], "k": np.arange(n), "ll": pruning(tree, known, states, q, pi, np.ones(n))})
 
     ll = edges.groupBy("family").cogroup(paired.groupBy("msa_family")).applyInPandas(run, f"family {family}, k int, ll double")
+    if large is not None:
+        ll = ll.unionByName(_sites_in_rounds(every, of_pairs, large, states, q, pi, None, True, whole_edges, ",").withColumnRenamed("site", "k"))
     numbered = contacts.where("i < j").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c")).select("family", F.posexplode("c").alias("k", "c"))
     return ll.join(numbered.withColumnRenamed("family", "f"), (F.col("family") == F.col("f")) & (ll["k"] == numbered["k"])).select("family", "c.i", "c.j", "ll")
 
@@ -158,9 +232,14 @@ def parsimony(edges: pd.DataFrame, seqs: dict, states: list[str]) -> tuple[dict,
     return {node: "".join(states[k] for k in pick) for node, pick in chosen.items()}, total
 
 
-def ancestral_states(edges: DataFrame, msa: DataFrame, states: list[str]) -> DataFrame:
-    """(family, node, seq, changes): a most parsimonious sequence for every node, and the family's number of changes."""
+def ancestral_states(edges: DataFrame, msa: DataFrame, states: list[str], whole: int = WHOLE_NUMBERS, whole_edges: int = T.WHOLE) -> DataFrame:
+    """(family, node, seq, changes): a most parsimonious sequence for every node, and the family's number of changes.
+
+    Families of over `whole` numbers are worked out in rounds, until `whole_edges` edges are left.
+    """
     family, node = (edges.schema[c].dataType.simpleString() for c in ("family", "parent"))
+    every, all_rows = edges, msa
+    edges, large = _by_size(edges, msa, len(states), F.length("seq"), whole)
 
     def run(tree: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or seqs.empty:
@@ -170,7 +249,60 @@ def ancestral_states(edges: DataFrame, msa: DataFrame, states: list[str]) -> Dat
         found, changes = parsimony(tree, known, states)
         return pd.DataFrame({"family": tree["family"].iloc[0], "node": list(found), "seq": list(found.values()), "changes": changes})
 
-    return edges.groupBy("family").cogroup(_own_key(msa).groupBy("msa_family")).applyInPandas(run, f"family {family}, node {node}, seq string, changes long")
+    found = edges.groupBy("family").cogroup(_own_key(msa).groupBy("msa_family")).applyInPandas(run, f"family {family}, node {node}, seq string, changes long")
+    return found if large is None else found.unionByName(_ancestors_in_rounds(every, all_rows, large, states, whole_edges))
+
+
+def _ancestors_in_rounds(edges: DataFrame, msa: DataFrame, large: DataFrame, states: list[str], whole_edges: int) -> DataFrame:
+    """ancestral_states() of families too large for a group.
+
+    Costs go up by contraction.  A node's choice is a function of its parent's state; functions are composed along the way
+    to the root in doubling steps, and at the root nothing is left to choose.
+    """
+    recursion = T.Changes(states)
+    plan, tables, left, edges = _recursion(edges, msa, large, None, recursion, "", True, True, whole_edges)
+    costs = T.down(plan, tables, left, edges, recursion)
+    inner = edges.select("family", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    hung = edges.select("family", F.col("child").alias("node"), F.col("parent").alias("to"))
+    nodes = costs.join(inner, ["family", "node"], "left").join(hung, ["family", "node"], "left")
+    n, s = recursion.sites, len(states)
+
+    @F.pandas_udf("binary")
+    def choices(data: pd.Series, inner: pd.Series, top: pd.Series) -> pd.Series:
+        c = np.frombuffer(b"".join(data), np.float64).reshape(len(data), n, s)
+        least, best = c.min(axis=-1, keepdims=True), c.argmin(axis=-1)[..., None]
+        keep = (c <= least + inner.to_numpy(bool)[:, None, None]) & ~top.to_numpy(bool)[:, None, None]
+        return pd.Series([x.tobytes() for x in np.where(keep, np.arange(s), best).astype(np.uint16)])
+
+    @F.pandas_udf("binary")
+    def composed(own: pd.Series, above: pd.Series) -> pd.Series:
+        f, g = (np.frombuffer(b"".join(x), np.uint16).reshape(len(own), n, s) for x in (own, above))
+        return pd.Series([x.tobytes() for x in np.take_along_axis(f, g.astype(np.int64), axis=-1)])
+
+    @F.pandas_udf("double")
+    def least(data: pd.Series, sites: pd.Series) -> pd.Series:
+        c = np.frombuffer(b"".join(data), np.float64).reshape(len(data), n, s).min(axis=-1)
+        return pd.Series([x[:k].sum() for x, k in zip(c, sites, strict=True)])
+
+    @F.pandas_udf("string")
+    def letters(choice: pd.Series, sites: pd.Series) -> pd.Series:
+        at = [np.frombuffer(x, np.uint16).reshape(n, s)[:k, 0] for x, k in zip(choice, sites, strict=True)]
+        return pd.Series(["".join(states[k] for k in x) for x in at], dtype=object)
+
+    top = F.col("to").isNull()
+    rows = nodes.select("family", "node", "block", "to", choices("data", F.coalesce("inner", F.lit(False)), top).alias("choice"), top.alias("end"))
+    rows = written(rows, "choices")
+    there, open_ = rows.where("end"), rows.where("not end")
+    while not open_.isEmpty():
+        above = there.unionByName(open_).select("family", F.col("node").alias("to"), "block", F.col("to").alias("far"), F.col("choice").alias("more"), F.col("end").alias("ended"))
+        moved = open_.join(above, ["family", "to", "block"]).select("family", "node", "block", F.col("far").alias("to"), composed("choice", "more").alias("choice"), F.col("ended").alias("end"))
+        moved = written(moved, "choices")
+        there, open_ = there.unionByName(moved.where("end")), moved.where("not end")
+    sites = F.least(F.lit(n), F.col("n_sites") - F.col("block") * n).cast("int")
+    roots = nodes.where("to is null").join(large, "family").groupBy("family").agg(F.sum(least("data", sites)).cast("long").alias("changes"))
+    parts = there.join(large, "family").select("family", "node", F.struct("block", letters("choice", sites).alias("text")).alias("part"))
+    seqs = parts.groupBy("family", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("seq"))
+    return seqs.join(roots, "family").select("family", "node", "seq", "changes")
 
 
 def simulate(edges: DataFrame, n_sites: int, states: list[str], q: np.ndarray, pi: np.ndarray | None = None, rates: list[float] | None = None, seed: int = 0) -> DataFrame:

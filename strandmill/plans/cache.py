@@ -4,21 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir; a new local one in local mode where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="strandmill-")
+from strandmill.functions.storage import shared_folder  # noqa: F401
 
 
 def content(df: DataFrame) -> str:

@@ -182,12 +182,12 @@ def site_subset_msa(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def contacting_sites(spark: SparkSession, d: str) -> DataFrame:
-    return K.contacting_sites(A.pattern_contacts(spark), 40)
+    return K.contacting_sites(A.embedding_contacts(spark, d), 40)
 
 
 @query
 def nontrivial_contacts(spark: SparkSession, d: str) -> DataFrame:
-    return K.nontrivial(A.pattern_contacts(spark), 7)
+    return K.nontrivial(A.embedding_contacts(spark, d), 7)
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +233,9 @@ def price_quantile_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def perfect_binary_tree(spark: SparkSession, d: str) -> DataFrame:
-    return T.perfect_binary_tree(spark, 10)
+    """For each family of sequences the smallest perfect tree that has a node for each."""
+    sizes = A.embedding_msa(spark, d).groupBy("family").count()
+    return T.perfect_binary_trees(sizes.select("family", F.ceil(F.log2(F.col("count") + 1)).cast("int").alias("levels")))
 
 
 def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -434,6 +436,32 @@ def parsimony_states(spark: SparkSession, d: str) -> DataFrame:
     return ancestral_states(edges, msa, NT)
 
 
+@query
+def pruning_loglik_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """pruning_loglik() by the way of families too large for a group: all but 16 edges of a tree are contracted."""
+    msa, edges = _trees(spark, d)
+    return _rounded(tree_likelihood(edges, msa, NT, _equal_matrix(), whole=0, whole_edges=16), "ll")
+
+
+@query
+def family_evaluation_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """family_evaluation(), with site rates, by the same way."""
+    msa, edges = _trees(spark, d)
+    ll = tree_likelihood(edges, msa, NT, _equal_matrix(), rates=_rate_arrays(spark, d), whole=0, whole_edges=16)
+    return _family_sums(P.by_family(ll))
+
+
+@query
+def parsimony_states_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    msa, edges = _trees(spark, d)
+    return ancestral_states(edges, msa, NT, whole=0, whole_edges=16)
+
+
+@query
+def cherrypp_pairs_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(T.leaf_pairs_in_rounds(_trees(spark, d)[1]), "t")
+
+
 @query
 def simulated_msa(spark: SparkSession, d: str) -> DataFrame:
     return simulate(_trees(spark, d)[1], 64, NT, _equal_matrix())
@@ -446,8 +474,13 @@ def fast_cherries_tree(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def maximal_matching(spark: SparkSession, d: str) -> DataFrame:
-    families = A.embedding_msa(spark, d).select("family").distinct()
-    return K.maximal_matching(families.crossJoin(F.broadcast(A.pattern_contacts(spark))), 7)  # one map of 64 sites
+    return K.maximal_matching(A.embedding_contacts(spark, d), 7)
+
+
+@query
+def maximal_matching_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """maximal_matching() by the way of families too large for a group."""
+    return K.maximal_matching(A.embedding_contacts(spark, d), 7, whole=8)
 
 
 @query

@@ -109,9 +109,11 @@ _FIRST, _LAST = grid()[0], grid()[-1]
 
 _TREES = (EMB, EDGES, SITES, NODES)
 _BY_FAMILY = "round(sum(ll), 4) ll, CAST(count(*) AS BIGINT) n_sites, round(sum(ll) / count(*), 6) ll_per_site"
-_MATCHING = """o AS (SELECT row_number() OVER (ORDER BY i, j) k, i, j FROM ct WHERE j - i >= 7),
-g(k, used, i, j, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), -1, -1, false UNION ALL
-  SELECT o.k, CASE WHEN list_contains(used, o.i) OR list_contains(used, o.j) THEN used ELSE used || [o.i, o.j] END, o.i, o.j, NOT (list_contains(used, o.i) OR list_contains(used, o.j)) FROM g JOIN o ON o.k = g.k + 1)"""
+NEAR_VECTORS = """pt AS (SELECT CAST(label AS VARCHAR) family, vec_id site, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 2),
+ct AS (SELECT a.family, a.site i, b.site j FROM pt a JOIN pt b ON a.family = b.family AND a.site < b.site AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.1)"""
+_MATCHING = """o AS (SELECT row_number() OVER (PARTITION BY family ORDER BY i, j) k, family, i, j FROM ct WHERE j - i >= 7),
+g(family, k, used, i, j, kept) AS (SELECT DISTINCT family, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), false FROM ct UNION ALL
+  SELECT o.family, o.k, CASE WHEN list_contains(used, o.i) OR list_contains(used, o.j) THEN used ELSE used || [o.i, o.j] END, o.i, o.j, NOT (list_contains(used, o.i) OR list_contains(used, o.j)) FROM g JOIN o ON o.family = g.family AND o.k = g.k + 1)"""
 
 ORACLES: dict[str, str] = {
     "pruning_loglik": _with(*_TREES, RATES_OF_ONE, *likelihood("ll1", "one", 1 / 3, 1 / 3)) + "SELECT family, site, round(ll, 6) ll FROM ll1",
@@ -120,7 +122,7 @@ ORACLES: dict[str, str] = {
     "model_comparison": _with(*_TREES, RATES_OF_ONE, *likelihood("ll1", "one", 1 / 3, 1 / 3), *likelihood("ll2", "one", 5 / 7, 1 / 7), "f1 AS (SELECT family, sum(ll) ll, count(*) n FROM ll1 GROUP BY family), f2 AS (SELECT family, sum(ll) ll FROM ll2 GROUP BY family)")
     + "SELECT family, model, round(ll, 4) ll, CAST(n AS BIGINT) n_sites, round(ll - base, 4) gain, round((ll - base) / n, 6) gain_per_site FROM (SELECT family, 'equal' model, ll, ll base, n FROM f1 UNION ALL SELECT f1.family, 'unequal', f2.ll, f1.ll, n FROM f1 JOIN f2 ON f2.family = f1.family)",
     "parsimony_states": _with(*_TREES, RATES_OF_ONE, *parsimony()) + "SELECT anc.family, node, string_agg(substr('ACGT', k, 1), '' ORDER BY site) seq, CAST(first(changes) AS BIGINT) changes FROM anc JOIN chg ON chg.family = anc.family GROUP BY anc.family, node",
-    "maximal_matching": _with(EMB, CONTACTS, _MATCHING, recursive=True) + "SELECT family, i, j FROM (SELECT DISTINCT family FROM msa), g WHERE kept",
+    "maximal_matching": _with(NEAR_VECTORS, _MATCHING, recursive=True) + "SELECT family, i, j FROM g WHERE kept",
     "site_model_loglik": _with(*_CHERRY_SITES) + f"SELECT family, px tid, round(sum({P_EQUAL.format(x='x', y='y', t='t')}), 4) ll FROM ps GROUP BY family, px",
     "site_rates_by_table": _with(GRID, STEPS, *_CHERRY_SITES, _CANDIDATES, f"cr AS (SELECT family, site, x, y, rate, prior, least(greatest(t * rate, {_FIRST!r}::DOUBLE), {_LAST!r}::DOUBLE) t FROM ps, gr)", _quantized("cq", "cr"), f"ca AS (SELECT family, site, rate, first(prior) + sum({P_EQUAL.format(x='x', y='y', t='q.t')} + {P_EQUAL.format(x='y', y='x', t='q.t')}) ll FROM cq JOIN q ON q.i = cq.bucket GROUP BY family, site, rate)")
     + "SELECT family, site, round(rate, 6) rate FROM (SELECT *, row_number() OVER (PARTITION BY family, site ORDER BY ll DESC, rate) rn FROM ca) WHERE rn = 1",
@@ -156,9 +158,9 @@ ORACLES: dict[str, str] = {
         recursive=True,
     )
     + "SELECT ra.family, site, CAST(wk.rc AS INTEGER) category FROM ra JOIN wk ON wk.family = ra.family AND wk.rank = ra.rank",
-    "contacting_sites": _with(CONTACTS, _NEAR) + "SELECT k, site FROM sk",
+    "contacting_sites": _with(NEAR_VECTORS) + "SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY site) - 1 AS INTEGER) k, site FROM (SELECT family, i site FROM ct WHERE j - i >= 40 UNION SELECT family, j FROM ct WHERE j - i >= 40)",
     "site_subset_msa": _with(EMB, CONTACTS, _NEAR) + "SELECT family, seq_name, string_agg(substr(seq, site + 1, 1), '' ORDER BY k) seq FROM msa, sk GROUP BY family, seq_name",
-    "nontrivial_contacts": _with(CONTACTS) + "SELECT i, j FROM ct WHERE j - i >= 7",
+    "nontrivial_contacts": _with(NEAR_VECTORS) + "SELECT family, i, j FROM ct WHERE j - i >= 7",
     "site_rate_by_num_contacts": _with(EMB, SITES, RATES, CONTACTS, "nc AS (SELECT site, count(*) c FROM (SELECT i site FROM ct WHERE j - i >= 7 UNION ALL SELECT j FROM ct WHERE j - i >= 7) GROUP BY site)")
     + "SELECT CAST(coalesce(c, 0) AS BIGINT) n_contacts, CAST(count(*) AS BIGINT) n, round(avg(rate), 6) mean, round(quantile_cont(rate, 0.5), 6) median, round(quantile_cont(rate, 0.25), 6) q25, round(quantile_cont(rate, 0.75), 6) q75 FROM rt LEFT JOIN nc USING (site) GROUP BY 1",
     "site_pair_cooccurrence": _with(
@@ -174,7 +176,8 @@ ORACLES: dict[str, str] = {
     "farthest_sequence": _with(EMB, "fi AS (SELECT family, min(seq_name) x FROM msa GROUP BY family)", f"di AS (SELECT c.family, x, c.seq_name y, {_DIFFER} distance FROM fi JOIN msa a ON a.family = fi.family AND a.seq_name = x JOIN msa c ON c.family = fi.family)")
     + "SELECT family, x, y, distance FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY distance DESC, y) rn FROM di) WHERE rn = 1",
     "price_quantile_bins": "WITH cu AS (SELECT unnest(quantile_cont(l_extendedprice, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) c FROM lineitem), pl AS (SELECT l_extendedprice v, CAST((SELECT count(*) FROM cu WHERE c < l_extendedprice) AS INTEGER) bin FROM lineitem) SELECT bin, CAST(count(*) AS BIGINT) n, round(avg(v), 4) mean, round(quantile_cont(v, 0.25), 4) q25, round(quantile_cont(v, 0.75), 4) q75 FROM pl GROUP BY bin",
-    "perfect_binary_tree": "SELECT CAST((i - 1) // 2 AS BIGINT) parent, CAST(i AS BIGINT) child, CAST((i - 1) % 2 AS INTEGER) child_ord FROM (SELECT unnest(range(1, 1023)) i)",
+    "perfect_binary_tree": _with(EMB, "fs AS (SELECT family, CAST(ceil(log2(count(*) + 1)) AS INTEGER) levels FROM msa GROUP BY family)")
+    + "SELECT family, CAST((i - 1) // 2 AS BIGINT) parent, CAST(i AS BIGINT) child, CAST((i - 1) % 2 AS INTEGER) child_ord FROM (SELECT family, unnest(range(1, (1 << levels) - 1)) i FROM fs)",
     "tree_edges": _with(EMB, EDGES) + "SELECT family, 'n' || parent parent, 'n' || child child, child_ord, round(length * 2, 6) length FROM edges",
     "tree_leaves": _with(EMB, EDGES, LEAVES) + "SELECT family, node FROM leaves",
     "tree_internal_nodes": _with(EMB, EDGES) + "SELECT DISTINCT family, parent node FROM edges",
@@ -202,3 +205,7 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT family, site, bucket, x, y, round(sum(n), 6) n FROM (SELECT family, site, bucket, x, y, n * 0.75::DOUBLE n FROM sc UNION ALL SELECT * FROM pp) GROUP BY ALL",
 }
+
+#: The same results by the way of large families.
+for _name in ("pruning_loglik", "family_evaluation", "parsimony_states", "cherrypp_pairs", "maximal_matching"):
+    ORACLES[f"{_name}_in_rounds"] = ORACLES[_name]

@@ -190,7 +190,11 @@ def _long(spark: SparkSession, states: list[str], q: np.ndarray) -> DataFrame:
 
 def evaluate(edges: DataFrame, msa: DataFrame, states: list[str], q: np.ndarray, rates: DataFrame | None = None) -> DataFrame:
     """(family, ll, n_sites, ll_per_site) of a matrix on trees and their alignments."""
-    ll = tree_likelihood(edges, msa, states, q, rates=rates)
+    return by_family(tree_likelihood(edges, msa, states, q, rates=rates))
+
+
+def by_family(ll: DataFrame) -> DataFrame:
+    """(family, ll, n_sites, ll_per_site) of (family, site, ll)."""
     return ll.groupBy("family").agg(F.sum("ll").alias("ll"), F.count("*").alias("n_sites")).withColumn("ll_per_site", F.col("ll") / F.col("n_sites"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators.contacts import distance_contacts
+
 NUCLEOTIDES = ["A", "C", "G", "T"]
 #: States that dense matrices are made for.
 MOST_STATES = 1000
@@ -75,6 +77,13 @@ def heap_edges(msa: DataFrame) -> DataFrame:
     return child.join(parent, ["family", "rn"]).select("family", "parent", "child", "child_ord", length.alias("length"))
 
 
+def embedding_contacts(spark: SparkSession, sf_dir: str, cutoff: float = 0.1) -> DataFrame:
+    """(family, i, j): vectors of a label, as residues by id, whose first three components are closer than cutoff."""
+    emb = table(spark, sf_dir, "embeddings").where("label is not null and size(embedding) > 2")
+    axis = {c: F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")}
+    return distance_contacts(emb.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("site"), *axis.values()), cutoff)
+
+
 def pattern_contacts(spark: SparkSession, sites: int = 64) -> DataFrame:
     """(i, j): pairs of sites i < j for which 7 i + 13 j is divisible by 11."""
     i = spark.range(sites).select(F.col("id").cast("int").alias("i"))

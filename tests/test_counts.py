@@ -82,7 +82,9 @@ def test_topology(spark):
     assert names(T.leaves(edges)) == ["seq1", "seq2", "seq3"]
     assert names(T.roots(edges)) == ["internal-0"]
     assert names(T.internal_nodes(edges)) == ["internal-0", "internal-1", "internal-2"]
-    assert T.perfect_binary_tree(spark, 3).count() == 6
+    trees = T.perfect_binary_trees(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 6)], "family string, levels int"))
+    assert {r["family"]: r["count"] for r in trees.groupBy("family").count().collect()} == {"b": 2, "c": 6, "d": 62}
+    assert sorted((r.parent, r.child, r.child_ord) for r in trees.where("family = 'c'").collect()) == [((k - 1) // 2, k, (k - 1) % 2) for k in range(1, 7)]
     with pytest.raises(ValueError, match="strategy"):
         T.pairs(edges, "nearest")
 
