@@ -4,9 +4,9 @@ A text is lower-cased (A-Z) and cut into pieces at `.,;:!?` and line ends, piece
 lie within pieces.  Everything is per part of the corpus (language).  Each task packs what it reads into blocks of one
 part: a number for each place of a word, one unused place between pieces.  In a block, a list holds the sorted places at
 which frequent phrases of k words start, and which they are; lists start with the frequent words.  Round k merges that
-list with the postings of words k places on (and, since a phrase is no more frequent than what it ends in, with itself
-one place on), which gives the places of phrases of k + 1 words; their number in all blocks, the lists' length, is the
-exact frequency.  Phrases frequent in the whole part go back to the blocks that have them.  Phrases are known by numbers,
+list with the postings of the next word; as a phrase is no more frequent than what it ends in, those are of use only
+where they end a frequent phrase that starts one place on, so they are read off the list itself.  That gives the
+places of phrases of k + 1 words; their number in all blocks, the lists' length, is the exact frequency.  Phrases frequent in the whole part go back to the blocks that have them.  Phrases are known by numbers,
 given anew each round, so their identity is exact.  Blocks are cut between pieces, so neither a long text nor a large part
 is one block; a block holds BLOCK_BYTES of text or one piece.
 
@@ -33,14 +33,14 @@ from strandmill.llm._shared import joined, released, written
 
 LEAST, MOST_WORDS, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text in a block, and of text that is cut into words at once.
-BLOCK_BYTES, _CHUNK = 16 << 20, 1 << 20
+BLOCK_BYTES, _CHUNK = 8 << 20, 1 << 20
 #: Phrases of a part that are ranked in one task.
 RANKED_ROWS = 100_000
 #: A byte that no text has stands for all that ends a piece.
 _END = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
 _BLOCK = pa.schema([("block", pa.int64()), ("part", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("places", pa.binary())])
-_LIST = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("starts", pa.binary()), ("phrases", pa.binary()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_LIST = pa.schema([("block", pa.int64()), ("starts", pa.binary()), ("phrases", pa.binary()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -129,20 +129,17 @@ def _found(batch: pa.RecordBatch, row: int) -> np.ndarray:
     return out
 
 
-def _extended(block: int, words: np.ndarray, starts: np.ndarray, phrases: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """Places of phrases one word longer than the k words of those that start at `starts` (sorted), and their numbers of
-    occurrences in this block.  words: frequent words by place, -1 elsewhere; phrases: places in ids."""
-    at = np.full(len(words) + 1, -1, np.int32)  # the list, by place
+def _extended(block: int, starts: np.ndarray, phrases: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Places of phrases one word longer than those that start at `starts` (sorted), and their numbers of occurrences in
+    this block.  phrases: places in ids."""
+    at = np.full(int(starts[-1]) + 2 if len(starts) else 2, -1, np.int32)  # the list, by place
     at[starts] = phrases
-    on = starts + k
-    inside = on < len(words)
-    starts, phrases, on = starts[inside], phrases[inside], on[inside]
-    both = (words[on] >= 0) & (at[starts + 1] >= 0)
-    starts, phrases, rest = starts[both], phrases[both], at[starts[both] + 1]
+    rest = at[starts + 1]
+    both = rest >= 0
+    starts, phrases, rest = starts[both], phrases[both], rest[both]
     # a phrase and the one that starts a place later, which ends with the word that is added, make the longer one
     key, where, which, n = np.unique(phrases.astype(np.int64) * max(1, len(ids)) + rest, return_index=True, return_inverse=True, return_counts=True)
-    first, last = ids[phrases[where]], ids[rest[where]]
-    return _row(_LIST, block=block, words=_packed(words), starts=_packed(starts), phrases=_packed(which), first=first, last=last, n=n)
+    return _row(_LIST, block=block, starts=_packed(starts), phrases=_packed(which), first=ids[phrases[where]], last=ids[rest[where]], n=n)
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,23 +147,19 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             ids, codes = _found(batch, row), _array(batch.column("places")[row].as_py())
-            frequent = np.where((codes >= 0) & (ids[codes] > 0), codes, -1).astype(np.int32)
-            starts = np.flatnonzero(frequent >= 0).astype(np.int32)
-            yield _extended(batch.column("block")[row].as_py(), frequent, starts, frequent[starts], ids, 1)
+            starts = np.flatnonzero(codes >= 0).astype(np.int32)
+            starts = starts[ids[codes[starts]] > 0]
+            yield _extended(batch.column("block")[row].as_py(), starts, codes[starts], ids)
 
 
-def _longer(k: int):
-    """The lists of k + 1 words, from lists of k words and the numbers of their frequent phrases."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids = _found(batch, row)
-                words, starts, phrases = (_array(batch.column(c)[row].as_py()) for c in ("words", "starts", "phrases"))
-                kept = ids[phrases] > 0
-                yield _extended(batch.column("block")[row].as_py(), words, starts[kept], phrases[kept], ids, k)
-
-    return run
+def _longer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of one word more, from lists and the numbers of their frequent phrases."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids = _found(batch, row)
+            starts, phrases = (_array(batch.column(c)[row].as_py()) for c in ("starts", "phrases"))
+            kept = ids[phrases] > 0
+            yield _extended(batch.column("block")[row].as_py(), starts[kept], phrases[kept], ids)
 
 
 def _numbers(entries: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
@@ -178,7 +171,7 @@ def _numbers(entries: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
 def _rounds(table: DataFrame, found: DataFrame, columns: list[str], size: str, step) -> DataFrame:
     """The next lists, written."""
     rows = table.select(*columns, F.size(size).alias("size")).join(found, "block")
-    kind = "block long, words binary, starts binary, phrases binary, first array<long>, last array<long>, n array<long>"
+    kind = "block long, starts binary, phrases binary, first array<long>, last array<long>, n array<long>"
     return written(rows.mapInArrow(lambda batches: released(step(batches)), kind), "lists")
 
 
@@ -215,7 +208,7 @@ def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, t
         shorter = written(named, "phrases")
         out.append(shorter)
         if k < most_words:
-            table = _rounds(table, _numbers(lists, shorter, "key"), ["block", "words", "starts", "phrases"], "n", _longer(k))
+            table = _rounds(table, _numbers(lists, shorter, "key"), ["block", "starts", "phrases"], "n", _longer)
     return out
 
 
