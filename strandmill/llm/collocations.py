@@ -6,9 +6,11 @@ part: a number for each place of a word, one unused place between pieces.  In a
 which frequent phrases of k words start, and which they are; lists start with the frequent words.  Round k merges that
 list with the postings of the next word; as a phrase is no more frequent than what it ends in, those are of use only
 where they end a frequent phrase that starts one place on, so they are read off the list itself.  That gives the
-places of phrases of k + 1 words; their number in all blocks, the lists' length, is the exact frequency.  Phrases frequent in the whole part go back to the blocks that have them.  Phrases are known by numbers,
+places of phrases of k + 1 words; their number in all blocks, the lists' length, is the exact frequency.  Blocks send their phrases and counts, packed, to buckets by hash; a bucket adds up and sends the
+numbers of phrases frequent in the whole part back to the blocks that have them.  Phrases are known by those numbers,
 given anew each round, so their identity is exact.  Blocks are cut between pieces, so neither a long text nor a large part
-is one block; a block holds BLOCK_BYTES of text or one piece.
+is one block; a block holds BLOCK_BYTES of text or one piece.  A bucket has about ENTRIES entries; of one phrase it
+can have as many as there are blocks, so beyond SHARE_BLOCKS of them buckets are divided by blocks and added up twice.
 
 The score of a phrase is that of its lowest cut into two parts, floor(1000 a n / (l r)) in decimals.  Phrases contained
 in one that is as frequent are dropped; it is enough to look one word further, as frequency never rises with length.
@@ -23,17 +25,21 @@ from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm._shared import joined, released, written
+from strandmill.llm._shared import released, written
 
 LEAST, MOST_WORDS, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text in a block, and of text that is cut into words at once.
 BLOCK_BYTES, _CHUNK = 8 << 20, 1 << 20
+#: Entries (a phrase in a block) of a bucket, and blocks whose entries of one phrase are added up at once.
+ENTRIES, SHARE_BLOCKS = 1 << 18, 1 << 20
 #: Phrases of a part that are ranked in one task.
 RANKED_ROWS = 100_000
 #: A byte that no text has stands for all that ends a piece.
@@ -125,7 +131,8 @@ def _found(batch: pa.RecordBatch, row: int) -> np.ndarray:
     """The numbers given to what a block's list has, 0 for what is not frequent."""
     out = np.zeros(batch.column("size")[row].as_py(), np.int64)
     found = batch.column("found")[row].values
-    out[found.field("k").to_numpy()] = found.field("id").to_numpy()
+    if found is not None and len(found):
+        out[found.field("k").flatten().to_numpy()] = found.field("id").flatten().to_numpy()
     return out
 
 
@@ -162,20 +169,181 @@ def _longer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _extended(batch.column("block")[row].as_py(), starts[kept], phrases[kept], ids)
 
 
-def _numbers(entries: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
-    """(block, found): for each block the places in its list and numbers of what is frequent."""
-    known = joined(entries.select("block", "k", key), frequent.select(key, "id"), key)
-    return known.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("found"))
+def _lists(values: np.ndarray | pa.Array, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Lists of neighbouring values, which begin at `at`."""
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
 
 
-def _rounds(table: DataFrame, found: DataFrame, columns: list[str], size: str, step) -> DataFrame:
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end of the last."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, np.int64)
+
+
+def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of pairs of numbers."""
+    h = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def _cells(of_words: bool, buckets: int, shares: int):
+    """Each block's entries by bucket: their places in the block's list, keys and counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n = batch.column("n")[row].values.to_numpy()
+                if of_words:
+                    keys = [batch.column("words")[row].values]
+                    hashed = pd.util.hash_array(keys[0].to_numpy(zero_copy_only=False), categorize=False) if len(n) else np.zeros(0, np.uint64)
+                else:
+                    keys = [batch.column(c)[row].values for c in ("first", "last")]
+                    hashed = _mixed(*(k.to_numpy() for k in keys))
+                bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                at = _starts(bucket[order])
+                block = batch.column("block")[row].as_py()
+                rows = len(at) - 1
+                part = batch.column("part")[row].as_py() if of_words else None
+                take = pa.array(order)
+                columns = [pa.array(bucket[order][at[:-1]].astype(np.int32)), pa.array([block % shares] * rows, pa.int32()), pa.array([block] * rows, pa.int64()), pa.array([part] * rows, pa.string())]
+                columns += [_lists(order.astype(np.int32), at, pa.int32()), _lists(n[order], at, pa.int64())]
+                columns += [_lists(k.take(take), at, k.type) for k in keys]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "share", "block", "part", "k", "n", "first", *(["last"] if not of_words else [])])
+
+    return run
+
+
+def _flat(cells: pa.Table, column: str) -> pa.Array:
+    values = [v for c in cells.column(column).chunks if len(c) and len(v := c.flatten())]
+    return pa.concat_arrays(values) if values else pa.array([], cells.schema.field(column).type.value_type)
+
+
+def _keys(cells: pa.Table, of_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the entries by key, where each key begins in it, and which cell each entry is of."""
+    sizes = pc.list_value_length(cells.column("k")).to_numpy()
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    first = _flat(cells, "first")
+    if of_words:
+        a = pc.dictionary_encode(first).indices.to_numpy().astype(np.int64)
+        b = pc.dictionary_encode(cells.column("part").combine_chunks()).indices.to_numpy()[cell].astype(np.int64) if len(cell) else a
+    else:
+        a, b = first.to_numpy(), _flat(cells, "last").to_numpy()
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order, np.flatnonzero(new), cell
+
+
+_COUNTED = "block long, k array<int>, id array<long>, part array<string>, first array<{key}>, last array<long>, a array<long>"
+
+
+def _counted(of_words: bool, least: int, buckets: int):
+    """Of a bucket: to each block the numbers of its frequent entries, and a row (block -1) of what is frequent."""
+    key = pa.string() if of_words else pa.int64()
+
+    def run(cells: pa.Table) -> pa.Table:
+        order, at, cell = _keys(cells, of_words)
+        sums = np.add.reduceat(_flat(cells, "n").to_numpy()[order], at) if len(at) else np.zeros(0, np.int64)
+        frequent = np.flatnonzero(sums >= least)
+        numbers = np.zeros(len(at), np.int64)
+        bucket = cells.column("bucket")[0].as_py()
+        numbers[frequent] = np.arange(len(frequent)) * buckets + bucket + 1
+        entry = np.zeros(len(order), np.int64)
+        entry[order] = np.repeat(numbers, np.diff(np.append(at, len(order))))
+        some = np.flatnonzero(entry)  # in the order of cells, and so of blocks
+        runs = _starts(cell[some])
+        blocks = cells.column("block").to_numpy()[cell[some][runs[:-1]]]
+        own = pa.array(order[at[frequent]])
+        parts = cells.column("part").combine_chunks().take(pa.array(cell[order[at[frequent]]])) if of_words else pa.nulls(len(own), pa.string())
+        last = pa.nulls(len(own), pa.int64()) if of_words else _flat(cells, "last").take(own)
+        none = np.zeros(len(blocks), np.int64)
+        whole = np.array([0, len(own)])
+        columns = [pa.array(np.append(blocks, -1)), _join(_lists(_flat(cells, "k").to_numpy()[some], runs, pa.int32()), [0, 0]), _join(_lists(entry[some], runs, pa.int64()), whole, numbers[frequent])]
+        columns += [_join(_lists(pa.array([], kind), np.append(none, 0), kind), whole, values) for kind, values in ((pa.string(), parts), (key, _flat(cells, "first").take(own)), (pa.int64(), last), (pa.int64(), sums[frequent]))]
+        return pa.Table.from_arrays(columns, ["block", "k", "id", "part", "first", "last", "a"])
+
+    return run
+
+
+def _join(lists: pa.ListArray, at, values=()) -> pa.ListArray:
+    """The lists, and one more of other values."""
+    kind = lists.type.value_type
+    return pa.concat_arrays([lists, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)])
+
+
+def _partly(of_words: bool):
+    """Of a bucket's share: its keys and their sums, as one cell that stands for a block of its own."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        order, at, cell = _keys(cells, of_words)
+        sums = np.add.reduceat(_flat(cells, "n").to_numpy()[order], at) if len(at) else np.zeros(0, np.int64)
+        own = order[at]
+        parts = np.asarray(cells.column("part").to_pylist(), object)[cell[own]] if of_words else np.full(len(own), None)
+        by = np.argsort(parts.astype(str), kind="stable")
+        runs = _starts(np.unique(parts[by].astype(str), return_inverse=True)[1]) if len(by) else np.zeros(1, np.int64)
+        rows = len(runs) - 1
+        take = pa.array(own[by])
+        columns = [pa.array([cells.column("bucket")[0].as_py()] * rows, pa.int32()), pa.array([0] * rows, pa.int32()), pa.array([-2] * rows, pa.int64()), pa.array(parts[by][runs[:-1]], pa.string())]
+        columns += [_lists(np.zeros(len(by), np.int32), runs, pa.int32()), _lists(sums[by], runs, pa.int64())]
+        names = ["first"] if of_words else ["first", "last"]
+        columns += [_lists(_flat(cells, c).take(take), runs, cells.schema.field(c).type.value_type) for c in names]
+        return pa.Table.from_arrays(columns, ["bucket", "share", "block", "part", "k", "n", *names])
+
+    return run
+
+
+def _told(of_words: bool):
+    """Of a bucket's share and what is frequent in the bucket: to each block the numbers of its entries."""
+
+    def run(cells: pa.Table, frequent: pa.Table) -> pa.Table:
+        names = ["first"] if of_words else ["first", "last"]
+        sizes = pc.list_value_length(cells.column("k")).to_numpy()
+        cell = np.repeat(np.arange(len(sizes)), sizes)
+        keys = [_flat(cells, c).to_pylist() for c in names]
+        if of_words:
+            keys.append(np.asarray(cells.column("part").to_pylist(), object)[cell].tolist())
+        lists = [_flat(frequent, c).to_pylist() for c in [*names, *(["part"] if of_words else [])]]
+        number = dict(zip(zip(*lists, strict=True), _flat(frequent, "id").to_pylist(), strict=True))
+        entry = np.array([number.get(key, 0) for key in zip(*keys, strict=True)], np.int64)
+        some = np.flatnonzero(entry)
+        runs = _starts(cell[some])
+        blocks = cells.column("block").to_numpy()[cell[some][runs[:-1]]] if len(some) else np.zeros(0, np.int64)
+        return pa.Table.from_arrays([pa.array(blocks, pa.int64()), _lists(_flat(cells, "k").to_numpy()[some], runs, pa.int32()), _lists(entry[some], runs, pa.int64())], ["block", "k", "id"])
+
+    return run
+
+
+def _frequent(table: DataFrame, of_words: bool, least: int, entries: int, share_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(block, found) with lists of places and numbers of what is frequent, and (id, part, first, last, a) of that."""
+    size = table.agg(F.sum(F.size("n")).alias("n"), F.count("*").alias("blocks")).first()
+    buckets, shares = max(1, -(-(size["n"] or 0) // entries)), max(1, -(-size["blocks"] // share_blocks))
+    key = "string" if of_words else "long"
+    kind = f"bucket int, share int, block long, part string, k array<int>, n array<long>, first array<{key}>" + ("" if of_words else ", last array<long>")
+    columns = ["block", "part", "words", "n"] if of_words else ["block", "first", "last", "n"]
+    cells = table.select(*columns).mapInArrow(lambda batches: released(_cells(of_words, buckets, shares)(batches)), kind)
+    counted = _COUNTED.format(key=key)
+    if shares == 1:
+        told = written(cells.groupBy("bucket").applyInArrow(_counted(of_words, least, buckets), counted), "frequent")
+        known, back = told.where("block = -1"), told.where("block >= 0")
+    else:
+        sums = cells.groupBy("bucket", "share").applyInArrow(_partly(of_words), kind)
+        known = written(sums.groupBy("bucket").applyInArrow(_counted(of_words, least, buckets), counted).where("block = -1"), "frequent")
+        bucket = F.pmod(F.element_at("id", 1) - 1, F.lit(buckets)).cast("int")
+        every = known.where("size(id) > 0").select(bucket.alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "id", "part", "first", "last")
+        back = written(cells.groupBy("bucket", "share").cogroup(every.groupBy("bucket", "share")).applyInArrow(_told(of_words), "block long, k array<int>, id array<long>"), "told")
+    rows = known.select(F.explode(F.arrays_zip("id", "part", "first", "last", "a")).alias("x")).select("x.*")
+    return back.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("found")), rows
+
+
+def _next(table: DataFrame, found: DataFrame, columns: list[str], size: str, step) -> DataFrame:
     """The next lists, written."""
     rows = table.select(*columns, F.size(size).alias("size")).join(found, "block")
     kind = "block long, starts binary, phrases binary, first array<long>, last array<long>, n array<long>"
     return written(rows.mapInArrow(lambda batches: released(step(batches)), kind), "lists")
 
 
-def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, text_col: str = "text", part_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, text_col: str = "text", part_col: str = "lang", block_bytes: int = BLOCK_BYTES, entries: int = ENTRIES, share_blocks: int = SHARE_BLOCKS) -> list[DataFrame]:
     """Per length from 1: (id, part, phrase, a, heads, tails[, first, last]) of phrases with at least `least` occurrences.
 
     heads and tails hold the frequencies of what it begins and ends with, by length; first and last are the numbers of
@@ -184,31 +352,23 @@ def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, t
     rows = docs.select(F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = "block long, part string, words array<string>, n array<long>, places binary"
     blocks = written(rows.mapInArrow(_blocks(block_bytes), kind), "blocks")
-
-    words = blocks.select("block", "part", F.posexplode(F.arrays_zip("words", "n")).alias("k", "w"))
-    words = words.select("block", "k", F.struct("part", F.col("w.words").alias("word")).alias("key"), F.col("w.n").alias("n"))
-    counts = words.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    one = counts.select((F.monotonically_increasing_id() + 1).alias("id"), "key", F.col("key.part").alias("part"), F.col("key.word").alias("phrase"), "a")
-    one = written(one.withColumns({"heads": F.array("a"), "tails": F.array("a")}), "phrases")
     totals = blocks.groupBy("part").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    out = [one.join(F.broadcast(totals), "part")]  # a row for each part
 
-    table = _rounds(blocks, _numbers(words, one, "key"), ["block", "places"], "words", _pairs)
+    found, one = _frequent(blocks, True, least, entries, share_blocks)
+    one = written(one.select("id", "part", F.col("first").alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
+    out = [one.join(F.broadcast(totals), "part")]  # a row for each part
+    table = _next(blocks, found, ["block", "places"], "words", _pairs)
     shorter = one
     for k in range(2, most_words + 1):
-        lists = table.select("block", F.posexplode(F.arrays_zip("first", "last", "n")).alias("k", "w"))
-        lists = lists.select("block", "k", F.struct("w.first", "w.last").alias("key"), F.col("w.n").alias("n"))
-        found = lists.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        found = found.select("key", F.col("key.first").alias("first"), F.col("key.last").alias("last"), "a")
+        found, keys = _frequent(table, False, least, entries, share_blocks)
         begin = shorter.select(F.col("id").alias("first"), "part", F.col("phrase").alias("head"), F.col("heads").alias("before"))
         end = shorter.select(F.col("id").alias("last"), F.element_at(F.split("phrase", " "), -1).alias("word"), F.col("tails").alias("after"))
-        both = found.join(begin, "first").join(end, "last")
+        both = keys.drop("part").join(begin, "first").join(end, "last")
         more = lambda c: F.concat(c, F.array("a"))
-        named = both.select((F.monotonically_increasing_id() + 1).alias("id"), "key", "first", "last", "part", F.concat_ws(" ", "head", "word").alias("phrase"), "a", more("before").alias("heads"), more("after").alias("tails"))
-        shorter = written(named, "phrases")
+        shorter = written(both.select("id", "first", "last", "part", F.concat_ws(" ", "head", "word").alias("phrase"), "a", more("before").alias("heads"), more("after").alias("tails")), "phrases")
         out.append(shorter)
         if k < most_words:
-            table = _rounds(table, _numbers(lists, shorter, "key"), ["block", "starts", "phrases"], "n", _longer)
+            table = _next(table, found, ["block", "starts", "phrases"], "n", _longer)
     return out
 
 
@@ -224,9 +384,9 @@ def _score(k: int):
     return F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, text_col: str = "text", part_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, text_col: str = "text", part_col: str = "lang", block_bytes: int = BLOCK_BYTES, entries: int = ENTRIES, share_blocks: int = SHARE_BLOCKS) -> DataFrame:
     """(part, rank, phrase, a, l, r, n, score): each part's `top` phrases by score, frequency and spelling."""
-    tables = phrases(docs, least, most_words, text_col, part_col, block_bytes)
+    tables = phrases(docs, least, most_words, text_col, part_col, block_bytes, entries, share_blocks)
     totals = F.broadcast(tables[0].select("part", "n").distinct())
     scored = None
     for k, table in enumerate(tables[1:], 2):
