@@ -350,14 +350,14 @@ def finish(schedule: Schedule, tables: dict[int, DataFrame], edges: DataFrame, s
     family, node = _kinds(edges)
     lengths = edges.select("family", "parent", "child", "length")
     given = schedule.left.join(lengths, ["family", "parent", "child"], "left").join(blocks, "family")
-    nodes = schedule.left.select("family", F.col("parent").alias("node")).union(schedule.left.select("family", F.col("child").alias("node"))).distinct()
+    off = schedule.events.select("family", "node")
     none = lambda kind: F.lit(None).cast(kind)
     kind = {"role": "string", "parent": node, "length": "double", "rates": "binary", "symbols": "string", "data": "binary"}
     shaped = lambda df: df.select("family", "block", "node", *[c if c in df.columns else none(t).alias(c) for c, t in kind.items()])
     branches = given.withColumnRenamed("child", "node").withColumn("role", F.lit("e"))
     if rates is not None:
         branches = branches.join(rates, ["family", "block"])
-    rows = shaped(branches).unionByName(shaped(symbols.join(nodes, ["family", "node"], "left_semi").withColumn("role", F.lit("s"))))
+    rows = shaped(branches).unionByName(shaped(symbols.join(off, ["family", "node"], "left_anti").withColumn("role", F.lit("s"))))
     for t in tables.values():
         rows = rows.unionByName(shaped(t.where((F.col("due") == NEVER) & F.col("role").isin("b", "u", "v")).drop("due")))
 

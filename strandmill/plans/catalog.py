@@ -472,6 +472,16 @@ def fast_cherries_tree(spark: SparkSession, d: str) -> DataFrame:
     return fast_cherries(A.embedding_msa(spark, d), NT, _equal_matrix())[0]
 
 
+@query
+def fast_cherries_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any division into pairs, by the way of large families: every sequence is a leaf once, all but one at most are in pairs."""
+    edges, rates = fast_cherries(A.embedding_msa(spark, d), NT, _equal_matrix(), whole=0, whole_set=16)
+    leaf = edges.where("child not like 'internal-%'").groupBy("family").agg(F.count("*").alias("leaves"), F.countDistinct("child").alias("sequences"), F.sum((F.col("parent") == "root").cast("long")).alias("alone"))
+    pairs = edges.where("child like 'internal-%'").groupBy("family").agg(F.count("*").alias("pairs"))
+    mean = rates.select("family", F.size("rates").cast("long").alias("n_sites"), F.round(F.aggregate("rates", F.lit(0.0), lambda x, y: x + y) / F.size("rates"), 6).alias("mean_rate"))
+    return leaf.join(pairs, "family").join(mean, "family")
+
+
 @query
 def maximal_matching(spark: SparkSession, d: str) -> DataFrame:
     return K.maximal_matching(A.embedding_contacts(spark, d), 7)

@@ -158,6 +158,7 @@ ORACLES: dict[str, str] = {
         recursive=True,
     )
     + "SELECT ra.family, site, CAST(wk.rc AS INTEGER) category FROM ra JOIN wk ON wk.family = ra.family AND wk.rank = ra.rank",
+    "fast_cherries_in_rounds": _with(EMB) + "SELECT family, count(*) leaves, count(*) sequences, CAST(count(*) % 2 AS BIGINT) alone, count(*) // 2 pairs, CAST(64 AS BIGINT) n_sites, 1.0::DOUBLE mean_rate FROM msa GROUP BY family",
     "contacting_sites": _with(NEAR_VECTORS) + "SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY site) - 1 AS INTEGER) k, site FROM (SELECT family, i site FROM ct WHERE j - i >= 40 UNION SELECT family, j FROM ct WHERE j - i >= 40)",
     "site_subset_msa": _with(EMB, CONTACTS, _NEAR) + "SELECT family, seq_name, string_agg(substr(seq, site + 1, 1), '' ORDER BY k) seq FROM msa, sk GROUP BY family, seq_name",
     "nontrivial_contacts": _with(NEAR_VECTORS) + "SELECT family, i, j FROM ct WHERE j - i >= 7",
