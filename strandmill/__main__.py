@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--categories", type=int, default=20, help="site rates that tree estimation tries")
     parser.add_argument("--initial", default="jtt-ipw", help="jtt-ipw, equ, equ_x_equ, random, or the path of a matrix")
     parser.add_argument("--mode", default="pande_reversible", help="parameterisation of the matrix")
-    parser.add_argument("--optimizer", default="adam", choices=["adam", "sgd", "lbfgs"])
+    parser.add_argument("--optimizer", default="adam", choices=["adam", "sgd", "lbfgs", "spectral", "em"])
     parser.add_argument("--learning-rate", type=float, default=0.1)
     parser.add_argument("--iterations", type=int, default=1)
     parser.add_argument("--epochs", type=int, default=500)

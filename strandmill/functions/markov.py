@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -26,6 +28,20 @@ def stationary_distribution(q: np.ndarray) -> np.ndarray:
     return pi / pi.sum()
 
 
+def stationary_distributions(q: np.ndarray, doublings: int = 64) -> np.ndarray:
+    """stationary_distribution() of many matrices (matrices, states, states) at once: the chains' steps doubled again and again.
+
+    Of a chain with several closed sets of states it is the one reached from all states equally.
+    """
+    n = q.shape[-1]
+    fastest = np.maximum(-np.diagonal(q, axis1=1, axis2=2).min(axis=1), 1e-300)
+    p = np.eye(n) + q / (1.25 * fastest)[:, None, None]  # a step that may stay, so that no chain alternates
+    for _ in range(doublings):
+        p = np.maximum(p @ p, 0)
+        p /= p.sum(axis=2, keepdims=True)
+    return p.mean(axis=1)
+
+
 class Reversible:
     """A reversible chain, factored once for all times."""
 
@@ -84,3 +100,40 @@ def given_no_gap(p: np.ndarray) -> np.ndarray:
     out = p / p[..., :-1].sum(axis=-1, keepdims=True)
     out[..., -1] = 1.0
     return out
+
+
+#: Complex numbers that derivative_sum() holds in an array, and the condition of eigenvectors beyond which it does without.
+AT_ONCE, ILL = 1 << 22, 1e10
+
+
+def derivative_sum(q: np.ndarray, times: np.ndarray, weights: Callable[[np.ndarray, slice], np.ndarray]) -> np.ndarray:
+    """Sum over times and entries of weights times the derivative of transition probabilities by each rate, rates being free.
+
+    weights(probabilities of some times, their slice) has their shape.  Entry (i, j) is the sum of the integrals of
+    P(s)[x, i] w[x, y] P(t - s)[j, y] over s.  It comes from the eigenvectors, in batches of times; where those are
+    nearly dependent, from the exponential of a block matrix for each time.
+    """
+    n = len(q)
+    values, v = np.linalg.eig(q)
+    if np.linalg.cond(v) > ILL:
+        return sum(_one_derivative(q, t, weights(expm(q * t)[None], slice(k, k + 1))[0]) for k, t in enumerate(times))
+    inverse = np.linalg.inv(v)
+    difference = values[:, None] - values[None, :]
+    near = np.abs(difference) < 1e-10
+    inner = np.zeros((n, n), complex)
+    step = max(1, AT_ONCE // (n * n))
+    for k in range(0, len(times), step):
+        t = times[k : k + step]
+        e = np.exp(t[:, None] * values)
+        w = weights(np.real((v[None] * e[:, None, :]) @ inverse), slice(k, k + step))
+        x = np.where(near, t[:, None, None] * e[:, :, None], (e[:, :, None] - e[:, None, :]) / np.where(near, 1, difference))
+        inner += (x * (v.T @ w @ inverse.T)).sum(axis=0)
+    return np.real(inverse.T @ inner @ v.T)
+
+
+def _one_derivative(q: np.ndarray, time: float, weights: np.ndarray) -> np.ndarray:
+    n = len(q)
+    block = np.zeros((2 * n, 2 * n))
+    block[:n, :n] = block[n:, n:] = q.T
+    block[:n, n:] = weights
+    return expm(block * time)[:n, n:]

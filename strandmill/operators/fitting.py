@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.markov import stationary_distribution
+from strandmill.functions.markov import ILL, derivative_sum, expm_many, stationary_distribution, stationary_distributions
 
 _FLOOR = 1e-12
 
@@ -104,27 +104,30 @@ MODES: dict[str, Callable] = {
 
 
 def loss_and_gradient(q: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean negative log-likelihood of counts (buckets, states, states), and its gradient by q.
+    """Mean negative log-likelihood of counts (buckets, states, states), and its gradient by q."""
+    total, loss = counts.sum(), [0.0]
 
-    The exponential's derivative comes from the eigenvectors of q.
-    """
-    values, v = np.linalg.eig(q)
-    inverse = np.linalg.inv(v)
-    e = np.exp(times[:, None] * values)
-    p = np.maximum(np.real((v[None] * e[:, None, :]) @ inverse), 1e-300)
-    total = counts.sum()
-    loss = -(counts * np.log(p)).sum() / total
-    g = -counts / p / total
-    difference = values[:, None] - values[None, :]
-    near = np.abs(difference) < 1e-10
-    x = np.where(near, times[:, None, None] * e[:, :, None], (e[:, :, None] - e[:, None, :]) / np.where(near, 1, difference))
-    inner = (x * (v.T @ g @ inverse.T)).sum(axis=0)
-    return float(loss), np.real(inverse.T @ inner @ v.T)
+    def weights(p: np.ndarray, own: slice) -> np.ndarray:
+        p = np.maximum(p, 1e-300)
+        loss[0] -= float((counts[own] * np.log(p)).sum())
+        return -counts[own] / p / total
+
+    gradient = derivative_sum(q, times, weights)
+    return loss[0] / total, gradient
+
+
+def mean_loss(q: np.ndarray, times: np.ndarray, counts: np.ndarray) -> float:
+    """The loss alone."""
+    p = np.maximum(expm_many(q, np.asarray(times, float)), 1e-300)
+    return float(-(counts * np.log(p)).sum() / counts.sum())
+
+
+OPTIMIZERS = ("adam", "sgd", "lbfgs", "spectral")
 
 
 def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.ndarray | None = None, pi: np.ndarray | None = None, mode: str = "pande_reversible", epochs: int = 500, rate: float = 0.1, optimizer: str = "adam") -> tuple[np.ndarray, float]:
-    """The best matrix met on the way of Adam's steps (or of plain gradient steps, sgd, or of lbfgs), and its loss."""
-    if optimizer not in ("adam", "sgd", "lbfgs"):
+    """The best matrix met on the way of Adam's steps (or of plain gradient steps, sgd, of lbfgs, or of spectral gradients), and its loss."""
+    if optimizer not in OPTIMIZERS:
         raise ValueError(f"no optimizer {optimizer}")
     used = counts.sum(axis=(1, 2)) > 0
     times, counts = np.asarray(times, float)[used], np.asarray(counts, float)[used]
@@ -133,6 +136,8 @@ def fit(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, mask: np.nda
         return model.value(), float("nan")
     if optimizer == "lbfgs":
         return _quasi_newton(model, times, counts, epochs)
+    if optimizer == "spectral":
+        return _spectral(model, times, counts, epochs)
     mean = square = np.zeros_like(model.theta)
     best, best_loss = model.value(), np.inf
     for step in range(1, epochs + 1):
@@ -188,6 +193,40 @@ def _quasi_newton(model, times: np.ndarray, counts: np.ndarray, steps: int, memo
     return q, loss
 
 
+def _spectral(model, times: np.ndarray, counts: np.ndarray, steps: int, memory: int = 10) -> tuple[np.ndarray, float]:
+    """Steps down the gradient whose length is what the last step says of the curvature, halved until the loss is below the
+    worst of the last `memory`: it may rise for a while.  The best matrix met, and its loss."""
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        model.theta = theta
+        q = model.value()
+        loss, g = loss_and_gradient(q, times, counts)
+        return loss, model.gradient(g), q
+
+    theta = model.theta
+    loss, g, q = at(theta)
+    best, best_loss = q, loss
+    recent, length = [loss], 1 / max(np.abs(g).max(), 1e-12)
+    for _ in range(steps):
+        if np.abs(g).max() < 1e-9:
+            break
+        size = length
+        while size > 1e-14:
+            new_loss, new_g, new_q = at(theta - size * g)
+            if np.isfinite(new_loss) and new_loss <= max(recent) - 1e-4 * size * (g @ g):
+                break
+            size /= 2
+        else:
+            break
+        s, y = -size * g, new_g - g
+        length = float(np.clip((s @ s) / (s @ y), 1e-10, 1e10)) if s @ y > 0 else 1e3 * size
+        theta, loss, g, q = theta + s, new_loss, new_g, new_q
+        recent = [*recent[-(memory - 1) :], loss]
+        if loss < best_loss:
+            best, best_loss = q, loss
+    return best, best_loss
+
+
 def dense_counts(counts: pd.DataFrame, states: list[str], n_buckets: int) -> np.ndarray:
     at = {s: k for k, s in enumerate(states)}
     out = np.zeros((n_buckets, len(states), len(states)))
@@ -208,17 +247,21 @@ def learn_from_counts(counts: DataFrame, initial: DataFrame, states: list[str],
     return counts.sparkSession.createDataFrame(rows, "x string, y string, q double")
 
 
-class ReversibleMatrices:
-    """Many matrices at once, each Q_ij = S_ij * sqrt(pi_j / pi_i) with S symmetric, from free numbers."""
+class WeightedMatrices:
+    """WeightedMatrix of many matrices at once, without masks."""
 
-    def __init__(self, initial: np.ndarray):
+    def __init__(self, initial: np.ndarray, root: bool = True, symmetric: bool = True):
         n = initial.shape[1]
-        pi = np.stack([stationary_distribution(q) for q in initial])
+        self.root, self.symmetric = root, symmetric
+        pi = stationary_distributions(initial)
         if (pi < 1e-8).any():
             raise ValueError("the stationary distribution is degenerate")
-        s = initial / np.sqrt(pi[:, None, :] / pi[:, :, None])
-        self.where = np.triu_indices(n, 1)
-        self.theta = np.concatenate([_softplus_inverse(((s + s.transpose(0, 2, 1)) / 2)[:, *self.where]), np.log(pi)], axis=1)
+        s = initial / self._weights(pi)
+        self.where = np.triu_indices(n, 1) if symmetric else np.nonzero(~np.eye(n, dtype=bool))
+        self.theta = np.concatenate([_softplus_inverse(((s + s.transpose(0, 2, 1)) / 2 if symmetric else s)[:, *self.where]), np.log(pi)], axis=1)
+
+    def _weights(self, pi: np.ndarray) -> np.ndarray:
+        return np.sqrt(pi[:, None, :] / pi[:, :, None]) if self.root else np.broadcast_to(pi[:, None, :], (*pi.shape, pi.shape[1]))
 
     def value(self) -> np.ndarray:
         k, n = len(self.where[0]), self.theta.shape[1] - len(self.where[0])
@@ -226,33 +269,82 @@ class ReversibleMatrices:
         s[:, *self.where] = _softplus(self.theta[:, :k])
         e = np.exp(self.theta[:, k:] - self.theta[:, k:].max(axis=1, keepdims=True))
         self.pi = e / e.sum(axis=1, keepdims=True)
-        self._w = np.sqrt(self.pi[:, None, :] / self.pi[:, :, None])
-        self._off = (s + s.transpose(0, 2, 1)) * self._w
-        q = self._off.copy()
-        at = np.arange(n)
-        q[:, at, at] = -self._off.sum(axis=2)
-        return q
+        self._w = self._weights(self.pi)
+        self._off = (s + s.transpose(0, 2, 1) if self.symmetric else s) * self._w
+        return _with_diagonal(self._off)
 
     def gradient(self, g: np.ndarray) -> np.ndarray:
         """From the gradients by Q to those by the free numbers, at the value last made."""
-        k, at = len(self.where[0]), np.arange(g.shape[1])
-        own = g - g[:, at, at][:, :, None]
-        own[:, at, at] = 0
+        k = len(self.where[0])
+        own = _by_rate(g)
         ds = own * self._w
-        d_theta = (ds + ds.transpose(0, 2, 1))[:, *self.where] * _logistic(self.theta[:, :k])
+        d_theta = (ds + ds.transpose(0, 2, 1) if self.symmetric else ds)[:, *self.where] * _logistic(self.theta[:, :k])
         flow = own * self._off
-        d_log = 0.5 * (flow.sum(axis=1) - flow.sum(axis=2))
+        d_log = 0.5 * (flow.sum(axis=1) - flow.sum(axis=2)) if self.root else flow.sum(axis=1)
         return np.concatenate([d_theta, d_log - self.pi * d_log.sum(axis=1, keepdims=True)], axis=1)
 
 
-def losses_and_gradients(q: np.ndarray, pi: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """loss_and_gradient() of many reversible matrices (sites, states, states) with their counts (sites, buckets, ...)."""
-    root = np.sqrt(pi)
-    symmetric = root[:, :, None] * q / root[:, None, :]
-    values, u = np.linalg.eigh((symmetric + symmetric.transpose(0, 2, 1)) / 2)
-    v, inverse = u / root[:, :, None], u.transpose(0, 2, 1) * root[:, None, :]
+class FreeMatrices:
+    """FreeMatrix of many matrices at once, without masks."""
+
+    pi = None
+
+    def __init__(self, initial: np.ndarray):
+        self.where = np.nonzero(~np.eye(initial.shape[1], dtype=bool))
+        self.n = initial.shape[1]
+        self.theta = _softplus_inverse(initial[:, *self.where])
+
+    def value(self) -> np.ndarray:
+        q = np.zeros((len(self.theta), self.n, self.n))
+        q[:, *self.where] = _softplus(self.theta)
+        return _with_diagonal(q)
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        return _by_rate(g)[:, *self.where] * _logistic(self.theta)
+
+
+def _with_diagonal(off: np.ndarray) -> np.ndarray:
+    q, at = off.copy(), np.arange(off.shape[1])
+    q[:, at, at] = -off.sum(axis=2)
+    return q
+
+
+def _by_rate(g: np.ndarray) -> np.ndarray:
+    """Gradients by rates, each of which also lowers its row's diagonal."""
+    at = np.arange(g.shape[1])
+    own = g - g[:, at, at][:, :, None]
+    own[:, at, at] = 0
+    return own
+
+
+#: MODES of many matrices at once.
+MANY: dict[str, Callable] = {
+    "pande_reversible": WeightedMatrices,
+    "pande": partial(WeightedMatrices, symmetric=False),
+    "stationary_reversible": partial(WeightedMatrices, root=False),
+    "stationary": partial(WeightedMatrices, root=False, symmetric=False),
+    "default": FreeMatrices,
+}
+
+
+def losses_and_gradients(q: np.ndarray, pi: np.ndarray | None, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """loss_and_gradient() of many matrices with their counts (sites, buckets, ...); those with pi are reversible.
+
+    Irreversible matrices whose eigenvectors are nearly dependent are worked out one by one.
+    """
+    if pi is not None:
+        root = np.sqrt(pi)
+        symmetric = root[:, :, None] * q / root[:, None, :]
+        values, u = np.linalg.eigh((symmetric + symmetric.transpose(0, 2, 1)) / 2)
+        v, inverse = u / root[:, :, None], u.transpose(0, 2, 1) * root[:, None, :]
+        ill = np.zeros(len(q), bool)
+    else:
+        values, v = np.linalg.eig(q)
+        ill = np.linalg.cond(v) > ILL
+        v = np.where(ill[:, None, None], np.eye(q.shape[1]), v)
+        inverse = np.linalg.inv(v)
     e = np.exp(times[None, :, None] * values[:, None, :])
-    p = np.maximum((v[:, None] * e[:, :, None, :]) @ inverse[:, None], 1e-300)
+    p = np.maximum(np.real((v[:, None] * e[:, :, None, :]) @ inverse[:, None]), 1e-300)
     total = np.maximum(counts.sum(axis=(1, 2, 3)), 1e-300)
     loss = -(counts * np.log(p)).sum(axis=(1, 2, 3)) / total
     g = -counts / p / total[:, None, None, None]
@@ -261,24 +353,27 @@ def losses_and_gradients(q: np.ndarray, pi: np.ndarray, times: np.ndarray, count
     x = (e[:, :, :, None] - e[:, :, None, :]) / np.where(near, 1, difference)[:, None]
     x = np.where(near[:, None], times[None, :, None, None] * e[:, :, :, None], x)
     inner = (x * (v.transpose(0, 2, 1)[:, None] @ g @ inverse.transpose(0, 2, 1)[:, None])).sum(axis=1)
-    return loss, inverse.transpose(0, 2, 1) @ inner @ v.transpose(0, 2, 1)
+    gradient = np.real(inverse.transpose(0, 2, 1) @ inner @ v.transpose(0, 2, 1))
+    for k in np.flatnonzero(ill):
+        loss[k], gradient[k] = loss_and_gradient(q[k], times, counts[k]) if counts[k].any() else (0.0, np.zeros_like(q[k]))
+    return loss, gradient
 
 
-def fit_many(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, epochs: int = 100, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_many(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, epochs: int = 100, rate: float = 0.1, mode: str = "pande_reversible") -> tuple[np.ndarray, np.ndarray]:
     """fit() of many sites at once by Adam's steps: the best matrices met, each by its own loss, and the losses.
 
     A site without counts keeps its start.
     """
     used = counts.sum(axis=(0, 2, 3)) > 0
     times, counts = np.asarray(times, float)[used], np.asarray(counts, float)[:, used]
-    model = ReversibleMatrices(initial)
+    model = MANY[mode](initial)
     best, best_loss = model.value(), np.full(len(initial), np.inf)
     if not len(times):
         return best, np.full(len(initial), np.nan)
     mean, square = np.zeros_like(model.theta), np.zeros_like(model.theta)
     for step in range(1, epochs + 1):
         q = model.value()
-        loss, g = losses_and_gradients(q, model.pi, times, counts)
+        loss, g = losses_and_gradients(q, model.pi if mode.endswith("_reversible") else None, times, counts)
         better = loss < best_loss
         best[better], best_loss[better] = q[better], loss[better]
         g = model.gradient(g)
@@ -291,7 +386,7 @@ def fit_many(times: np.ndarray, counts: np.ndarray, initial: np.ndarray, epochs:
 BATCH_NUMBERS = 2_000_000
 
 
-def learn_sites(counts: DataFrame, initial: np.ndarray, states: list[str], points: list[float], epochs: int = 100, rate: float = 0.1, scale: str | None = None) -> DataFrame:
+def learn_sites(counts: DataFrame, initial: np.ndarray, states: list[str], points: list[float], epochs: int = 100, rate: float = 0.1, scale: str | None = None, mode: str = "pande_reversible") -> DataFrame:
     """(family, site, x, y, q): a matrix for each site of counts (family, site, bucket, x, y, n), started from initial
     times the column scale, if there is one; a site without counts does not occur.
 
@@ -309,7 +404,7 @@ def learn_sites(counts: DataFrame, initial: np.ndarray, states: list[str], point
         by_site = np.ones(len(sites))
         if scale:
             by_site[place] = group[scale].to_numpy()
-        q, _ = fit_many(times, dense, initial[None] * by_site[:, None, None], epochs, rate)
+        q, _ = fit_many(times, dense, initial[None] * by_site[:, None, None], epochs, rate, mode)
         names = np.array(states)
         out = {"family": group["family"].iloc[0], "site": np.repeat(sites, n * n), "x": np.tile(np.repeat(names, n), len(sites)), "y": np.tile(names, n * len(sites)), "q": q.ravel()}
         return pd.DataFrame(out)

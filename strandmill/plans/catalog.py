@@ -18,6 +18,7 @@ from strandmill.operators import rates as R
 from strandmill.operators import sites as S
 from strandmill.operators import trees as T
 from strandmill.operators.cherries import fast_cherries
+from strandmill.operators.expectation import learn_by_expectation
 from strandmill.operators.fitting import learn_from_counts
 from strandmill.operators.likelihood import ancestral_states, simulate, tree_likelihood
 from strandmill.plans import pipelines as P
@@ -372,6 +373,26 @@ def mle_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
     return learn_from_counts(counts.withColumn("n", F.col("n").cast("double")), R.jtt_ipw(counts, states, grid()), states, grid(), epochs=EPOCHS)
 
 
+@query
+def em_step_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """One step of expectation and maximisation from equal rates, events being of two kinds by name."""
+    kind = lambda c: F.when(F.col(c) < "m", "a").otherwise("b").alias(c)
+    counts = C.count_states(A.event_transitions(spark, d).select(kind("x"), kind("y"), "t"), grid())
+    return _rounded(learn_by_expectation(counts, R.equal_rates(spark, ["a", "b"]), ["a", "b"], grid(), reversible=False, epochs=2), "q")
+
+
+@query
+def em_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
+    counts, states = _event_counts(spark, d)
+    return learn_by_expectation(counts, R.jtt_ipw(counts, states, grid()), states, grid(), epochs=EPOCHS)
+
+
+@query
+def em_learned_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments to matrix by expectation and maximisation over the counts of cherries."""
+    return P.learn_rate_matrix_by_em(A.embedding_msa(spark, d), NT)
+
+
 @query
 def site_rate_matrices(spark: SparkSession, d: str) -> DataFrame:
     msa, edges = _trees(spark, d)

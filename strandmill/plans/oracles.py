@@ -158,6 +158,14 @@ ORACLES: dict[str, str] = {
         recursive=True,
     )
     + "SELECT ra.family, site, CAST(wk.rc AS INTEGER) category FROM ra JOIN wk ON wk.family = ra.family AND wk.rank = ra.rank",
+    "em_step_rate_matrix": _with(
+        *(EVENTS, "tk AS (SELECT CASE WHEN x < 'm' THEN 'a' ELSE 'b' END x, CASE WHEN y < 'm' THEN 'a' ELSE 'b' END y, t FROM tr)", GRID, STEPS, _quantized("qz", "tk")),
+        "c AS (SELECT x, y, q.t, exp(-2 * q.t) e, CAST(count(*) AS DOUBLE) n FROM qz JOIN q ON q.i = qz.bucket GROUP BY x, y, q.t)",
+        "st AS (SELECT unnest(['a', 'b']) s)",
+        "w AS (SELECT a.s i, b.s j, t, e, n / (CASE WHEN x = y THEN 1 + e ELSE 1 - e END / 2) w, CASE WHEN x = a.s THEN 1 ELSE -1 END u, CASE WHEN y = b.s THEN 1 ELSE -1 END v FROM c, st a, st b)",
+        "g AS (SELECT i, j, sum(w * (t + (u + v) * (1 - e) / 2 + u * v * t * e) / 4) g FROM w GROUP BY i, j)",
+    )
+    + "SELECT f.i x, f.j y, round(CASE WHEN f.i = f.j THEN -o.g / f.g ELSE f.g / d.g END, 6) q FROM g f JOIN g d ON d.i = f.i AND d.j = f.i JOIN g o ON o.i = f.i AND o.j <> f.i",
     "fast_cherries_in_rounds": _with(EMB) + "SELECT family, count(*) leaves, count(*) sequences, CAST(count(*) % 2 AS BIGINT) alone, count(*) // 2 pairs, CAST(64 AS BIGINT) n_sites, 1.0::DOUBLE mean_rate FROM msa GROUP BY family",
     "contacting_sites": _with(NEAR_VECTORS) + "SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY site) - 1 AS INTEGER) k, site FROM (SELECT family, i site FROM ct WHERE j - i >= 40 UNION SELECT family, j FROM ct WHERE j - i >= 40)",
     "site_subset_msa": _with(EMB, CONTACTS, _NEAR) + "SELECT family, seq_name, string_agg(substr(seq, site + 1, 1), '' ORDER BY k) seq FROM msa, sk GROUP BY family, seq_name",

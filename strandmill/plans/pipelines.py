@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from strandmill.operators import counts as C
 from strandmill.operators import rates as R
 from strandmill.operators.alignments import site_subset, site_subset_rates
 from strandmill.operators.cherries import fast_cherries
+from strandmill.operators.expectation import learn_by_expectation
 from strandmill.operators.fitting import learn_from_counts
 from strandmill.operators.likelihood import ancestral_states, pair_likelihood, tree_likelihood
 from strandmill.operators.sites import by_transition, estimate_site_rates, learn_site_models, site_model_likelihood
@@ -54,6 +55,7 @@ class Settings:
     rate: float = 0.1
     distance: int = 7
     mode: str = "pande_reversible"
+    #: One of fitting.OPTIMIZERS, or em for expectation and maximisation.
     optimizer: str = "adam"
     categories: int = 20
     #: The matrix that the first trees are estimated with; equal rates where it is not given.
@@ -95,6 +97,21 @@ def _initial(spark: SparkSession, counts: DataFrame, states: list[str], s: Setti
     raise ValueError(f"no initial matrix {s.initial}")
 
 
+def _fitted(counts: DataFrame, start: DataFrame, states: list[str], s: Settings, mask: DataFrame | None) -> DataFrame:
+    """The most likely matrix of counts.  No counts at all are an error: they say nothing of any rate."""
+    if counts.isEmpty():
+        raise ValueError("no transition between the states was counted")
+    if s.optimizer == "em":
+        return learn_by_expectation(counts, start, states, s.points, mask, s.mode.endswith("reversible"), s.epochs)
+    return learn_from_counts(counts, start, states, s.points, mask=mask, epochs=s.epochs, rate=s.rate, mode=s.mode, optimizer=s.optimizer)
+
+
+def learn_rate_matrix_by_em(msa: DataFrame, states: list[str], settings: Settings | None = None, **how) -> DataFrame:
+    """learn_rate_matrix() by expectation and maximisation from the counts of cherries."""
+    s = replace(settings or Settings(epochs=500), strategy="cherry", optimizer="em")
+    return learn_rate_matrix(msa, states, s, **how)
+
+
 def chosen(rows: DataFrame, families: list[str] | None) -> DataFrame:
     """The rows of some families."""
     return rows if families is None else rows.where(F.col("family").cast("string").isin(families))
@@ -119,7 +136,7 @@ def learn_rate_matrix(msa: DataFrame, states: list[str], settings: Settings | No
         if sites is not None:
             own, rates = site_subset(own, sites), site_subset_rates(rates, sites)
         found = C.count_transitions(pairs(edges, s.strategy), own, s.points, states, s.strategy, rates).persist()
-        learned = learn_from_counts(found, _initial(spark, found, states, s, mask), states, s.points, mask=mask, epochs=s.epochs, rate=s.rate, mode=s.mode, optimizer=s.optimizer)
+        learned = _fitted(found, _initial(spark, found, states, s, mask), states, s, mask)
         found.unpersist()
         q = dense(learned, states)[1]
     return learned
@@ -146,7 +163,7 @@ def learn_coevolution(msa: DataFrame, contacts: DataFrame, states: list[str], se
     both = [a + b for a in states for b in states]
     found = C.count_co_transitions(pairs(edges, s.strategy), own, match, s.points, states, s.strategy, s.distance).persist()
     mask = one_change_mask(spark, states) if mask is None else mask
-    learned = learn_from_counts(found, _initial(spark, found, both, s, mask), both, s.points, mask=mask, epochs=s.epochs, rate=s.rate, mode=s.mode, optimizer=s.optimizer)
+    learned = _fitted(found, _initial(spark, found, both, s, mask), both, s, mask)
     found.unpersist()
     return learned
 
