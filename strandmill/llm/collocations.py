@@ -20,6 +20,7 @@ Null texts are empty; null parts are `und`.  Ids play no role, repeated rows cou
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
@@ -27,7 +28,6 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -39,35 +39,34 @@ LEAST, MOST_WORDS, TOP, FACTOR = 100, 5, 2000, 1000
 #: Bytes of text in a block, and of text that is cut into words at once.
 BLOCK_BYTES, _CHUNK = 8 << 20, 1 << 20
 #: Entries (a phrase in a block) of a bucket, and blocks whose entries of one phrase are added up at once.
-ENTRIES, SHARE_BLOCKS = 1 << 18, 1 << 20
+ENTRIES, SHARE_BLOCKS = 1 << 20, 1 << 20
 #: Phrases of a part that are ranked in one task.
 RANKED_ROWS = 100_000
 #: A byte that no text has stands for all that ends a piece.
 _END = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
-_BLOCK = pa.schema([("block", pa.int64()), ("part", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("places", pa.binary())])
-_LIST = pa.schema([("block", pa.int64()), ("starts", pa.binary()), ("phrases", pa.binary()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+#: Tables of blocks, of lists, and of what blocks send to buckets and get back.
+_BLOCK = "block long, part string, size long, total long, places binary, words binary, n binary"
+_LIST = "block long, size long, starts binary, phrases binary, first binary, last binary, n binary"
+_CELL = "bucket int, share int, block long, part string, size long, first binary, last binary, n binary"
+_COUNTED = "block long, bucket int, ids binary, id array<long>, part array<string>, word array<string>, first array<long>, last array<long>, a array<long>"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x, "<i4").tobytes(), 1)
+    """Numbers, low bytes together and high bytes together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _array(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), "<i4")
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
-def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
-    """A batch of one row; arrays are lists of it."""
-    columns = []
-    for field in schema:
-        x = values[field.name]
-        if pa.types.is_list(field.type):
-            x = pa.array(x, field.type.value_type)
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
-        else:
-            columns.append(pa.array([x], field.type))
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+def _rows(kind: str, rows: list[dict]) -> pa.RecordBatch:
+    """A batch of rows of simple values."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in kind.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types[t]) for c, t in fields], [c for c, _ in fields])
 
 
 class _Words:
@@ -88,9 +87,9 @@ class _Words:
     def block(self, number: int, part: str) -> pa.RecordBatch:
         codes = np.concatenate(self.codes)
         codes = codes[(codes != self.end) | np.append(True, codes[:-1] != self.end)]  # one place between pieces is enough
-        words = [w.decode() for w in list(self.number)[1:]]
+        words = list(self.number)[1:]
         n = np.bincount(codes, minlength=len(words) + 1)[1:]
-        return _row(_BLOCK, block=number, part=part, words=pa.array(words, pa.string()), n=n, places=_packed(codes - 1))
+        return _rows(_BLOCK, [{"block": number, "part": part, "size": len(words), "total": int(n.sum()), "places": _packed(codes.astype(np.int64) - 1), "words": zstandard.compress(_END.join(words), 1), "n": _packed(n)}])
 
 
 def _chunks(text: str) -> Iterator[bytes]:
@@ -127,220 +126,204 @@ def _blocks(size: int):
     return lambda batches: released(run(batches))
 
 
-def _found(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """The numbers given to what a block's list has, 0 for what is not frequent."""
-    out = np.zeros(batch.column("size")[row].as_py(), np.int64)
-    found = batch.column("found")[row].values
-    if found is not None and len(found):
-        out[found.field("k").flatten().to_numpy()] = found.field("id").flatten().to_numpy()
-    return out
-
-
-def _extended(block: int, starts: np.ndarray, phrases: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Places of phrases one word longer than those that start at `starts` (sorted), and their numbers of occurrences in
-    this block.  phrases: places in ids."""
-    at = np.full(int(starts[-1]) + 2 if len(starts) else 2, -1, np.int32)  # the list, by place
-    at[starts] = phrases
-    rest = at[starts + 1]
-    both = rest >= 0
-    starts, phrases, rest = starts[both], phrases[both], rest[both]
-    # a phrase and the one that starts a place later, which ends with the word that is added, make the longer one
-    key, where, which, n = np.unique(phrases.astype(np.int64) * max(1, len(ids)) + rest, return_index=True, return_inverse=True, return_counts=True)
-    return _row(_LIST, block=block, starts=_packed(starts), phrases=_packed(which), first=ids[phrases[where]], last=ids[rest[where]], n=n)
-
-
-def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of two words, from blocks and the numbers of their frequent words."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            ids, codes = _found(batch, row), _array(batch.column("places")[row].as_py())
-            starts = np.flatnonzero(codes >= 0).astype(np.int32)
-            starts = starts[ids[codes[starts]] > 0]
-            yield _extended(batch.column("block")[row].as_py(), starts, codes[starts], ids)
-
-
-def _longer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of one word more, from lists and the numbers of their frequent phrases."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            ids = _found(batch, row)
-            starts, phrases = (_array(batch.column(c)[row].as_py()) for c in ("starts", "phrases"))
-            kept = ids[phrases] > 0
-            yield _extended(batch.column("block")[row].as_py(), starts[kept], phrases[kept], ids)
-
-
-def _lists(values: np.ndarray | pa.Array, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """Lists of neighbouring values, which begin at `at`."""
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
-
-
 def _starts(sorted_: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end of the last."""
     return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, np.int64)
 
 
-def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of pairs of numbers."""
+def _words(data: bytes) -> list[bytes]:
+    text = zstandard.decompress(data)
+    return text.split(_END) if text else []
+
+
+def _dealt(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each entry of a block's list, and the order in which entries are sent."""
+    if "words" in row:
+        words = _words(row["words"])
+        bucket = pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(buckets) if words else np.zeros(0)
+        bucket = bucket.astype(np.int64)
+        return bucket, np.argsort(bucket, kind="stable")
+    first, last = _array(row["first"]), _array(row["last"])
     h = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
     h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
+    bucket = ((h ^ h >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
+    return bucket, np.lexsort((last, first, bucket))
 
 
-def _cells(of_words: bool, buckets: int, shares: int):
-    """Each block's entries by bucket: their places in the block's list, keys and counts."""
+def _cells(buckets: int, shares: int):
+    """A block's entries by bucket: keys (words, or numbers of two phrases) and counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                n = batch.column("n")[row].values.to_numpy()
-                if of_words:
-                    keys = [batch.column("words")[row].values]
-                    hashed = pd.util.hash_array(keys[0].to_numpy(zero_copy_only=False), categorize=False) if len(n) else np.zeros(0, np.uint64)
-                else:
-                    keys = [batch.column(c)[row].values for c in ("first", "last")]
-                    hashed = _mixed(*(k.to_numpy() for k in keys))
-                bucket = (hashed % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                at = _starts(bucket[order])
-                block = batch.column("block")[row].as_py()
-                rows = len(at) - 1
-                part = batch.column("part")[row].as_py() if of_words else None
-                take = pa.array(order)
-                columns = [pa.array(bucket[order][at[:-1]].astype(np.int32)), pa.array([block % shares] * rows, pa.int32()), pa.array([block] * rows, pa.int64()), pa.array([part] * rows, pa.string())]
-                columns += [_lists(order.astype(np.int32), at, pa.int32()), _lists(n[order], at, pa.int64())]
-                columns += [_lists(k.take(take), at, k.type) for k in keys]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "share", "block", "part", "k", "n", "first", *(["last"] if not of_words else [])])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                bucket, order = _dealt(row, buckets)
+                at, n = _starts(bucket[order]), _array(row["n"])
+                words = np.array(_words(row["words"]), object) if "words" in row else None
+                keys = None if words is not None else [_array(row[c]) for c in ("first", "last")]
+                cells = []
+                for a, b in itertools.pairwise(at.tolist()):
+                    own = order[a:b]
+                    first = zstandard.compress(_END.join(words[own]), 1) if words is not None else _packed(np.diff(keys[0][own], prepend=0))
+                    last = None if words is not None else _packed(keys[1][own])
+                    cells.append({"bucket": int(bucket[own[0]]), "share": row["block"] % shares, "block": row["block"], "part": row.get("part"), "size": b - a, "first": first, "last": last, "n": _packed(n[own])})
+                for part in range(0, len(cells), 1000):
+                    yield _rows(_CELL, cells[part : part + 1000])
 
     return run
 
 
-def _flat(cells: pa.Table, column: str) -> pa.Array:
-    values = [v for c in cells.column(column).chunks if len(c) and len(v := c.flatten())]
-    return pa.concat_arrays(values) if values else pa.array([], cells.schema.field(column).type.value_type)
+class _Entries:
+    """The entries of cells, in the cells' order, and which of them are alike."""
 
-
-def _keys(cells: pa.Table, of_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the entries by key, where each key begins in it, and which cell each entry is of."""
-    sizes = pc.list_value_length(cells.column("k")).to_numpy()
-    cell = np.repeat(np.arange(len(sizes)), sizes)
-    first = _flat(cells, "first")
-    if of_words:
-        a = pc.dictionary_encode(first).indices.to_numpy().astype(np.int64)
-        b = pc.dictionary_encode(cells.column("part").combine_chunks()).indices.to_numpy()[cell].astype(np.int64) if len(cell) else a
-    else:
-        a, b = first.to_numpy(), _flat(cells, "last").to_numpy()
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    return order, np.flatnonzero(new), cell
-
-
-_COUNTED = "block long, k array<int>, id array<long>, part array<string>, first array<{key}>, last array<long>, a array<long>"
-
-
-def _counted(of_words: bool, least: int, buckets: int):
-    """Of a bucket: to each block the numbers of its frequent entries, and a row (block -1) of what is frequent."""
-    key = pa.string() if of_words else pa.int64()
+    def __init__(self, cells: pa.Table):
+        self.sizes = cells.column("size").to_numpy()
+        self.cell = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.n = self._numbers(cells, "n")
+        self.words: np.ndarray | None = None
+        if len(cells) and cells.column("last")[0].as_py() is None:
+            self.words = np.array([w for x in cells.column("first") for w in _words(x.as_py())], object)
+            self.part = cells.column("part").to_numpy(zero_copy_only=False)
+            a, b = pd.factorize(self.words)[0], pd.factorize(self.part)[0][self.cell]
+        else:
+            firsts = [np.cumsum(_array(x.as_py())) for x in cells.column("first")]
+            a = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+            b = self._numbers(cells, "last")
+        self.first, self.last = a, b
+        self.order = np.lexsort((b, a))
+        new = np.ones(len(self.order), bool)
+        new[1:] = (a[self.order][1:] != a[self.order][:-1]) | (b[self.order][1:] != b[self.order][:-1])
+        self.at = np.flatnonzero(new)
+        self.sums = np.add.reduceat(self.n[self.order], self.at) if len(self.at) else np.zeros(0, np.int64)
+
+    @staticmethod
+    def _numbers(cells: pa.Table, column: str) -> np.ndarray:
+        found = [_array(x.as_py()) for x in cells.column(column)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def keys(self, groups: np.ndarray) -> dict:
+        """part, word, first and last of some groups of like entries."""
+        own = self.order[self.at[groups]]
+        if self.words is None:
+            return {"part": [None] * len(own), "word": [None] * len(own), "first": self.first[own].tolist(), "last": self.last[own].tolist()}
+        return {"part": self.part[self.cell[own]].tolist(), "word": [w.decode() for w in self.words[own]], "first": [0] * len(own), "last": [0] * len(own)}
+
+    def told(self, numbers: np.ndarray, cells: pa.Table) -> list[dict]:
+        """The cells that have frequent entries, with the numbers of all of theirs; numbers: by group, 0 for what is not frequent."""
+        entry = np.zeros(len(self.order), np.int64)
+        entry[self.order] = np.repeat(numbers, np.diff(np.append(self.at, len(self.order))))
+        ends = np.cumsum(self.sizes)
+        blocks, buckets = cells.column("block").to_pylist(), cells.column("bucket").to_pylist()
+        return [{"block": blocks[k], "bucket": buckets[k], "ids": _packed(entry[ends[k] - self.sizes[k] : ends[k]])} for k in np.unique(self.cell[entry > 0]).tolist()]
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    """Rows of _COUNTED."""
+    kinds = {"block": pa.int64(), "bucket": pa.int32(), "ids": pa.binary(), "id": pa.list_(pa.int64()), "part": pa.list_(pa.string()), "word": pa.list_(pa.string()), "first": pa.list_(pa.int64()), "last": pa.list_(pa.int64()), "a": pa.list_(pa.int64())}
+    return pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()})
+
+
+def _counted(least: int, buckets: int):
+    """Of a bucket: to each block the numbers of its entries, and a row (block -1) of what is frequent."""
 
     def run(cells: pa.Table) -> pa.Table:
-        order, at, cell = _keys(cells, of_words)
-        sums = np.add.reduceat(_flat(cells, "n").to_numpy()[order], at) if len(at) else np.zeros(0, np.int64)
-        frequent = np.flatnonzero(sums >= least)
-        numbers = np.zeros(len(at), np.int64)
-        bucket = cells.column("bucket")[0].as_py()
+        entries, bucket = _Entries(cells), cells.column("bucket")[0].as_py()
+        frequent = np.flatnonzero(entries.sums >= least)
+        numbers = np.zeros(len(entries.at), np.int64)
         numbers[frequent] = np.arange(len(frequent)) * buckets + bucket + 1
-        entry = np.zeros(len(order), np.int64)
-        entry[order] = np.repeat(numbers, np.diff(np.append(at, len(order))))
-        some = np.flatnonzero(entry)  # in the order of cells, and so of blocks
-        runs = _starts(cell[some])
-        blocks = cells.column("block").to_numpy()[cell[some][runs[:-1]]]
-        own = pa.array(order[at[frequent]])
-        parts = cells.column("part").combine_chunks().take(pa.array(cell[order[at[frequent]]])) if of_words else pa.nulls(len(own), pa.string())
-        last = pa.nulls(len(own), pa.int64()) if of_words else _flat(cells, "last").take(own)
-        none = np.zeros(len(blocks), np.int64)
-        whole = np.array([0, len(own)])
-        columns = [pa.array(np.append(blocks, -1)), _join(_lists(_flat(cells, "k").to_numpy()[some], runs, pa.int32()), [0, 0]), _join(_lists(entry[some], runs, pa.int64()), whole, numbers[frequent])]
-        columns += [_join(_lists(pa.array([], kind), np.append(none, 0), kind), whole, values) for kind, values in ((pa.string(), parts), (key, _flat(cells, "first").take(own)), (pa.int64(), last), (pa.int64(), sums[frequent]))]
-        return pa.Table.from_arrays(columns, ["block", "k", "id", "part", "first", "last", "a"])
+        known = {"block": -1, "bucket": bucket, "id": numbers[frequent].tolist(), "a": entries.sums[frequent].tolist(), **entries.keys(frequent)}
+        return _table([*entries.told(numbers, cells), known])
 
     return run
 
 
-def _join(lists: pa.ListArray, at, values=()) -> pa.ListArray:
-    """The lists, and one more of other values."""
-    kind = lists.type.value_type
-    return pa.concat_arrays([lists, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)])
-
-
-def _partly(of_words: bool):
-    """Of a bucket's share: its keys and their sums, as one cell that stands for a block of its own."""
-
-    def run(cells: pa.Table) -> pa.Table:
-        order, at, cell = _keys(cells, of_words)
-        sums = np.add.reduceat(_flat(cells, "n").to_numpy()[order], at) if len(at) else np.zeros(0, np.int64)
-        own = order[at]
-        parts = np.asarray(cells.column("part").to_pylist(), object)[cell[own]] if of_words else np.full(len(own), None)
-        by = np.argsort(parts.astype(str), kind="stable")
-        runs = _starts(np.unique(parts[by].astype(str), return_inverse=True)[1]) if len(by) else np.zeros(1, np.int64)
-        rows = len(runs) - 1
-        take = pa.array(own[by])
-        columns = [pa.array([cells.column("bucket")[0].as_py()] * rows, pa.int32()), pa.array([0] * rows, pa.int32()), pa.array([-2] * rows, pa.int64()), pa.array(parts[by][runs[:-1]], pa.string())]
-        columns += [_lists(np.zeros(len(by), np.int32), runs, pa.int32()), _lists(sums[by], runs, pa.int64())]
-        names = ["first"] if of_words else ["first", "last"]
-        columns += [_lists(_flat(cells, c).take(take), runs, cells.schema.field(c).type.value_type) for c in names]
-        return pa.Table.from_arrays(columns, ["bucket", "share", "block", "part", "k", "n", *names])
-
-    return run
+def _summed(cells: pa.Table) -> pa.Table:
+    """Of a bucket's share: its keys and their sums, by part, as if they were a block's."""
+    entries = _Entries(cells)
+    keys = entries.keys(np.arange(len(entries.at)))
+    part = pd.Series(keys["part"], dtype=object)
+    rows = []
+    for name, own in part.groupby(part.fillna(""), sort=True).indices.items():
+        if entries.words is None:
+            first, last = _packed(np.diff(np.array(keys["first"], np.int64)[own], prepend=0)), _packed(np.array(keys["last"], np.int64)[own])
+        else:
+            first, last = zstandard.compress(_END.join(keys["word"][k].encode() for k in own), 1), None
+        rows.append({"bucket": cells.column("bucket")[0].as_py(), "share": 0, "block": -2, "part": name, "size": len(own), "first": first, "last": last, "n": _packed(entries.sums[own])})
+    return pa.Table.from_batches([_rows(_CELL, rows)])
 
 
-def _told(of_words: bool):
+def _told(cells: pa.Table, frequent: pa.Table) -> pa.Table:
     """Of a bucket's share and what is frequent in the bucket: to each block the numbers of its entries."""
-
-    def run(cells: pa.Table, frequent: pa.Table) -> pa.Table:
-        names = ["first"] if of_words else ["first", "last"]
-        sizes = pc.list_value_length(cells.column("k")).to_numpy()
-        cell = np.repeat(np.arange(len(sizes)), sizes)
-        keys = [_flat(cells, c).to_pylist() for c in names]
-        if of_words:
-            keys.append(np.asarray(cells.column("part").to_pylist(), object)[cell].tolist())
-        lists = [_flat(frequent, c).to_pylist() for c in [*names, *(["part"] if of_words else [])]]
-        number = dict(zip(zip(*lists, strict=True), _flat(frequent, "id").to_pylist(), strict=True))
-        entry = np.array([number.get(key, 0) for key in zip(*keys, strict=True)], np.int64)
-        some = np.flatnonzero(entry)
-        runs = _starts(cell[some])
-        blocks = cells.column("block").to_numpy()[cell[some][runs[:-1]]] if len(some) else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(blocks, pa.int64()), _lists(_flat(cells, "k").to_numpy()[some], runs, pa.int32()), _lists(entry[some], runs, pa.int64())], ["block", "k", "id"])
-
-    return run
-
-
-def _frequent(table: DataFrame, of_words: bool, least: int, entries: int, share_blocks: int) -> tuple[DataFrame, DataFrame]:
-    """(block, found) with lists of places and numbers of what is frequent, and (id, part, first, last, a) of that."""
-    size = table.agg(F.sum(F.size("n")).alias("n"), F.count("*").alias("blocks")).first()
+    entries = _Entries(cells)
+    number = {}
+    for r in frequent.to_pylist():
+        number.update(zip(zip(r["part"], r["word"], r["first"], r["last"], strict=True), r["id"], strict=True))
+    keys = entries.keys(np.arange(len(entries.at)))
+    numbers = np.array([number.get(x, 0) for x in zip(keys["part"], keys["word"], keys["first"], keys["last"], strict=True)], np.int64)
+    return _table(entries.told(numbers, cells)).select(["block", "bucket", "ids"])
+
+
+def _frequent(table: DataFrame, columns: list[str], least: int, entries: int, share_blocks: int) -> tuple[DataFrame, DataFrame, int]:
+    """(block, found) of the numbers that blocks get back by bucket, (id, part, word, first, last, a) of what is frequent, and
+    the number of buckets."""
+    size = table.agg(F.sum("size").alias("n"), F.count("*").alias("blocks")).first()
     buckets, shares = max(1, -(-(size["n"] or 0) // entries)), max(1, -(-size["blocks"] // share_blocks))
-    key = "string" if of_words else "long"
-    kind = f"bucket int, share int, block long, part string, k array<int>, n array<long>, first array<{key}>" + ("" if of_words else ", last array<long>")
-    columns = ["block", "part", "words", "n"] if of_words else ["block", "first", "last", "n"]
-    cells = table.select(*columns).mapInArrow(lambda batches: released(_cells(of_words, buckets, shares)(batches)), kind)
-    counted = _COUNTED.format(key=key)
+    cells = table.select("block", "n", *columns).mapInArrow(lambda batches: released(_cells(buckets, shares)(batches)), _CELL)
     if shares == 1:
-        told = written(cells.groupBy("bucket").applyInArrow(_counted(of_words, least, buckets), counted), "frequent")
+        told = written(cells.groupBy("bucket").applyInArrow(_counted(least, buckets), _COUNTED), "frequent")
         known, back = told.where("block = -1"), told.where("block >= 0")
     else:
-        sums = cells.groupBy("bucket", "share").applyInArrow(_partly(of_words), kind)
-        known = written(sums.groupBy("bucket").applyInArrow(_counted(of_words, least, buckets), counted).where("block = -1"), "frequent")
-        bucket = F.pmod(F.element_at("id", 1) - 1, F.lit(buckets)).cast("int")
-        every = known.where("size(id) > 0").select(bucket.alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "id", "part", "first", "last")
-        back = written(cells.groupBy("bucket", "share").cogroup(every.groupBy("bucket", "share")).applyInArrow(_told(of_words), "block long, k array<int>, id array<long>"), "told")
-    rows = known.select(F.explode(F.arrays_zip("id", "part", "first", "last", "a")).alias("x")).select("x.*")
-    return back.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("found")), rows
+        sums = cells.groupBy("bucket", "share").applyInArrow(_summed, _CELL)
+        known = written(sums.groupBy("bucket").applyInArrow(_counted(least, buckets), _COUNTED).where("block = -1"), "frequent")
+        every = known.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "id", "part", "word", "first", "last")
+        back = written(cells.groupBy("bucket", "share").cogroup(every.groupBy("bucket", "share")).applyInArrow(_told, "block long, bucket int, ids binary"), "told")
+    rows = known.select(F.explode(F.arrays_zip("id", "part", "word", "first", "last", "a")).alias("x")).select("x.*")
+    return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("found")), rows, buckets
+
+
+def _known(row: dict, buckets: int) -> np.ndarray:
+    """The numbers of a block's entries, 0 for those that are not frequent."""
+    bucket, order = _dealt(row, buckets)
+    at = _starts(bucket[order])
+    begin = dict(zip(bucket[order[at[:-1]]].tolist(), at[:-1].tolist(), strict=True))
+    out = np.zeros(len(order), np.int64)
+    for cell in row["found"]:
+        ids = _array(cell["ids"])
+        out[order[begin[cell["bucket"]] : begin[cell["bucket"]] + len(ids)]] = ids
+    return out
 
 
-def _next(table: DataFrame, found: DataFrame, columns: list[str], size: str, step) -> DataFrame:
-    """The next lists, written."""
-    rows = table.select(*columns, F.size(size).alias("size")).join(found, "block")
-    kind = "block long, starts binary, phrases binary, first array<long>, last array<long>, n array<long>"
-    return written(rows.mapInArrow(lambda batches: released(step(batches)), kind), "lists")
+def _extended(block: int, starts: np.ndarray, phrases: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Places of phrases one word longer than those that start at `starts` (sorted), and their numbers of occurrences in
+    this block.  phrases: places in ids."""
+    at = np.full(int(starts[-1]) + 2 if len(starts) else 2, -1, np.int32)  # the list, by place
+    at[starts] = phrases
+    rest = at[starts + 1]
+    both = rest >= 0
+    starts, phrases, rest = starts[both], phrases[both], rest[both]
+    # a phrase and the one that starts a place later, which ends with the word that is added, make the longer one
+    _, where, which, n = np.unique(phrases.astype(np.int64) * max(1, len(ids)) + rest, return_index=True, return_inverse=True, return_counts=True)
+    return _rows(_LIST, [{"block": block, "size": len(n), "starts": _packed(np.diff(starts, prepend=0)), "phrases": _packed(which), "first": _packed(ids[phrases[where]]), "last": _packed(ids[rest[where]]), "n": _packed(n)}])
+
+
+def _longer(buckets: int):
+    """The lists of one word more, from blocks, or lists, and the numbers of what is frequent in them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids = _known(row, buckets)
+                if "places" in row:
+                    phrases = _array(row["places"])
+                    starts = np.flatnonzero(phrases >= 0)
+                    phrases = phrases[starts]
+                else:
+                    starts, phrases = np.cumsum(_array(row["starts"])), _array(row["phrases"])
+                kept = ids[phrases] > 0
+                yield _extended(row["block"], starts[kept].astype(np.int32), phrases[kept].astype(np.int32), ids)
+
+    return run
 
 
 def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, text_col: str = "text", part_col: str = "lang", block_bytes: int = BLOCK_BYTES, entries: int = ENTRIES, share_blocks: int = SHARE_BLOCKS) -> list[DataFrame]:
@@ -350,25 +333,27 @@ def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, t
     the phrases one word shorter.  The words' table comes with n, all occurrences of words in the part.
     """
     rows = docs.select(F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = "block long, part string, words array<string>, n array<long>, places binary"
-    blocks = written(rows.mapInArrow(_blocks(block_bytes), kind), "blocks")
-    totals = blocks.groupBy("part").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-
-    found, one = _frequent(blocks, True, least, entries, share_blocks)
-    one = written(one.select("id", "part", F.col("first").alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases")
-    out = [one.join(F.broadcast(totals), "part")]  # a row for each part
-    table = _next(blocks, found, ["block", "places"], "words", _pairs)
-    shorter = one
-    for k in range(2, most_words + 1):
-        found, keys = _frequent(table, False, least, entries, share_blocks)
-        begin = shorter.select(F.col("id").alias("first"), "part", F.col("phrase").alias("head"), F.col("heads").alias("before"))
-        end = shorter.select(F.col("id").alias("last"), F.element_at(F.split("phrase", " "), -1).alias("word"), F.col("tails").alias("after"))
-        both = keys.drop("part").join(begin, "first").join(end, "last")
-        more = lambda c: F.concat(c, F.array("a"))
-        shorter = written(both.select("id", "first", "last", "part", F.concat_ws(" ", "head", "word").alias("phrase"), "a", more("before").alias("heads"), more("after").alias("tails")), "phrases")
-        out.append(shorter)
+    table = written(rows.mapInArrow(_blocks(block_bytes), _BLOCK), "blocks")
+    totals = table.groupBy("part").agg(F.sum("total").alias("n"))
+    keys, places = ["words"], ["places"]
+    out: list[DataFrame] = []
+    for k in range(1, most_words + 1):
+        found, new, buckets = _frequent(table, ["part", *keys] if k == 1 else keys, least, entries, share_blocks)
+        if k == 1:
+            named = new.select("id", "part", F.col("word").alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
+        else:
+            begin = out[-1].select(F.col("id").alias("first"), "part", F.col("phrase").alias("head"), F.col("heads").alias("before"))
+            end = out[-1].select(F.col("id").alias("last"), F.element_at(F.split("phrase", " "), -1).alias("word"), F.col("tails").alias("after"))
+            both = new.drop("part", "word").join(begin.hint("merge"), "first").join(end.hint("merge"), "last")
+            more = lambda c: F.concat(c, F.array("a"))
+            named = both.select("id", "first", "last", "part", F.concat_ws(" ", "head", "word").alias("phrase"), "a", more("before").alias("heads"), more("after").alias("tails"))
+        out.append(written(named, "phrases"))
         if k < most_words:
-            table = _next(table, found, ["block", "starts", "phrases"], "n", _longer)
+            step = _longer(buckets)
+            given = table.select("block", *keys, *places).join(found.hint("merge"), "block")
+            table = written(given.mapInArrow(lambda batches, step=step: released(step(batches)), _LIST), "lists")
+            keys, places = ["first", "last"], ["starts", "phrases"]
+    out[0] = out[0].join(F.broadcast(totals), "part")  # a row for each part
     return out
 
 
