@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
     states = list(own.states)
     msa = P.chosen(S.read_msa(spark, own.msa), own.families)
     edges = P.chosen(S.read_tree(spark, own.trees), own.families) if own.trees else None
-    matrix = lambda path: S.read_matrix(spark, path).select("x", "y", "q")
+    matrix = lambda path: P.named_matrix(spark, path, [a + b for a in states for b in states] if path == own.pair_matrix else states)
     q: np.ndarray = dense(matrix(own.matrix) if own.matrix else equal_rates(spark, states), states)[1]
     rates = None
     if edges is not None:
@@ -100,7 +100,11 @@ def main(argv: list[str] | None = None) -> None:
             return P.evaluate_pairs(tree, rows, P.chosen(contacts, own.families), states, q, dense(matrix(own.pair_matrix), both)[1] if own.pair_matrix else P.independent_pairs(q)[0], own.distance)
         return P.evaluate(tree, rows, states, q, site_rates)
 
-    inputs = [df for df in (msa, edges, rates, contacts) if df is not None]
+    files = [matrix(path) for path in (own.matrix, own.tree_matrix, own.pair_matrix) if path]
+    files += [S.read_sites_subset(spark, own.sites)] if own.sites else []
+    files += [P.named_matrix(spark, own.initial, states)] if "/" in own.initial or own.initial.endswith(".txt") else []
+    # what files hold counts, not only where they are
+    inputs = [df for df in (msa, edges, rates, contacts, mask, *files) if df is not None]
     told = {k: v for k, v in vars(own).items() if k not in ("output", "cache")}
     found = cached(spark, own.cache, own.task, make, *inputs, **told) if own.cache else make()
     if own.task == "learn":

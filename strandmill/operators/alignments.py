@@ -101,6 +101,14 @@ def initial_rate_categories(variability: DataFrame, rates: list[float]) -> DataF
     return placed.select("family", "site", category.alias("category"))
 
 
+def extended_rates(rates: DataFrame, n_sites: int) -> DataFrame:
+    """(family, site, rate) for n_sites sites: a family's rates, by site from 0, over and over; longer ones are cut."""
+    sizes = rates.groupBy("family").agg(F.count("*").cast("int").alias("n"))
+    places = F.sequence(F.col("site"), F.lit(n_sites - 1), F.col("n"))
+    own = rates.join(sizes, "family").where(F.col("site") < n_sites)
+    return own.select("family", F.explode(places).alias("site"), "rate")
+
+
 def subsample(msa: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """At most `most` sequences of each family, the first by name always among them, the rest in order of a hash."""
     first = Window.partitionBy("family").orderBy("seq_name")
@@ -142,17 +150,20 @@ def hamming_pairs(msa: DataFrame, states: list[str]) -> DataFrame:
     """(family, x, y, distance) of all pairs x < y of each family: the share of differing sites, 0 without joint ones.
 
     The full distance matrix is the result asked for; fast_cherries() needs only a few rows of it.  Sequences are packed
-    into bits once and pairs compared by those; a large family is dealt to tasks, each of which compares PAIRED
-    sequences with all.
+    into bits once and pairs compared by those; a large family is dealt into parts of PAIRED sequences, and a task compares
+    two of them.  A null sequence has no state at any site.
     """
+    msa = msa.withColumn("seq", F.coalesce("seq", F.lit("")))
     width = msa.agg(F.max(F.length("seq"))).first()[0] or 0
     bits = _packed("seq", states, width)
     per = max(1, math.ceil(math.log2(len(states)))) + 1
     packed = msa.select("family", "seq_name", *[b.alias(f"b{k}") for k, b in enumerate(bits)])
     parts = msa.groupBy("family").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
-    own = packed.join(parts, "family")
-    a = own.withColumn("part", F.pmod(F.xxhash64("seq_name"), "parts")).select("family", "part", F.col("seq_name").alias("x"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(len(bits))])
-    b = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("family", "part", F.col("seq_name").alias("y"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(len(bits))])
+    own = packed.join(parts, "family").withColumn("mine", F.pmod(F.xxhash64("seq_name"), "parts").cast("int"))
+    # part lo meets each part hi >= lo once
+    side = lambda c, other, lo, hi: own.withColumn("o", F.explode(other)).select("family", lo.alias("lo"), hi.alias("hi"), F.col("seq_name").alias(c), *[F.col(f"b{k}").alias(f"{c}{k}") for k in range(len(bits))])
+    a = side("x", F.sequence("mine", F.col("parts") - 1), F.col("mine"), F.col("o"))
+    b = side("y", F.sequence(F.lit(0), "mine"), F.col("o"), F.col("mine"))
     differ, joint = F.lit(0), F.lit(0)
     for at in range(0, len(bits), per):
         both = F.col(f"x{at}").bitwiseAND(F.col(f"y{at}"))
@@ -160,7 +171,8 @@ def hamming_pairs(msa: DataFrame, states: list[str]) -> DataFrame:
         for k in range(at + 1, at + per):
             other = other.bitwiseOR(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")))
         differ, joint = differ + F.bit_count(both.bitwiseAND(other)), joint + F.bit_count(both)
-    return a.join(b, ["family", "part"]).where("x < y").select("family", "x", "y", F.when(joint == 0, 0.0).otherwise(differ / joint).alias("distance"))
+    met = a.join(b, ["family", "lo", "hi"]).where("x <> y and (lo < hi or x < y)")
+    return met.select("family", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(joint == 0, 0.0).otherwise(differ / joint).alias("distance"))
 
 
 def farthest_sequence(msa: DataFrame, states: list[str]) -> DataFrame:

@@ -104,9 +104,14 @@ def transition_probabilities(rates: DataFrame, time: float) -> DataFrame:
     return rates.sparkSession.createDataFrame([(a, b, float(p[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)], "x string, y string, p double")
 
 
+TIE_DIGITS = 10
+
+
 def correlations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: Pearson and Spearman correlation of the off-diagonal entries' logarithms."""
-    both = a.select("x", "y", F.log10("q").alias("la")).where("x <> y").join(b.select("x", "y", F.log10("q").alias("lb")), ["x", "y"])
+    """One row: Pearson and Spearman correlation of the off-diagonal entries' logarithms, rounded to TIE_DIGITS digits, so
+    that what differs in the last bits only is a tie."""
+    log = lambda c: F.round(F.log10("q"), TIE_DIGITS).alias(c)
+    both = a.select("x", "y", log("la")).where("x <> y").join(b.select("x", "y", log("lb")), ["x", "y"])
     # matrices have states x states rows, so one window ranks them all; ties get their average rank
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     ranked = both.withColumns({"ra": rank("la"), "rb": rank("lb")})

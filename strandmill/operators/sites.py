@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.grid import bucket, log_gamma_prior, site_rate_grid
 from strandmill.functions.markov import expm_many, stationary_distribution
+from strandmill.functions.storage import written
 from strandmill.operators import counts as C
+from strandmill.operators.cherries import encoded
 from strandmill.operators.fitting import learn_sites
 
 
@@ -92,39 +94,64 @@ def learn_site_models(pairs: DataFrame, msa: DataFrame, rates: DataFrame, states
     return every.join(found, ["family", "site", "x", "y"], "left").select("family", "site", "x", "y", F.coalesce("q", F.col("q0") * F.col("rate")).alias("q"))
 
 
-def site_model_likelihood(transitions: DataFrame, models: DataFrame, states: list[str], gap: str | None = None) -> DataFrame:
+#: Transitions of a family that one task scores at a block of sites.
+SCORED_TOGETHER = 20_000
+
+
+def site_model_likelihood(transitions: DataFrame, models: DataFrame, states: list[str], gap: str | None = None, together: int = SCORED_TOGETHER) -> DataFrame:
     """(family, tid, site, ll): log-probability of what each site of a transition does under the site's own matrix.
 
     transitions: (family, tid, x_seq, y_seq, t); models: (family, site, x, y, q).  Sites where either end has no state
     are left out.  gap: a state that is conditioned on, so that ends that are no gap are compared among those and a gap
-    costs nothing.  Residues meet their matrix by blocks of sites; a block's matrices are factored once.
+    costs nothing.  A block of sites' matrices are factored once and copied to as many tasks as the family's transitions
+    ask for, `together` each, so neither a family nor a transition has to fit a task; sequences move as strings.
     """
     family = transitions.schema["family"].dataType.simpleString()
-    zipped = F.arrays_zip(F.split("x_seq", "").alias("a"), F.split("y_seq", "").alias("b"))
-    rows = transitions.select("family", "tid", "t", F.posexplode(zipped).alias("site", "s")).select("family", "site", "tid", "t", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    rows = rows.where(F.col("a").isin(states) & F.col("b").isin(states)).withColumn("block", F.floor(F.col("site") / SITES_TOGETHER))
-    own = models.select(F.col("family").alias("its"), F.floor(F.col("site") / SITES_TOGETHER).alias("block"), "site", "x", "y", "q")
     at, n = {s: k for k, s in enumerate(states)}, len(states)
+    blocked = models.withColumn("block", F.floor(F.col("site") / SITES_TOGETHER).cast("int"))
 
-    def run(seen: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if seen.empty or known.empty:
-            return pd.DataFrame(columns=["family", "tid", "site", "ll"], dtype=object)
+    def factor(known: pd.DataFrame) -> pd.DataFrame:
         sites, place = np.unique(known["site"].to_numpy(), return_inverse=True)
         q = np.zeros((len(sites), n, n))
         q[place, known["x"].map(at).to_numpy(), known["y"].map(at).to_numpy()] = known["q"].to_numpy()
         values, v = np.linalg.eig(q)
-        inverse = np.linalg.inv(v)
-        seen = seen[seen["site"].isin(sites)]
-        k, t = np.searchsorted(sites, seen["site"].to_numpy()), seen["t"].to_numpy()[:, None]
-        a, b = seen["a"].map(at).to_numpy(), seen["b"].map(at).to_numpy()
-        to = lambda end: np.real((v[k, a] * np.exp(values[k] * t) * inverse[k, :, end]).sum(axis=1))
-        p = to(b)
-        if gap is not None:
-            p = np.where(b == at[gap], 1.0, p / np.maximum(1 - to(np.full(len(b), at[gap])), 1e-300))
-        return pd.DataFrame({c: seen[c].tolist() for c in ("family", "tid", "site")} | {"ll": np.log(np.maximum(p, 1e-300))})
+        parts = [np.asarray(x, complex).tobytes() for x in (values, v, np.linalg.inv(v))]
+        return pd.DataFrame({"family": [known["family"].iloc[0]], "block": [int(known["block"].iloc[0])], "sites": [sites.astype(np.int64).tobytes()], "values": parts[0:1], "v": parts[1:2], "inverse": parts[2:3]})
+
+    factored = written(blocked.groupBy("family", "block").applyInPandas(factor, f"family {family}, block int, sites binary, values binary, v binary, inverse binary"), "factors")
+    # families with more than `together` transitions are at most all transitions / together
+    many = transitions.groupBy("family").count().where(F.col("count") > together).select("family", F.ceil(F.col("count") / together).cast("int").alias("shares"))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = transitions.join(F.broadcast(many), "family", "left").withColumn("share", F.pmod(F.xxhash64("tid", "t", "x_seq", "y_seq"), shares).cast("int"))
+    last = F.floor((F.greatest(F.least(F.length("x_seq"), F.length("y_seq")), F.lit(1)) - 1) / SITES_TOGETHER).cast("int")
+    part = lambda c: F.substring(c, F.col("block") * SITES_TOGETHER + 1, F.lit(SITES_TOGETHER)).alias(c)
+    rows = dealt.select("family", "share", "tid", "t", "x_seq", "y_seq", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    rows = rows.select("family", "share", "block", "tid", "t", part("x_seq"), part("y_seq"))
+    copied = factored.join(F.broadcast(many), "family", "left").select(F.col("family").alias("its"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "block", "sites", "values", "v", "inverse")
+
+    def run(seen: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if seen.empty or known.empty:
+            return pd.DataFrame(columns=["family", "tid", "site", "ll"], dtype=object)
+        own = known.iloc[0]
+        sites = np.frombuffer(own["sites"], np.int64)
+        values, v, inverse = (np.frombuffer(own[c], complex).reshape(len(sites), *shape) for c, shape in (("values", (n,)), ("v", (n, n)), ("inverse", (n, n))))
+        first = int(seen["block"].iloc[0]) * SITES_TOGETHER
+        place = np.full(SITES_TOGETHER, -1)
+        place[sites - first] = np.arange(len(sites))
+        x, y = (encoded(seen[c].tolist(), states, SITES_TOGETHER).astype(np.int64) for c in ("x_seq", "y_seq"))
+        row, offset = np.nonzero((x >= 0) & (y >= 0) & (place >= 0)[None, :])
+        k, a, b, t = place[offset], x[row, offset], y[row, offset], seen["t"].to_numpy()[row, None]
+        p = np.empty(len(row))
+        for c in range(0, len(row), 1 << 16):
+            i = slice(c, c + (1 << 16))
+            to = lambda end: np.real((v[k[i], a[i]] * np.exp(values[k[i]] * t[i]) * inverse[k[i], :, end]).sum(axis=1))  # noqa: B023, E731
+            p[i] = to(b[i])
+            if gap is not None:
+                p[i] = np.where(b[i] == at[gap], 1.0, p[i] / np.maximum(1 - to(np.full(len(b[i]), at[gap])), 1e-300))
+        return pd.DataFrame({"family": seen["family"].to_numpy()[row], "tid": seen["tid"].to_numpy()[row], "site": (first + offset).astype(np.int32), "ll": np.log(np.maximum(p, 1e-300))})
 
     kind = f"family {family}, tid {transitions.schema['tid'].dataType.simpleString()}, site int, ll double"
-    return rows.groupBy("family", "block").cogroup(own.groupBy("its", "block")).applyInPandas(run, kind)
+    return rows.groupBy("family", "block", "share").cogroup(copied.groupBy("its", "block", "share")).applyInPandas(run, kind)
 
 
 def by_transition(likelihoods: DataFrame) -> DataFrame:

@@ -19,9 +19,13 @@ def content(df: DataFrame) -> str:
     return f"{columns} {n} {total}"
 
 
+#: What results were made by: raised when the same inputs come to give others.
+VERSION = 3
+
+
 def key(name: str, *inputs: DataFrame, **arguments) -> str:
     """Changed rows, arguments or version give another key."""
-    made_from = [arguments, [content(df) for df in inputs]]
+    made_from = [VERSION, arguments, [content(df) for df in inputs]]
     return f"{name}/{hashlib.sha256(json.dumps(made_from, sort_keys=True, default=str).encode()).hexdigest()}"
 
 

@@ -196,6 +196,12 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
     return families.select("family", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("site")).withColumn("rate", A.site_rate(F.col("family"), F.col("site")))
 
 
+@query
+def site_rates_extended(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of 64 sites over and over for 150."""
+    return M.extended_rates(_rates(spark, d), 150)
+
+
 @query
 def site_rate_by_num_contacts(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.rates_by_contacts(_rates(spark, d), A.pattern_contacts(spark), 7), "mean", "median", "q25", "q75")
@@ -564,9 +570,29 @@ def streaming_edge_counts(spark: SparkSession, d: str) -> DataFrame:
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     kind = "event_id long, ts timestamp, user_id long, event_type string"
-    # files in order of time, so that each user's events come in order
+    # a user's events lie in one file, in order of time
     events = A.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    events.repartitionByRange(4, "user_id").sortWithinPartitions("user_id", "ts", "event_id").write.parquet(f"{folder}/in")
+    events.repartitionByRange("user_id").sortWithinPartitions("user_id", "ts", "event_id").write.parquet(f"{folder}/in")
     moved = stream.run_available(stream.transitions(spark.readStream.schema(kind).parquet(f"{folder}/in")), "append", f"{folder}/moved")
     pairs = spark.readStream.schema(moved.schema).parquet(f"{folder}/moved/out")
     return stream.run_available(stream.counts(pairs, grid()), "complete", f"{folder}/counts")
+
+
+@query
+def late_events_edge_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts from events that come in no order at all, held until the watermark has passed them."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kind = "event_id long, ts timestamp, user_id long, event_type string"
+    events = A.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    span = events.agg((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).alias("us"), F.max("ts").alias("last")).first()
+    days = (span["us"] or 0) // 86_400_000_000 + 1
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    # an event of nobody's, after all others, lets the watermark pass them
+    after = F.timestamp_add("DAY", F.lit(2 * days + 1), F.lit(span["last"]))
+    end = spark.range(1).select((-F.col("id") - 1).alias("event_id"), after.alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("").alias("event_type"))
+    end.write.mode("append").parquet(f"{folder}/in")
+    stream_in = spark.readStream.schema(kind).parquet(f"{folder}/in")
+    moved = stream.run_available(stream.late_transitions(stream_in, f"{days} days"), "append", f"{folder}/moved")
+    return C.count_states(moved, grid())

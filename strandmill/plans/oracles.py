@@ -128,6 +128,7 @@ ORACLES: dict[str, str] = {
     + "SELECT family, site, round(rate, 6) rate FROM (SELECT *, row_number() OVER (PARTITION BY family, site ORDER BY ll DESC, rate) rn FROM ca) WHERE rn = 1",
     "edge_transition_counts": _with(*EV) + "SELECT * FROM cnt",
     "streaming_edge_counts": _with(*EV) + "SELECT * FROM cnt",
+    "late_events_edge_counts": _with(*EV) + "SELECT * FROM cnt",
     "edge_counts_symmetrized": _with(*EV) + "SELECT bucket, x, y, sum(n) / 2::DOUBLE n FROM (SELECT bucket, x, y, n FROM cnt UNION ALL SELECT bucket, y, x, n FROM cnt) GROUP BY bucket, x, y",
     "jtt_ipw_rate_matrix": _JTT + "SELECT x, y, round(q, 6) q FROM m1",
     "jtt_median_rate_matrix": _with(*EV, STATES, _jtt("m1", ipw=False)) + "SELECT x, y, round(q, 6) q FROM m1",
@@ -135,7 +136,7 @@ ORACLES: dict[str, str] = {
     "jtt_ipw_max_time": _with(*EV, STATES, _jtt("m1", most="q.t <= 1")) + "SELECT x, y, round(q, 6) q FROM m1",
     "rate_matrix_metrics": _TWO + "SELECT round(max(abs(ln(qa / qb))), 6) l_infty, round(sqrt(avg(ln(qa / qb) ** 2)), 6) rmse, round(exp(max(abs(ln(qa / qb)))) - 1, 6) mre, round(avg(greatest(qa / qb, qb / qa) - 1), 6) mean_relative_error FROM tw",
     "rate_matrix_correlation": _TWO
-    + "SELECT round(corr(la, lb), 6) pearson, round(corr(ra, rb), 6) spearman FROM (SELECT log10(qa) la, log10(qb) lb, rank() OVER (ORDER BY qa) + (count(*) OVER (PARTITION BY qa) - 1) / 2 ra, rank() OVER (ORDER BY qb) + (count(*) OVER (PARTITION BY qb) - 1) / 2 rb FROM tw)",
+    + "SELECT round(corr(la, lb), 6) pearson, round(corr(ra, rb), 6) spearman FROM (SELECT la, lb, rank() OVER (ORDER BY la) + (count(*) OVER (PARTITION BY la) - 1) / 2 ra, rank() OVER (ORDER BY lb) + (count(*) OVER (PARTITION BY lb) - 1) / 2 rb FROM (SELECT round(log10(qa), 10) la, round(log10(qb), 10) lb FROM tw))",
     "jump_probabilities": _JTT + "SELECT x, y, round(p, 6) p FROM (SELECT x, y, q / sum(CASE WHEN x = y THEN -q END) OVER (PARTITION BY x) p FROM m1) WHERE x <> y",
     "ranked_rates": _JTT + "SELECT x, y, q, round(q / total, 6) share, CAST(row_number() OVER (ORDER BY q DESC, x, y) AS INTEGER) rank FROM (SELECT x, y, q, sum(q) OVER () total FROM (SELECT x, y, round(q, 6) q FROM m1) WHERE x <> y) WHERE abs(q) >= 0.05",
     "mutation_rate": _JTT + "SELECT round(sum(-q / (SELECT count(*) FROM st)), 6) rate FROM m1 WHERE x = y",
@@ -167,6 +168,7 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT f.i x, f.j y, round(CASE WHEN f.i = f.j THEN -o.g / f.g ELSE f.g / d.g END, 6) q FROM g f JOIN g d ON d.i = f.i AND d.j = f.i JOIN g o ON o.i = f.i AND o.j <> f.i",
     "fast_cherries_in_rounds": _with(EMB) + "SELECT family, count(*) leaves, count(*) sequences, CAST(count(*) % 2 AS BIGINT) alone, count(*) // 2 pairs, CAST(64 AS BIGINT) n_sites, 1.0::DOUBLE mean_rate FROM msa GROUP BY family",
+    "site_rates_extended": _with(EMB, SITES, RATES) + "SELECT family, CAST(k AS INTEGER) site, rate FROM rt, (SELECT unnest(range(150)) k) WHERE site = k % 64",
     "contacting_sites": _with(NEAR_VECTORS) + "SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY site) - 1 AS INTEGER) k, site FROM (SELECT family, i site FROM ct WHERE j - i >= 40 UNION SELECT family, j FROM ct WHERE j - i >= 40)",
     "site_subset_msa": _with(EMB, CONTACTS, _NEAR) + "SELECT family, seq_name, string_agg(substr(seq, site + 1, 1), '' ORDER BY k) seq FROM msa, sk GROUP BY family, seq_name",
     "nontrivial_contacts": _with(NEAR_VECTORS) + "SELECT family, i, j FROM ct WHERE j - i >= 7",

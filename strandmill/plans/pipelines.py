@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -21,7 +22,7 @@ from strandmill.operators.fitting import learn_from_counts
 from strandmill.operators.likelihood import ancestral_states, pair_likelihood, tree_likelihood
 from strandmill.operators.sites import by_transition, estimate_site_rates, learn_site_models, site_model_likelihood
 from strandmill.operators.trees import pairs
-from strandmill.sources.formats import read_matrix
+from strandmill.sources.formats import files, from_paml_text, read_matrix
 
 #: (alignments, states, matrix) -> (edges, site rates): estimators of trees by name.
 TreeEstimator = Callable[[DataFrame, list[str], np.ndarray], tuple[DataFrame, DataFrame]]
@@ -34,6 +35,12 @@ def estimator(s: Settings) -> TreeEstimator:
         return s.estimator
     if s.estimator == "fast_cherries":
         return lambda msa, states, q: fast_cherries(msa, states, q, s.points, s.categories)
+    if s.estimator == "gt":
+        if s.given is None:
+            raise ValueError("estimator gt passes on given trees and rates, of which there are none")
+        return given_trees(*s.given)
+    if s.estimator not in TREE_ESTIMATORS:
+        raise ValueError(f"no estimator {s.estimator}; there are {sorted([*TREE_ESTIMATORS, 'gt'])}")
     return TREE_ESTIMATORS[s.estimator]
 
 
@@ -48,7 +55,9 @@ class Settings:
 
     strategy: str = "cherry++"
     points: list[float] = field(default_factory=grid)
+    #: A name of TREE_ESTIMATORS, gt for the trees and rates that are given, or an estimator.
     estimator: str | TreeEstimator = "fast_cherries"
+    given: tuple[DataFrame, DataFrame] | None = None
     initial: str = "jtt-ipw"
     iterations: int = 1
     epochs: int = 200
@@ -72,6 +81,30 @@ def _equal(n: int) -> np.ndarray:
     return q
 
 
+def named_matrix(spark: SparkSession, name: str, states: list[str], rate: float | None = None) -> DataFrame:
+    """(x, y, q): equ (all changes equally likely), equ_x_equ (two such sites side by side), or the matrix of a file.
+
+    A file is a table of rates with states as head, or a lower triangle of exchangeabilities with the stationary
+    distribution (PAML's layout, as published for WAG, LG, JTT and others), whose order of states is that of `states`.
+    rate: the mutation rate that it is scaled to.
+    """
+    if name == "equ":
+        found = R.equal_rates(spark, states)
+    elif name == "equ_x_equ":
+        letters = list(dict.fromkeys(x[0] for x in states))
+        found = R.chain_product(R.equal_rates(spark, letters), R.equal_rates(spark, letters))
+    else:
+        text = files(spark, name).select("text").first()
+        if text is None:
+            raise ValueError(f"no matrix {name}")
+        if any(c.isalpha() for c in re.sub(r"\d[eE][-+]?\d", "", text.text.split("\n", 1)[0])):
+            found = read_matrix(spark, name).select("x", "y", "q")
+        else:
+            q, _ = from_paml_text(text.text, states)
+            found = spark.createDataFrame([(a, b, q[i][j]) for i, a in enumerate(states) for j, b in enumerate(states)], "x string, y string, q double")
+    return found if rate is None else R.normalized(found, rate)
+
+
 def _text_names(msa: DataFrame) -> DataFrame:
     return msa.withColumn("seq_name", F.col("seq_name").cast("string"))
 
@@ -86,7 +119,7 @@ def _initial(spark: SparkSession, counts: DataFrame, states: list[str], s: Setti
         one = R.equal_rates(spark, letters)
         return R.chain_product(one, one)
     if "/" in s.initial or s.initial.endswith(".txt"):
-        return read_matrix(spark, s.initial).select("x", "y", "q")
+        return named_matrix(spark, s.initial, states)
     if s.initial == "random":
         rng = np.random.default_rng(0)
         e, pi = rng.gamma(1, 1, (len(states),) * 2) + 0.1, np.full(len(states), 1 / len(states))

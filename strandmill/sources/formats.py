@@ -335,25 +335,29 @@ def stockholm_by_rate(msa: DataFrame, edges: DataFrame, rates: DataFrame, states
 
 
 def read_backbone(spark: SparkSession, path: str) -> DataFrame:
-    """(family, site, N, CA, C) of residues with all three atoms, numbered in order of chain and residue; atoms are
-    structs x, y, z."""
+    """(family, site, N, CA, C) of residues with all three atoms, numbered in order of their lines; atoms are structs x, y, z."""
     atoms = _atoms(spark, path).where(F.col("atom").isin("N", "CA", "C"))
-    of = lambda a: F.first(F.when(F.col("atom") == a, F.struct("x", "y", "z")), ignorenulls=True).alias(a)
-    rows = atoms.groupBy("family", "chain", "residue").agg(of("N"), of("CA"), of("C")).where("N is not null and CA is not null and C is not null")
-    site = F.row_number().over(Window.partitionBy("family").orderBy("chain", "residue")) - 1
+    of = lambda a: F.max(F.when(F.col("atom") == a, F.struct("x", "y", "z"))).alias(a)
+    rows = atoms.groupBy("family", "chain", "residue", "insertion").agg(of("N"), of("CA"), of("C"), F.min("line").alias("line")).where("N is not null and CA is not null and C is not null")
+    site = F.row_number().over(Window.partitionBy("family").orderBy("line")) - 1
     return rows.select("family", site.alias("site"), "N", "CA", "C")
 
 
 def _atoms(spark: SparkSession, path: str) -> DataFrame:
-    line = files(spark, path).select("family", F.explode(_lines("text")).alias("l")).where("l like 'ATOM  %'")
+    """Atoms of a file's first model, of those in several places the place that comes first; line is that line's number."""
+    model = F.substring_index(F.concat(F.lit("\n"), "text"), "\nENDMDL", 1)
+    line = files(spark, path).select("family", F.posexplode(_lines(model)).alias("line", "l")).where("l like 'ATOM  %'")
     at = lambda a, b: F.trim(F.substring("l", a, b - a + 1))
-    return line.select("family", at(22, 22).alias("chain"), at(23, 26).cast("int").alias("residue"), at(18, 20).alias("name"), at(13, 16).alias("atom"), *[at(a, a + 7).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))])
+    parts = {"chain": at(22, 22), "residue": at(23, 26).cast("int"), "insertion": at(27, 27), "atom": at(13, 16)}
+    place = F.struct("line", at(18, 20).alias("name"), *[at(a, a + 7).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))])
+    first = line.select("family", *[c.alias(k) for k, c in parts.items()], place.alias("place")).groupBy("family", *parts).agg(F.min("place").alias("place"))
+    return first.select("family", "chain", "residue", "insertion", "place.name", "atom", "place.x", "place.y", "place.z", "place.line")
 
 
 def read_pdb_atoms(spark: SparkSession, path: str, atom: str = "CB") -> DataFrame:
-    """(family, chain, residue, name, x, y, z) of one atom of each residue (CA for glycine), from fixed columns."""
+    """(family, chain, residue, insertion, name, x, y, z) of one atom of each residue (CA for glycine), from fixed columns."""
     row = _atoms(spark, path)
-    return row.where((F.col("atom") == atom) | ((F.col("name") == "GLY") & (F.col("atom") == "CA"))).drop("atom")
+    return row.where((F.col("atom") == atom) | ((F.col("name") == "GLY") & (F.col("atom") == "CA"))).drop("atom", "line")
 
 
 def historian_json(states: list[str], q, pi) -> str:

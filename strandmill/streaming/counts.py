@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strandmill.operators.counts import with_bucket
 
@@ -38,6 +39,65 @@ def transitions(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def late_transitions(events: DataFrame, delay: str) -> DataFrame:
+    """(family, x, y, t) of a stream of events (event_id, ts, user_id, event_type) that come in any order within `delay`.
+
+    A user's events are held until the watermark has passed them, then taken in order of time and id; the state is those
+    and the last one taken.  Events later than the watermark are dropped, as everywhere in Spark.  A timer at the
+    earliest held event's time releases them, so a user who sends nothing more is not forgotten.  Spark keeps such state in
+    RocksDB only, so the session is set to that.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Held(), _OUT, "append", "EventTime")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    kinds = {"family": "int64", "x": object, "y": object, "t": "float64"}
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kind) for k, (c, kind) in enumerate(kinds.items())})
+
+
+class _Held(StatefulProcessor):
+    """Events of a user by time and id until the watermark passes them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "us long, event_id long", "event_type string")
+        self.last = handle.getValueState("last", "event_type string, us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        earliest = None
+        for batch in rows:
+            us = batch["ts"].astype("datetime64[us]").astype("int64") if batch["ts"].dt.tz is None else batch["ts"].dt.tz_convert("UTC").dt.tz_localize(None).astype("datetime64[us]").astype("int64")
+            for t, id_, kind in zip(us.tolist(), batch["event_id"].tolist(), batch["event_type"].tolist(), strict=True):
+                self.held.updateValue((t, id_), (kind,))
+                earliest = t if earliest is None else min(earliest, t)
+        if earliest is not None:
+            self.handle.registerTimer(max(earliest // 1000, now) + 1)
+        yield _frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((k, v[0]) for k, v in self.held.iterator())
+        ready = [(k, kind) for k, kind in held if k[0] < now]
+        before = self.last.get() if self.last.exists() else None
+        out = []
+        for (us, id_), kind in ready:
+            if before is not None:
+                out.append((key[0], before[0], kind, (us - before[1]) / 8.64e10))
+            before = (kind, us)
+            self.held.removeKey((us, id_))
+        if before is not None:
+            self.last.update(before)
+        if len(held) > len(ready):
+            self.handle.registerTimer(max(held[len(ready)][0][0] // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
 def counts(pairs: DataFrame, points: list[float]) -> DataFrame:
     """(bucket, x, y, n) of a stream of transitions, for update or complete mode."""
     return with_bucket(pairs, points).groupBy("bucket", "x", "y").agg(F.count("*").alias("n"))
