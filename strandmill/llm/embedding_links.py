@@ -10,7 +10,7 @@ a forest of links do.  Equal vectors are one vector with a weight.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing and are their own
 component.  Vectors of different lengths do not link.  Repeated rows are different vectors with equal components.
-A null id takes part through its equals only, and is never a component's id unless all ids in it are null.
+A vector with a null id has links like any other, and null is never a component's id unless all ids in it are null.
 """
 
 from __future__ import annotations
@@ -255,9 +255,9 @@ def links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     tables = tables_for(cosine, recall)
     kind = "<f8" if embeddings.schema[vector_col].dataType.elementType.simpleString() == "double" else "<f4"
     rows = written(_valid(embeddings, id_col, vector_col, kind), "vectors")
-    distinct = rows.where("name is not null").groupBy("name", "vec").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"))
-    distinct = written(distinct.select("rep", "weight", "name", "vec"), "distinct-vectors")
-    known = distinct.where("rep is not null")
+    distinct = rows.where("name is not null").groupBy("name", "vec").agg(F.min("id").cast("long").alias("least"), F.count("*").alias("weight"))
+    # vectors are nodes by a number, as some have no id
+    known = written(distinct.select(F.monotonically_increasing_id().alias("rep"), "least", "weight", "name", "vec"), "distinct-vectors")
     # cells hold ids; vectors move only to the cells that several share
     cells = written(known.select("rep", "vec").mapInArrow(_bring_together(tables, kind), "key long, number int, rep long"), "cells")
     shared = written(joined(cells, written(cells.groupBy("key").count().where("count > 1").select("key"), "shared-keys"), "key"), "shared-cells")
@@ -267,7 +267,8 @@ def links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     found = written(placed.mapInArrow(_compare(tables, cosine, kind), "u long, v long, n long"), "links")
     near = found.where("v is null").groupBy("u").agg(F.sum("n").alias("near"))
     nodes = connected_components(found.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    own = known.select("name", "rep", "weight").join(near, F.col("rep") == F.col("u"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
-    own = own.select("name", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    own = known.select("name", "rep", "least", "weight").join(near, F.col("rep") == F.col("u"), "left").join(nodes, F.col("rep") == F.col("node"), "left")
+    own = written(own.select("name", "least", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group")), "nodes")
+    own = joined(own, own.groupBy("group").agg(F.min("least").alias("component")), "group").select("name", "n_links", "component")
     out = joined(rows.select("id", "name"), written(own, "labelled-vectors"), "name", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", F.col("id").cast("long")).alias("component"))
