@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm._bytes import ALPHANUMERIC, LOWER, chunks, ragged_range, scan_words, text_array, text_bytes, word_hashes
 
-SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+SAMPLE, SAMPLE_BYTES, LONG_SHARE = 2000, 32 << 20, 16
 LENGTH, STRIDE = 32, 24
 THRESHOLD = 0.7
 _BITS, _DIM, _HIDDEN, _ATTENTION = 15, 12, 8, 8
@@ -305,12 +305,14 @@ def _calibrate(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, size: int = SAMPLE_BYTES) -> pd.DataFrame:
     """At most `rows` labelled texts of each class, those with the smallest hash of their id; of several texts of one id
-    the first in order.  Texts, always whole, are taken in that order while they fit `size` bytes together."""
+    the first in order.  Texts, always whole, are taken in that order while they fit `size` bytes together; one that takes
+    more than the LONG_SHARE-th part of those by itself is passed over, so that it does not keep the others out."""
     chosen = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     some = [chosen.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = text.join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     # at most `rows` rows a class
+    found = found.where(F.octet_length("text") * LONG_SHARE <= size)
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
     return found.withColumn("size", before).where(F.col("size") <= size).select("id", "text", "label").toPandas().sort_values("id", kind="stable")
 

@@ -130,3 +130,23 @@ def test_without_both_labels(spark):
     ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "doc_id long, toxic int")
     assert [r.score for r in T.classify(docs, ones).collect()] == pytest.approx([1, 1], abs=1e-9)
     assert T.classify(docs.limit(0), none).count() == 0
+
+
+def test_links_of_null_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(32)
+    near = [(base + rng.standard_normal(32) * 0.02).astype(np.float32).tolist() for _ in range(3)]
+    far = rng.standard_normal((2, 32)).astype(np.float32).tolist()
+    rows = [(1, near[0]), (None, near[1]), (2, near[2]), (None, far[0]), (None, far[0]), (7, far[1]), (-5, far[1])]
+    kind = "vec_id long, embedding array<float>, rep long, least long, weight long, component long, name string, u long"
+    frame = spark.createDataFrame([(i, v, 9, 9, 9, 9, "n", 9) for i, v in rows], kind)
+    got = sorted(V.links(frame).collect(), key=str)
+    want = [(1, 2, 1), (None, 2, 1), (2, 2, 1), (None, 1, None), (None, 1, None), (7, 1, -5), (-5, 1, -5)]
+    assert sorted(((r.id, r.n_links, r.component) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_one_long_text_does_not_drop_its_class(spark):
+    docs = spark.createDataFrame([(k, "x" * (5000 if k == 3 else 50)) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    got = T.sample(docs, labels, "doc_id", "text", "toxic", 10, 4000)
+    assert sorted(got["id"]) == [k for k in range(12) if k != 3]
