@@ -9,26 +9,25 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.storage import written
 
-#: Rows of a range, about; ranges are a thousand at most.
-RANGE_ROWS, RANGES = 100_000, 1000
+#: Rows of a range, about.
+RANGE_ROWS = 100_000
 
 
 def with_before(rows: DataFrame, column: str, weight: str) -> DataFrame:
-    """Adds before: the sum of weight over the rows with a smaller value of column, which is no row's twice."""
-    parts = min(RANGES, max(1, rows.count() // RANGE_ROWS))
-    if parts == 1:
-        placed = rows.withColumn("__range", F.lit(0))
-    else:
-        ranges = rows.select(column).repartitionByRange(parts, column)
-        least = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(column).alias("low")).where("low is not null")
-        lows = F.array(*[F.lit(r.low) for r in least.orderBy("low").collect()])  # one value a range
-        placed = rows.withColumn("__range", F.size(F.filter(lows, lambda v: v <= F.col(column))))
-    sizes = placed.groupBy("__range").agg(F.sum(weight).alias("size"))
-    start = F.coalesce(F.sum("size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    starts = sizes.select("__range", start.alias("start"))
-    own = Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("own", F.coalesce(F.sum(weight).over(own), F.lit(0)))
-    return placed.join(F.broadcast(starts), "__range").withColumn("before", F.col("start") + F.col("own")).drop("__range", "start", "own")
+    """Adds before: the sum of weight, whole numbers, over the rows with a smaller value of column, which is no row's twice.
+
+    There are as many ranges as rows ask for; they are written, so that all that is read of them agrees, and a row for
+    each reaches the driver.
+    """
+    parts = -(-rows.count() // RANGE_ROWS)
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if parts <= 1:
+        return rows.withColumn("__range", F.lit(0)).withColumn("before", own.cast("long")).drop("__range")
+    placed = written(rows.repartitionByRange(parts, column).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted(placed.groupBy("__range").agg(F.sum(weight).cast("long").alias("size")).collect())
+    firsts = list(zip([k for k, _ in sizes], accumulate((n or 0 for _, n in sizes), initial=0)))
+    starts = rows.sparkSession.createDataFrame(firsts, "__range int, __start long")
+    return placed.join(F.broadcast(starts), "__range").withColumn("before", (F.col("__start") + own).cast("long")).drop("__range", "__start")
 
 
 def values_at(ordered: DataFrame, column: str, weight: str, places: list[float]) -> list[float]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="strandmill-")
 
 
+#: Bytes of a table that is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def few(df: DataFrame, row_bytes: int = 100) -> DataFrame:
+    """df, marked to be broadcast if it has been counted to be small enough; a larger one is shuffled, and Spark splits hot keys."""
+    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes else df
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder, in a directory for each value of `by` if it is given."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

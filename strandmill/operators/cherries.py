@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandmill.functions.grid import grid, initial_rate_weights, log_gamma_prior, site_rate_grid
 from strandmill.functions.markov import expm_many
 from strandmill.functions.ranks import with_position
-from strandmill.functions.storage import written
+from strandmill.functions.storage import few, written
 
 
 def _distances(codes: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def fast_cherries(msa: DataFrame, states: list[str], q: np.ndarray, points: list
     both = both.persist(StorageLevel.DISK_ONLY)  # edges and rates are read apart; a lost part is made again, with the same draws
     edges, found = both.drop("rates"), both.where("rates is not null").select("family", F.col("rates"))
     if any_large:
-        more, more_rates = _in_rounds(msa.join(F.broadcast(large.select("family", "width")), "family"), model, whole_set)
+        more, more_rates = _in_rounds(msa.join(few(large.select("family", "width")), "family"), model, whole_set)
         edges, found = edges.unionByName(more), found.unionByName(more_rates)
     return edges, found
 
@@ -258,21 +258,21 @@ def _divided(rows: DataFrame, model: _Model, whole_set: int, kind: str) -> list[
     """
     done: list[DataFrame] = []
     now = written(rows.withColumn("set", F.lit("")), "sets")
+    width = 100 + 2 * (now.agg(F.max(F.octet_length("codes"))).first()[0] or 0)
     for k in range(1 << 16):
         sizes = written(now.groupBy("family", "set").count(), "sizes")
         open_ = sizes.where(F.col("count") > whole_set).select("family", "set")
         if open_.isEmpty():
             return [*done, now]
         done.append(now.join(open_, ["family", "set"], "left_anti"))
-        # sets that are open are few: each has more than whole_set rows
-        now = now.join(F.broadcast(open_), ["family", "set"])
+        now = now.join(few(open_), ["family", "set"])
         draw = F.xxhash64("k", F.lit(model.seed), F.lit(k)).cast("double")
         ends = None
         for name in ("pivot", "x", "y"):
             if ends is None:
                 given = now.withColumns({"to": F.lit(None).cast("binary"), "draw": draw})
             else:
-                given = now.join(F.broadcast(ends.select("family", "set", F.col("codes").alias("to"))), ["family", "set"]).withColumn("draw", F.lit(0.0))
+                given = now.join(few(ends.select("family", "set", F.col("codes").alias("to")), width), ["family", "set"]).withColumn("draw", F.lit(0.0))
             found = written(_best(given.select("family", "set", "k", "codes", "to", "draw"), kind), name)
             x, ends = ends, found
         far = x.select("family", "set", F.col("codes").alias("x")).join(ends.select("family", "set", F.col("codes").alias("y"), F.col("k").alias("y_at"), F.col("d").alias("apart")), ["family", "set"])
@@ -285,12 +285,12 @@ def _divided(rows: DataFrame, model: _Model, whole_set: int, kind: str) -> list[
                 out[at] = _farther(own, first) - _farther(own, second)
             return pd.Series(out)
 
-        by = now.join(F.broadcast(far), ["family", "set"])
+        by = now.join(few(written(far, "far"), width), ["family", "set"])
         by = by.withColumn("lean", F.when(F.col("apart") == 0, F.pmod(F.xxhash64("k", F.lit(k)), F.lit(1 << 20)).cast("double")).otherwise(lean("codes", "x", "y")))
         by = written(by.select("family", "k", "codes", "set", "lean", "apart", "y_at"), "leaning")
         if k >= HALVED:
             middle = by.groupBy("family", "set").agg(F.percentile_approx("lean", 0.5, 1000).alias("middle"))
-            by = by.join(F.broadcast(middle), ["family", "set"]).withColumn("first", F.when(F.col("lean") == F.col("middle"), F.xxhash64("k", F.lit(k)) > 0).otherwise(F.col("lean") < F.col("middle")))
+            by = by.join(few(written(middle, "middles")), ["family", "set"]).withColumn("first", F.when(F.col("lean") == F.col("middle"), F.xxhash64("k", F.lit(k)) > 0).otherwise(F.col("lean") < F.col("middle")))
         else:
             by = by.withColumn("first", F.when(F.col("apart") == 0, F.col("lean") < (1 << 19)).otherwise((F.col("lean") <= 0) & (F.col("k") != F.col("y_at"))))
         now = written(by.select("family", "k", "codes", F.concat("set", F.when(F.col("first"), "0").otherwise("1")).alias("set")), "sets")
@@ -366,7 +366,7 @@ def _in_rounds(msa: DataFrame, model: _Model, whole_set: int) -> tuple[DataFrame
     pairs, odd = _paired(sets, model, kind)
     side = lambda c: own.select("family", F.col("k").alias(c), F.col("codes").alias(f"{c}_codes"))
     numbered = with_position(pairs, "family", "a")
-    numbered = numbered.join(F.broadcast(numbered.groupBy("family").agg(F.min("position").alias("first"))), "family")
+    numbered = numbered.join(few(numbered.groupBy("family").agg(F.min("position").alias("first"))), "family")
     numbered = numbered.withColumn("pair", F.col("position") - F.col("first")).drop("position", "first")
     both = written(numbered.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]), "pairs")
 
@@ -387,10 +387,10 @@ def _in_rounds(msa: DataFrame, model: _Model, whole_set: int) -> tuple[DataFrame
 
     n_states, n_rates, weights, prior = len(model.states), len(model.rates), model.weights, model.prior
     category = _summed(own.mapInPandas(counted, f"family {kind}, data binary"), kind, lambda t: initial_categories(t.reshape(n_states, -1), weights))
-    before = None
+    before, row_bytes = None, 100 + (category.agg(F.max(F.octet_length("category"))).first()[0] or 0)
     for _ in range(model.rounds + 1):
         used = category
-        given = both.select("family", "pair", "a_codes", "b_codes").join(F.broadcast(used), "family")  # a row a large family
+        given = both.select("family", "pair", "a_codes", "b_codes").join(few(used, row_bytes), "family")
         made = written(given.mapInPandas(passed, f"family {kind}, pair long, length int, data binary"), "lengths")
         lengths = made.where("pair >= 0").select("family", "pair", "length")
         now = lengths.agg(F.count("*"), F.sum(F.xxhash64("family", "pair", "length").cast("decimal(38,0)"))).first()
@@ -409,7 +409,7 @@ def _in_rounds(msa: DataFrame, model: _Model, whole_set: int) -> tuple[DataFrame
     rates = rates.withColumn("mean", F.when(F.size("r") == 0, 1.0).otherwise(F.aggregate("r", F.lit(0.0), lambda x, y: x + y) / size))
     rates = written(rates, "rates")
     half = F.element_at(grid_points, F.col("length") + 1) * F.col("mean") / 2
-    hung = lengths.join(both.select("family", "pair", "a", "b"), ["family", "pair"]).join(F.broadcast(rates.select("family", "mean")), "family")
+    hung = lengths.join(both.select("family", "pair", "a", "b"), ["family", "pair"]).join(few(rates.select("family", "mean")), "family")
     inner = F.concat(F.lit("internal-"), F.col("pair").cast("string"))
     ends = hung.select("family", inner.alias("parent"), F.posexplode(F.array("a", "b")).alias("child_ord", "k"), half.alias("length"))
     names = rows.select("family", "k", "seq_name")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.grid import bucket, log_gamma_prior, site_rate_grid
 from strandmill.functions.markov import expm_many, stationary_distribution
-from strandmill.functions.storage import written
+from strandmill.functions.storage import few, written
 from strandmill.operators import counts as C
 from strandmill.operators.cherries import encoded
 from strandmill.operators.fitting import learn_sites
@@ -119,15 +119,14 @@ def site_model_likelihood(transitions: DataFrame, models: DataFrame, states: lis
         return pd.DataFrame({"family": [known["family"].iloc[0]], "block": [int(known["block"].iloc[0])], "sites": [sites.astype(np.int64).tobytes()], "values": parts[0:1], "v": parts[1:2], "inverse": parts[2:3]})
 
     factored = written(blocked.groupBy("family", "block").applyInPandas(factor, f"family {family}, block int, sites binary, values binary, v binary, inverse binary"), "factors")
-    # families with more than `together` transitions are at most all transitions / together
     many = transitions.groupBy("family").count().where(F.col("count") > together).select("family", F.ceil(F.col("count") / together).cast("int").alias("shares"))
-    shares = F.coalesce("shares", F.lit(1))
-    dealt = transitions.join(F.broadcast(many), "family", "left").withColumn("share", F.pmod(F.xxhash64("tid", "t", "x_seq", "y_seq"), shares).cast("int"))
+    many, shares = few(written(many, "shares")), F.coalesce("shares", F.lit(1))
+    dealt = transitions.join(many, "family", "left").withColumn("share", F.pmod(F.xxhash64("tid", "t", "x_seq", "y_seq"), shares).cast("int"))
     last = F.floor((F.greatest(F.least(F.length("x_seq"), F.length("y_seq")), F.lit(1)) - 1) / SITES_TOGETHER).cast("int")
     part = lambda c: F.substring(c, F.col("block") * SITES_TOGETHER + 1, F.lit(SITES_TOGETHER)).alias(c)
     rows = dealt.select("family", "share", "tid", "t", "x_seq", "y_seq", F.explode(F.sequence(F.lit(0), last)).alias("block"))
     rows = rows.select("family", "share", "block", "tid", "t", part("x_seq"), part("y_seq"))
-    copied = factored.join(F.broadcast(many), "family", "left").select(F.col("family").alias("its"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "block", "sites", "values", "v", "inverse")
+    copied = factored.join(many, "family", "left").select(F.col("family").alias("its"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "block", "sites", "values", "v", "inverse")
 
     def run(seen: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if seen.empty or known.empty:

@@ -180,3 +180,15 @@ def test_cherries_in_rounds(spark):
         assert np.allclose(got, [grid()[k] * mean / 2 for k in lengths])
     close = {e.child: e.parent for e in edges if e.family == "close"}
     assert len(set(close.values())) == 61
+
+
+def test_places_by_ranges(spark, monkeypatch):
+    from strandmill.functions import ranks
+
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), (F.col("id") % 3).alias("n"))
+    got = ranks.with_before(rows, "v", "n").orderBy("v").collect()
+    assert [r.before for r in got] == [sum(x.n for x in got[:k]) for k in range(500)]
+    placed = ranks.with_position(rows.select("v"), "v").orderBy("v").collect()
+    assert [r.position for r in placed] == list(range(500))
+    assert ranks.with_before(rows.limit(0), "v", "n").count() == 0
