@@ -42,7 +42,7 @@ def test_sites_fitted_together_are_those_fitted_alone():
 def test_gradients_of_many_sites():
     rng = np.random.default_rng(2)
     times, counts = np.array([0.2, 1.0]), some_counts(rng, 3, 2)
-    model = E.ReversibleMatrices(np.stack([equal(), 2 * equal(), equal()]))
+    model = E.WeightedMatrices(np.stack([equal(), 2 * equal(), equal()]))
     model.theta = model.theta + rng.normal(size=model.theta.shape) * 0.3
 
     def loss():
