@@ -2,6 +2,7 @@
 
 from strandmill.operators.contacts import backbone_contacts, maximal_matching
 from strandmill.operators.counts import count_co_transitions, count_transitions
+from strandmill.operators.expectation import learn_by_expectation
 from strandmill.operators.fitting import learn_from_counts, learn_sites
 from strandmill.operators.rates import jtt_ipw
 from strandmill.plans.pipelines import (
@@ -14,7 +15,9 @@ from strandmill.plans.pipelines import (
     held_out_site_likelihood,
     learn_coevolution,
     learn_rate_matrix,
+    learn_rate_matrix_by_em,
     learn_site_specific,
+    named_matrix,
 )
 
 __all__ = [
@@ -30,9 +33,12 @@ __all__ = [
     "held_out_site_likelihood",
     "jtt_ipw",
     "learn_coevolution",
+    "learn_by_expectation",
     "learn_from_counts",
     "learn_rate_matrix",
+    "learn_rate_matrix_by_em",
     "learn_site_specific",
     "learn_sites",
     "maximal_matching",
+    "named_matrix",
 ]
