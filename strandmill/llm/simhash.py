@@ -149,32 +149,54 @@ def _prunes(bits: int, radius: int) -> bool:
     return radius < 4 * (bits / 2) ** 0.5
 
 
-def _forest(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect whatever is connected in one bucket: at most one per fingerprint, not all pairs."""
-    out, left = [], np.arange(len(rep))
+def _stars(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between rows a and b, the smallest name that each other row's links lead to, and that row's name."""
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    least, before = names[rows], None
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+    other = names[rows] != least
+    return least[other], names[rows][other]
+
+
+def _forest(names: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, radius: int, named: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect whatever is connected in one bucket: of each tree, those to its smallest name.
+
+    named: rows of one name are connected already.
+    """
+    out, left = [], np.arange(len(names))
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]
+        tree, met = [front[0]], set()
         while front and len(left):
             f = front.pop()
             hit = _near(fps, coordinates, left, f, radius)
+            if named and names[f] not in met:
+                met.add(names[f])
+                hit = np.union1d(hit, np.flatnonzero(names[left] == names[f]))
             if len(hit):
-                near = left[hit]
-                out.append((np.full(len(near), rep[f]), rep[near]))
+                near = left[hit].tolist()
                 left = np.delete(left, hit)
-                front.extend(near.tolist())
+                tree.extend(near)
+                front.extend(near)
+        found = np.unique(names[tree])
+        out.append((np.full(len(found) - 1, found[0]), found[1:]))
     return out
 
 
-def _small_buckets(rep: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, end: np.ndarray, longest: int, use: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets of up to _SMALL rows, a bucket's rows ending at `end`: all buckets at once."""
+def _small_buckets(names: np.ndarray, fps: np.ndarray, coordinates: np.ndarray | None, end: np.ndarray, longest: int, use: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links as of _forest() within buckets of up to _SMALL rows, a bucket's rows ending at `end`: all buckets at once."""
     row = np.flatnonzero(use)
-    a, b = [rep[:0]], [rep[:0]]
+    a, b = [row[:0]], [row[:0]]
     for step in range(1, longest):
         row = row[row + step < end[row]]
         near = row[_near(fps, coordinates, row, row + step, radius)]
-        a.append(rep[near])
-        b.append(rep[near + step])
-    return np.concatenate(a), np.concatenate(b)
+        a.append(near)
+        b.append(near + step)
+    return _stars(names, np.concatenate(a), np.concatenate(b))
 
 
 def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET, checked: int | None = None) -> DataFrame:
@@ -182,14 +204,33 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
     agrees in a view; rep is a whole number that names the fingerprint.
 
     checked: the radius holds for so many of the bits, and only those move to the buckets.
+
+    What a bucket connects is linked to its smallest rep, so that views which show the same give the same links.  The
+    parts of a bucket of over `bucket` rows are compared by themselves first.  Only a bucket whose rows are then still in more
+    than one component has its parts meet, and what is linked there are components: links grow with the rows, not with
+    the pairs of parts.
     """
     views = exact_views(bits, radius) if views is None else views
     checked = checked or bits
     table = nodes.select("rep", "fp").mapInArrow(_place(views, bits, checked), "key long, rep long, fp binary")
-    table = paired_blocks(table, "key", F.col("rep"), bucket)
-    order = ["key", "lo", "hi"]
-    table = table.select(*order, "rep", "fp").repartition(*order).sortWithinPartitions(*order)
     pivots = _pivots(checked) if _prunes(checked, radius) else None
+    sizes = written(table.groupBy("key").count().where(F.col("count") > bucket), "large-buckets")
+    if sizes.isEmpty():
+        return _compared(table.withColumns({"lo": F.lit(0), "hi": F.lit(0), "name": F.col("rep")}), pivots, radius, False)
+
+    part = F.pmod(F.xxhash64("rep"), F.coalesce(F.ceil(F.col("count") / bucket).cast("int"), F.lit(1))).cast("int")
+    parts = joined(table, sizes, "key", "left").withColumn("lo", part).withColumns({"hi": F.col("lo"), "name": F.col("rep")})
+    stars = written(connected_components(_compared(parts, pivots, radius, False)).select(F.col("component").alias("name"), F.col("node").alias("rep")), "parts-linked")
+    large = joined(joined(table, sizes, "key").drop("count"), stars, "rep", "left").withColumn("name", F.coalesce("name", "rep"))
+    mixed = written(large.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("key"), "buckets-apart")
+    apart = paired_blocks(written(joined(large, mixed, "key"), "parts-apart"), "key", F.col("rep"), bucket).where("lo < hi")
+    return stars.select(F.col("name").alias("a"), F.col("rep").alias("b")).where("a <> b").union(_compared(apart, pivots, radius, True)).distinct()
+
+
+def _compared(table: DataFrame, pivots: np.ndarray | None, radius: int, named: bool) -> DataFrame:
+    """(a, b): links between names from the buckets (key, lo, hi) of rows (rep, fp, name)."""
+    order = ["key", "lo", "hi"]
+    table = table.select(*order, "name", "fp").repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -212,12 +253,12 @@ def links(nodes: DataFrame, views: list[np.ndarray] | None = None, bits: int = B
                 kept, rows, fps, first = (rows[:, end:], fps[end:]), rows[:, :end], fps[:end], first[:-1]
                 if not rows.shape[1]:
                     continue
-            rep = rows[3]
-            size = np.diff(np.append(first, len(rep)))
+            names = rows[3]
+            size = np.diff(np.append(first, len(names)))
             coordinates = None if pivots is None else _distances(fps, pivots)
-            out = [_small_buckets(rep, fps, coordinates, np.repeat(first + size, size), int(size[size <= _SMALL].max(initial=0)), np.repeat(size, size) <= _SMALL, radius)]
+            out = [_small_buckets(names, fps, coordinates, np.repeat(first + size, size), int(size[size <= _SMALL].max(initial=0)), np.repeat(size, size) <= _SMALL, radius)]
             for s, n in zip(first[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-                out.extend(_forest(rep[s : s + n], fps[s : s + n], None if coordinates is None else coordinates[s : s + n], radius))
+                out.extend(_forest(names[s : s + n], fps[s : s + n], None if coordinates is None else coordinates[s : s + n], radius, named))
             a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
