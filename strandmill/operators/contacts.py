@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,98 @@ def maximal_matching(contacts: DataFrame, distance: int, whole: int = WHOLE_CONT
     return found
 
 
+#: Sites of a family that are matched as one group.
+WHOLE_SITES = 1 << 16
+#: Sites of a family up to which its cells are slabs, which see fewer others and wait less for each other.
+SLAB_SITES = 1 << 20
+
+
+def matching_of_points(atoms: DataFrame, cutoff: float, distance: int, whole: int = WHOLE_SITES) -> DataFrame:
+    """maximal_matching() of distance_contacts() of residues (family, site, x, y, z), without making the contacts, which
+    are as many as pairs of points in dense families.
+
+    A site that is free takes the first free site after it in reach.  A family of up to `whole` sites is one group.  Of larger ones
+    each cell (slabs of four times the cutoff's width along one axis up to SLAB_SITES, else cubes of its width) goes through its own sites in order, and sees those of the cells around it and who
+    there had taken what in the round before.  What the first n sites take is right after n rounds at most and then
+    stays, so once a round changes nothing, the result is that of one scan; as a cell goes through all of its sites at
+    once, only what waits for other cells takes rounds.
+    """
+    points = atoms.select("family", "site", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
+    if not points.groupBy("family", "site").count().where("count > 1").isEmpty():  # a site at several points
+        return maximal_matching(distance_contacts(points, cutoff), distance)
+    family, site = (points.schema[c].dataType.simpleString() for c in ("family", "site"))
+    kind = f"family {family}, i {site}, j {site}"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("site")
+        i, j = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), np.arange(len(group)), None, cutoff, distance)
+        return pd.DataFrame({"family": group["family"].iloc[0], "i": i, "j": j})
+
+    open_, large = families_by_size(points, whole)
+    found = open_.groupBy("family").applyInPandas(run, kind)
+    if large is None:
+        return found
+
+    most = large.groupBy("family").count().agg(F.max("count")).first()[0]
+    axes, width = ("x", 4 * cutoff) if most <= SLAB_SITES else ("xyz", cutoff)
+    cell = [f"c{k}" for k in axes]
+    name = F.concat_ws(" ", *cell)
+    at = large.withColumns({c: F.floor(F.col(k) / width) for c, k in zip(cell, axes, strict=True)}).withColumn("home", name)
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for c in cell:
+        at = at.withColumn("d", F.explode(steps)).withColumn(c, F.col(c) + F.col("d")).drop("d")
+    homes = large.select("family", "site", F.concat_ws(" ", *[F.floor(F.col(k) / width) for k in axes]).alias("home"))
+    # cells without own sites have nothing to take
+    around = at.select("family", name.alias("cell"), "home", "site", "x", "y", "z").join(homes.select("family", F.col("home").alias("cell")).distinct(), ["family", "cell"], "left_semi")
+    around = written(around, "cells")
+
+    def turn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("site")
+        own = (group["home"] == group["cell"]).to_numpy()
+        i, j = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), np.flatnonzero(own), group["by"].to_numpy(float, na_value=np.inf), cutoff, distance)
+        return pd.DataFrame({"family": group["family"].iloc[0], "cell": group["cell"].iloc[0], "i": i, "j": j})
+
+    taken = None
+    while True:
+        if taken is None:
+            seen = around.withColumn("by", F.lit(None).cast(site))
+        else:  # the first that took a site from another cell
+            takers = taken.groupBy("family", F.col("j").alias("site")).agg(F.collect_list(F.struct("i", "cell")).alias("takers"))
+            others = F.filter("takers", lambda t: t["cell"] != F.col("cell"))
+            seen = around.join(takers, ["family", "site"], "left").withColumn("by", F.array_min(F.transform(others, lambda t: t["i"]))).drop("takers")
+        now = written(seen.groupBy("family", "cell").applyInPandas(turn, f"family {family}, cell string, i {site}, j {site}"), "taken")
+        same = taken is not None and now.count() == taken.count() and now.join(taken, ["family", "i", "j"], "left_anti").isEmpty()
+        taken = now
+        if same:
+            return found.unionByName(taken.select("family", "i", "j"))
+
+
+def _taken(site: np.ndarray, points: np.ndarray, own: np.ndarray, by: np.ndarray | None, cutoff: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """What own sites take, in order; by: the first site elsewhere that takes each one, infinite where none does.
+
+    site is in ascending order; own holds places in it.
+    """
+    free = np.ones(len(site), bool)
+    by = np.full(len(site), np.inf) if by is None else by
+    i, j = [], []
+    for k in own.tolist():
+        if not free[k] or by[k] < site[k]:
+            continue
+        a, step = max(k + 1, int(np.searchsorted(site, site[k] + max(distance, 1)))), 64
+        while a < len(site):
+            b = a + step
+            square = ((points[a:b] - points[k]) ** 2).sum(axis=1)
+            hit = np.flatnonzero(free[a:b] & (by[a:b] > site[k]) & (np.sqrt(square) < cutoff))
+            if len(hit):
+                other = a + int(hit[0])
+                free[k] = free[other] = False
+                i.append(site[k])
+                j.append(site[other])
+                break
+            a, step = b, min(4 * step, 1 << 16)
+    return np.array(i, site.dtype), np.array(j, site.dtype)
+
+
 def _ends(contacts: DataFrame) -> DataFrame:
     """(family, site, i, j): each contact at both of its sites."""
     return contacts.select("family", F.explode(F.array("i", "j")).alias("site"), "i", "j")

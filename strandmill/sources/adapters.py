@@ -77,11 +77,20 @@ def heap_edges(msa: DataFrame) -> DataFrame:
     return child.join(parent, ["family", "rn"]).select("family", "parent", "child", "child_ord", length.alias("length"))
 
 
-def embedding_contacts(spark: SparkSession, sf_dir: str, cutoff: float = 0.1) -> DataFrame:
-    """(family, i, j): vectors of a label, as residues by id, whose first three components are closer than cutoff."""
+#: Distance of vectors that are in contact.
+CONTACT = 0.1
+
+
+def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, site, x, y, z): vectors of a label, as residues by id, at their first three components."""
     emb = table(spark, sf_dir, "embeddings").where("label is not null and size(embedding) > 2")
     axis = {c: F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")}
-    return distance_contacts(emb.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("site"), *axis.values()), cutoff)
+    return emb.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("site"), *axis.values())
+
+
+def embedding_contacts(spark: SparkSession, sf_dir: str, cutoff: float = CONTACT) -> DataFrame:
+    """(family, i, j): vectors of a label, as residues by id, whose first three components are closer than cutoff."""
+    return distance_contacts(embedding_points(spark, sf_dir), cutoff)
 
 
 def pattern_contacts(spark: SparkSession, sites: int = 64) -> DataFrame:

@@ -141,6 +141,28 @@ def test_matching_in_rounds(spark):
         assert sorted(map(tuple, maximal_matching(contacts, 7, whole).collect())) == want
 
 
+def test_matching_of_points_makes_no_contacts(spark, monkeypatch):
+    """Points, dense and far apart, as one group or by cells: what one scan of all contacts takes, without making them."""
+    from strandmill.operators import contacts as K
+
+    rng = np.random.default_rng(8)
+    rows = [(f, int(k), *map(float, rng.normal(0, spread, 3))) for f, spread, n in (("dense", 0.1, 150), ("wide", 1.0, 150), ("one", 1.0, 1)) for k in rng.permutation(n)]
+    rows += [("dense", 500, None, 0.0, 0.0), ("dense", None, 0.0, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "family string, site long, x double, y double, z double")
+    want = []
+    for family in ("dense", "wide"):
+        own = sorted((r[1], r[2:]) for r in rows if r[0] == family and None not in r)
+        near = [(a, b) for n, (a, p) in enumerate(own) for b, q in own[n + 1 :] if np.sqrt(((np.array(p) - np.array(q)) ** 2).sum()) < 0.3]
+        want += [(family, i, j) for i, j in plain_matching(near, 7)]
+    twice = [*rows[:150], ("dense", 3, 9.0, 9.0, 9.0)]  # a site at two points is in contact by either
+    assert sorted(map(tuple, K.matching_of_points(spark.createDataFrame(twice, atoms.schema), 0.3, 7).collect())) == sorted(w for w in want if w[0] == "dense")
+    monkeypatch.setattr(K, "distance_contacts", None)
+    assert sorted(map(tuple, K.matching_of_points(atoms, 0.3, 7).collect())) == want
+    assert sorted(map(tuple, K.matching_of_points(atoms, 0.3, 7, whole=8).collect())) == want
+    monkeypatch.setattr(K, "SLAB_SITES", 8)
+    assert sorted(map(tuple, K.matching_of_points(atoms, 0.3, 7, whole=8).collect())) == want
+
+
 def test_cherries_in_rounds(spark):
     rng = np.random.default_rng(6)
     base = rng.choice(NT, 40)
