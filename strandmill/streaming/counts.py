@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strandmill.operators.counts import with_bucket
 
 _OUT = "family long, x string, y string, t double"
 _STATE = "state string, us long, id long"
+_HELD = "last_us binary, last_kind array<string>, last_user binary, held_us binary, held_id binary, held_kind array<string>, held_user binary"
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,63 +39,53 @@ def transitions(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _numbers(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", np.int64)
+
+
+def _released(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Transitions of a bucket's users between events that the watermark has passed; the others are held."""
+    now = state.getCurrentWatermarkMs()
+    last_us, last_kind, last_user, held_us, held_id, held_kind, held_user = state.get if state.exists else (None, [], None, None, None, [], None)
+    rows = list(batches)
+    user, us, ids = (np.concatenate([_numbers(old), *(r[c].to_numpy(np.int64) for r in rows)]) for old, c in ((held_user, "user"), (held_us, "us"), (held_id, "event_id")))
+    kind = np.concatenate([np.array(held_kind, object), *(r["event_type"].to_numpy(object) for r in rows)])
+    order = np.lexsort((ids, us, user))
+    user, us, ids, kind = user[order], us[order], ids[order], kind[order]
+    ready = us < now * 1000
+    # a user's last event taken before, then those ready in order
+    by, at, x = np.concatenate([_numbers(last_user), user[ready]]), np.concatenate([_numbers(last_us), us[ready]]), np.concatenate([np.array(last_kind, object), kind[ready]])
+    order = np.argsort(by, kind="stable")
+    by, at, x = by[order], at[order], x[order]
+    same = by[1:] == by[:-1]
+    if same.any():
+        yield pd.DataFrame({"family": None if key[1] else by[1:][same], "x": x[:-1][same], "y": x[1:][same], "t": np.diff(at)[same] / 8.64e10})
+    end, open_ = np.ones(len(by), bool), ~ready
+    end[:-1] = ~same
+    state.update((at[end].tobytes(), x[end].tolist(), by[end].tobytes(), us[open_].tobytes(), ids[open_].tobytes(), kind[open_].tolist(), user[open_].tobytes()))
+    if open_.any():
+        state.setTimeoutTimestamp(max(int(us[open_].min()) // 1000, now) + 1)
+
+
+#: Groups of users that share a state.
+BUCKETS = 1 << 14
+
+
 def late_transitions(events: DataFrame, delay: str) -> DataFrame:
     """(family, x, y, t) of a stream of events (event_id, ts, user_id, event_type) that come in any order within `delay`.
 
     A user's events are held until the watermark has passed them, then taken in order of time and id; the state is those
-    and the last one taken.  Events later than the watermark are dropped, as everywhere in Spark.  A timer at the
-    earliest held event's time releases them, so a user who sends nothing more is not forgotten.  Spark keeps such state in
-    RocksDB only, so the session is set to that.
+    and the last one taken.  Users share a state by a hash, as calls of Python and of a state store cost much more than
+    events: they are BUCKETS at most in a batch, and a state goes to Python and back with its users' rows.  Events
+    later than the watermark are dropped, as everywhere in Spark, and so are those without a time.  A timeout at the
+    earliest held event's time releases them, so users who send nothing more are not forgotten.  States together may
+    be larger than memory, so the session is set to keep them in RocksDB.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("user_id").transformWithStateInPandas(_Held(), _OUT, "append", "EventTime")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    kinds = {"family": "int64", "x": object, "y": object, "t": "float64"}
-    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kind) for k, (c, kind) in enumerate(kinds.items())})
-
-
-class _Held(StatefulProcessor):
-    """Events of a user by time and id until the watermark passes them."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", "us long, event_id long", "event_type string")
-        self.last = handle.getValueState("last", "event_type string, us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        earliest = None
-        for batch in rows:
-            us = batch["ts"].astype("datetime64[us]").astype("int64") if batch["ts"].dt.tz is None else batch["ts"].dt.tz_convert("UTC").dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-            for t, id_, kind in zip(us.tolist(), batch["event_id"].tolist(), batch["event_type"].tolist(), strict=True):
-                self.held.updateValue((t, id_), (kind,))
-                earliest = t if earliest is None else min(earliest, t)
-        if earliest is not None:
-            self.handle.registerTimer(max(earliest // 1000, now) + 1)
-        yield _frame([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((k, v[0]) for k, v in self.held.iterator())
-        ready = [(k, kind) for k, kind in held if k[0] < now]
-        before = self.last.get() if self.last.exists() else None
-        out = []
-        for (us, id_), kind in ready:
-            if before is not None:
-                out.append((key[0], before[0], kind, (us - before[1]) / 8.64e10))
-            before = (kind, us)
-            self.held.removeKey((us, id_))
-        if before is not None:
-            self.last.update(before)
-        if len(held) > len(ready):
-            self.handle.registerTimer(max(held[len(ready)][0][0] // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield _frame(out)
-
-    def close(self) -> None:
-        pass
+    rows = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).where("ts is not null").withWatermark("ts", delay)
+    number = lambda c, none: F.coalesce(F.col(c).cast("long"), F.lit(none))
+    rows = rows.select("ts", "event_type", F.unix_micros("ts").alias("us"), number("event_id", -1 << 63).alias("event_id"), number("user_id", 0).alias("user"), F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket"), F.col("user_id").isNull().alias("nobody"))
+    return rows.groupBy("bucket", "nobody").applyInPandasWithState(_released, _OUT, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(pairs: DataFrame, points: list[float]) -> DataFrame:
