@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandmill.functions.grid import grid, initial_rate_weights, log_gamma_prior, site_rate_grid
 from strandmill.functions.markov import expm_many
 from strandmill.functions.ranks import with_position
-from strandmill.functions.storage import few, written
+from strandmill.functions.storage import BROADCAST_BYTES, few, written
 
 
 def _distances(codes: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -161,6 +161,8 @@ class _Model:
 
 #: Rows of a set of sequences, and sites of a family in all, that are a group.
 WHOLE_SET, WHOLE_SITES = 1 << 14, 1 << 24
+#: Rows of small sets, about, that are paired as one group.
+GROUP_ROWS = 1 << 12
 #: From this round on sets are halved whatever their shape.
 HALVED = 24
 
@@ -220,33 +222,39 @@ def fast_cherries(msa: DataFrame, states: list[str], q: np.ndarray, points: list
     return edges, found
 
 
-def _farther(codes: list[bytes], to: list[bytes]) -> np.ndarray:
-    """_distances() of rows, each to its own."""
-    a, b = (np.frombuffer(b"".join(x), np.int8).reshape(len(codes), -1) for x in (codes, to))
-    both = (a >= 0) & (b >= 0)
-    return ((a != b) & both).sum(axis=1) / np.maximum(both.sum(axis=1), 1)
+#: Bytes of sequences that are compared at once.
+COMPARED_BYTES = 1 << 24
+
+
+def _apart(codes: pd.Series, to: pd.Series) -> np.ndarray:
+    """_distances() of rows, each to its own, whatever their families: all rows of a length at once."""
+    out = np.empty(len(codes))
+    for width, at in codes.groupby(codes.str.len().to_numpy(), sort=False).indices.items():
+        for rows in np.array_split(at, -(-len(at) * int(width) // COMPARED_BYTES) or 1):
+            a, b = (np.frombuffer(b"".join(x.iloc[rows]), np.int8).reshape(len(rows), -1) for x in (codes, to))
+            both = (a >= 0) & (b >= 0)
+            out[rows] = ((a != b) & both).sum(axis=1) / np.maximum(both.sum(axis=1), 1)
+    return out
 
 
 def _best(rows: DataFrame, kind: str) -> DataFrame:
-    """(family, set, k, codes, d) of the row with the largest d, the smallest k of equals, of each set.
+    """(family, set, k, codes, d, to, n) of the row with the largest d, the smallest k of equals, of each set of n rows.
 
-    rows: (family, set, k, codes, to or null); d is the distance to `to`, or a hash of k.  Each batch sends its best only.
+    rows: (family, set, k, codes, to or null, draw); d is the distance to `to`, or the draw.  Each batch sends its best only.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            d = np.empty(len(batch))
-            for _, at in batch.groupby(["family", "set"], sort=False).indices.items():  # rows of a family are alike in length
-                part = batch.iloc[at]
-                d[at] = _farther(part["codes"].tolist(), part["to"].tolist()) if part["to"].notna().all() else part["draw"]
-            batch = batch.assign(d=d).sort_values(["d", "k"], ascending=[False, True], kind="stable")
-            yield batch.drop_duplicates(["family", "set"])[["family", "set", "k", "codes", "d"]]
+            d = batch["draw"] if batch["to"].isna().all() else _apart(batch["codes"], batch["to"])
+            n = batch.groupby(["family", "set"], sort=False)["k"].transform("size")
+            batch = batch.assign(d=d, n=n).sort_values(["d", "k"], ascending=[False, True], kind="stable")
+            yield batch.drop_duplicates(["family", "set"])[["family", "set", "k", "codes", "d", "to", "n"]]
 
-    some = rows.mapInPandas(run, f"family {kind}, set string, k long, codes binary, d double")
-    best = F.max(F.struct("d", (-F.col("k")).alias("o"), "codes"))
-    return some.groupBy("family", "set").agg(best.alias("b")).select("family", "set", (-F.col("b.o")).alias("k"), "b.codes", "b.d")
+    some = rows.select("family", "set", "k", "codes", "to", "draw").mapInPandas(run, f"family {kind}, set string, k long, codes binary, d double, to binary, n long")
+    best = F.max(F.struct("d", (-F.col("k")).alias("o"), "codes", "to"))
+    return some.groupBy("family", "set").agg(best.alias("b"), F.sum("n").alias("n")).select("family", "set", (-F.col("b.o")).alias("k"), "b.codes", "b.d", "b.to", "n")
 
 
 def _divided(rows: DataFrame, model: _Model, whole_set: int, kind: str) -> list[DataFrame]:
@@ -254,43 +262,36 @@ def _divided(rows: DataFrame, model: _Model, whole_set: int, kind: str) -> list[
 
     A set's name is its way through the divisions, 0 for nearer to the first of its two far rows.  Rows that do not differ
     are halved by a hash, and so is, at the middle of what divides it, any set from round HALVED on, as outliers may peel off one at
-    a time.
+    a time.  A round writes two tables: sets with their sizes and a row drawn from each, and the rows with their new
+    sets, for which the far rows are found on the way.
     """
     done: list[DataFrame] = []
     now = written(rows.withColumn("set", F.lit("")), "sets")
-    width = 100 + 2 * (now.agg(F.max(F.octet_length("codes"))).first()[0] or 0)
+    width = 100 + 3 * (now.agg(F.max(F.octet_length("codes"))).first()[0] or 0)
+
+    @F.pandas_udf("double")
+    def lean(codes: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_apart(codes, x) - _apart(codes, y))
+
     for k in range(1 << 16):
-        sizes = written(now.groupBy("family", "set").count(), "sizes")
-        open_ = sizes.where(F.col("count") > whole_set).select("family", "set")
-        if open_.isEmpty():
-            return [*done, now]
-        done.append(now.join(open_, ["family", "set"], "left_anti"))
-        now = now.join(few(open_), ["family", "set"])
         draw = F.xxhash64("k", F.lit(model.seed), F.lit(k)).cast("double")
-        ends = None
-        for name in ("pivot", "x", "y"):
-            if ends is None:
-                given = now.withColumns({"to": F.lit(None).cast("binary"), "draw": draw})
-            else:
-                given = now.join(few(ends.select("family", "set", F.col("codes").alias("to")), width), ["family", "set"]).withColumn("draw", F.lit(0.0))
-            found = written(_best(given.select("family", "set", "k", "codes", "to", "draw"), kind), name)
-            x, ends = ends, found
-        far = x.select("family", "set", F.col("codes").alias("x")).join(ends.select("family", "set", F.col("codes").alias("y"), F.col("k").alias("y_at"), F.col("d").alias("apart")), ["family", "set"])
-
-        @F.pandas_udf("double")
-        def lean(codes: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-            out = np.empty(len(codes))
-            for _, at in codes.groupby(codes.str.len(), sort=False).indices.items():
-                own, first, second = (c.iloc[at].tolist() for c in (codes, x, y))
-                out[at] = _farther(own, first) - _farther(own, second)
-            return pd.Series(out)
-
-        by = now.join(few(written(far, "far"), width), ["family", "set"])
+        drawn = written(_best(now.withColumns({"to": F.lit(None).cast("binary"), "draw": draw}), kind), "drawn")
+        open_ = drawn.where(F.col("n") > whole_set)
+        size = open_.count()
+        if not size:
+            return [*done, now]
+        mark = F.broadcast if size * width <= BROADCAST_BYTES else lambda df: df  # as few(); all that follows has a row a set
+        done.append(now.join(mark(open_.select("family", "set")), ["family", "set"], "left_anti"))
+        given = lambda ends: now.join(mark(ends.select("family", "set", F.col("codes").alias("to"))), ["family", "set"]).withColumn("draw", F.lit(0.0))  # noqa: B023, E731
+        far = _best(given(_best(given(open_), kind)), kind)  # y, and x as what it is far from
+        far = far.select("family", "set", F.col("to").alias("x"), F.col("codes").alias("y"), F.col("k").alias("y_at"), F.col("d").alias("apart"))
+        by = now.join(mark(far), ["family", "set"])
         by = by.withColumn("lean", F.when(F.col("apart") == 0, F.pmod(F.xxhash64("k", F.lit(k)), F.lit(1 << 20)).cast("double")).otherwise(lean("codes", "x", "y")))
-        by = written(by.select("family", "k", "codes", "set", "lean", "apart", "y_at"), "leaning")
+        by = by.select("family", "k", "codes", "set", "lean", "apart", "y_at")
         if k >= HALVED:
+            by = written(by, "leaning")
             middle = by.groupBy("family", "set").agg(F.percentile_approx("lean", 0.5, 1000).alias("middle"))
-            by = by.join(few(written(middle, "middles")), ["family", "set"]).withColumn("first", F.when(F.col("lean") == F.col("middle"), F.xxhash64("k", F.lit(k)) > 0).otherwise(F.col("lean") < F.col("middle")))
+            by = by.join(mark(middle), ["family", "set"]).withColumn("first", F.when(F.col("lean") == F.col("middle"), F.xxhash64("k", F.lit(k)) > 0).otherwise(F.col("lean") < F.col("middle")))
         else:
             by = by.withColumn("first", F.when(F.col("apart") == 0, F.col("lean") < (1 << 19)).otherwise((F.col("lean") <= 0) & (F.col("k") != F.col("y_at"))))
         now = written(by.select("family", "k", "codes", F.concat("set", F.when(F.col("first"), "0").otherwise("1")).alias("set")), "sets")
@@ -298,21 +299,28 @@ def _divided(rows: DataFrame, model: _Model, whole_set: int, kind: str) -> list[
 
 
 def _paired(sets: DataFrame, model: _Model, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(family, a, b) by k, and (family, k) of what is left over in a family."""
+    """(family, a, b) by k, and (family, k) of what is left over in a family.
+
+    Small sets share a group, so that groups and their cost follow rows and not sets.
+    """
     seed = model.seed
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        family, name, k = group["family"].iloc[0], group["set"].iloc[0], group["k"].to_numpy()
-        codes = np.frombuffer(b"".join(group["codes"].tolist()), np.int8).reshape(len(group), -1)
-        pairs, odd = pair_sequences(codes, np.random.default_rng([seed, zlib.crc32(f"{family}/{name}".encode())]))
-        rows = [(k[i], k[j]) for i, j in pairs] + ([(k[odd], None)] if odd is not None else [])
-        out = pd.DataFrame(rows, columns=["a", "b"]).astype("Int64")
-        out.insert(0, "family", family)
-        out.insert(1, "set", name)
-        return out
-
-    found = written(sets.groupBy("family", "set").applyInPandas(run, f"family {kind}, set string, a long, b long"), "pairs")
+        group = group.sort_values(["family", "set", "k"], kind="stable")
+        k, codes = group["k"].to_numpy(), group["codes"].to_numpy()
+        families, names, firsts, seconds = [], [], [], []
+        for (family, name), at in group.groupby(["family", "set"], sort=False).indices.items():
+            own = np.frombuffer(b"".join(codes[at]), np.int8).reshape(len(at), -1)
+            pairs, odd = pair_sequences(own, np.random.default_rng([seed, zlib.crc32(f"{family}/{name}".encode())]))
+            firsts += [k[at[i]] for i, _ in pairs] + ([] if odd is None else [k[at[odd]]])
+            seconds += [k[at[j]] for _, j in pairs] + ([] if odd is None else [None])
+            families += [family] * (len(firsts) - len(families))
+            names += [name] * (len(firsts) - len(names))
+        return pd.DataFrame({"family": families, "set": names, "a": pd.array(firsts, "Int64"), "b": pd.array(seconds, "Int64")})
+
+    parts = -(-sets.count() // GROUP_ROWS) or 1
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("family", "set"), F.lit(parts))).repartition(parts, "part")
+    found = written(dealt.groupBy("part").applyInPandas(run, f"family {kind}, set string, a long, b long"), "pairs")
 
     def up(group: pd.DataFrame) -> pd.DataFrame:
         """Leftovers of a family's sets, one of each at most, meet where their ways part."""
@@ -376,35 +384,45 @@ def _in_rounds(msa: DataFrame, model: _Model, whole_set: int) -> tuple[DataFrame
                 c = np.frombuffer(b"".join(part["codes"].tolist()), np.int8).reshape(len(part), -1)
                 yield pd.DataFrame({"family": [family], "data": [state_counts(c, len(shared.value.states)).astype(float).tobytes()]})
 
-    def passed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """With the best lengths, which are made again where they are wanted: a table a family and batch is all that moves."""
+        m = shared.value
+        for batch in batches:
+            for family, part in batch.groupby("family", sort=False):
+                a, b = (np.frombuffer(b"".join(part[c].tolist()), np.int8).reshape(len(part), -1) for c in ("a_codes", "b_codes"))
+                table = lengths_and_sums(a, b, m.logs, np.frombuffer(part["category"].iloc[0], np.int64))[1]
+                yield pd.DataFrame({"family": [family], "data": [table.tobytes()]})
+
+    def measured(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
             for family, part in batch.groupby("family", sort=False):
                 a, b = (np.frombuffer(b"".join(part[c].tolist()), np.int8).reshape(len(part), -1) for c in ("a_codes", "b_codes"))
-                lengths, table = lengths_and_sums(a, b, m.logs, np.frombuffer(part["category"].iloc[0], np.int64))
-                yield pd.DataFrame({"family": family, "pair": part["pair"].to_numpy(), "length": lengths.astype(np.int32), "data": None})
-                yield pd.DataFrame({"family": [family], "pair": [-1], "length": [0], "data": [table.tobytes()]})
+                lengths = best_lengths(a, b, m.logs, np.frombuffer(part["category"].iloc[0], np.int64))
+                yield pd.DataFrame({"family": family, "pair": part["pair"].to_numpy(), "length": lengths.astype(np.int32)})
 
     n_states, n_rates, weights, prior = len(model.states), len(model.rates), model.weights, model.prior
     category = _summed(own.mapInPandas(counted, f"family {kind}, data binary"), kind, lambda t: initial_categories(t.reshape(n_states, -1), weights))
-    before, row_bytes = None, 100 + (category.agg(F.max(F.octet_length("category"))).first()[0] or 0)
-    for _ in range(model.rounds + 1):
-        used = category
-        given = both.select("family", "pair", "a_codes", "b_codes").join(few(used, row_bytes), "family")
-        made = written(given.mapInPandas(passed, f"family {kind}, pair long, length int, data binary"), "lengths")
-        lengths = made.where("pair >= 0").select("family", "pair", "length")
-        now = lengths.agg(F.count("*"), F.sum(F.xxhash64("family", "pair", "length").cast("decimal(38,0)"))).first()
+    sites, row_bytes = category.select("family", (F.octet_length("category") / 8).cast("int").alias("n_sites")), 100 + (category.agg(F.max(F.octet_length("category"))).first()[0] or 0)
+    given = lambda: both.select("family", "pair", "a_codes", "b_codes").join(few(category, row_bytes), "family")
+    digest = lambda: category.agg(F.count("*"), F.sum(F.xxhash64("family", "category").cast("decimal(38,0)"))).first()
+    before = digest()
+    for _ in range(model.rounds):  # until rates stay, and lengths with them
+        category = _summed(given().mapInPandas(tables, f"family {kind}, data binary"), kind, lambda t: best_rates(t.reshape(-1, n_rates), prior))
+        now = digest()
         if now == before:
             break
         before = now
-        category = _summed(made.where("pair < 0").select("family", "data"), kind, lambda t: best_rates(t.reshape(-1, n_rates), prior))
+    lengths = written(given().mapInPandas(measured, f"family {kind}, pair long, length int"), "lengths")
     grid_points, rate_values = F.array(*[F.lit(float(p)) for p in model.points]), model.rates
 
     @F.pandas_udf("array<double>")
     def rate_arrays(data: pd.Series) -> pd.Series:
         return pd.Series([rate_values[np.frombuffer(x, np.int64)] for x in data])
 
-    rates = used.select("family", rate_arrays("category").alias("r"))
+    # a family of one sequence has no pairs that tell of rates
+    rates = sites.join(few(category, row_bytes).withColumn("r", rate_arrays("category")), "family", "left")
+    rates = rates.select("family", F.coalesce("r", F.array_repeat(F.lit(1.0), F.col("n_sites"))).alias("r"))
     size = F.greatest(F.size("r"), F.lit(1))
     rates = rates.withColumn("mean", F.when(F.size("r") == 0, 1.0).otherwise(F.aggregate("r", F.lit(0.0), lambda x, y: x + y) / size))
     rates = written(rates, "rates")
