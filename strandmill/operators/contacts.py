@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions.storage import written
+from strandmill.functions.storage import shared_folder, written
 from strandmill.operators.trees import families_by_size
 
 
@@ -82,94 +83,115 @@ def maximal_matching(contacts: DataFrame, distance: int, whole: int = WHOLE_CONT
 
 #: Sites of a family that are matched as one group.
 WHOLE_SITES = 1 << 16
-#: Sites of a family up to which its cells are slabs, which see fewer others and wait less for each other.
-SLAB_SITES = 1 << 20
+#: Sites, about, by which a larger family goes on in a round: a slab of its order.
+SLAB_SITES = 1 << 16
+#: Width of a cell in cutoffs; what is over 1 is more than rounding takes.
+CELL = 1.01
 
 
 def matching_of_points(atoms: DataFrame, cutoff: float, distance: int, whole: int = WHOLE_SITES) -> DataFrame:
     """maximal_matching() of distance_contacts() of residues (family, site, x, y, z), without making the contacts, which
     are as many as pairs of points in dense families.
 
-    A site that is free takes the first free site after it in reach.  A family of up to `whole` sites is one group.  Of larger ones
-    each cell (slabs of four times the cutoff's width along one axis up to SLAB_SITES, else cubes of its width) goes through its own sites in order, and sees those of the cells around it and who
-    there had taken what in the round before.  What the first n sites take is right after n rounds at most and then
-    stays, so once a round changes nothing, the result is that of one scan; as a cell goes through all of its sites at
-    once, only what waits for other cells takes rounds.
+    In order of (i, j), a site's first contact is that with its smallest partner, whether that comes before or after it.
+    Order by (j, i) says the same of every site, so both take the same contacts: a site takes the smallest one before it
+    that is in reach and still free, or is free itself.  Free sites are in reach of each other only if they are less than
+    `distance` apart, so a cell holds few of them however dense its family is, and a site is compared with those of 27
+    cells.
+
+    A family of up to `whole` sites is one group.  Larger ones go on by slabs of their order, all families in a round: a
+    group is about SLAB_SITES sites and those free before them in cells around theirs.  What a slab takes stays, so
+    rounds are as many as slabs of the largest family.
     """
     points = atoms.select("family", "site", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
-    if not points.groupBy("family", "site").count().where("count > 1").isEmpty():  # a site at several points
-        return maximal_matching(distance_contacts(points, cutoff), distance)
+    points = points.where(F.greatest(*[F.abs(c) for c in "xyz"]) < float("inf"))  # nothing is near infinity
     family, site = (points.schema[c].dataType.simpleString() for c in ("family", "site"))
     kind = f"family {family}, i {site}, j {site}"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("site")
-        i, j = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), np.arange(len(group)), None, cutoff, distance)
+        i, j, _ = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), cutoff, distance)
         return pd.DataFrame({"family": group["family"].iloc[0], "i": i, "j": j})
 
+    def turn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("site")
+        i, j, free = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), cutoff, distance)
+        taken = pd.DataFrame({"family": group["family"].iloc[0], "i": i, "j": j, "x": 0.0, "y": 0.0, "z": 0.0})
+        left = group[free].rename(columns={"site": "i"}).assign(j=group["site"])
+        return pd.concat([taken, left[taken.columns]]) if len(i) else left[taken.columns]
+
     open_, large = families_by_size(points, whole)
     found = open_.groupBy("family").applyInPandas(run, kind)
     if large is None:
         return found
 
-    most = large.groupBy("family").count().agg(F.max("count")).first()[0]
-    axes, width = ("x", 4 * cutoff) if most <= SLAB_SITES else ("xyz", cutoff)
-    cell = [f"c{k}" for k in axes]
-    name = F.concat_ws(" ", *cell)
-    at = large.withColumns({c: F.floor(F.col(k) / width) for c, k in zip(cell, axes, strict=True)}).withColumn("home", name)
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for c in cell:
-        at = at.withColumn("d", F.explode(steps)).withColumn(c, F.col(c) + F.col("d")).drop("d")
-    homes = large.select("family", "site", F.concat_ws(" ", *[F.floor(F.col(k) / width) for k in axes]).alias("home"))
-    # cells without own sites have nothing to take
-    around = at.select("family", name.alias("cell"), "home", "site", "x", "y", "z").join(homes.select("family", F.col("home").alias("cell")).distinct(), ["family", "cell"], "left_semi")
-    around = written(around, "cells")
-
-    def turn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("site")
-        own = (group["home"] == group["cell"]).to_numpy()
-        i, j = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), np.flatnonzero(own), group["by"].to_numpy(float, na_value=np.inf), cutoff, distance)
-        return pd.DataFrame({"family": group["family"].iloc[0], "cell": group["cell"].iloc[0], "i": i, "j": j})
-
-    taken = None
-    while True:
-        if taken is None:
-            seen = around.withColumn("by", F.lit(None).cast(site))
-        else:  # the first that took a site from another cell
-            takers = taken.groupBy("family", F.col("j").alias("site")).agg(F.collect_list(F.struct("i", "cell")).alias("takers"))
-            others = F.filter("takers", lambda t: t["cell"] != F.col("cell"))
-            seen = around.join(takers, ["family", "site"], "left").withColumn("by", F.array_min(F.transform(others, lambda t: t["i"]))).drop("takers")
-        now = written(seen.groupBy("family", "cell").applyInPandas(turn, f"family {family}, cell string, i {site}, j {site}"), "taken")
-        same = taken is not None and now.count() == taken.count() and now.join(taken, ["family", "i", "j"], "left_anti").isEmpty()
-        taken = now
-        if same:
-            return found.unionByName(taken.select("family", "i", "j"))
-
-
-def _taken(site: np.ndarray, points: np.ndarray, own: np.ndarray, by: np.ndarray | None, cutoff: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """What own sites take, in order; by: the first site elsewhere that takes each one, infinite where none does.
-
-    site is in ascending order; own holds places in it.
-    """
-    free = np.ones(len(site), bool)
-    by = np.full(len(site), np.inf) if by is None else by
-    i, j = [], []
-    for k in own.tolist():
-        if not free[k] or by[k] < site[k]:
-            continue
-        a, step = max(k + 1, int(np.searchsorted(site, site[k] + max(distance, 1)))), 64
-        while a < len(site):
-            b = a + step
-            square = ((points[a:b] - points[k]) ** 2).sum(axis=1)
-            hit = np.flatnonzero(free[a:b] & (by[a:b] > site[k]) & (np.sqrt(square) < cutoff))
-            if len(hit):
-                other = a + int(hit[0])
-                free[k] = free[other] = False
-                i.append(site[k])
-                j.append(site[other])
-                break
-            a, step = b, min(4 * step, 1 << 16)
-    return np.array(i, site.dtype), np.array(j, site.dtype)
+    sites, slabs = _slabs(large)
+    spark = atoms.sparkSession
+    kind, folder, free = f"{kind}, x double, y double, z double", f"{shared_folder(spark)}/matched-{uuid.uuid4().hex}", None
+    for k in range(slabs):
+        part = sites.where(F.col("slab") == k).drop("slab")
+        if free is None:
+            now = part.groupBy("family").applyInPandas(turn, kind)
+        else:
+            around = _cells(part, cutoff).select("family", "cx", "cy", "cz").distinct()
+            for c in ("cx", "cy", "cz"):
+                around = around.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("d")).drop("d")
+            near = _cells(free, cutoff).join(around.distinct(), ["family", "cx", "cy", "cz"], "left_semi").select("family", "site").distinct()
+            seen = free.join(near.withColumn("near", F.lit(True)), ["family", "site"], "left")  # a site with all of its points
+            now = part.unionByName(seen.where("near").select(part.columns)).groupBy("family").applyInPandas(turn, kind)
+            now = now.unionByName(seen.where("near is null").select("family", F.col("site").alias("i"), F.col("site").alias("j"), "x", "y", "z"))
+        now.write.parquet(f"{folder}/slab={k}")
+        # a site that is free is a row by itself
+        free = spark.read.schema(kind).parquet(f"{folder}/slab={k}").where("i = j").select("family", F.col("i").alias("site"), "x", "y", "z")
+    return found.unionByName(spark.read.schema(kind).parquet(folder).where("i < j").select("family", "i", "j"))
+
+
+def _slabs(points: DataFrame) -> tuple[DataFrame, int]:
+    """Adds slab: sites of each family in order, in as many parts as the largest one asks for; and their number."""
+    slabs = -(-points.groupBy("family").count().agg(F.max("count")).first()[0] // SLAB_SITES)
+    if slabs == 1:
+        return points.withColumn("slab", F.lit(0)), 1
+    cuts = F.percentile_approx("site", [k / slabs for k in range(1, slabs)], max(10_000, 10 * slabs))
+    placed = points.join(points.groupBy("family").agg(cuts.alias("cuts")), "family").withColumn("slab", F.size(F.filter("cuts", lambda c: c < F.col("site"))))
+    return written(placed.drop("cuts").repartition("family", "slab"), "slabs", by="slab"), slabs
+
+
+def _cells(points: DataFrame, cutoff: float) -> DataFrame:
+    """Adds cx, cy, cz: points closer than cutoff are in the same or in neighbouring cells."""
+    return points.withColumns({f"c{k}": F.rint(F.col(k) / (CELL * cutoff)) for k in "xyz"})
+
+
+def _taken(site: np.ndarray, points: np.ndarray, cutoff: float, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, free): contacts taken, and which rows are of sites that are left; site is in ascending order, and one at
+    several points is in contact by any of them."""
+    sites, starts, own = np.unique(site, return_index=True, return_inverse=True)
+    starts = [*starts.tolist(), len(site)]
+    reach = np.searchsorted(sites, sites - max(distance, 1), side="right").tolist()
+    # whole numbers of any size, so that far points have their own cells
+    at = [[int(v) for v in axis] for axis in np.clip(np.floor(points / (CELL * cutoff)), -1e300, 1e300).T.tolist()]
+    _, rows, layers = (max(axis) - min(axis) + 3 for axis in at)
+    cell = [(x * rows + y) * layers + z for x, y, z in zip(*at, strict=True)]
+    steps = [(x * rows + y) * layers + z for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    where, waiting = points.tolist(), {}
+    i, j, free = [], [], np.ones(len(sites), bool)
+    for n in range(len(sites)):
+        least = reach[n]
+        for k in range(starts[n], starts[n + 1]):
+            x, y, z = where[k]
+            for step in steps:
+                for m, a, b, c in waiting.get(cell[k] + step, ()):
+                    if m < least and math.sqrt((a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z)) < cutoff:
+                        least = m
+        if least < reach[n]:
+            free[least] = free[n] = False
+            i.append(least)
+            j.append(n)
+            for k in range(starts[least], starts[least + 1]):
+                waiting[cell[k]] = [w for w in waiting[cell[k]] if w[0] != least]
+        else:
+            for k in range(starts[n], starts[n + 1]):
+                waiting.setdefault(cell[k], []).append((n, *where[k]))
+    return sites[np.array(i, int)], sites[np.array(j, int)], free[own]
 
 
 def _ends(contacts: DataFrame) -> DataFrame:
