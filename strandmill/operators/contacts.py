@@ -115,7 +115,7 @@ def matching_of_points(atoms: DataFrame, cutoff: float, distance: int, whole: in
 
     def turn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("site")
-        i, j, free = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), cutoff, distance)
+        i, j, free = _taken(group["site"].to_numpy(), group[["x", "y", "z"]].to_numpy(), cutoff, distance, group["known"].to_numpy(bool))
         taken = pd.DataFrame({"family": group["family"].iloc[0], "i": i, "j": j, "x": 0.0, "y": 0.0, "z": 0.0})
         left = group[free].rename(columns={"site": "i"}).assign(j=group["site"])
         return pd.concat([taken, left[taken.columns]]) if len(i) else left[taken.columns]
@@ -129,7 +129,7 @@ def matching_of_points(atoms: DataFrame, cutoff: float, distance: int, whole: in
     spark = atoms.sparkSession
     kind, folder, free = f"{kind}, x double, y double, z double", f"{shared_folder(spark)}/matched-{uuid.uuid4().hex}", None
     for k in range(slabs):
-        part = sites.where(F.col("slab") == k).drop("slab")
+        part = sites.where(F.col("slab") == k).drop("slab").withColumn("known", F.lit(False))
         if free is None:
             now = part.groupBy("family").applyInPandas(turn, kind)
         else:
@@ -138,7 +138,7 @@ def matching_of_points(atoms: DataFrame, cutoff: float, distance: int, whole: in
                 around = around.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("d")).drop("d")
             near = _cells(free, cutoff).join(around.distinct(), ["family", "cx", "cy", "cz"], "left_semi").select("family", "site").distinct()
             seen = free.join(near.withColumn("near", F.lit(True)), ["family", "site"], "left")  # a site with all of its points
-            now = part.unionByName(seen.where("near").select(part.columns)).groupBy("family").applyInPandas(turn, kind)
+            now = part.unionByName(seen.where("near").withColumn("known", F.lit(True)).select(part.columns)).groupBy("family").applyInPandas(turn, kind)
             now = now.unionByName(seen.where("near is null").select("family", F.col("site").alias("i"), F.col("site").alias("j"), "x", "y", "z"))
         now.write.parquet(f"{folder}/slab={k}")
         # a site that is free is a row by itself
@@ -161,12 +161,13 @@ def _cells(points: DataFrame, cutoff: float) -> DataFrame:
     return points.withColumns({f"c{k}": F.rint(F.col(k) / (CELL * cutoff)) for k in "xyz"})
 
 
-def _taken(site: np.ndarray, points: np.ndarray, cutoff: float, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _taken(site: np.ndarray, points: np.ndarray, cutoff: float, distance: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, free): contacts taken, and which rows are of sites that are left; site is in ascending order, and one at
-    several points is in contact by any of them."""
+    several points is in contact by any of them.  Rows of sites that are known to take none before them are marked."""
     sites, starts, own = np.unique(site, return_index=True, return_inverse=True)
     starts = [*starts.tolist(), len(site)]
-    reach = np.searchsorted(sites, sites - max(distance, 1), side="right").tolist()
+    reach = np.searchsorted(sites, sites - max(distance, 1), side="right")
+    reach = (reach if known is None else np.where(known[starts[:-1]], 0, reach)).tolist()
     # whole numbers of any size, so that far points have their own cells
     at = [[int(v) for v in axis] for axis in np.clip(np.floor(points / (CELL * cutoff)), -1e300, 1e300).T.tolist()]
     _, rows, layers = (max(axis) - min(axis) + 3 for axis in at)
@@ -176,7 +177,7 @@ def _taken(site: np.ndarray, points: np.ndarray, cutoff: float, distance: int) -
     i, j, free = [], [], np.ones(len(sites), bool)
     for n in range(len(sites)):
         least = reach[n]
-        for k in range(starts[n], starts[n + 1]):
+        for k in range(starts[n], starts[n + 1]) if least else ():
             x, y, z = where[k]
             for step in steps:
                 for m, a, b, c in waiting.get(cell[k] + step, ()):
